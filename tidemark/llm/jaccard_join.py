@@ -139,22 +139,21 @@ def _classes(rows: DataFrame) -> DataFrame:
     grams = sets.where("n > 0").select("k", F.explode(F.flatten("fragments")).alias("hash"))
     spread = grams.groupBy("hash").agg(F.count("*").alias("df")).where("df > 1")
     shared = grams.join(spread, "hash").groupBy("k").agg(F.sort_array(F.collect_list(F.struct("df", "hash"))).alias("grams"))
-    shared = shared.join(sets.select("k", "n", "signature"), "k").where("4 * size(grams) >= 3 * n")
+    shared = shared.join(sets.select("k", "n"), "k").where("4 * size(grams) >= 3 * n")
     prefix = cut(
-        shared.select("k", "n", "signature", (F.col("n") - F.size("grams")).alias("only"), "grams")
-        .select("k", "n", "signature", "only", F.posexplode(F.expr("slice(grams, 1, int(n div 4 + 1 - only))")).alias("i", "g"))
-        .select(F.col("g.hash").alias("hash"), "k", "n", (F.col("only") + F.col("i")).alias("at"), "signature")
+        shared.select("k", "n", (F.col("n") - F.size("grams")).alias("only"), "grams")
+        .select("k", "n", "only", F.posexplode(F.expr("slice(grams, 1, int(n div 4 + 1 - only))")).alias("i", "g"))
+        .select(F.col("g.hash").alias("hash"), "k", "n", (F.col("only") + F.col("i")).alias("at"))
     )
 
-    thin = prefix.select("hash", "k", "n", "at")
-    hubs = thin.groupBy("hash").agg(F.min(F.struct("k", "n", "at")).alias("hub"), F.count("*").alias("rows")).where("rows > 1").select("hash", "hub")
-    stars = thin.join(hubs, "hash").where((F.col("k") != F.col("hub.k")) & _fits(F.col("n"), F.col("hub.n"), F.col("at"), F.col("hub.at")))
+    hubs = prefix.groupBy("hash").agg(F.min(F.struct("k", "n", "at")).alias("hub"), F.count("*").alias("rows")).where("rows > 1").select("hash", "hub")
+    stars = prefix.join(hubs, "hash").where((F.col("k") != F.col("hub.k")) & _fits(F.col("n"), F.col("hub.n"), F.col("at"), F.col("hub.at")))
     links = cut(_overlaps(stars.select(F.col("hub.k").alias("a"), F.col("k").alias("b")).distinct(), sets))
     near = connected_components(links)
 
     placed = prefix.join(near.withColumnRenamed("node", "k"), "k", "left").withColumn("c", F.coalesce("component", "k")).drop("component")
     mixed = placed.groupBy("hash").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("hash")
-    open_ = cut(placed.join(mixed, "hash"))
+    open_ = placed.join(mixed, "hash").join(sets.select("k", "signature"), "k")
     x, y = open_.alias("x"), open_.alias("y")
     differing = sum((F.bit_count(F.col("x.signature")[i].bitwiseXOR(F.col("y.signature")[i])) for i in range(SIGNATURE_LONGS)), F.lit(0))
     near_enough = F.col("x.n") + F.col("y.n") - differing >= 2 * F.ceil((F.col("x.n") + F.col("y.n")) * 3 / 7)

@@ -12,11 +12,16 @@ def cut(df: DataFrame) -> DataFrame:
     """``df`` computed once, its lineage cut by a checkpoint in the cluster's shared folder.
 
     The folder is ``spark.checkpoint.dir``; only a session without one (tests) gets its own.
+    Shuffle files that only the lineage just cut refers to go with the driver's next garbage
+    collection, so one is asked for: else they all stay on disk to the end of the job.
     """
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tidemark-"))
-    return df.checkpoint()
+    done = df.checkpoint()
+    del df
+    context._jvm.System.gc()
+    return done
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
