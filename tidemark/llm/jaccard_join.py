@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from . import hashing
 from .components import connected_components
-from .shared import cut
+from .shared import cut, release
 
 FRAGMENTS = 8
 PROBED = 3
@@ -161,6 +161,8 @@ def _classes(rows: DataFrame) -> DataFrame:
     more = _overlaps(across.select(F.col("x.k").alias("a"), F.col("y.k").alias("b")).distinct(), sets)
     parts = connected_components(links.union(more))
 
+    release(rows.sparkSession)
+
     placed = sets.select("node", "k", "n").join(parts.withColumnRenamed("node", "k"), "k", "left").withColumn("c", F.coalesce("component", "k"))
     placed = placed.select("node", "n", "c").join(classes.select("node", "rep"), "node")
     smallest = placed.groupBy("c").agg(F.min("rep").alias("smallest"), F.min("node").alias("part"))

@@ -2,26 +2,33 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark's cleaner drop shuffle files that no table in use refers to any more.
+
+    They go with the driver's garbage collection, which is rare; until then all stay on disk.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` computed once, its lineage cut by a checkpoint in the cluster's shared folder.
 
     The folder is ``spark.checkpoint.dir``; only a session without one (tests) gets its own.
-    Shuffle files that only the lineage just cut refers to go with the driver's next garbage
-    collection, so one is asked for: else they all stay on disk to the end of the job.
+    What earlier cuts have left unused is released first.
     """
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tidemark-"))
-    done = df.checkpoint()
-    del df
-    context._jvm.System.gc()
-    return done
+    release(df.sparkSession)
+    return df.checkpoint()
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
