@@ -23,10 +23,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing
-from .shared import cut, fold
+from .shared import cut, fold, release
 
 #: Bytes of text in a chunk, and about so many keys in a bucket.
-CHUNK_BYTES = 10 << 20
+CHUNK_BYTES = 8 << 20
 BUCKET_KEYS = 1 << 20
 TEST, HELD, MAIN = 0, 1, 2
 END = np.uint64(0x5851F42D4C957F2D)
@@ -200,9 +200,8 @@ def _held_out(words: int, main_tokens: int, main_types: int, starts: int):
         one = single / max(main_tokens, 1) / base
         floor = -200 * FINE
         bins = [np.where(r > 0, np.floor(np.log2(np.maximum(r, 1e-60)) * FINE), floor).astype(np.int64) for r in (two, one)]
-        cell, place = np.unique(np.stack([context_bucket(context), *bins], axis=1), axis=0, return_inverse=True)
-        place = place.ravel()
-        return pa.table([*(pa.array(cell[:, i]) for i in range(3)), pa.array(np.bincount(place)), pa.array(np.bincount(place, two)), pa.array(np.bincount(place, one))], names=names)
+        cell, place = np.unique((context_bucket(context).astype(np.int64) << 24) + (bins[0] + 2048 << 12) + bins[1] + 2048, return_inverse=True)
+        return pa.table([pa.array(cell >> 24), pa.array((cell >> 12 & 4095) - 2048), pa.array((cell & 4095) - 2048), pa.array(np.bincount(place)), pa.array(np.bincount(place, two)), pa.array(np.bincount(place, one))], names=names)
 
     return held_out
 
@@ -253,6 +252,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     asked = rows.select("chunk", "kind", "text").groupBy("chunk").applyInArrow(_request(buckets), REQUEST)
     replies = cut(asked.groupBy("bucket").applyInArrow(_reply(buckets[0]), REPLY))
+    release(docs.sparkSession)
     total = replies.where("chunk = -1").agg(F.sum("tokens"), F.sum("types"), F.sum("main_tokens")).first()
     n_tokens, n_types, n_main = (int(x or 0) for x in total)
     replies = replies.where("chunk >= 0").select("bucket", "chunk", "train", "main")
