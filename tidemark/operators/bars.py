@@ -102,7 +102,7 @@ def breadth(bars: DataFrame) -> DataFrame:
     w = _days()
     rows = bars.select("d", "volume", (F.col("close") - F.lag("close").over(w)).alias("move"), (F.col("close") > F.avg("close").over(w.rowsBetween(-19, 0))).alias("above"))
     days = rows.groupBy("d").agg(
-        F.count_if("move > 0").alias("advances"), F.count_if("move < 0").alias("declines"), F.coalesce(F.sum(F.when(F.col("move") > 0, F.col("volume"))), F.lit(0)).alias("up_volume"),
+        F.count_if(F.col("move") > 0).alias("advances"), F.count_if(F.col("move") < 0).alias("declines"), F.coalesce(F.sum(F.when(F.col("move") > 0, F.col("volume"))), F.lit(0)).alias("up_volume"),
         F.coalesce(F.sum(F.when(F.col("move") < 0, F.col("volume"))), F.lit(0)).alias("down_volume"), F.round(F.count_if("above") / F.count("*") * 100, 4).alias("above_20"),
     )
     ratio = F.try_divide(F.col("advances") / F.nullif("declines", F.lit(0)), F.col("up_volume") / F.nullif("down_volume", F.lit(0)))

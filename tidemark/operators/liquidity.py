@@ -41,7 +41,7 @@ def component_scores(facts: DataFrame, components: DataFrame | None = None, keys
     fresh = F.when(F.col("signal").isNotNull() & F.col("source_date").isNotNull() & ~F.col("source_date").eqNullSafe(F.lag(F.when(F.col("signal").isNotNull(), F.col("source_date"))).over(w)), 1).otherwise(0)
     rows = rows.withColumn("fresh", fresh)
     frame = F.collect_list("signal").over(w.rowsBetween(-251, 0))
-    share = F.size(F.filter(frame, lambda x: x <= F.col("signal"))) / F.size(frame) * 100
+    share = F.try_divide(F.size(F.filter(frame, lambda x: x <= F.col("signal"))), F.size(frame)) * 100
     rank = F.when(F.array_min(frame) == F.array_max(frame), 50.0).otherwise(share)
     rows = rows.withColumns({
         "observations": F.sum("fresh").over(w.rowsBetween(Window.unboundedPreceding, 0)), "rank": rank, "lag_days": weekday_lag(F.col("source_date"), F.col("d")),

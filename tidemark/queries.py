@@ -437,8 +437,8 @@ def third_friday(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _events_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events as one stream of a single file: its folder can't be streamed, the table's own path can."""
-    return market.stream(spark, f"{sf_dir}/events.parquet")
+    """The events as a stream; a pattern, since a stream's source must not be a single file."""
+    return market.stream(spark, f"{sf_dir}/events*.parquet")
 
 
 @query
