@@ -29,7 +29,7 @@ def weekday_lag(source: Column, reference: Column) -> Column:
         n = F.datediff(day, F.lit("1900-01-01").cast("date"))
         return F.floor(n / 7) * 5 + F.least(F.pmod(n, F.lit(7)), F.lit(5))
 
-    return F.greatest(F.lit(0), ordinal(reference) - ordinal(source)).cast("int")
+    return F.when(source.isNotNull() & reference.isNotNull(), F.greatest(F.lit(0), ordinal(reference) - ordinal(source))).cast("int")
 
 
 def asof(spine: DataFrame, observations: DataFrame, keys: list[str], date: str = "d", value: str = "value") -> DataFrame:

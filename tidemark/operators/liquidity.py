@@ -24,6 +24,11 @@ def reserve_score(v: Column) -> Column:
     )
 
 
+def _whole(value: Column, places: int) -> Column:
+    """A value of so many decimals as a whole number, so that sums don't depend on their order."""
+    return F.round(value * 10**places).cast("long")
+
+
 def component_scores(facts: DataFrame, components: DataFrame | None = None, keys: tuple[str, ...] = ()) -> DataFrame:
     """(keys, d, component, pillar, weight, score, quality, raw, observations, lag_days).
 
@@ -59,11 +64,11 @@ def component_scores(facts: DataFrame, components: DataFrame | None = None, keys
 def pillar_scores(scored: DataFrame, components: DataFrame | None = None, keys: tuple[str, ...] = ()) -> DataFrame:
     """(keys, d, pillar, score, coverage); a pillar below 0.35 coverage has no score."""
     components = components if components is not None else specs.components(scored.sparkSession)
-    total = F.broadcast(components.groupBy("pillar").agg(F.sum("weight").alias("total")))
-    held = F.when(F.col("score").isNotNull() & (F.col("quality") > 0), F.col("weight") * F.col("quality"))
-    sums = scored.withColumn("w", held).groupBy(*keys, "d", "pillar").agg(F.coalesce(F.sum("w"), F.lit(0.0)).alias("w"), F.sum(F.col("score") * F.col("w")).alias("sum"))
-    coverage = F.col("w") / F.col("total")
-    score = F.when((F.col("w") > 0) & (coverage >= specs.MIN_PILLAR_COVERAGE), F.round(F.col("sum") / F.col("w"), 1))
+    total = F.broadcast(components.groupBy("pillar").agg(F.sum(_whole(F.col("weight"), 2)).alias("total")))
+    held = F.when(F.col("score").isNotNull() & (F.col("quality") > 0), _whole(F.col("weight"), 2) * _whole(F.col("quality"), 3))
+    sums = scored.withColumn("w", held).groupBy(*keys, "d", "pillar").agg(F.coalesce(F.sum("w"), F.lit(0)).alias("w"), F.sum(_whole(F.col("score"), 1) * F.col("w")).alias("sum"))
+    coverage = F.col("w") / (F.col("total") * 1000)
+    score = F.when((F.col("w") > 0) & (coverage >= specs.MIN_PILLAR_COVERAGE), F.round(F.col("sum") / (F.col("w") * 10), 1))
     return sums.join(total, "pillar").select(*keys, "d", "pillar", score.alias("score"), F.round(coverage, 3).alias("coverage"))
 
 
@@ -73,12 +78,12 @@ def waterline(pillars: DataFrame, latest: DataFrame, keys: tuple[str, ...] = ())
     ``latest`` has (keys, d, column, value) of the guards' columns as known on each day.
     """
     weights = specs.pillars(pillars.sparkSession)
-    held = F.when(F.col("score").isNotNull(), F.col("pillar_weight") * F.col("coverage"))
+    held = F.when(F.col("score").isNotNull(), _whole(F.col("pillar_weight"), 2) * _whole(F.col("coverage"), 3))
     named = {p: F.max(F.when(F.col("pillar") == p, F.col("score"))).alias(p) for p, _ in specs.PILLARS}
     sums = pillars.join(F.broadcast(weights), "pillar").withColumn("w", held).groupBy(*keys, "d").agg(
-        F.coalesce(F.sum("w"), F.lit(0.0)).alias("w"), F.sum(F.col("score") * F.col("w")).alias("sum"), *named.values()
+        F.coalesce(F.sum("w"), F.lit(0)).alias("w"), F.sum(_whole(F.col("score"), 1) * F.col("w")).alias("sum"), *named.values()
     )
-    coverage = F.col("w") / sum(weight for _, weight in specs.PILLARS)
+    coverage = F.col("w") / (round(100 * sum(weight for _, weight in specs.PILLARS)) * 1000)
 
     def guarded(bounds: list[tuple[str, float]]) -> Column:
         hit = F.lit(False)
@@ -104,7 +109,7 @@ def waterline(pillars: DataFrame, latest: DataFrame, keys: tuple[str, ...] = ())
         .when((F.col("credit_transmission") < 25) & F.col("credit_guard"), "credit contraction")
         .otherwise(crowded)
     )
-    composite = F.when((F.col("coverage") >= specs.MIN_COMPOSITE_COVERAGE) & (F.col("w") > 0), F.round(F.col("sum") / F.col("w"), 1))
+    composite = F.when((F.col("coverage") >= specs.MIN_COMPOSITE_COVERAGE) & (F.col("w") > 0), F.round(F.col("sum") / (F.col("w") * 10), 1))
     return rows.select(*keys, "d", composite.alias("composite"), F.round("coverage", 3).alias("coverage"), state.alias("state"))
 
 

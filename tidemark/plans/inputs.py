@@ -17,15 +17,16 @@ def metric_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("o_orderpriority") == "1-URGENT", "MACRO").otherwise(F.col("o_orderpriority")).alias("scope"),
         F.to_date("o_orderdate").alias("d"),
     ).agg(
-        F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double").alias("total"),
-        F.max("o_totalprice").alias("most"),
-        F.count("*").cast("double").alias("n"),
+        F.sum((F.col("o_totalprice").cast("decimal(18,2)") * 100).cast("long")).alias("total"),
+        (F.max(F.col("o_totalprice").cast("decimal(18,2)")) * 100).cast("long").alias("most"),
+        F.count("*").alias("n"),
     )
+    # Whole cents and whole division give the same four decimals in every engine.
     metrics = {
-        "vix": F.col("total") / 20000, "move": F.col("most") / 3000, "vix_contango_pct": F.col("total") / F.col("n") / 40000 - 2,
-        "pct_200ma": F.col("n") * 20, "credit_z": (F.col("total") - F.col("most")) / 100000, "trin": F.col("n") / 2,
+        "vix": F.expr("total div 200") / 1e4, "move": F.expr("most div 30") / 1e4, "vix_contango_pct": F.expr("total div n div 400 - 20000") / 1e4,
+        "pct_200ma": F.col("n") * 20.0, "credit_z": F.expr("(total - most) div 1000") / 1e4, "trin": F.col("n") / 2.0,
     }
-    long = F.explode(F.array(*(F.struct(F.lit(k).alias("metric"), F.round(v, 6).alias("value")) for k, v in metrics.items())))
+    long = F.explode(F.array(*(F.struct(F.lit(k).alias("metric"), v.alias("value")) for k, v in metrics.items())))
     return daily.select("scope", "d", long.alias("m")).select("scope", "m.metric", "d", "m.value")
 
 

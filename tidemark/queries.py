@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -26,7 +27,14 @@ ENVIRONMENT_INPUTS = [("vix", True, "vix"), ("move", True, "move"), ("vix_contan
 
 
 def query(f: Query) -> Query:
-    QUERIES[f.__name__] = f
+    """Registers a query; its dates are given as ISO text, which every client reads alike."""
+
+    @wraps(f)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        df = f(spark, sf_dir)
+        return df.withColumns({c: F.col(c).cast("string") for c, kind in df.dtypes if kind == "date"})
+
+    QUERIES[f.__name__] = run
     return f
 
 
@@ -319,7 +327,7 @@ def _held(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def gamma_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(options.gamma_curve(_held(spark, sf_dir)))
+    return rounded(options.gamma_curve(_held(spark, sf_dir)).drop("level"))
 
 
 @query
@@ -443,7 +451,7 @@ def _events_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def stream_tick_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(market.drain(market.tick_mean(_events_table(spark, sf_dir)), "tick_mean")).withColumn("start", F.col("start").cast("timestamp_ntz"))
+    return rounded(market.drain(market.tick_mean(_events_table(spark, sf_dir)), "tick_mean"), 9).withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
 @query
