@@ -29,6 +29,12 @@ def _whole(value: Column, places: int) -> Column:
     return F.round(value * 10**places).cast("long")
 
 
+def _ratio(over: str, under: str, places: int) -> Column:
+    """A ratio of whole numbers rounded half up by whole division, so that ties don't depend on binary fractions."""
+    scale = 10**places
+    return F.expr(f"(2 * {scale} * ({over}) + ({under})) div (2 * ({under}))") / scale
+
+
 def component_scores(facts: DataFrame, components: DataFrame | None = None, keys: tuple[str, ...] = ()) -> DataFrame:
     """(keys, d, component, pillar, weight, score, quality, raw, observations, lag_days).
 
@@ -68,8 +74,8 @@ def pillar_scores(scored: DataFrame, components: DataFrame | None = None, keys:
     held = F.when(F.col("score").isNotNull() & (F.col("quality") > 0), _whole(F.col("weight"), 2) * _whole(F.col("quality"), 3))
     sums = scored.withColumn("w", held).groupBy(*keys, "d", "pillar").agg(F.coalesce(F.sum("w"), F.lit(0)).alias("w"), F.sum(_whole(F.col("score"), 1) * F.col("w")).alias("sum"))
     coverage = F.col("w") / (F.col("total") * 1000)
-    score = F.when((F.col("w") > 0) & (coverage >= specs.MIN_PILLAR_COVERAGE), F.round(F.col("sum") / (F.col("w") * 10), 1))
-    return sums.join(total, "pillar").select(*keys, "d", "pillar", score.alias("score"), F.round(coverage, 3).alias("coverage"))
+    score = F.when((F.col("w") > 0) & (coverage >= specs.MIN_PILLAR_COVERAGE), _ratio("sum", "w * 10", 1))
+    return sums.join(total, "pillar").select(*keys, "d", "pillar", score.alias("score"), _ratio("w", "total * 1000", 3).alias("coverage"))
 
 
 def waterline(pillars: DataFrame, latest: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
@@ -109,8 +115,8 @@ def waterline(pillars: DataFrame, latest: DataFrame, keys: tuple[str, ...] = ())
         .when((F.col("credit_transmission") < 25) & F.col("credit_guard"), "credit contraction")
         .otherwise(crowded)
     )
-    composite = F.when((F.col("coverage") >= specs.MIN_COMPOSITE_COVERAGE) & (F.col("w") > 0), F.round(F.col("sum") / (F.col("w") * 10), 1))
-    return rows.select(*keys, "d", composite.alias("composite"), F.round("coverage", 3).alias("coverage"), state.alias("state"))
+    composite = F.when((F.col("coverage") >= specs.MIN_COMPOSITE_COVERAGE) & (F.col("w") > 0), _ratio("sum", "w * 10", 1))
+    return rows.select(*keys, "d", composite.alias("composite"), _ratio("w", str(round(100 * sum(weight for _, weight in specs.PILLARS)) * 1000), 3).alias("coverage"), state.alias("state"))
 
 
 def supports_and_drags(scored: DataFrame, keys: tuple[str, ...] = (), k: int = 3) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from .plans import specs
 
 FACTS = """
@@ -97,12 +99,12 @@ held AS (
     least(1.0, observations / greatest(1, base)) * 0.85::DOUBLE ** greatest(0, lag_days - tol) AS raw_quality FROM lagged
 ), scored AS (
   SELECT d, component, pillar, weight, CASE WHEN enough THEN round(raw_score, 1)::DOUBLE END AS score, CASE WHEN enough THEN round(raw_quality, 3)::DOUBLE ELSE 0.0::DOUBLE END AS quality, observations, lag_days FROM components
-), totals AS (SELECT pillar, sum(round(weight * 100)::BIGINT)::DOUBLE * 1000 AS total FROM spec GROUP BY pillar
+), totals AS (SELECT pillar, sum(round(weight * 100)::BIGINT)::BIGINT * 1000 AS total FROM spec GROUP BY pillar
 ), sums AS (
-  SELECT d, pillar, coalesce(sum(round(weight * 100)::BIGINT * round(quality * 1000)::BIGINT) FILTER (score IS NOT NULL AND quality > 0), 0)::DOUBLE AS w,
-    (sum(round(score * 10)::BIGINT * round(weight * 100)::BIGINT * round(quality * 1000)::BIGINT) FILTER (score IS NOT NULL AND quality > 0))::DOUBLE AS s FROM scored GROUP BY ALL
+  SELECT d, pillar, coalesce(sum(round(weight * 100)::BIGINT * round(quality * 1000)::BIGINT) FILTER (score IS NOT NULL AND quality > 0), 0)::BIGINT AS w,
+    (sum(round(score * 10)::BIGINT * round(weight * 100)::BIGINT * round(quality * 1000)::BIGINT) FILTER (score IS NOT NULL AND quality > 0))::BIGINT AS s FROM scored GROUP BY ALL
 ), pillars AS (
-  SELECT d, pillar, CASE WHEN w > 0 AND w / total >= 0.35::DOUBLE THEN round(s / (w * 10), 1)::DOUBLE END AS score, round(w / total, 3)::DOUBLE AS coverage FROM sums JOIN totals USING (pillar)
+  SELECT d, pillar, CASE WHEN w > 0 AND w / total >= 0.35::DOUBLE THEN ((20 * s + w * 10) // (20 * w))::DOUBLE / 10 END AS score, ((2000 * w + total) // (2 * total))::DOUBLE / 1000 AS coverage FROM sums JOIN totals USING (pillar)
 )"""
 
 BARS = """ticks AS (
@@ -183,9 +185,9 @@ ORACLE_SQL: dict[str, str] = {
     "liquidity_state": f"""WITH {LIQUIDITY}, weights(pillar, pw) AS (VALUES {", ".join(str(p) for p in specs.PILLARS)}), guards AS (
       SELECT d, coalesce(bool_or((col = 'sofr_iorb_bps' AND value >= 5) OR (col = 'nfci' AND value >= 0.25) OR (col = 'move' AND value >= 130)), false) AS fg, coalesce(bool_or(col = 'hy_spread' AND value >= 5), false) AS cg FROM aligned JOIN mapped USING (scope, metric) GROUP BY d
     ), c AS (
-      SELECT d, coalesce(sum(round(pw * 100)::BIGINT * round(coverage * 1000)::BIGINT) FILTER (score IS NOT NULL), 0)::DOUBLE AS w, (sum(round(score * 10)::BIGINT * round(pw * 100)::BIGINT * round(coverage * 1000)::BIGINT) FILTER (score IS NOT NULL))::DOUBLE AS s, max(score) FILTER (pillar = 'water_stock') AS ws, max(score) FILTER (pillar = 'flow_pulse') AS fp,
+      SELECT d, coalesce(sum(round(pw * 100)::BIGINT * round(coverage * 1000)::BIGINT) FILTER (score IS NOT NULL), 0)::BIGINT AS w, (sum(round(score * 10)::BIGINT * round(pw * 100)::BIGINT * round(coverage * 1000)::BIGINT) FILTER (score IS NOT NULL))::BIGINT AS s, max(score) FILTER (pillar = 'water_stock') AS ws, max(score) FILTER (pillar = 'flow_pulse') AS fp,
         max(score) FILTER (pillar = 'funding_health') AS fh, max(score) FILTER (pillar = 'credit_transmission') AS ct, max(score) FILTER (pillar = 'market_distribution') AS md FROM pillars JOIN weights USING (pillar) GROUP BY d
-    ) SELECT d, CASE WHEN w / 625000 >= 0.5 THEN round(s / (w * 10), 1)::DOUBLE END AS composite, round(w / 625000, 3)::DOUBLE AS coverage, CASE
+    ) SELECT d, CASE WHEN w / 625000 >= 0.5 THEN ((20 * s + w * 10) // (20 * w))::DOUBLE / 10 END AS composite, ((2000 * w + 625000) // 1250000)::DOUBLE / 1000 AS coverage, CASE
       WHEN w / 625000 < 0.5 OR ws IS NULL OR fp IS NULL THEN 'insufficient data' WHEN fh < 30 AND fg THEN 'funding stress' WHEN ct < 25 AND cg THEN 'credit contraction'
       ELSE (CASE WHEN ws >= 60 THEN CASE WHEN fp >= 60 THEN 'easing expansion' WHEN fp < 40 THEN 'high level, draining' ELSE 'high level, flat' END
         WHEN ws < 40 THEN CASE WHEN fp >= 60 THEN 'low-level repair' WHEN fp < 40 THEN 'systemic tightening' ELSE 'low-level watch' END
@@ -276,6 +278,7 @@ DATED = {"asof_align": ["d", "source_date"], "third_friday": ["d", "expiry"], "s
 
 
 def _text_dates(name: str, sql: str) -> str:
+    sql = re.sub(r"(SELECT |, )round\(", r"\g<1>0 + round(", sql)  # DuckDB may round to -0.0, Spark to 0.0
     dates = [] if name in UNDATED else DATED.get(name, ["d"])
     return f"SELECT * REPLACE ({', '.join(f'{c}::VARCHAR AS {c}' for c in dates)}) FROM ({sql})" if dates else sql
 
