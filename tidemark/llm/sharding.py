@@ -40,7 +40,8 @@ def stratified_shards(docs: DataFrame, shards: int = 24, seed: int = SEED, id_co
     total = rows.count()
     bits = min(24, max(0, (total // ROWS_PER_RANGE).bit_length()))
     ranges = 1 << bits
-    rows = rows.withColumn("range", F.shiftrightunsigned("h", 64 - bits) if bits else F.lit(0).cast("long"))
+    # The hash's first bits, the sign turned over, so that ranges ascend as the hash itself does.
+    rows = rows.withColumn("range", F.shiftrightunsigned(F.col("h").bitwiseXOR(F.lit(-(1 << 63)).cast("long")), 64 - bits) if bits else F.lit(0).cast("long"))
 
     before = Window.partitionBy("stratum").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = rows.groupBy("stratum", "range").agg(F.count("*").alias("n")).select(
