@@ -65,3 +65,22 @@ def compare(op: Column, value: Column, bound: Column) -> Column:
     """A comparison whose operator is data; a null value never hits."""
     hit = F.when(op == "<", value < bound).when(op == "<=", value <= bound).when(op == ">", value > bound).when(op == ">=", value >= bound)
     return F.coalesce(hit, F.lit(False))
+
+
+def dashboard_z(value: Column, w: WindowSpec, size: int = BASELINE) -> Column:
+    """Rolling z that answers 0 instead of null: too few rows (max(30, half of those there are)), or no spread."""
+    frame = w.rowsBetween(1 - size, 0)
+    n = F.count(value).over(frame)
+    total = F.count(value).over(w.rowsBetween(-(1 << 63), (1 << 63) - 1))
+    least = F.greatest(F.lit(LEAST), F.floor(F.least(F.lit(size), total) / 2))
+    z = F.try_divide(value - F.avg(value).over(frame), F.nullif(F.stddev_samp(value).over(frame), F.lit(0.0)))
+    return F.coalesce(F.when(n >= least, z), F.lit(0.0))
+
+
+def sign_flip(value: Column, w: WindowSpec, rows: int = 1) -> Column:
+    """Whether the value's sign is the opposite of that so many rows before; zero and null flip nothing."""
+    return F.coalesce(F.signum(value) * F.signum(F.lag(value, rows).over(w)) < 0, F.lit(False))
+
+
+def moving_average(value: Column, w: WindowSpec, rows: int) -> Column:
+    return F.avg(value).over(w.rowsBetween(1 - rows, 0))

@@ -88,9 +88,9 @@ def gate(events: DataFrame, keyed: bool = False) -> DataFrame:
     rule, confidence, severity = specs.GATE, F.col("confidence"), F.col("severity")
     single = F.col("layer") == "single"
     moderate = single & (severity >= rule["cluster_severity"]) & (confidence >= rule["cluster_confidence"])
-    eligible = events.where(confidence >= rule["floor"]).withColumn("moderate", moderate)
-    crowd = eligible.groupBy("d").agg(F.count_if("moderate").alias("crowd"))
-    passed = eligible.join(crowd, "d").where(
+    day = Window.partitionBy("d")  # one shuffle; a join with daily counts would compute the events twice
+    eligible = events.where(confidence >= rule["floor"]).withColumn("moderate", moderate).withColumn("crowd", F.count_if(moderate).over(day))
+    passed = eligible.where(
         F.col("layer").isin("resonance", "multiwindow")
         | (single & (severity >= rule["solo_severity"]) & (confidence >= rule["solo_confidence"]))
         | (F.col("moderate") & (F.col("crowd") >= rule["cluster_count"]))

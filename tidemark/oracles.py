@@ -269,6 +269,25 @@ ORACLE_SQL |= {
     "stream_alert_dedupe": "SELECT DISTINCT ts::DATE AS day, event_type FROM events",
 }
 
+_ROC = ", ".join(f"round(value / nullif(lag(value, {k}) OVER w, 0) * 100 - 100, 4) AS roc_{k}" for k in (20, 21, 62, 251))
+ORACLE_SQL |= {
+    "dashboard_z": f"""WITH {FACTS}, r AS (SELECT scope, d, value, count(*) OVER f AS n, count(*) OVER (PARTITION BY scope) AS total, avg(value) OVER f AS mean, stddev_samp(value) OVER f AS dev FROM facts WHERE metric = 'vix'
+      WINDOW f AS (PARTITION BY scope ORDER BY d ROWS BETWEEN 251 PRECEDING AND CURRENT ROW)) SELECT scope, d, round(CASE WHEN n >= greatest(30, least(252, total) // 2) AND dev > 0 THEN (value - mean) / dev ELSE 0 END, 4) AS z FROM r""",
+    "rate_of_change": f"WITH {FACTS} SELECT scope, d, {_ROC} FROM facts WHERE metric = 'vix' WINDOW w AS (PARTITION BY scope ORDER BY d)",
+    "monthly_yoy": f"WITH {FACTS}, m AS (SELECT scope, date_trunc('month', d)::DATE AS d, sum(value) AS value FROM facts WHERE metric = 'pct_200ma' GROUP BY ALL) SELECT scope, d, round(value / lag(value, 12) OVER (PARTITION BY scope ORDER BY d) * 100 - 100, 4) AS yoy FROM m",
+    "sma20": f"WITH {BARS} SELECT symbol, d, round(avg(close) OVER (PARTITION BY symbol ORDER BY d ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), 4) AS sma FROM bars",
+    "sign_flips": f"WITH {FACTS} SELECT scope, d, coalesce(sign(value - 4) * sign(lag(value - 4) OVER w) < 0, false) AS day, coalesce(sign(value - 4) * sign(lag(value - 4, 5) OVER w) < 0, false) AS week FROM facts WHERE metric = 'vix_contango_pct' WINDOW w AS (PARTITION BY scope ORDER BY d)",
+    "extreme_probe": f"WITH {STATS} SELECT scope, metric, d, round(z, 4) AS z FROM stats WHERE n > 30 AND abs(z) > 2",
+    "latest_values": f"WITH {FACTS} SELECT scope, metric, arg_max(value, d) AS value, max(d) AS d FROM facts GROUP BY ALL",
+    "weighted_flow": f"WITH {BARS}, f AS (SELECT d, (volume - lag(volume) OVER (PARTITION BY symbol ORDER BY d)) * close AS x FROM bars) SELECT d, round(sum(x)::DOUBLE / 1000000, 6) AS flow FROM f GROUP BY d",
+    "score_matrix": f"WITH {STATS} SELECT d, metric, count(*) AS scopes, max(greatest(abs_sev, z_sev))::INTEGER AS worst, round(avg(pct), 4) AS mean_pct FROM graded GROUP BY ALL",
+    "alert_bodies": f"""WITH {STATS}, l AS (SELECT d, severity, '[' || severity || '] ' || concat_ws(' ', metric, scope, window_scope) AS line FROM alerts)
+      SELECT d, count(*) || ' alerts, severity ' || max(severity) AS subject, string_agg(line, chr(10) ORDER BY severity DESC, line) AS body FROM l GROUP BY d""",
+}
+_LIQUIDITY_STATE = ORACLE_SQL["liquidity_state"]
+ORACLE_SQL["liquidity_trend"] = f"""WITH st AS ({_LIQUIDITY_STATE}), r AS (SELECT d, composite, state, composite - lag(composite, 5) OVER (ORDER BY d) AS change_5, row_number() OVER (ORDER BY d DESC) AS back FROM st)
+  SELECT d, composite, state, round(change_5, 4) AS change_5 FROM r WHERE back <= 126"""
+
 #: The date columns of the results, given as ISO text like those of the queries.
 UNDATED = {
     "poc_profile", "vwap_session", "ivr", "leverage_drag", "gamma_curve", "gamma_buckets", "gamma_flip", "gamma_walls", "max_oi", "pcr", "expected_move", "vanna_charm",

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import pricing, series
-from .operators import align, anomaly, bars, environment, liquidity, options, probes
+from .operators import align, anomaly, bars, environment, liquidity, options, probes, reports
 from .plans import inputs
 from .streaming import market
 
@@ -464,3 +464,71 @@ def stream_alert_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return market.drain(market.once_a_day(_events_table(spark, sf_dir)), "once_a_day", "append")
 
 
+
+
+@query
+def dashboard_z(spark: SparkSession, sf_dir: str) -> DataFrame:
+    facts, w = _series(spark, sf_dir)
+    return rounded(facts.where("metric = 'vix'").select("scope", "d", series.dashboard_z(F.col("value"), w).alias("z")))
+
+
+@query
+def rate_of_change(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """20, 21, 62 and 251 steps: distinct measures that must not share a name."""
+    facts, w = _series(spark, sf_dir)
+    steps = {f"roc_{k}": series.pct_change(F.col("value"), w, k) for k in (20, 21, 62, 251)}
+    return rounded(facts.where("metric = 'vix'").select("scope", "d", *(v.alias(k) for k, v in steps.items())))
+
+
+@query
+def monthly_yoy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Twelve steps at the native monthly grain."""
+    facts = inputs.metric_facts(spark, sf_dir).where("metric = 'pct_200ma'")
+    months = facts.groupBy("scope", F.trunc("d", "month").alias("d")).agg(F.sum("value").alias("value"))
+    return rounded(months.select("scope", "d", series.pct_change(F.col("value"), Window.partitionBy("scope").orderBy("d"), 12).alias("yoy")))
+
+
+@query
+def sma20(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = Window.partitionBy("symbol").orderBy("d")
+    return rounded(inputs.bars(spark, sf_dir).select("symbol", "d", series.moving_average(F.col("close"), w, 20).alias("sma")))
+
+
+@query
+def sign_flips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    facts, w = _series(spark, sf_dir)
+    centred = F.col("value") - 4
+    return facts.where("metric = 'vix_contango_pct'").select("scope", "d", series.sign_flip(centred, w).alias("day"), series.sign_flip(centred, w, 5).alias("week"))
+
+
+@query
+def extreme_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Series more than two deviations off, beyond 30 rows."""
+    return rounded(_snapshot(spark, sf_dir).where("n > 30 and abs(z) > 2").select("scope", "metric", "d", "z"))
+
+
+@query
+def latest_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    facts = inputs.metric_facts(spark, sf_dir)
+    return facts.groupBy("scope", "metric").agg(F.max_by(F.struct("value", "d"), "d").alias("r")).select("scope", "metric", "r.value", "r.d")
+
+
+@query
+def weighted_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    holdings = inputs.bars(spark, sf_dir).select("symbol", "d", F.col("volume").alias("shares"), F.col("close").alias("price"))
+    return rounded(bars.weighted_flow(holdings), 6)
+
+
+@query
+def score_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.score_matrix(_snapshot(spark, sf_dir))
+
+
+@query
+def alert_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.alert_bodies(_alerts(spark, sf_dir))
+
+
+@query
+def liquidity_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(reports.trend(liquidity_state(spark, sf_dir)))
