@@ -58,3 +58,22 @@ SCHEMAS = {
     "sentinel_runs": "report_date date, fingerprint string, created_at timestamp",
     "data_quality": "report_date date, job string, status string, missing array<string>, note string, created_at timestamp",
 }
+
+
+def create_tables(spark: SparkSession, database: str = "default") -> None:
+    """The stored tables, partitioned by date where they have one; existing ones stay as they are."""
+    for name, schema in SCHEMAS.items():
+        spark.sql(f"CREATE TABLE IF NOT EXISTS {database}.{name} ({schema}) USING parquet PARTITIONED BY (report_date)")
+
+
+def add_columns(spark: SparkSession, table: str, schema: str) -> None:
+    """Additive evolution: columns that the table lacks are added, others are left alone."""
+    held = set(spark.table(table).columns)
+    missing = [c.strip() for c in schema.split(",") if c.split()[0] not in held]
+    if missing:
+        spark.sql(f"ALTER TABLE {table} ADD COLUMNS ({', '.join(missing)})")
+
+
+def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Keys that occur more than once; empty for a sound table."""
+    return df.groupBy(*keys).count().where("count > 1")
