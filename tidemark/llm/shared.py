@@ -25,7 +25,7 @@ def cut(df: DataFrame) -> DataFrame:
     What earlier cuts have left unused is released first.
     """
     context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
+    if context.getCheckpointDir() is None:
         context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tidemark-"))
     release(df.sparkSession)
     return df.checkpoint()
