@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,10 +11,12 @@ from ..functions.clean import keep_last
 
 def stored(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """The table at ``path``, empty before its first write."""
-    files = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not files.getFileSystem(spark._jsc.hadoopConfiguration()).exists(files):
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(path)
 
 
 def replace_partitions(df: DataFrame, path: str, partition: str) -> None:
