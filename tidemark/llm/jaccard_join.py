@@ -36,11 +36,21 @@ WORDS = 5
 SIGNATURE_LONGS = 16
 
 
+#: Rows of an Arrow batch that are hashed together; a task's memory is a few copies of their texts.
+ROWS = 1000
+
+
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, len(batch), ROWS):
+            yield batch.slice(at, ROWS)
+
+
 def _probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(hash, t, n) of the n-grams in the probed fragments; a text repeated in this task is skipped."""
     limit = np.uint64((PROBED << 64) // FRAGMENTS)
     seen: set[int] = set()
-    for batch in batches:
+    for batch in _parts(batches):
         marks = batch.column("t").to_numpy(zero_copy_only=False)
         new = []
         for i, t in enumerate(marks.tolist()):
@@ -64,7 +74,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A text's n-grams by fragment, its set size and its parity bitmap."""
     bits = 64 * SIGNATURE_LONGS
     seen: set[bytes] = set()
-    for batch in batches:
+    for batch in _parts(batches):
         new = []
         for i, node in enumerate(batch.column("node").to_pylist()):
             if node not in seen:
