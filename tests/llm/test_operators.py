@@ -162,6 +162,19 @@ def test_quality_classifier_odd_rows(spark, odd, empty, docs, data):
     assert kept.columns == odd.columns and kept.count() == sum(r.predicted for r in got)
 
 
+def test_classifier_scores_a_row_alike_in_any_company():
+    random = np.random.default_rng(4)
+    texts = [random.integers(0, 256, n, np.uint8).tobytes() for n in [0, 1, 11, 700, 1024, 1025, 5000, 20_000, 40] * 4]
+    network = quality_classifier.Network.fresh(3)
+
+    def score(some):
+        return network.score(np.frombuffer(b"".join(some), np.uint8), np.cumsum([0, *map(len, some)]))
+
+    together, order = score(texts), random.permutation(len(texts))
+    assert (np.concatenate([score([t]) for t in texts]) == together).all()
+    assert (score([texts[i] for i in order]) == together[order]).all()
+
+
 def test_classifier_gradient_matches_differences():
     network = quality_classifier.Network.fresh(1)
     network.weights = {k: v.astype(np.float64) for k, v in network.weights.items()}

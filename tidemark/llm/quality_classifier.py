@@ -79,13 +79,13 @@ class Network:
         """(pooled filters, where each has its maximum, windows)."""
         w = self.weights
         windows = self.windows(symbols)
-        answers = (windows.reshape(-1, windows.shape[2]) @ w["filter"]).reshape(*windows.shape[:2], FILTERS)
+        answers = windows @ w["filter"]  # one product of the same shape a chunk, so that neighbours don't change its rounding
         where = answers.argmax(1)
         top = np.take_along_axis(answers, where[:, None], 1)[:, 0] + w["filter_bias"]
         return np.maximum(top, 0), where, windows
 
     def hidden(self, pooled: np.ndarray) -> np.ndarray:
-        return np.maximum(pooled @ self.weights["dense"] + self.weights["dense_bias"], 0)
+        return np.maximum((pooled[:, :, None] * self.weights["dense"]).sum(1) + self.weights["dense_bias"], 0)
 
     def combine(self, hidden: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """(rows, 2 * HIDDEN): mean and maximum over each row's chunks."""
@@ -93,14 +93,14 @@ class Network:
         return np.concatenate([mean, np.maximum.reduceat(hidden, ends[:-1], axis=0)], axis=1)
 
     def score(self, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """The probability of label 1 for each whole row."""
+        """The probability of label 1 for each whole row, the same to the last bit whatever other rows come with it."""
         rows = len(offsets) - 1
         if self.constant is not None or not rows:
             return np.full(rows, self.constant if self.constant is not None else 0.5)
         start, ends = chunks(offsets)
         stop = np.repeat(offsets[1:], np.diff(ends))
         hidden = np.concatenate([self.hidden(self.pooled(gather(raw, start[a : a + TOGETHER], stop[a : a + TOGETHER]))[0]) for a in range(0, len(start), TOGETHER)])
-        logit = self.combine(hidden, ends) @ self.weights["out"] + self.weights["out_bias"][0] + self.bias_shift
+        logit = (self.combine(hidden, ends) * self.weights["out"]).sum(1) + self.weights["out_bias"][0] + self.bias_shift
         return 1 / (1 + np.exp(-logit.astype(np.float64)))
 
     def gradients(self, raw: np.ndarray, offsets: np.ndarray, labels: np.ndarray) -> dict[str, np.ndarray]:
