@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 from tidemark.oracles import ORACLE_SQL
+from tidemark.plans import inputs
 from tidemark.queries import QUERIES
 
 TABLES = "region nation customer supplier part orders lineitem events".split()
@@ -48,3 +49,10 @@ def test_query_matches_sql(spark, data, duck, name):
 
 def test_every_oracle_has_a_query():
     assert set(ORACLE_SQL) <= set(QUERIES)
+
+
+@pytest.mark.parametrize("name", ["weekday_lag", "session_lag", "five_day_change", "dashboard_z", "rate_of_change", "monthly_yoy"])
+def test_every_series_has_rows(spark, data, name):
+    facts = inputs.metric_facts(spark, data).select("scope", "metric").distinct()
+    found = QUERIES[f"{name}_all"](spark, data).select("scope", "metric").distinct()
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, facts.collect()))

@@ -284,6 +284,20 @@ ORACLE_SQL |= {
     "alert_bodies": f"""WITH {STATS}, l AS (SELECT d, severity, '[' || severity || '] ' || concat_ws(' ', metric, scope, window_scope) AS line FROM alerts)
       SELECT d, count(*) || ' alerts, severity ' || max(severity) AS subject, string_agg(line, chr(10) ORDER BY severity DESC, line) AS body FROM l GROUP BY d""",
 }
+#: Every series of the queries that give one metric.
+ORACLE_SQL |= {
+    "weekday_lag_all": f"WITH {ALIGNED} SELECT scope, metric, x.d, (b.upto - a.upto)::INTEGER AS lag_days FROM aligned x LEFT JOIN counted a ON a.d = x.source_date - 1 LEFT JOIN counted b ON b.d = x.d - 1",
+    "session_lag_all": f"""WITH {ALIGNED}, sessions AS (SELECT d, sum((isodow(d) < 6 AND d NOT IN (DATE '1995-07-04', DATE '1996-07-04', DATE '1997-07-04') AND d >= DATE '1995-01-02')::INT) OVER (ORDER BY d) AS upto FROM counted)
+    SELECT scope, metric, x.d, greatest(0, b.upto - a.upto - 1)::INTEGER AS lag_days FROM aligned x JOIN sessions a ON a.d = x.source_date - 1 JOIN sessions b ON b.d = x.d""",
+    "five_day_change_all": f"""WITH {FACTS}, {SPINE}, cal AS (SELECT d, row_number() OVER (ORDER BY d) AS seq FROM weekdays), v AS (SELECT scope, metric, d, value FROM facts WHERE isodow(d) < 6),
+    m AS (SELECT v.scope, v.metric, v.d, v.value, b.d AS past FROM v JOIN cal c ON c.d = v.d LEFT JOIN cal b ON b.seq = c.seq - 5)
+    SELECT m.scope, m.metric, m.d, round(m.value - p.value, 4) AS change FROM m ASOF LEFT JOIN v p ON p.scope = m.scope AND p.metric = m.metric AND p.d <= m.past""",
+    "dashboard_z_all": f"""WITH {FACTS}, r AS (SELECT scope, metric, d, value, count(*) OVER f AS n, count(*) OVER (PARTITION BY scope, metric) AS total, avg(value) OVER f AS mean, stddev_samp(value) OVER f AS dev FROM facts
+      WINDOW f AS (PARTITION BY scope, metric ORDER BY d ROWS BETWEEN 251 PRECEDING AND CURRENT ROW)) SELECT scope, metric, d, round(CASE WHEN n >= greatest(30, least(252, total) // 2) AND dev > 0 THEN (value - mean) / dev ELSE 0 END, 4) AS z FROM r""",
+    "rate_of_change_all": f"WITH {FACTS} SELECT scope, metric, d, {_ROC} FROM facts WINDOW w AS (PARTITION BY scope, metric ORDER BY d)",
+    "monthly_yoy_all": f"""WITH {FACTS}, m AS (SELECT scope, metric, date_trunc('month', d)::DATE AS d, sum(round(value * 10000)::BIGINT)::BIGINT AS value FROM facts GROUP BY ALL)
+      SELECT scope, metric, d, round(value / nullif(lag(value, 12) OVER (PARTITION BY scope, metric ORDER BY d), 0) * 100 - 100, 4) AS yoy FROM m""",
+}
 _LIQUIDITY_STATE = ORACLE_SQL["liquidity_state"]
 ORACLE_SQL["liquidity_trend"] = f"""WITH st AS ({_LIQUIDITY_STATE}), r AS (SELECT d, composite, state, composite - lag(composite, 5) OVER (ORDER BY d) AS change_5, row_number() OVER (ORDER BY d DESC) AS back FROM st)
   SELECT d, composite, state, round(change_5, 4) AS change_5 FROM r WHERE back <= 126"""

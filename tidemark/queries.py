@@ -146,6 +146,12 @@ def weekday_lag(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _aligned(spark, sf_dir).where("metric = 'vix'").select("scope", "d", align.weekday_lag(F.col("source_date"), F.col("d")).alias("lag_days"))
 
 
+@query
+def weekday_lag_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every series; ``weekday_lag`` gives one metric, as do the queries beside the other names in _all."""
+    return _aligned(spark, sf_dir).select("scope", "metric", "d", align.weekday_lag(F.col("source_date"), F.col("d")).alias("lag_days"))
+
+
 @query
 def session_lag(spark: SparkSession, sf_dir: str) -> DataFrame:
     calendar = align.weekdays(spark, FIRST_DAY, LAST_DAY, ["1995-07-04", "1996-07-04", "1997-07-04"])
@@ -153,6 +159,13 @@ def session_lag(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.session_lag(calendar, rows, "source_date", "d").select("scope", "d", "lag_days")
 
 
+@query
+def session_lag_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calendar = align.weekdays(spark, FIRST_DAY, LAST_DAY, ["1995-07-04", "1996-07-04", "1997-07-04"])
+    rows = _aligned(spark, sf_dir).where("source_date is not null").select("scope", "metric", "d", "source_date")
+    return align.session_lag(calendar, rows, "source_date", "d").select("scope", "metric", "d", "lag_days")
+
+
 @query
 def five_day_change(spark: SparkSession, sf_dir: str) -> DataFrame:
     facts = inputs.metric_facts(spark, sf_dir).where("metric = 'vix' and weekday(d) < 5")
@@ -160,6 +173,13 @@ def five_day_change(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(rows.select("scope", "d", (F.col("value") - F.col("base")).alias("change")))
 
 
+@query
+def five_day_change_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    facts = inputs.metric_facts(spark, sf_dir).where("weekday(d) < 5")
+    rows = align.offset_value(facts, align.weekdays(spark, FIRST_DAY, LAST_DAY), ["scope", "metric"], 5)
+    return rounded(rows.select("scope", "metric", "d", (F.col("value") - F.col("base")).alias("change")))
+
+
 def _daily(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     orders = inputs.table(spark, sf_dir, "orders").groupBy(F.to_date("o_orderdate").alias("d")).agg(F.count("*").alias("n"), F.max("o_totalprice").alias("price"))
     ships = inputs.table(spark, sf_dir, "lineitem").groupBy(F.to_date("l_shipdate").alias("d")).agg(F.count("*").alias("n"), F.max("l_extendedprice").alias("ship_price"))
@@ -472,6 +492,12 @@ def dashboard_z(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(facts.where("metric = 'vix'").select("scope", "d", series.dashboard_z(F.col("value"), w).alias("z")))
 
 
+@query
+def dashboard_z_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    facts, w = _series(spark, sf_dir)
+    return rounded(facts.select("scope", "metric", "d", series.dashboard_z(F.col("value"), w).alias("z")))
+
+
 @query
 def rate_of_change(spark: SparkSession, sf_dir: str) -> DataFrame:
     """20, 21, 62 and 251 steps: distinct measures that must not share a name."""
@@ -480,6 +506,12 @@ def rate_of_change(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(facts.where("metric = 'vix'").select("scope", "d", *(v.alias(k) for k, v in steps.items())))
 
 
+@query
+def rate_of_change_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    facts, w = _series(spark, sf_dir)
+    return rounded(facts.select("scope", "metric", "d", *(series.pct_change(F.col("value"), w, k).alias(f"roc_{k}") for k in (20, 21, 62, 251))))
+
+
 @query
 def monthly_yoy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Twelve steps at the native monthly grain."""
@@ -488,6 +520,13 @@ def monthly_yoy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(months.select("scope", "d", series.pct_change(F.col("value"), Window.partitionBy("scope").orderBy("d"), 12).alias("yoy")))
 
 
+@query
+def monthly_yoy_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Twelve steps at the native monthly grain; sums are of whole ten-thousandths, so their order doesn't matter."""
+    months = inputs.metric_facts(spark, sf_dir).groupBy("scope", "metric", F.trunc("d", "month").alias("d")).agg(F.sum(F.round(F.col("value") * 10000).cast("long")).alias("value"))
+    return rounded(months.select("scope", "metric", "d", series.pct_change(F.col("value"), Window.partitionBy("scope", "metric").orderBy("d"), 12).alias("yoy")))
+
+
 @query
 def sma20(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("symbol").orderBy("d")
