@@ -56,3 +56,9 @@ def test_every_series_has_rows(spark, data, name):
     facts = inputs.metric_facts(spark, data).select("scope", "metric").distinct()
     found = QUERIES[f"{name}_all"](spark, data).select("scope", "metric").distinct()
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, facts.collect()))
+
+
+def test_leverage_drag_has_all_windows_of_all_symbols(spark, data):
+    got = QUERIES["leverage_drag_pairs"](spark, data).collect()
+    assert {r.window for r in got} == {"21", "63", "all"}
+    assert {x for r in got for x in (r.base, r.geared)} == {r.symbol for r in inputs.bars(spark, data).select("symbol").distinct().collect()}

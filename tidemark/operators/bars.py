@@ -73,14 +73,24 @@ def leverage_drag(base: DataFrame, geared: DataFrame, factor: float = 3.0) -> Da
 
     Drag is the geared return less ``factor`` times the base return, by common dates.
     """
-    both = base.select("d", F.col("close").alias("b")).join(geared.select("d", F.col("close").alias("g")), "d")
-    w = Window.orderBy("d")  # one pair of series
-    returns = both.select("d", (F.col("b") / F.lag("b").over(w) - 1).alias("rb"), (F.col("g") / F.lag("g").over(w) - 1).alias("rg")).where("rb is not null")
-    ranked = returns.withColumn("back", F.row_number().over(Window.orderBy(F.col("d").desc())))
+    return _drag(base.select("d", F.col("close").alias("b")).join(geared.select("d", F.col("close").alias("g")), "d"), [], factor)
+
+
+def leverage_drags(bars: DataFrame, pairs: DataFrame, factor: float = 3.0) -> DataFrame:
+    """(base, geared, window, ...): ``leverage_drag`` of each pair (base, geared) of symbols."""
+    base = bars.select(F.col("symbol").alias("base"), "d", F.col("close").alias("b")).join(F.broadcast(pairs), "base")
+    geared = bars.select(F.col("symbol").alias("geared"), "d", F.col("close").alias("g"))
+    return _drag(base.join(geared, ["geared", "d"]), ["base", "geared"], factor)
+
+
+def _drag(both: DataFrame, keys: list[str], factor: float) -> DataFrame:
+    w = Window.partitionBy(*keys).orderBy("d")  # one pair of series
+    returns = both.select(*keys, "d", (F.col("b") / F.lag("b").over(w) - 1).alias("rb"), (F.col("g") / F.lag("g").over(w) - 1).alias("rg")).where("rb is not null")
+    ranked = returns.withColumn("back", F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("d").desc())))
     windows = F.explode(F.array(*(F.struct(F.lit(n).alias("name"), F.lit(k).alias("k")) for n, k in (("21", 21), ("63", 63), ("all", 1 << 30)))))
     inside = ranked.withColumn("w", windows).where(F.col("back") <= F.col("w.k"))
     # Compounding as a sum of logarithms keeps map-side aggregation.
-    grown = inside.groupBy(F.col("w.name").alias("window")).agg(((F.exp(F.sum(F.log1p("rb"))) - 1) * 100).alias("base_return"), ((F.exp(F.sum(F.log1p("rg"))) - 1) * 100).alias("geared_return"))
+    grown = inside.groupBy(*keys, F.col("w.name").alias("window")).agg(((F.exp(F.sum(F.log1p("rb"))) - 1) * 100).alias("base_return"), ((F.exp(F.sum(F.log1p("rg"))) - 1) * 100).alias("geared_return"))
     return grown.withColumn("drag", F.col("geared_return") - factor * F.col("base_return"))
 
 

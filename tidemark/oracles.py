@@ -210,6 +210,10 @@ ORACLE_SQL: dict[str, str] = {
     r AS (SELECT d, b::DOUBLE / lag(b) OVER w AS rb, g::DOUBLE / lag(g) OVER w AS rg FROM j WINDOW w AS (ORDER BY d)), k AS (SELECT *, row_number() OVER (ORDER BY d DESC) AS n FROM r WHERE rb IS NOT NULL),
     e AS (SELECT x."window", (product(rb) - 1) * 100 AS br, (product(rg) - 1) * 100 AS gr FROM k, (VALUES ('21', 21), ('63', 63)) x("window", len) WHERE n <= len GROUP BY 1)
     SELECT "window", round(br, 2) AS base_return, round(gr, 2) AS geared_return, round(gr - 3 * br, 2) AS drag FROM e""",
+    "leverage_drag_pairs": f"""WITH {BARS}, j AS (SELECT a.symbol AS base, c.symbol AS geared, a.d, a.close AS b, c.close AS g FROM bars a JOIN bars c ON a.d = c.d WHERE a.symbol = 'Brand#11' AND c.symbol <> a.symbol),
+    r AS (SELECT base, geared, d, b::DOUBLE / lag(b) OVER w AS rb, g::DOUBLE / lag(g) OVER w AS rg FROM j WINDOW w AS (PARTITION BY base, geared ORDER BY d)), k AS (SELECT *, row_number() OVER (PARTITION BY base, geared ORDER BY d DESC) AS n FROM r WHERE rb IS NOT NULL),
+    e AS (SELECT base, geared, x."window", (product(rb) - 1) * 100 AS br, (product(rg) - 1) * 100 AS gr FROM k, (VALUES ('21', 21), ('63', 63), ('all', 1 << 30)) x("window", len) WHERE n <= len GROUP BY ALL)
+    SELECT base, geared, "window", round(br, 2) AS base_return, round(gr, 2) AS geared_return, round(gr - 3 * br, 2) AS drag FROM e""",
     "relative_strength": f"""WITH {BARS}, r AS (SELECT symbol, d, (close::DOUBLE / lag(close, 5) OVER w - 1) * 100 AS r5, (close::DOUBLE / lag(close, 21) OVER w - 1) * 100 AS r21, (close::DOUBLE / lag(close, 63) OVER w - 1) * 100 AS r63 FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY d))
     SELECT a.symbol, a.d, round(a.r5 - b.r5, 4) AS rs_5, round(a.r21 - b.r21, 4) AS rs_21, round(a.r63 - b.r63, 4) AS rs_63 FROM r a JOIN r b ON a.d = b.d AND b.symbol = 'Brand#11' WHERE a.symbol <> 'Brand#11'""",
     "returns_heatmap": f"WITH {BARS} SELECT symbol, d, round((close::DOUBLE / lag(close, 1) OVER w - 1) * 100, 4) AS r_1, round((close::DOUBLE / lag(close, 5) OVER w - 1) * 100, 4) AS r_5, round((close::DOUBLE / lag(close, 21) OVER w - 1) * 100, 4) AS r_21, round((close::DOUBLE / lag(close, 63) OVER w - 1) * 100, 4) AS r_63 FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY d)",
@@ -304,7 +308,7 @@ ORACLE_SQL["liquidity_trend"] = f"""WITH st AS ({_LIQUIDITY_STATE}), r AS (SELEC
 
 #: The date columns of the results, given as ISO text like those of the queries.
 UNDATED = {
-    "poc_profile", "vwap_session", "ivr", "leverage_drag", "gamma_curve", "gamma_buckets", "gamma_flip", "gamma_walls", "max_oi", "pcr", "expected_move", "vanna_charm",
+    "poc_profile", "vwap_session", "ivr", "leverage_drag", "leverage_drag_pairs", "gamma_curve", "gamma_buckets", "gamma_flip", "gamma_walls", "max_oi", "pcr", "expected_move", "vanna_charm",
     "nearest_strikes", "expiration_sample", "top5_unusual", "bs_price", "delta_skew", "stream_tick_mean",
 }
 DATED = {"asof_align": ["d", "source_date"], "third_friday": ["d", "expiry"], "stream_vwap": ["day"], "stream_alert_dedupe": ["day"]}

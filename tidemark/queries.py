@@ -24,6 +24,8 @@ LIQUIDITY_INPUTS = {
 }
 #: metric of the environment model: (MACRO or not, metric) of the facts that stand in for it.
 ENVIRONMENT_INPUTS = [("vix", True, "vix"), ("move", True, "move"), ("vix_contango_pct", True, "vix_contango_pct"), ("pct_200ma", True, "pct_200ma"), ("trin", True, "trin"), ("credit_spread", True, "credit_z"), ("nfci", True, "credit_z"), ("ivr_pct", False, "vix"), ("expected_move_pct", False, "move")]
+#: The symbol that others are measured against.
+BENCHMARK = "Brand#11"
 
 
 def query(f: Query) -> Query:
@@ -300,6 +302,14 @@ def leverage_drag(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(returns.where("window <> 'all'"), 2)
 
 
+@query
+def leverage_drag_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All windows of the benchmark with each other symbol; ``leverage_drag`` gives two windows of the first two symbols."""
+    others = inputs.table(spark, sf_dir, "part").select(F.col("p_brand").alias("geared")).distinct()
+    pairs = others.where(F.col("geared") != BENCHMARK).withColumn("base", F.lit(BENCHMARK))
+    return rounded(bars.leverage_drags(inputs.bars(spark, sf_dir), pairs), 2)
+
+
 @query
 def relative_strength(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(bars.relative_strength(inputs.bars(spark, sf_dir), "Brand#11"))
