@@ -4,6 +4,7 @@ import math
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.oracles import ORACLE_SQL
 from tidemark.plans import inputs
@@ -62,3 +63,11 @@ def test_leverage_drag_has_all_windows_of_all_symbols(spark, data):
     got = QUERIES["leverage_drag_pairs"](spark, data).collect()
     assert {r.window for r in got} == {"21", "63", "all"}
     assert {x for r in got for x in (r.base, r.geared)} == {r.symbol for r in inputs.bars(spark, data).select("symbol").distinct().collect()}
+
+
+@pytest.mark.parametrize("name", ["asof_align", "effective_obs", "weekday_lag", "session_lag", "five_day_change", "liquidity_components", "liquidity_pillars", "liquidity_state", "supports_drags", "liquidity_trend"])
+def test_calendar_follows_the_observations(spark, data, tmp_path, name):
+    """A table that ends on Friday 2003-10-10."""
+    orders = spark.read.parquet(f"{data}/orders.parquet")
+    orders.withColumn("o_orderdate", F.date_add("o_orderdate", 800).cast(orders.schema["o_orderdate"].dataType)).write.parquet(str(tmp_path / "orders.parquet"))
+    assert QUERIES[name](spark, str(tmp_path)).agg(F.max("d")).first()[0] == "2003-10-10"

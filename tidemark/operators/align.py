@@ -8,7 +8,16 @@ from pyspark.sql import functions as F
 
 def weekdays(spark: SparkSession, first: str, last: str, holidays: list[str] | None = None) -> DataFrame:
     """(d, seq): weekdays from first to last without the holidays, numbered from 1."""
-    days = spark.range(1).select(F.explode(F.sequence(F.lit(first).cast("date"), F.lit(last).cast("date"))).alias("d")).where(F.weekday("d") < 5)
+    return _sessions(spark.range(1).select(F.lit(first).cast("date").alias("first"), F.lit(last).cast("date").alias("last")), holidays)
+
+
+def observed_weekdays(observations: DataFrame, holidays: list[str] | None = None, date: str = "d") -> DataFrame:
+    """(d, seq): weekdays from the first to the last observation; none without observations."""
+    return _sessions(observations.agg(F.min(date).alias("first"), F.max(date).alias("last")), holidays)
+
+
+def _sessions(span: DataFrame, holidays: list[str] | None) -> DataFrame:
+    days = span.select(F.explode(F.sequence("first", "last")).alias("d")).where(F.weekday("d") < 5)
     if holidays:
         days = days.where(~F.col("d").isin([F.lit(h).cast("date") for h in holidays]))
     return days.select("d", F.row_number().over(Window.orderBy("d")).alias("seq"))  # a calendar: some hundred rows a year

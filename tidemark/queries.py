@@ -15,7 +15,6 @@ from .streaming import market
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
-FIRST_DAY, LAST_DAY = "1995-01-02", "2001-08-01"
 
 #: column of the liquidity model: (scope, metric) of the facts that stand in for it.
 LIQUIDITY_INPUTS = {
@@ -128,9 +127,14 @@ def alert_cluster_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return anomaly.cluster_names(_events(spark, sf_dir))
 
 
+def _calendar(spark: SparkSession, sf_dir: str, holidays: list[str] | None = None) -> DataFrame:
+    """Weekdays of all facts; each order is in a fact of its day."""
+    return align.observed_weekdays(inputs.table(spark, sf_dir, "orders").select(F.to_date("o_orderdate").alias("d")), holidays)
+
+
 def _aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
     facts = inputs.metric_facts(spark, sf_dir)
-    return align.asof(align.weekdays(spark, FIRST_DAY, LAST_DAY), facts, ["scope", "metric"])
+    return align.asof(_calendar(spark, sf_dir), facts, ["scope", "metric"])
 
 
 @query
@@ -156,14 +160,14 @@ def weekday_lag_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def session_lag(spark: SparkSession, sf_dir: str) -> DataFrame:
-    calendar = align.weekdays(spark, FIRST_DAY, LAST_DAY, ["1995-07-04", "1996-07-04", "1997-07-04"])
+    calendar = _calendar(spark, sf_dir, ["1995-07-04", "1996-07-04", "1997-07-04"])
     rows = _aligned(spark, sf_dir).where("metric = 'vix' and source_date is not null").select("scope", "d", "source_date")
     return align.session_lag(calendar, rows, "source_date", "d").select("scope", "d", "lag_days")
 
 
 @query
 def session_lag_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    calendar = align.weekdays(spark, FIRST_DAY, LAST_DAY, ["1995-07-04", "1996-07-04", "1997-07-04"])
+    calendar = _calendar(spark, sf_dir, ["1995-07-04", "1996-07-04", "1997-07-04"])
     rows = _aligned(spark, sf_dir).where("source_date is not null").select("scope", "metric", "d", "source_date")
     return align.session_lag(calendar, rows, "source_date", "d").select("scope", "metric", "d", "lag_days")
 
@@ -171,14 +175,14 @@ def session_lag_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def five_day_change(spark: SparkSession, sf_dir: str) -> DataFrame:
     facts = inputs.metric_facts(spark, sf_dir).where("metric = 'vix' and weekday(d) < 5")
-    rows = align.offset_value(facts, align.weekdays(spark, FIRST_DAY, LAST_DAY), ["scope"], 5)
+    rows = align.offset_value(facts, _calendar(spark, sf_dir), ["scope"], 5)
     return rounded(rows.select("scope", "d", (F.col("value") - F.col("base")).alias("change")))
 
 
 @query
 def five_day_change_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     facts = inputs.metric_facts(spark, sf_dir).where("weekday(d) < 5")
-    rows = align.offset_value(facts, align.weekdays(spark, FIRST_DAY, LAST_DAY), ["scope", "metric"], 5)
+    rows = align.offset_value(facts, _calendar(spark, sf_dir), ["scope", "metric"], 5)
     return rounded(rows.select("scope", "metric", "d", (F.col("value") - F.col("base")).alias("change")))
 
 
@@ -236,7 +240,7 @@ def environment_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _liquidity_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = F.create_map(*(F.lit(x) for column, (scope, metric) in LIQUIDITY_INPUTS.items() for x in (f"{scope}/{metric}", column)))
     facts = inputs.metric_facts(spark, sf_dir).withColumn("column", F.try_element_at(names, F.concat_ws("/", "scope", "metric"))).where("column is not null")
-    return align.asof(align.weekdays(spark, FIRST_DAY, LAST_DAY), facts.select("column", "d", "value"), ["column"])
+    return align.asof(_calendar(spark, sf_dir), facts.select("column", "d", "value"), ["column"])
 
 
 def _components(spark: SparkSession, sf_dir: str) -> DataFrame:
