@@ -71,3 +71,15 @@ def test_calendar_follows_the_observations(spark, data, tmp_path, name):
     orders = spark.read.parquet(f"{data}/orders.parquet")
     orders.withColumn("o_orderdate", F.date_add("o_orderdate", 800).cast(orders.schema["o_orderdate"].dataType)).write.parquet(str(tmp_path / "orders.parquet"))
     assert QUERIES[name](spark, str(tmp_path)).agg(F.max("d")).first()[0] == "2003-10-10"
+
+
+def test_alert_days_of_shuffled_files(spark, data, tmp_path):
+    """The file with the last days comes first, the rest are shuffled."""
+    events = spark.read.parquet(f"{data}/events.parquet")
+    last = events.agg(F.max("ts")).first()[0]
+    path = str(tmp_path / "events.parquet")
+    events.where(F.col("ts") == last).coalesce(1).write.parquet(path)
+    for i in range(3):
+        events.where(F.pmod(F.hash("ts"), F.lit(3)) == i).coalesce(1).write.mode("append").parquet(path)
+    want = events.select(F.to_date("ts").cast("string"), "event_type").distinct().collect()
+    assert sorted(map(tuple, QUERIES["stream_alert_dedupe"](spark, str(tmp_path)).collect())) == sorted(map(tuple, want))

@@ -495,7 +495,7 @@ def stream_vwap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def stream_alert_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return market.drain(market.once_a_day(_events_table(spark, sf_dir)), "once_a_day", "append")
+    return market.drain(market.alert_days(_events_table(spark, sf_dir)), "alert_days")
 
 
 

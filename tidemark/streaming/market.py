@@ -27,13 +27,21 @@ def session_vwap(events: DataFrame, late: str = "1 hour") -> DataFrame:
 
 
 def once_a_day(events: DataFrame, late: str = "1 day") -> DataFrame:
-    """(day, event_type): the first alert of a type on a day; later ones within the watermark are dropped."""
+    """(day, event_type): the first alert of a type on a day; later ones within the watermark are dropped.
+
+    As a stream it loses events that come more than ``late`` after newer ones; see ``alert_days`` for a backlog.
+    """
     days = events.withColumn("day", F.to_date("ts"))
     if not events.isStreaming:
         return days.select("day", "event_type").distinct()
     return days.withWatermark("ts", late).dropDuplicatesWithinWatermark(["day", "event_type"]).select("day", "event_type")
 
 
+def alert_days(events: DataFrame) -> DataFrame:
+    """(day, event_type) of all events, whatever their order; for complete mode, state is one row a day and type."""
+    return events.groupBy(F.to_date("ts").alias("day"), "event_type").agg(F.count("*").alias("n")).select("day", "event_type")
+
+
 def drain(df: DataFrame, name: str, mode: str = "complete") -> DataFrame:
     """Runs a stream over what is there and returns its result table."""
     query = df.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
