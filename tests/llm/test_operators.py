@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import textwrap
 import zlib
 from collections import Counter
 
@@ -505,6 +506,42 @@ def test_license_scans(spark, odd, empty, docs):
     assert license_scan.scan_licenses(empty).count() == 0
 
 
+def brute_wrapped(text):
+    """Labels and score of lines and of every window of words / THRESHOLD words."""
+    *_, labels, score = brute_licenses(text)
+    words, every = ALNUM.findall(lower(text or "")), set(filter(None, labels.split(",")))
+    for label, template in license_scan.TEMPLATES:
+        own = ALNUM.findall(lower(template))
+        want, width = set(own), math.floor(round(len(own) / license_scan.THRESHOLD, 9))
+        for i in range(len(words)):
+            shared = len(want & set(words[i : i + width]))
+            if shared >= math.ceil(round(license_scan.THRESHOLD * len(want), 9)):
+                every.add(label)
+                score = max(score, shared / len(want))
+    return ",".join(sorted(every)), score
+
+
+def test_wrapped_license_notices(spark, odd, empty, docs):
+    wrap = lambda text, size, lead="": "\n".join(lead + x for x in textwrap.wrap(text, size))
+    rows = [(2000 + i, "Some code\n\n" + wrap(text, 72, "# ") + "\n\nmore") for i, (_, text) in enumerate(license_scan.TEMPLATES)]
+    r, words = random.Random(6), sorted({w for _, text in license_scan.TEMPLATES for w in text.split()})
+    for i in range(150):
+        parts = [r.choice(license_scan.TEMPLATES)[1].split() for _ in range(r.randint(1, 3))]
+        parts = [w for p in parts for w in [*[r.choice(words) for _ in range(r.randint(0, 9))], *p]]
+        for _ in range(r.randint(0, 6)):
+            parts[r.randrange(len(parts))] = r.choice(["zz", "the zz", "", *words])
+        rows.append((3000 + i, wrap(" ".join(parts), r.choice([20, 40, 72]), r.choice(["", " * ", "rem "]))))
+    table = frame(spark, rows).union(odd).union(docs.select("doc_id", "text", *(F.lit(None).cast(t).alias(c) for c, t in odd.dtypes[2:])))
+    every = rows + odd_texts() + [(r.doc_id, r.text) for r in docs.collect()]
+    got = license_scan.scan_licenses(table, wrapped=True).collect()
+    assert ordered((x.doc_id, x.labels, x.score) for x in got) == ordered((k, *brute_wrapped(t)) for k, t in every)
+    found = {x.doc_id: x for x in got}
+    for i, (label, text) in enumerate(license_scan.TEMPLATES):
+        lines = len(textwrap.wrap(text, 72))
+        assert (2, 1 + lines, label, 1.0) in [tuple(b) for b in found[2000 + i].blocks]
+    assert license_scan.scan_licenses(empty, wrapped=True).count() == 0
+
+
 # 7 ---------------------------------------------------------------------------------------------------------------
 
 

@@ -1,7 +1,9 @@
 """License scans (operator 6): an exact set-similarity join of text blocks with license templates.
 
 A block is a line of a document, a template the token set of a license notice.  They join
-when the block holds at least ``THRESHOLD`` of the template's distinct tokens.  Tokens are
+when the block holds at least ``THRESHOLD`` of the template's distinct tokens.  On request
+windows of consecutive words over line ends are blocks too, so that wrapped notices are
+found; they have the template's number of words and a share more (words / ``THRESHOLD``).  Tokens are
 ordered by their frequency in the corpus, counted over all documents, rarest first.  A
 block that joins holds one of the first |T| - need + 1 tokens of the template (prefix
 filter), has ``need`` distinct tokens itself (length filter), and from its first common
@@ -92,9 +94,10 @@ class Index:
         rank = np.array([frequency.get(i, 0) for i in range(len(self.vocabulary))])
         self.place = np.empty(len(rank), np.int64)  # in the global order
         self.place[np.lexsort((np.arange(len(rank)), rank))] = np.arange(len(rank))
-        self.labels, self.sets, self.need, self.prefixes = [], [], [], {}
+        self.labels, self.sets, self.need, self.width, self.prefixes = [], [], [], [], {}
         for label, text in templates:
-            own = np.unique(self.place[np.searchsorted(self.vocabulary, tokens(text))])
+            words = tokens(text)
+            own = np.unique(self.place[np.searchsorted(self.vocabulary, words)])
             if len(own):
                 need = math.ceil(round(threshold * len(own), 9))
                 for at, token in enumerate(own[: len(own) - need + 1].tolist()):
@@ -102,13 +105,50 @@ class Index:
                 self.labels.append(label)
                 self.sets.append(own)
                 self.need.append(need)
+                self.width.append(math.floor(round(len(words) / threshold, 9)))
         self.starts = np.zeros(len(self.vocabulary) + 1, dtype=bool)  # the last cell is for tokens of no template
         self.starts[list(self.prefixes)] = True
 
+    def places(self, hashed: np.ndarray) -> np.ndarray:
+        """Each word's place in the global order, or the vocabulary's size."""
+        found = _member(self.vocabulary, hashed)
+        return np.where(found >= 0, self.place[found], len(self.vocabulary)) if len(self.vocabulary) else np.zeros(len(found), np.int64)
+
+    def spans(self, hashed: np.ndarray, row: np.ndarray, line: np.ndarray) -> Iterator[tuple[int, int, int, float]]:
+        """(first word, last word, template, containment) of windows that join and go over a line end.
+
+        A window begins and ends with a token of the template.  Of windows of one template that
+        overlap in a chain, the first with most of its tokens is given.
+        """
+        token = self.places(hashed)
+        for number, template, _ in self.blocks(hashed, row):  # a row holds whatever its windows hold
+            a, b = np.searchsorted(row, [number, number + 1])
+            whole, need, width = self.sets[template], self.need[template], self.width[template]
+            hits = a + np.flatnonzero(np.isin(token[a:b], whole))
+            count: dict[int, int] = {}
+            best, end, low = (0, 0, 0), -1, 0  # tokens, first and last word; last word of the chain
+            at, own = hits.tolist(), token[hits].tolist()
+            for k, t in enumerate(own):
+                count[t] = count.get(t, 0) + 1
+                while at[k] - at[low] >= width or count[own[low]] > 1:
+                    count[own[low]] -= 1
+                    if not count[own[low]]:
+                        del count[own[low]]
+                    low += 1
+                if len(count) < need or line[at[low]] == line[at[k]]:
+                    continue
+                if best[0] and at[low] > end:
+                    yield best[1], best[2], template, best[0] / len(whole)
+                    best = (0, 0, 0)
+                end = at[k]
+                if len(count) > best[0]:
+                    best = (len(count), at[low], at[k])
+            if best[0]:
+                yield best[1], best[2], template, best[0] / len(whole)
+
     def blocks(self, hashed: np.ndarray, block: np.ndarray) -> Iterator[tuple[int, int, float]]:
         """(block, template, containment) of every joining pair; ``block`` ascends by word."""
-        found = _member(self.vocabulary, hashed)
-        token = np.where(found >= 0, self.place[found], len(self.vocabulary)) if len(self.vocabulary) else np.zeros(len(found), np.int64)
+        token = self.places(hashed)
         for number in np.unique(block[self.starts[token]]).tolist():
             a, b = np.searchsorted(block, [number, number + 1])
             own = np.unique(token[a:b])
@@ -138,19 +178,19 @@ def _phrase_starts(hashed: np.ndarray, row: np.ndarray, phrase: np.ndarray) -> n
     return at[row[at] == row[at + len(phrase) - 1]]
 
 
-def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: list[tuple[str, str]] = TEMPLATES, phrases: list[tuple[str, str]] = PHRASES, threshold: float = THRESHOLD) -> DataFrame:
-    """One row per row of ``docs``: its license phrases, and the labels of all templates its lines join.
+def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: list[tuple[str, str]] = TEMPLATES, phrases: list[tuple[str, str]] = PHRASES, threshold: float = THRESHOLD, wrapped: bool = False) -> DataFrame:
+    """One row per row of ``docs``: its license phrases, and the labels of all templates its lines join, and if ``wrapped`` its windows.
 
     Columns: id, n_words, n_base, first_word, last_word (null without a phrase), base_labels and
     labels (sorted, distinct, comma-joined; empty if none), score (the largest containment among
-    joining lines, else 0) and blocks (array of struct(line, label, containment): every joining
-    line, from 0).  Null and empty texts have no words, repeated rows are scanned one by one,
+    joining blocks, else 0) and blocks (array of struct(line, last_line, label, containment): every
+    joining block, lines from 0).  Null and empty texts have no words, repeated rows are scanned one by one,
     other columns are ignored, and an empty table gives none.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     frequency = token_frequencies(texts, templates)
     columns = ["id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "blocks"]
-    block_type = pa.list_(pa.struct([("line", pa.int64()), ("label", pa.string()), ("containment", pa.float64())]))
+    block_type = pa.list_(pa.struct([("line", pa.int64()), ("last_line", pa.int64()), ("label", pa.string()), ("containment", pa.float64())]))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = Index(templates, frequency, threshold)
@@ -180,7 +220,11 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 block = line + row  # a new row begins a new block too
                 for number, template, share in index.blocks(hashed, block):
                     r = int(row[np.searchsorted(block, number)])
-                    found[r].append({"line": number - r - int(line_of_row[r]), "label": index.labels[template], "containment": share})
+                    at = number - r - int(line_of_row[r])
+                    found[r].append({"line": at, "last_line": at, "label": index.labels[template], "containment": share})
+                for x, y, template, share in index.spans(hashed, row, line) if wrapped else ():
+                    r = int(row[x])
+                    found[r].append({"line": int(line[x] - line_of_row[r]), "last_line": int(line[y] - line_of_row[r]), "label": index.labels[template], "containment": share})
                 none = n_base == 0
                 labels = [",".join(sorted(own_ | {f["label"] for f in f_})) for own_, f_ in zip(base, found, strict=True)]
                 yield pa.RecordBatch.from_arrays(
@@ -192,5 +236,5 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                     columns,
                 )
 
-    schema = "id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, blocks array<struct<line:long,label:string,containment:double>>"
+    schema = "id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, blocks array<struct<line:long,last_line:long,label:string,containment:double>>"
     return texts.mapInArrow(scan, schema).withColumnRenamed("id", id_col)

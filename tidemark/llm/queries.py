@@ -36,7 +36,7 @@ def op5_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return license_scan.scan_licenses(read(spark, sf_dir, "documents")).drop("blocks")
+    return license_scan.scan_licenses(read(spark, sf_dir, "documents"), wrapped=True).drop("blocks")
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
