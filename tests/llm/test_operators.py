@@ -542,6 +542,18 @@ def test_wrapped_license_notices(spark, odd, empty, docs):
     assert license_scan.scan_licenses(empty, wrapped=True).count() == 0
 
 
+def test_license_position_filter_spares_counting(monkeypatch):
+    """A block that holds a rare token of each template but too few after it is not counted; a whole notice is, once."""
+    index = license_scan.Index([("x", "a b c d e f")], {}, 0.85)
+    counted, count = [], np.intersect1d
+    monkeypatch.setattr(license_scan.np, "intersect1d", lambda *a, **k: counted.append(1) or count(*a, **k))
+    for text, want, n in [("z y x w v u " + "abcdef"[i], [], 0) for i in range(6)] + [("a b c d e f", [(0, 0, 1.0)], 1)]:
+        hashed = license_scan.tokens(text)
+        counted.clear()
+        assert list(index.blocks(hashed, np.zeros(len(hashed), np.int64))) == want
+        assert len(counted) == n
+
+
 # 7 ---------------------------------------------------------------------------------------------------------------
 
 

@@ -7,7 +7,8 @@ found; they have the template's number of words and a share more (words / ``THRE
 ordered by their frequency in the corpus, counted over all documents, rarest first.  A
 block that joins holds one of the first |T| - need + 1 tokens of the template (prefix
 filter), has ``need`` distinct tokens itself (length filter), and from its first common
-token on enough of the template is left (positional filter); then the overlap is counted.
+token on enough is left of the template's and the block's template tokens (positional
+filter); then the overlap is counted.
 The templates are the stated query set, a fixed small list.
 """
 
@@ -155,13 +156,13 @@ class Index:
             own = own[own < len(self.vocabulary)]
             size = len(np.unique(hashed[a:b]))
             tried = set()
-            for t in own[self.starts[own]].tolist():
-                for template, at in self.prefixes[t]:
+            for position in np.flatnonzero(self.starts[own]).tolist():
+                for template, at in self.prefixes[int(own[position])]:
                     if template in tried:
                         continue
                     tried.add(template)
                     need, whole = self.need[template], self.sets[template]
-                    if size >= need and len(whole) - at >= need:
+                    if size >= need and min(len(whole) - at, len(own) - position) >= need:
                         shared = len(np.intersect1d(whole, own, assume_unique=True))
                         if shared >= need:
                             yield number, template, shared / len(whole)
