@@ -83,3 +83,11 @@ def test_alert_days_of_shuffled_files(spark, data, tmp_path):
         events.where(F.pmod(F.hash("ts"), F.lit(3)) == i).coalesce(1).write.mode("append").parquet(path)
     want = events.select(F.to_date("ts").cast("string"), "event_type").distinct().collect()
     assert sorted(map(tuple, QUERIES["stream_alert_dedupe"](spark, str(tmp_path)).collect())) == sorted(map(tuple, want))
+
+
+def test_vrp_is_vix_less_volatility(spark, data):
+    hv = {r.d: r.hv for r in QUERIES["hv20"](spark, data).where("symbol = 'Brand#11'").collect()}
+    got = QUERIES["hv20_vrp"](spark, data).collect()
+    assert any(r.vrp is not None for r in got)
+    for r in got:
+        assert r.hv == hv[r.d] and (r.vrp is None if r.hv is None else abs(r.vrp - (r.vix - r.hv)) < 2e-4)

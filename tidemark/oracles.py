@@ -205,6 +205,9 @@ ORACLE_SQL: dict[str, str] = {
     "vwap_session": f"WITH {BARS}, r AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY d DESC) AS k FROM bars) SELECT symbol, round(sum(close * volume)::DOUBLE / sum(volume), 4) AS vwap, round((sum(close * volume) FILTER (k > 6))::DOUBLE / sum(volume) FILTER (k > 6), 4) AS vwap_before FROM r GROUP BY 1",
     "cmf21": f"WITH {BARS}, m AS (SELECT *, ((close - low) - (high - close))::DOUBLE / (CASE WHEN high = low THEN 0.01::DOUBLE ELSE high - low END) * volume AS flow FROM bars) SELECT symbol, d, round(sum(flow) OVER w / sum(volume) OVER w, 4) AS cmf FROM m WINDOW w AS (PARTITION BY symbol ORDER BY d ROWS BETWEEN 20 PRECEDING AND CURRENT ROW)",
     "hv20": f"WITH {BARS}, m AS (SELECT *, ln(close::DOUBLE / lag(close) OVER (PARTITION BY symbol ORDER BY d)) AS r FROM bars) SELECT symbol, d, round(CASE WHEN count(r) OVER w >= 20 THEN stddev_samp(r) OVER w * sqrt(252) * 100 END, 4) AS hv FROM m WINDOW w AS (PARTITION BY symbol ORDER BY d ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)",
+    "hv20_vrp": f"""WITH {BARS}, {FACTS}, m AS (SELECT d, ln(close::DOUBLE / lag(close) OVER (ORDER BY d)) AS r FROM bars WHERE symbol = 'Brand#11'),
+    h AS (SELECT d, CASE WHEN count(r) OVER w >= 20 THEN stddev_samp(r) OVER w * sqrt(252) * 100 END AS hv FROM m WINDOW w AS (ORDER BY d ROWS BETWEEN 19 PRECEDING AND CURRENT ROW))
+    SELECT d, round(value, 4) AS vix, round(hv, 4) AS hv, round(value - hv, 4) AS vrp FROM facts JOIN h USING (d) WHERE scope = 'MACRO' AND metric = 'vix'""",
     "ivr": f"WITH {BARS} SELECT symbol, round(CASE WHEN max(close) > min(close) THEN (arg_max(close, d) - min(close))::DOUBLE / (max(close) - min(close)) * 100 ELSE 0 END, 4) AS rank FROM bars GROUP BY 1",
     "leverage_drag": f"""WITH {BARS}, two AS (SELECT symbol, row_number() OVER (ORDER BY symbol) AS k FROM (SELECT DISTINCT symbol FROM bars)), j AS (SELECT a.d, a.close AS b, c.close AS g FROM bars a JOIN bars c ON a.d = c.d WHERE a.symbol = (SELECT symbol FROM two WHERE k = 1) AND c.symbol = (SELECT symbol FROM two WHERE k = 2)),
     r AS (SELECT d, b::DOUBLE / lag(b) OVER w AS rb, g::DOUBLE / lag(g) OVER w AS rg FROM j WINDOW w AS (ORDER BY d)), k AS (SELECT *, row_number() OVER (ORDER BY d DESC) AS n FROM r WHERE rb IS NOT NULL),

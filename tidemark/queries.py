@@ -293,6 +293,14 @@ def hv20(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(bars.realised_volatility(inputs.bars(spark, sf_dir)))
 
 
+@query
+def hv20_vrp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """VIX less the benchmark's volatility, on the days that have both series."""
+    vix = inputs.metric_facts(spark, sf_dir).where("scope = 'MACRO' and metric = 'vix'").select("d", F.col("value").alias("vix"))
+    hv = bars.realised_volatility(inputs.bars(spark, sf_dir).where(F.col("symbol") == BENCHMARK)).select("d", "hv")
+    return rounded(vix.join(hv, "d").withColumn("vrp", F.col("vix") - F.col("hv")))
+
+
 @query
 def ivr(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(bars.value_rank(inputs.bars(spark, sf_dir), "symbol", "close"))
