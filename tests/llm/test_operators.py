@@ -14,12 +14,12 @@ import sentencepiece
 from pyspark.sql import functions as F
 
 from tidemark.llm import (
-    components, decontaminate, jaccard_join, language_model, license_scan, media, progressive_jpeg, quality_classifier, sentence_pieces, sharding, token_counts, url_filter,
+    components, decontaminate, hashing, jaccard_join, language_model, license_scan, media, progressive_jpeg, quality_classifier, sentence_pieces, sharding, token_counts, url_filter,
 )
 
 SPACE = re.compile(r"[^\x20\x09-\x0D]+")
 ALNUM = re.compile(r"[a-z0-9\x80-\U0010ffff]+")
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id long, node string, hash string, k int, score double"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id long, node string, hash string, k int, score double, key long, _node string, _id long, _key long, _one boolean, _rep long"
 
 
 def lower(text):
@@ -33,7 +33,7 @@ def shingle_set(text, pattern=SPACE):
 
 def frame(spark, texts):
     """Documents with extra columns whose names clash with those the operators use inside."""
-    return spark.createDataFrame([(i, t, None, f"s{i % 3}" if i and i % 5 else None, None, -1, "x", "y", 1, 0.5) for i, t in texts], SCHEMA)
+    return spark.createDataFrame([(i, t, None, f"s{i % 3}" if i and i % 5 else None, None, -1, "x", "y", 1, 0.5, 66, "z", 77, 88, True, 99) for i, t in texts], SCHEMA)
 
 
 def odd_texts():
@@ -112,6 +112,58 @@ def test_jaccard_join_chain_through_unlinked_hub(spark):
     assert ordered(jaccard_join.jaccard_components(frame(spark, rows)).collect()) == ordered(brute_components(rows))
 
 
+def near_copies(n, size=70, seed=5):
+    """Copies of one text with words exchanged, so that many pairs lie on either side of 0.75."""
+    r = random.Random(seed)
+    base, rows = [f"w{i}" for i in range(size)], []
+    for i in range(n):
+        own = list(base)
+        for _ in range(r.choice([0, 1, 1, 2, 2, 3, 4])):
+            own[r.randrange(size)] = f"x{r.randrange(40)}"
+        rows.append((i, " ".join(own)))
+    return rows
+
+
+@pytest.mark.parametrize("seed", [5, 6])
+def test_jaccard_join_large_family(spark, seed, monkeypatch):
+    """Components are whole, and the pairs whose sets are compared grow in proportion to the rows."""
+    compared, overlaps = [], jaccard_join._overlaps
+
+    def counting(pairs, sets):
+        compared.append(pairs.count())
+        return overlaps(pairs, sets)
+
+    monkeypatch.setattr(jaccard_join, "_overlaps", counting)
+    sums = []
+    for n in (300, 600):
+        compared.clear()
+        rows = near_copies(n, seed=seed)
+        assert ordered(jaccard_join.jaccard_components(frame(spark, rows)).collect()) == ordered(brute_components(rows))
+        sums.append(sum(compared))
+    assert sums[0] <= 3 * 300 and sums[1] <= 3 * 600
+
+
+def test_equal_hash_of_a_polynomial_is_told_apart():
+    """Thue-Morse words and their complements, which every polynomial modulo 2^64 confuses."""
+    bits = [bin(i).count("1") & 1 for i in range(4096)]
+    one, other = "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+    raw = np.frombuffer((one + " " + other).encode(), np.uint8)
+    hashed = hashing.words(raw, np.array([0, len(raw)]))[0]
+    assert len(set(hashed.tolist())) == 2
+
+
+def test_distinct_spans_compare_bytes(monkeypatch):
+    """Spans of one hash but different bytes stay apart."""
+    r = np.random.default_rng(1)
+    raw = r.integers(97, 99, 4000).astype(np.uint8)
+    cuts = np.unique(np.concatenate([[0, 4000], r.integers(0, 4000, 700)]))
+    monkeypatch.setattr(hashing, "span_hashes", lambda data, start, end: (end - start).astype(np.uint64) & np.uint64(3))
+    example, same = hashing.distinct_spans(raw, cuts[:-1], cuts[1:])
+    text = raw.tobytes()
+    spans = [text[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    assert all(spans[example[same[i]]] == x for i, x in enumerate(spans))
+
+
 def test_deduplicate_keeps_one_of_each(odd, empty):
     rows = odd_texts()
     want = {}
@@ -120,6 +172,7 @@ def test_deduplicate_keeps_one_of_each(odd, empty):
             want.setdefault(component if component is not None else text, component)
     kept = jaccard_join.deduplicate(odd)
     assert kept.columns == odd.columns
+    assert {tuple(r)[5:] for r in kept.collect()} == {tuple(r)[5:] for r in odd.collect()}
     texts = [(r.doc_id, r.text) for r in kept.collect()]
     assert ordered((k,) for k, t in texts if shingle_set(t)) == ordered((v,) for v in want.values())
     assert sum(not shingle_set(t) for _, t in texts) == sum(not shingle_set(t) for _, t in rows)

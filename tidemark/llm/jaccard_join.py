@@ -8,11 +8,14 @@ overlaps are counted in each fragment separately and summed per pair.
    any partner, so one with more than n / 4 n-grams that no other text has is
    linked with nothing.  The first ``PROBED`` fragments settle that for most.
 2. Among the rest, rarest n-grams first, the prefix filter applies: two linked
-   documents share one of the first n / 4 + 1.  Each n-gram's documents are first
-   held against one of them (the hub), which merges families of near copies in a
-   number of pairs linear in their rows.
-3. Only pairs from different components then remain.  Length, position and
-   bitmap (parity of hashed n-grams) bounds, each lossless, leave few of them.
+   documents share one of the first n / 4 + 1.  Families of near copies are merged
+   in rounds that are linear in these prefixes: each n-gram whose documents lie in
+   several components holds them against one of its documents (the hub, another
+   one each round), until a round adds no link.
+3. Only pairs from components that still are different then remain, and are all
+   tried.  Length, position and bitmap (parity of hashed n-grams) bounds, each
+   lossless, leave few of them; of two documents one has its first common n-gram
+   among its first n / 7 + 1, which are the one side of that join.
 
 Nothing is capped or sampled: every pair that links lies in one component.
 """
@@ -23,12 +26,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import hashing
 from .components import connected_components
-from .shared import cut, release
+from .shared import cut, unused
 
 FRAGMENTS = 8
 PROBED = 3
@@ -46,19 +49,24 @@ def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(at, ROWS)
 
 
+def _unseen(nodes: pa.Array, seen: set[bytes]) -> pa.Array:
+    """Places of nodes that this task meets for the first time."""
+    new = []
+    for i, node in enumerate(nodes.to_pylist()):
+        if node not in seen:
+            seen.add(node)
+            new.append(i)
+    return pa.array(new, pa.int64())
+
+
 def _probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(hash, t, n) of the n-grams in the probed fragments; a text repeated in this task is skipped."""
     limit = np.uint64((PROBED << 64) // FRAGMENTS)
-    seen: set[int] = set()
+    seen: set[bytes] = set()
     for batch in _parts(batches):
-        marks = batch.column("t").to_numpy(zero_copy_only=False)
-        new = []
-        for i, t in enumerate(marks.tolist()):
-            if t not in seen:
-                seen.add(t)
-                new.append(i)
-        texts = batch.column("text").take(pa.array(new, pa.int64()))
-        marks = marks[new]
+        new = _unseen(batch.column("node"), seen)
+        texts = batch.column("text").take(new)
+        marks = batch.column("t").take(new).to_numpy(zero_copy_only=False)
         raw, offsets = hashing.text_bytes(texts)
         for a, b in hashing.slices(offsets):
             part = offsets[a : b + 1]
@@ -75,12 +83,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     bits = 64 * SIGNATURE_LONGS
     seen: set[bytes] = set()
     for batch in _parts(batches):
-        new = []
-        for i, node in enumerate(batch.column("node").to_pylist()):
-            if node not in seen:
-                seen.add(node)
-                new.append(i)
-        batch = batch.take(pa.array(new, pa.int64()))
+        batch = batch.take(_unseen(batch.column("node"), seen))
         raw, offsets = hashing.text_bytes(batch.column("text"))
         for a, b in hashing.slices(offsets):
             part = offsets[a : b + 1]
@@ -108,10 +111,60 @@ def _overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return total.where("100 * shared >= 75 * (na + nb - shared)").select("a", "b")
 
 
-def _fits(na: Column, nb: Column, pa_: Column, pb: Column) -> Column:
+def _fits(x: str, y: str) -> Column:
     """Length and position bounds: before their first common n-gram both documents only miss."""
+    na, nb = F.col(f"{x}.n"), F.col(f"{y}.n")
     least = F.ceil((na + nb) * 3 / 7)
-    return (100 * F.least(na, nb) >= 75 * F.greatest(na, nb)) & (pa_ + pb <= na + nb - 2 * least)
+    return (100 * F.least(na, nb) >= 75 * F.greatest(na, nb)) & (F.col(f"{x}.at") + F.col(f"{y}.at") <= na + nb - 2 * least)
+
+
+def _close(x: str, y: str) -> Column:
+    """The bitmap bound: documents differ in at least as many n-grams as their parity bitmaps in bits."""
+    differing = sum((F.bit_count(F.col(f"{x}.signature")[i].bitwiseXOR(F.col(f"{y}.signature")[i])) for i in range(SIGNATURE_LONGS)), F.lit(0))
+    both = F.col(f"{x}.n") + F.col(f"{y}.n")
+    return both - differing >= 2 * F.ceil(both * 3 / 7)
+
+
+def _open(prefix: DataFrame, parts: DataFrame) -> DataFrame:
+    """The prefix rows, with their documents' components c, of n-grams whose documents lie in several."""
+    placed = prefix.join(parts.withColumnRenamed("node", "k"), "k", "left").withColumn("c", F.coalesce("component", "k")).drop("component")
+    mixed = placed.groupBy("hash").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("hash")
+    return placed.join(mixed, "hash")
+
+
+def _merge(parts: DataFrame, links: DataFrame) -> DataFrame:
+    """The components ``parts`` once those that ``links`` join are merged."""
+    ends = links.join(parts.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left").join(parts.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
+    roots = connected_components(ends.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))
+    moved = parts.join(roots.select(F.col("node").alias("component"), F.col("component").alias("root")), "component", "left").select("node", F.coalesce("root", "component").alias("component"))
+    return cut(moved.union(roots))
+
+
+def _families(prefix: DataFrame, sets: DataFrame) -> DataFrame:
+    """(node, component) of all links: rounds of hubs, then the pairs of components that are still apart."""
+    marks = sets.select("k", "signature")
+    parts = sets.sparkSession.createDataFrame([], "node long, component long")
+    turn = 0
+    while True:
+        rows = _open(prefix, parts)
+        # First the document with the fewest n-grams of its own, the same for all of a family's n-grams; then any.
+        order = F.struct(F.col("only") / F.col("n"), "k") if turn == 0 else F.struct(F.xxhash64("k", "hash", F.lit(turn)), "k")
+        hubs = rows.groupBy("hash").agg(F.min_by(F.struct("k", "n", "at", "c"), order).alias("h")).select("hash", "h.*")
+        x, y = rows.alias("x"), hubs.alias("y")
+        star = x.join(y, (F.col("x.hash") == F.col("y.hash")) & (F.col("x.c") != F.col("y.c")) & _fits("x", "y"))
+        pairs = star.select(F.col("y.k").alias("a"), F.col("x.k").alias("b"), F.col("y.n").alias("na"), F.col("x.n").alias("nb")).distinct()
+        x, y = marks.alias("p"), marks.alias("q")
+        near = pairs.join(x, F.col("a") == F.col("p.k")).join(y, F.col("b") == F.col("q.k")).select(F.struct("a", F.col("na").alias("n"), "p.signature").alias("x"), F.struct("b", F.col("nb").alias("n"), "q.signature").alias("y"))
+        links = cut(_overlaps(near.where(_close("x", "y")).select("x.a", "y.b"), sets))
+        if turn and links.isEmpty():
+            break
+        parts, turn = _merge(parts, links), turn + 1
+
+    rows = _open(prefix, parts).join(marks, "k").withColumn("excess", 7 * F.col("at") - F.col("n"))
+    x, y = rows.where("excess <= 0").alias("x"), rows.alias("y")
+    later = (F.col("y.excess") > F.col("x.excess")) | ((F.col("y.excess") == F.col("x.excess")) & (F.col("y.k") > F.col("x.k")))
+    apart = x.join(y, (F.col("x.hash") == F.col("y.hash")) & (F.col("x.c") != F.col("y.c")) & later & _fits("x", "y") & _close("x", "y"))
+    return _merge(parts, cut(_overlaps(apart.select(F.col("x.k").alias("a"), F.col("y.k").alias("b")).distinct(), sets)))
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -126,7 +179,7 @@ def _classes(rows: DataFrame) -> DataFrame:
     ``part`` a name of the component.
     """
     lone = (
-        rows.select("t", "text")
+        rows.select("node", "t", "text")
         .mapInArrow(_probe, "hash long, t long, n int")
         .groupBy("hash")
         .agg(F.min("t").alias("t"), F.max("t").alias("other"), F.max("n").alias("n"))
@@ -136,8 +189,9 @@ def _classes(rows: DataFrame) -> DataFrame:
         .where("4 * lone > n")
         .select("t", F.col("n").cast("long").alias("lone_n"))
     )
-    classes = rows.groupBy("node").agg(F.min("id").alias("rep"), F.first("t").alias("t"))
-    classes = cut(classes.join(lone, "t", "left").select("node", "rep", "lone_n"))
+    classes = rows.groupBy("node").agg(F.min("id").alias("rep"), F.first("t").alias("t")).withColumn("alone", F.count("*").over(Window.partitionBy("t")) == 1)
+    # Of texts that differ but share t none counts as settled: their n-grams were taken for those of one.
+    classes = cut(classes.join(lone, "t", "left").select("node", "rep", F.when(F.col("alone"), F.col("lone_n")).alias("lone_n")))
 
     # One row of each class goes on: the explicit repartition keeps equal rows in one task, for _sets to skip repeats.
     no_id = F.lit(-(1 << 63)).cast("long")
@@ -153,25 +207,9 @@ def _classes(rows: DataFrame) -> DataFrame:
     prefix = cut(
         shared.select("k", "n", (F.col("n") - F.size("grams")).alias("only"), "grams")
         .select("k", "n", "only", F.posexplode(F.expr("slice(grams, 1, int(n div 4 + 1 - only))")).alias("i", "g"))
-        .select(F.col("g.hash").alias("hash"), "k", "n", (F.col("only") + F.col("i")).alias("at"))
+        .select(F.col("g.hash").alias("hash"), "k", "n", "only", (F.col("only") + F.col("i")).alias("at"))
     )
-
-    hubs = prefix.groupBy("hash").agg(F.min(F.struct("k", "n", "at")).alias("hub"), F.count("*").alias("rows")).where("rows > 1").select("hash", "hub")
-    stars = prefix.join(hubs, "hash").where((F.col("k") != F.col("hub.k")) & _fits(F.col("n"), F.col("hub.n"), F.col("at"), F.col("hub.at")))
-    links = cut(_overlaps(stars.select(F.col("hub.k").alias("a"), F.col("k").alias("b")).distinct(), sets))
-    near = connected_components(links)
-
-    placed = prefix.join(near.withColumnRenamed("node", "k"), "k", "left").withColumn("c", F.coalesce("component", "k")).drop("component")
-    mixed = placed.groupBy("hash").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("hash")
-    open_ = placed.join(mixed, "hash").join(sets.select("k", "signature"), "k")
-    x, y = open_.alias("x"), open_.alias("y")
-    differing = sum((F.bit_count(F.col("x.signature")[i].bitwiseXOR(F.col("y.signature")[i])) for i in range(SIGNATURE_LONGS)), F.lit(0))
-    near_enough = F.col("x.n") + F.col("y.n") - differing >= 2 * F.ceil((F.col("x.n") + F.col("y.n")) * 3 / 7)
-    across = x.join(y, (F.col("x.hash") == F.col("y.hash")) & (F.col("x.k") < F.col("y.k")) & (F.col("x.c") != F.col("y.c")) & _fits(F.col("x.n"), F.col("y.n"), F.col("x.at"), F.col("y.at")) & near_enough)
-    more = _overlaps(across.select(F.col("x.k").alias("a"), F.col("y.k").alias("b")).distinct(), sets)
-    parts = connected_components(links.union(more))
-
-    release(rows.sparkSession)
+    parts = _families(prefix, sets)
 
     placed = sets.select("node", "k", "n").join(parts.withColumnRenamed("node", "k"), "k", "left").withColumn("c", F.coalesce("component", "k"))
     placed = placed.select("node", "n", "c").join(classes.select("node", "rep"), "node")
@@ -206,13 +244,14 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     rows = _texts(docs, id_col, text_col)
     classes = _classes(rows)
     chosen = classes.where("n > 0").groupBy("part").agg(F.min(F.struct(F.col("rep").isNull(), "rep", "node")).alias("m"))
-    kept = chosen.select(F.col("m.node").alias("_node"), F.col("m.rep").alias("_rep"), F.lit(True).alias("_one"))
-    kept = cut(kept.union(classes.where("n = 0").select("node", F.lit(None).cast("long"), F.lit(False))))
+    kept = cut(chosen.select("m.node", "m.rep", F.lit(True).alias("one")).union(classes.where("n = 0").select("node", F.lit(None).cast("long"), F.lit(False))))
+    own = unused(docs, "node", "key")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    marked = docs.withColumns({"_node": F.unhex(F.md5(text)), "_id": F.col(id_col).cast("long")})
-    blank = marked.join(kept.where("not _one").select("_node"), "_node", "left_semi").select(*docs.columns)
-    one = marked.join(kept.where("_one").withColumnRenamed("_rep", "_key"), (F.col("_id").eqNullSafe(F.col("_key"))) & (marked["_node"] == kept["_node"]), "left_semi").select(*docs.columns)
-    again = rows.groupBy("id", "node").count().where("count > 1").join(kept.where("_one"), (F.col("node") == F.col("_node")) & F.col("id").eqNullSafe(F.col("_rep")), "left_semi")
+    marked = docs.withColumns({own[0]: F.unhex(F.md5(text)), own[1]: F.col(id_col).cast("long")})
+    blank = marked.join(kept.where("not one").select(F.col("node").alias(own[0])), own[0], "left_semi").select(*docs.columns)
+    wanted = kept.where("one").select(F.col("node").alias("n"), F.col("rep").alias("r"))
+    one = marked.alias("m").join(wanted.alias("w"), (F.col(f"m.{own[0]}") == F.col("w.n")) & F.col(f"m.{own[1]}").eqNullSafe(F.col("w.r")), "left_semi").select(*docs.columns)
+    again = rows.groupBy("id", "node").count().where("count > 1").join(wanted, (F.col("node") == F.col("n")) & F.col("id").eqNullSafe(F.col("r")), "left_semi")
     if not again.isEmpty():
         one = one.dropDuplicates([id_col, text_col])
     return one.union(blank)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing
-from .shared import cut, fold, release
+from .shared import clean_up, cut, fold
 
 #: Bytes of text in a chunk, and about so many keys in a bucket.
 CHUNK_BYTES = 8 << 20
@@ -254,15 +254,14 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     replies = cut(asked.groupBy("bucket").applyInArrow(_reply(buckets[0]), REPLY))
     total = replies.where("chunk = -1").agg(F.sum("tokens"), F.sum("types"), F.sum("main_tokens")).first()
     n_tokens, n_types, n_main = (int(x or 0) for x in total)
-    release(docs.sparkSession)  # the shuffles of the request
     replies = replies.where("chunk >= 0").select("bucket", "chunk", "train", "main")
 
     held = rows.where(F.col("kind") == HELD).select("chunk", "text").groupBy("chunk")
     answers = replies.where(F.col("chunk") < chunks[HELD]).select("bucket", "chunk", "main").groupBy("chunk")
     binned = held.cogroup(answers).applyInArrow(_held_out(buckets[0], n_main, n_types, starts[MAIN]), "bucket long, r2 long, r1 long, n long, sum2 double, sum1 double")
-    binned = binned.groupBy("bucket", "r2", "r1").agg(F.sum("n").alias("n"), F.sum("sum2").alias("s2"), F.sum("sum1").alias("s1")).collect()
+    with clean_up(docs.sparkSession):
+        binned = binned.groupBy("bucket", "r2", "r1").agg(F.sum("n").alias("n"), F.sum("sum2").alias("s2"), F.sum("sum1").alias("s1")).collect()
     mixtures = learn_mixtures([(r.bucket, r.n, r.s2 / r.n, r.s1 / r.n) for r in sorted(binned)])
-    release(docs.sparkSession)
 
     texts = rows.select("id", "held_out", "text", "chunk").groupBy("chunk")
     answers = replies.select("bucket", "chunk", "train").groupBy("chunk")

@@ -203,7 +203,7 @@ class Model:
         new[offsets[offsets < len(raw)]] = True
         start = np.flatnonzero(new)
         end = np.append(start[1:], len(raw))
-        _, example, same = np.unique(hashing.span_hashes(raw, start, end), return_index=True, return_inverse=True)
+        example, same = hashing.distinct_spans(raw, start, end)
         ids, at = self.viterbi(raw, start[example], end[example])
         count = np.diff(at)[same]
         ends = np.concatenate([[0], np.cumsum(count)])

@@ -2,33 +2,59 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Spark drops the shuffle files of an execution at its end if this is set when its plan is made.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark's cleaner drop shuffle files that no table in use refers to any more.
 
-    They go with the driver's garbage collection, which is rare; until then all stay on disk.
-    """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's shared folder, ``spark.checkpoint.dir``; only a local session without one (tests) gets its own."""
+    context = spark.sparkContext
+    folder = context.getConf().get("spark.checkpoint.dir")
+    if folder is None:
+        if context.master.partition("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="tidemark-")
+    return folder
+
+
+@contextmanager
+def clean_up(spark: SparkSession) -> Iterator[None]:
+    """Plans made inside leave no shuffle files behind once they have run."""
+    before = spark.conf.get(CLEAN_UP, None)
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(CLEAN_UP) if before is None else spark.conf.set(CLEAN_UP, before)
 
 
 def cut(df: DataFrame) -> DataFrame:
     """``df`` computed once, its lineage cut by a checkpoint in the cluster's shared folder.
 
-    The folder is ``spark.checkpoint.dir``; only a session without one (tests) gets its own.
-    What earlier cuts have left unused is released first.
+    The shuffle files that led to it are dropped then: nothing reads them any more.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tidemark-"))
-    release(df.sparkSession)
-    return df.checkpoint()
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
+    with clean_up(spark):
+        return df.select("*").checkpoint()
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """``names``, each with underscores added until ``df`` has no such column."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

@@ -91,8 +91,7 @@ def count_tokens(docs: DataFrame, pieces: list[bytes], id_col: str = "doc_id", t
                 part = offsets[a : b + 1] - offsets[a]
                 low = hashing.LOWER[raw[offsets[a] : offsets[b]]]
                 start, end = split(low, part)
-                hashed = hashing.span_hashes(low, start, end)
-                _, example, same = np.unique(hashed, return_index=True, return_inverse=True)
+                example, same = hashing.distinct_spans(low, start, end)
                 pieces_of = piece_counts(automaton, low, start[example], end[example])[same]
                 by_row = np.searchsorted(start, part)
                 sums = np.concatenate([[0], np.cumsum(pieces_of)])
