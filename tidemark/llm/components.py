@@ -20,17 +20,20 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.union(least.select("u", F.col("m").alias("v"))).distinct()
 
 
+def _settled(edges: DataFrame) -> bool:
+    """Whether every node with a smaller neighbour has just one, which itself has none."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(edges.select("v", F.lit(0), F.lit(1)))
+    return ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up + down > 1").isEmpty()
+
+
 def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) for every node of a link that isn't its component's smallest node.
 
     ``links`` holds pairs of comparable nodes in either order; self-links, nulls and repeats
-    are ignored, and an empty table gives an empty result.  Both steps only take minima of
-    neighbours, so a hub with any number of links is pre-aggregated before it is shuffled.
+    are ignored, and an empty table gives an empty result.  Both steps take minima of neighbours,
+    pre-aggregated before they are shuffled; what joins them is split by Spark where a hub is large.
     """
-    edges = links.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
-    edges, before = cut(edges), None
-    while True:
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now[0] == 0 or now == before:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
-        edges, before = cut(_small_star(_large_star(edges))), now
+    edges = cut(links.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
+    while not _settled(edges):
+        edges = cut(_small_star(_large_star(edges)))
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))

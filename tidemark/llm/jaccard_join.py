@@ -11,7 +11,7 @@ overlaps are counted in each fragment separately and summed per pair.
    documents share one of the first n / 4 + 1.  Families of near copies are merged
    in rounds that are linear in these prefixes: each n-gram whose documents lie in
    several components holds them against one of its documents (the hub, another
-   one each round), until a round adds no link.
+   one each round), until no more links than prefix rows are to be expected.
 3. Only pairs from components that still are different then remain, and are all
    tried.  Length, position and bitmap (parity of hashed n-grams) bounds, each
    lossless, leave few of them; of two documents one has its first common n-gram
@@ -125,13 +125,25 @@ def _close(x: str, y: str) -> Column:
     return both - differing >= 2 * F.ceil(both * 3 / 7)
 
 
-def _open(prefix: DataFrame, parts: DataFrame) -> DataFrame:
-    """The prefix rows, with their documents' components c, of n-grams whose documents lie in several."""
-    placed = prefix.join(parts.withColumnRenamed("node", "k"), "k", "left").withColumn("c", F.coalesce("component", "k")).drop("component")
+def _placed(prefix: DataFrame, parts: DataFrame) -> DataFrame:
+    """The prefix rows with their documents' components c."""
+    return prefix.join(parts.withColumnRenamed("node", "k"), "k", "left").withColumn("c", F.coalesce("component", "k")).drop("component")
+
+
+def _open(placed: DataFrame) -> DataFrame:
+    """The rows of n-grams whose documents lie in several components."""
     mixed = placed.groupBy("hash").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("hash")
     return placed.join(mixed, "hash")
 
 
+def _across(placed: DataFrame) -> tuple[float, float]:
+    """How many pairs of rows of one n-gram lie in different components, and how many rows there are."""
+    by_part = placed.groupBy("hash", "c").agg(F.count("*").cast("double").alias("n"))
+    by_hash = by_part.groupBy("hash").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("inside"))
+    pairs, rows = by_hash.agg(F.sum((F.col("n") * F.col("n") - F.col("inside")) / 2), F.sum("n")).first()
+    return pairs or 0.0, rows or 0.0
+
+
 def _merge(parts: DataFrame, links: DataFrame) -> DataFrame:
     """The components ``parts`` once those that ``links`` join are merged."""
     ends = links.join(parts.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left").join(parts.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
@@ -144,9 +156,9 @@ def _families(prefix: DataFrame, sets: DataFrame) -> DataFrame:
     """(node, component) of all links: rounds of hubs, then the pairs of components that are still apart."""
     marks = sets.select("k", "signature")
     parts = sets.sparkSession.createDataFrame([], "node long, component long")
-    turn = 0
-    while True:
-        rows = _open(prefix, parts)
+    turn, more = 0, True
+    while more:
+        rows = _open(_placed(prefix, parts))
         # First the document with the fewest n-grams of its own, the same for all of a family's n-grams; then any.
         order = F.struct(F.col("only") / F.col("n"), "k") if turn == 0 else F.struct(F.xxhash64("k", "hash", F.lit(turn)), "k")
         hubs = rows.groupBy("hash").agg(F.min_by(F.struct("k", "n", "at", "c"), order).alias("h")).select("hash", "h.*")
@@ -156,11 +168,14 @@ def _families(prefix: DataFrame, sets: DataFrame) -> DataFrame:
         x, y = marks.alias("p"), marks.alias("q")
         near = pairs.join(x, F.col("a") == F.col("p.k")).join(y, F.col("b") == F.col("q.k")).select(F.struct("a", F.col("na").alias("n"), "p.signature").alias("x"), F.struct("b", F.col("nb").alias("n"), "q.signature").alias("y"))
         links = cut(_overlaps(near.where(_close("x", "y")).select("x.a", "y.b"), sets))
-        if turn and links.isEmpty():
-            break
-        parts, turn = _merge(parts, links), turn + 1
-
-    rows = _open(prefix, parts).join(marks, "k").withColumn("excess", 7 * F.col("at") - F.col("n"))
+        added, turn = links.count(), turn + 1
+        if added:
+            parts = _merge(parts, links)
+            # A round tries a pair a row; if ``added`` of them link, so does the same share of all pairs at most.
+            pairs_left, size = _across(_placed(prefix, parts))
+        more = added > 0 and added * pairs_left > size * size
+
+    rows = _open(_placed(prefix, parts)).join(marks, "k").withColumn("excess", 7 * F.col("at") - F.col("n"))
     x, y = rows.where("excess <= 0").alias("x"), rows.alias("y")
     later = (F.col("y.excess") > F.col("x.excess")) | ((F.col("y.excess") == F.col("x.excess")) & (F.col("y.k") > F.col("x.k")))
     apart = x.join(y, (F.col("x.hash") == F.col("y.hash")) & (F.col("x.c") != F.col("y.c")) & later & _fits("x", "y") & _close("x", "y"))
