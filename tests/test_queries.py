@@ -52,7 +52,7 @@ def test_every_oracle_has_a_query():
     assert set(ORACLE_SQL) <= set(QUERIES)
 
 
-@pytest.mark.parametrize("name", ["weekday_lag", "session_lag", "five_day_change", "dashboard_z", "rate_of_change", "monthly_yoy"])
+@pytest.mark.parametrize("name", ["weekday_lag", "session_lag", "five_day_change", "rolling_z_or_zero", "rate_of_change", "monthly_yoy"])
 def test_every_series_has_rows(spark, data, name):
     facts = inputs.metric_facts(spark, data).select("scope", "metric").distinct()
     found = QUERIES[f"{name}_all"](spark, data).select("scope", "metric").distinct()

@@ -67,7 +67,7 @@ def compare(op: Column, value: Column, bound: Column) -> Column:
     return F.coalesce(hit, F.lit(False))
 
 
-def dashboard_z(value: Column, w: WindowSpec, size: int = BASELINE) -> Column:
+def rolling_z_or_zero(value: Column, w: WindowSpec, size: int = BASELINE) -> Column:
     """Rolling z that answers 0 instead of null: too few rows (max(30, half of those there are)), or no spread."""
     frame = w.rowsBetween(1 - size, 0)
     n = F.count(value).over(frame)

@@ -15,15 +15,18 @@ def _days() -> WindowSpec:
 def point_of_control(bars: DataFrame) -> DataFrame:
     """(symbol, poc, bin_volume): midpoint of the close-price bin with most volume.
 
-    50 equal bins between lowest and highest close, on whole price units so that edges are
-    exact; of equal volumes the bin that was met first wins.
+    50 equal bins between lowest and highest close; a close belongs to the last bin whose lower
+    edge, lo + i * step, it reaches.  Of equal volumes the bin that was met first wins.
     """
-    span = bars.groupBy("symbol").agg(F.min("close").alias("lo"), F.max("close").alias("hi"))
-    placed = bars.join(span, "symbol").withColumn("bin", F.when(F.col("hi") > F.col("lo"), F.least(F.lit(BINS - 1), F.expr(f"(close - lo) * {BINS} div (hi - lo)"))).otherwise(0))
-    bins = placed.groupBy("symbol", "bin", "lo", "hi").agg(F.sum("volume").alias("bin_volume"), F.min("d").alias("met"))
-    best = bins.groupBy("symbol", "lo", "hi").agg(F.max_by(F.struct("bin", "bin_volume"), F.struct("bin_volume", -F.datediff("met", F.lit("1970-01-01")), -F.col("bin"))).alias("b"))
-    middle = F.col("lo") + (F.col("b.bin") + 0.5) * (F.col("hi") - F.col("lo")) / BINS
-    return best.select("symbol", F.when(F.col("hi") > F.col("lo"), middle).otherwise(F.col("lo").cast("double")).alias("poc"), "b.bin_volume")
+    span = bars.groupBy("symbol").agg(F.min("close").cast("double").alias("lo"), F.max("close").cast("double").alias("hi"))
+    rows = bars.join(span, "symbol").withColumn("step", (F.col("hi") - F.col("lo")) / BINS)
+    near = F.floor((F.col("close") - F.col("lo")) / F.col("step"))
+    # The quotient may be one off the edges as they are computed.
+    near = F.when(F.col("lo") + (near + 1) * F.col("step") <= F.col("close"), near + 1).when(F.col("lo") + near * F.col("step") > F.col("close"), near - 1).otherwise(near)
+    placed = rows.withColumn("bin", F.when(F.col("hi") > F.col("lo"), F.least(F.lit(BINS - 1), near)).otherwise(0).cast("int"))
+    bins = placed.groupBy("symbol", "bin", "lo", "step").agg(F.sum("volume").alias("bin_volume"), F.min("d").alias("met"))
+    best = bins.groupBy("symbol", "lo", "step").agg(F.max_by(F.struct("bin", "bin_volume"), F.struct("bin_volume", -F.datediff("met", F.lit("1970-01-01")), -F.col("bin"))).alias("b"))
+    return best.select("symbol", (F.col("lo") + (F.col("b.bin") + 0.5) * F.col("step")).alias("poc"), "b.bin_volume")
 
 
 def obv(bars: DataFrame, span: int = 5) -> DataFrame:
@@ -69,9 +72,10 @@ def value_rank(df: DataFrame, key: str, value: str, order: str = "d") -> DataFra
 
 
 def leverage_drag(base: DataFrame, geared: DataFrame, factor: float = 3.0) -> DataFrame:
-    """(window, base_return, geared_return, drag): compounded returns over the last 21, 63 and all rows, in percent.
+    """(window, base_return, geared_return, theory_return, drag): compounded over the last 21, 63 and all rows, in percent.
 
-    Drag is the geared return less ``factor`` times the base return, by common dates.
+    ``theory_return`` compounds ``factor`` times each day's base return, drag is what the geared
+    return lacks of it; by common dates.  A window with fewer rows is left out.
     """
     return _drag(base.select("d", F.col("close").alias("b")).join(geared.select("d", F.col("close").alias("g")), "d"), [], factor)
 
@@ -86,12 +90,12 @@ def leverage_drags(bars: DataFrame, pairs: DataFrame, factor: float = 3.0) -> Da
 def _drag(both: DataFrame, keys: list[str], factor: float) -> DataFrame:
     w = Window.partitionBy(*keys).orderBy("d")  # one pair of series
     returns = both.select(*keys, "d", (F.col("b") / F.lag("b").over(w) - 1).alias("rb"), (F.col("g") / F.lag("g").over(w) - 1).alias("rg")).where("rb is not null")
-    ranked = returns.withColumn("back", F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("d").desc())))
-    windows = F.explode(F.array(*(F.struct(F.lit(n).alias("name"), F.lit(k).alias("k")) for n, k in (("21", 21), ("63", 63), ("all", 1 << 30)))))
-    inside = ranked.withColumn("w", windows).where(F.col("back") <= F.col("w.k"))
-    # Compounding as a sum of logarithms keeps map-side aggregation.
-    grown = inside.groupBy(*keys, F.col("w.name").alias("window")).agg(((F.exp(F.sum(F.log1p("rb"))) - 1) * 100).alias("base_return"), ((F.exp(F.sum(F.log1p("rg"))) - 1) * 100).alias("geared_return"))
-    return grown.withColumn("drag", F.col("geared_return") - factor * F.col("base_return"))
+    ranked = returns.withColumns({"back": F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("d").desc())), "rows": F.count("*").over(Window.partitionBy(*keys))})
+    windows = F.explode(F.array(*(F.struct(F.lit(n).alias("name"), F.lit(k).alias("k"), F.lit(least).alias("least")) for n, k, least in (("21", 21, 21), ("63", 63, 63), ("all", 1 << 30, 1)))))
+    inside = ranked.withColumn("w", windows).where((F.col("back") <= F.col("w.k")) & (F.col("rows") >= F.col("w.least")))
+    parts = {"base_return": F.col("rb"), "geared_return": F.col("rg"), "theory_return": F.col("rb") * factor}
+    grown = inside.groupBy(*keys, F.col("w.name").alias("window")).agg(*(((F.product(1 + r) - 1) * 100).alias(name) for name, r in parts.items()))
+    return grown.withColumn("drag", F.col("geared_return") - F.col("theory_return"))
 
 
 def returns(bars: DataFrame, steps: tuple[int, ...] = (1, 5, 21, 63)) -> DataFrame:

@@ -20,6 +20,12 @@ daily AS (
 RULES = ", ".join(f"('{m}', {i}, '{op}', {bound}, {sev})" for m, _, _, rules, _, _ in specs.REGISTRY for i, (op, bound, sev) in enumerate(rules))
 BOUNDS = ", ".join(f"('{m}', {direction}, {z2}, {z3})" for m, direction, _, _, z2, z3 in specs.REGISTRY)
 
+GIVEN = ("('vix_contango_pct', 'MACRO', 'vix_contango_pct'), ('move', 'MACRO', 'move'), ('pct_200ma', 'MACRO', 'pct_200ma'), ('credit_z', 'MACRO', 'credit_z'), ('trin', 'MACRO', 'trin'), ('hyg_tlt_ratio_roc', '5-LOW', 'vix'), "
+         "('vrp_num', '2-HIGH', 'vix'), ('pct_20ma', '2-HIGH', 'trin'), ('breadth_diff_pct', '3-MEDIUM', 'trin'), ('ivr_low', '4-NOT SPECIFIED', 'trin')")
+CONDITIONS = ("('high_risk_selloff', 3, 3, 'vix_contango_pct', '<', 3), ('high_risk_selloff', 3, 3, 'move', '>', 110), ('high_risk_selloff', 3, 3, 'hyg_tlt_ratio_roc', '<', -2), ('high_risk_selloff', 3, 3, 'pct_200ma', '<', 45), ('high_risk_selloff', 3, 3, 'credit_z', '>', 1), "
+              "('fake_selloff_reversal', 3, 2, 'trin', '>', 2), ('fake_selloff_reversal', 3, 2, 'vrp_num', '>', 10), ('fake_selloff_reversal', 3, 2, 'pct_20ma', '<', 15), "
+              "('crowding_fragility', 3, 2, 'breadth_diff_pct', '>', 1.5), ('crowding_fragility', 3, 2, 'pct_20ma', '<', 40), ('crowding_fragility', 3, 2, 'ivr_low', '<', 15), ('crowding_fragility', 3, 2, 'pct_200ma', '<', 55)")
+
 STATS = FACTS + f""", rules(metric, i, op, bound, sev) AS (VALUES {RULES}), registry(metric, bad, z2, z3) AS (VALUES {BOUNDS}),
 windowed AS (
   SELECT *, row_number() OVER w AS n, avg(value) OVER f AS mean, stddev_samp(value) OVER f AS dev, list(value) OVER f AS seen,
@@ -43,12 +49,12 @@ windowed AS (
   UNION ALL SELECT d, scope, metric, value, '252D', 'single', z_sev::INTEGER, round(least(1.0, n / 252.0), 3), CASE WHEN z > 0 THEN 'up' ELSE 'down' END, '' FROM graded WHERE z_sev > 0
   UNION ALL SELECT d, scope, metric, value, '1D+5D+21D', 'multiwindow', 3, round(least(1.0, n / 252.0), 3), CASE WHEN bad > 0 THEN 'up' ELSE 'down' END, ''
     FROM graded WHERE bad <> 0 AND c1 * bad > 0 AND c5 * bad > 0 AND ((bad > 0 AND pct >= 90) OR (bad < 0 AND pct <= 10))
+), given(input, scope, metric) AS (VALUES {GIVEN}), themes(theme, need, base, input, op, bound) AS (VALUES {CONDITIONS}), inputs AS (
+  SELECT d, input, CASE WHEN input = 'hyg_tlt_ratio_roc' THEN value / nullif(lag(value, 20) OVER (PARTITION BY scope, metric ORDER BY d), 0) * 100 - 100 ELSE value END AS value FROM facts JOIN given USING (scope, metric)
 ), themed AS (
-  SELECT d, 'high_risk_selloff' AS theme, 3 AS base, (max(value) FILTER (metric = 'vix_contango_pct') < 3)::INT + (max(value) FILTER (metric = 'move') > 110)::INT
-    + (max(value) FILTER (metric = 'pct_200ma') < 45)::INT + (max(value) FILTER (metric = 'credit_z') > 1)::INT AS hits
-  FROM facts WHERE scope = 'MACRO' GROUP BY d
+  SELECT d, theme, need, base, count(*) AS hits FROM inputs JOIN themes USING (input) WHERE (op = '<' AND value < bound) OR (op = '>' AND value > bound) GROUP BY ALL
 ), resonated AS (
-  SELECT d, theme AS resonance_key, least(3, base + hits - 3)::INTEGER AS severity, round(least(1.0, 0.5 + 0.12 * hits), 3)::DOUBLE AS confidence FROM themed WHERE hits >= 3
+  SELECT d, theme AS resonance_key, least(3, base + hits - need)::INTEGER AS severity, round(least(1.0, 0.5 + 0.12 * hits), 3)::DOUBLE AS confidence FROM themed WHERE hits >= need
 ), everything AS (
   SELECT d, scope, metric, window_scope, layer, severity, confidence FROM events
   UNION ALL SELECT d, 'MACRO', 'RESONANCE', 'multi', 'resonance', severity, confidence FROM resonated
@@ -59,11 +65,11 @@ windowed AS (
   WHERE layer <> 'single' OR (severity >= 3 AND confidence >= 0.5) OR (severity >= 2 AND confidence >= 0.5 AND crowd >= 2) GROUP BY ALL
 )"""
 
-SPINE = """spine AS (SELECT unnest(range(DATE '1995-01-02', DATE '2001-08-02', INTERVAL 1 DAY))::DATE AS d), weekdays AS (SELECT d FROM spine WHERE isodow(d) < 6)"""
+SPINE = """ends AS (SELECT min(o_orderdate)::DATE AS first, max(o_orderdate)::DATE AS last FROM orders), spine AS (SELECT unnest(range(first, last + 1, INTERVAL 1 DAY))::DATE AS d FROM ends), weekdays AS (SELECT d FROM spine WHERE isodow(d) < 6)"""
 ALIGNED = FACTS + f""", {SPINE}, names AS (SELECT DISTINCT scope, metric FROM facts), aligned AS (
   SELECT n.scope, n.metric, w.d, f.value, f.d AS source_date FROM (SELECT * FROM names, weekdays) AS n(scope, metric, d) JOIN weekdays w ON w.d = n.d
   ASOF LEFT JOIN facts f ON f.scope = n.scope AND f.metric = n.metric AND f.d <= n.d
-), counted AS (SELECT d, sum((isodow(d) < 6)::INT) OVER (ORDER BY d) AS upto FROM (SELECT unnest(range(DATE '1994-12-01', DATE '2001-08-10', INTERVAL 1 DAY))::DATE AS d))"""
+), counted AS (SELECT d, sum((isodow(d) < 6)::INT) OVER (ORDER BY d) AS upto FROM (SELECT unnest(range(first - 40, last + 10, INTERVAL 1 DAY))::DATE AS d FROM ends))"""
 
 DAILY = "o AS (SELECT o_orderdate::DATE AS d, count(*) AS n, max(o_totalprice) AS price FROM orders GROUP BY 1), s AS (SELECT l_shipdate::DATE AS d, count(*) AS n, max(l_extendedprice) AS ship_price FROM lineitem GROUP BY 1)"
 
@@ -144,6 +150,14 @@ def _cdf(x: str) -> str:
 MACRO = FACTS + ", wide AS (SELECT d, " + ", ".join(f"max(value) FILTER (metric = '{m}') AS {m}" for m in ("vix", "move", "vix_contango_pct", "pct_200ma", "credit_z", "trin")) + " FROM facts WHERE scope = 'MACRO' GROUP BY d)"
 D1 = "(ln(spot / strike) + (0.053::DOUBLE + iv * iv / 2) * years) / (iv * sqrt(years))"
 
+
+
+def _poc(bars: str) -> str:
+    return f"""WITH {BARS}, given AS (SELECT * FROM {bars}), sp AS (SELECT symbol, min(close)::DOUBLE AS lo, max(close)::DOUBLE AS hi FROM given GROUP BY 1), e AS (SELECT symbol, lo, hi, (hi - lo) / 50 AS step, close, volume, d FROM given JOIN sp USING (symbol)),
+    b AS (SELECT symbol, lo, step, CASE WHEN hi > lo THEN least(49, len([x FOR x IN range(51) IF lo + x * step <= close]) - 1) ELSE 0 END AS bin, sum(volume) AS v, min(d) AS met FROM e GROUP BY ALL),
+    r AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY v DESC, met, bin) AS k FROM b) SELECT symbol, round(lo + (bin + 0.5::DOUBLE) * step, 4) AS poc, v::BIGINT AS bin_volume FROM r WHERE k = 1"""
+
+
 ORACLE_SQL: dict[str, str] = {
     "zscore_252": f"WITH {STATS} SELECT scope, metric, d, round(z, 4) AS z FROM stats",
     "percentile_252": f"WITH {STATS} SELECT scope, metric, d, round(pct, 4) AS pct FROM stats",
@@ -162,12 +176,6 @@ ORACLE_SQL: dict[str, str] = {
     "alert_cluster_names": f"WITH {STATS} SELECT d, count(*) AS n, string_agg(DISTINCT metric, ',' ORDER BY metric) AS metrics FROM events WHERE layer = 'single' AND severity >= 2 AND confidence >= 0.5 GROUP BY d HAVING count(*) >= 2",
     "asof_align": f"WITH {ALIGNED} SELECT * FROM aligned",
     "effective_obs": f"WITH {ALIGNED} SELECT scope, metric, d, count(DISTINCT source_date) OVER (PARTITION BY scope, metric ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS effective_obs FROM aligned",
-    "weekday_lag": f"WITH {ALIGNED} SELECT scope, x.d, (b.upto - a.upto)::INTEGER AS lag_days FROM aligned x LEFT JOIN counted a ON a.d = x.source_date - 1 LEFT JOIN counted b ON b.d = x.d - 1 WHERE metric = 'vix'",
-    "session_lag": f"""WITH {ALIGNED}, sessions AS (SELECT d, sum((isodow(d) < 6 AND d NOT IN (DATE '1995-07-04', DATE '1996-07-04', DATE '1997-07-04') AND d >= DATE '1995-01-02')::INT) OVER (ORDER BY d) AS upto FROM counted)
-    SELECT scope, x.d, greatest(0, b.upto - a.upto - 1)::INTEGER AS lag_days FROM aligned x JOIN sessions a ON a.d = x.source_date - 1 JOIN sessions b ON b.d = x.d WHERE metric = 'vix'""",
-    "five_day_change": f"""WITH {FACTS}, {SPINE}, cal AS (SELECT d, row_number() OVER (ORDER BY d) AS seq FROM weekdays), v AS (SELECT scope, d, value FROM facts WHERE metric = 'vix' AND isodow(d) < 6),
-    m AS (SELECT v.scope, v.d, v.value, b.d AS past FROM v JOIN cal c ON c.d = v.d LEFT JOIN cal b ON b.seq = c.seq - 5)
-    SELECT m.scope, m.d, round(m.value - p.value, 4) AS change FROM m ASOF LEFT JOIN v p ON p.scope = m.scope AND p.d <= m.past""",
     "unified_outer_join": f"WITH {DAILY} SELECT d, o.n AS n, price, s.n AS n_post, ship_price FROM o FULL JOIN s USING (d)",
     "priority_merge": f"WITH {DAILY} SELECT d, coalesce(s.n, o.n) AS n, CASE WHEN s.n IS NOT NULL THEN 'first' ELSE 'second' END AS n_from FROM s FULL JOIN o USING (d)",
     "finalized_anti": f"WITH {DAILY} SELECT * FROM o WHERE d NOT IN (SELECT d FROM s WHERE n > 20)",
@@ -177,9 +185,9 @@ ORACLE_SQL: dict[str, str] = {
       round(coalesce(sum(coverage) FILTER ("index" IN ('idx_risk_pressure', 'idx_liquidity_stress', 'idx_breadth_decay')), 0) / 3, 4)::DOUBLE AS core_coverage, round(sum(coverage) / 5, 4)::DOUBLE AS overall_coverage FROM scores GROUP BY d""",
     "environment_state": f"""WITH {ENVIRONMENT}, w AS (
       SELECT d, max(score) FILTER ("index" = 'idx_risk_pressure') AS rp, max(score) FILTER ("index" = 'idx_liquidity_stress') AS ls, max(score) FILTER ("index" = 'idx_breadth_decay') AS bd, max(score) FILTER ("index" = 'idx_options_fragility') AS opf,
-        coalesce(max(coverage) FILTER ("index" = 'idx_risk_pressure'), 0) AS rc, coalesce(max(coverage) FILTER ("index" = 'idx_liquidity_stress'), 0) AS lc, coalesce(max(coverage) FILTER ("index" = 'idx_breadth_decay'), 0) AS bc, coalesce(max(coverage) FILTER ("index" = 'idx_options_fragility'), 0) AS oc FROM scores GROUP BY d)
-    SELECT d, CASE WHEN (rc + lc + bc) / 3 < 0.65 OR least(rc, lc, bc) < 0.5 THEN 'insufficient data' WHEN rp >= 90 AND bd >= 80 THEN 'panic watch' WHEN rp >= 75 OR ls >= 75 THEN 'fragile watch'
-      WHEN rp <= 25 AND oc >= 0.5 AND opf >= 80 THEN 'low-vol crowding watch' ELSE 'normal watch' END AS state FROM w""",
+        coalesce(max(coverage) FILTER ("index" = 'idx_risk_pressure'), 0) AS rc, coalesce(max(coverage) FILTER ("index" = 'idx_liquidity_stress'), 0) AS lc, coalesce(max(coverage) FILTER ("index" = 'idx_breadth_decay'), 0) AS bc, coalesce(max(coverage) FILTER ("index" = 'idx_options_fragility'), 0) AS oc FROM scores GROUP BY d), fired AS (SELECT d, count(DISTINCT resonance_key) AS themes, bool_or(resonance_key = 'fake_selloff_reversal') AS fake FROM resonated GROUP BY d)
+    SELECT d, CASE WHEN (rc + lc + bc) / 3 < 0.65 OR least(rc, lc, bc) < 0.5 THEN 'insufficient data' WHEN fake AND rp >= 85 THEN 'reversal watch' WHEN rp >= 90 AND bd >= 80 THEN 'panic watch' WHEN rp >= 75 OR ls >= 75 THEN 'fragile watch' WHEN themes >= 2 THEN 'resonance watch'
+      WHEN rp <= 25 AND oc >= 0.5 AND opf >= 80 THEN 'low-vol crowding watch' ELSE 'normal watch' END AS state FROM w LEFT JOIN fired USING (d)""",
     "liquidity_components": f"WITH {LIQUIDITY} SELECT d, component, score, quality, observations, lag_days FROM scored",
     "liquidity_pillars": f"WITH {LIQUIDITY} SELECT * FROM pillars",
     "liquidity_state": f"""WITH {LIQUIDITY}, weights(pillar, pw) AS (VALUES {", ".join(str(p) for p in specs.PILLARS)}), guards AS (
@@ -196,8 +204,8 @@ ORACLE_SQL: dict[str, str] = {
     "supports_drags": f"""WITH {LIQUIDITY}, e AS (SELECT * FROM scored WHERE quality >= 0.35 AND score IS NOT NULL),
     r AS (SELECT *, row_number() OVER (PARTITION BY d ORDER BY score DESC, component) AS up, row_number() OVER (PARTITION BY d ORDER BY score, component) AS down FROM e)
     SELECT d, 'support' AS side, up::INTEGER AS place, component, score FROM r WHERE up <= 3 AND score >= 60 UNION ALL SELECT d, 'drag', down::INTEGER, component, score FROM r WHERE down <= 3 AND score <= 40""",
-    "poc_profile": f"""WITH {BARS}, sp AS (SELECT symbol, min(close) AS lo, max(close) AS hi FROM bars GROUP BY 1), b AS (SELECT symbol, lo, hi, least(49, (close - lo) * 50 // (hi - lo)) AS bin, sum(volume) AS v, min(d) AS met FROM bars JOIN sp USING (symbol) GROUP BY ALL),
-    r AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY v DESC, met, bin) AS k FROM b) SELECT symbol, round(lo + (bin + 0.5::DOUBLE) * (hi - lo) / 50, 4) AS poc, v::BIGINT AS bin_volume FROM r WHERE k = 1""",
+    "poc_profile": _poc("bars"),
+    "poc_profile_prices": _poc("(SELECT symbol, d, close / 100::DOUBLE AS close, volume FROM bars)"),
     "obv_divergence": f"""WITH {BARS}, st AS (SELECT symbol, d, close, coalesce(sign(close - lag(close) OVER w)::BIGINT * volume, 0) AS step FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY d)),
     ob AS (SELECT *, (sum(step) OVER (PARTITION BY symbol ORDER BY d))::BIGINT AS obv, row_number() OVER (PARTITION BY symbol ORDER BY d) AS n FROM st),
     f AS (SELECT *, close - first_value(close) OVER w AS p, obv - first_value(obv) OVER w AS q FROM ob WINDOW w AS (PARTITION BY symbol ORDER BY d ROWS BETWEEN 4 PRECEDING AND CURRENT ROW))
@@ -209,14 +217,10 @@ ORACLE_SQL: dict[str, str] = {
     h AS (SELECT d, CASE WHEN count(r) OVER w >= 20 THEN stddev_samp(r) OVER w * sqrt(252) * 100 END AS hv FROM m WINDOW w AS (ORDER BY d ROWS BETWEEN 19 PRECEDING AND CURRENT ROW))
     SELECT d, round(value, 4) AS vix, round(hv, 4) AS hv, round(value - hv, 4) AS vrp FROM facts JOIN h USING (d) WHERE scope = 'MACRO' AND metric = 'vix'""",
     "ivr": f"WITH {BARS} SELECT symbol, round(CASE WHEN max(close) > min(close) THEN (arg_max(close, d) - min(close))::DOUBLE / (max(close) - min(close)) * 100 ELSE 0 END, 4) AS rank FROM bars GROUP BY 1",
-    "leverage_drag": f"""WITH {BARS}, two AS (SELECT symbol, row_number() OVER (ORDER BY symbol) AS k FROM (SELECT DISTINCT symbol FROM bars)), j AS (SELECT a.d, a.close AS b, c.close AS g FROM bars a JOIN bars c ON a.d = c.d WHERE a.symbol = (SELECT symbol FROM two WHERE k = 1) AND c.symbol = (SELECT symbol FROM two WHERE k = 2)),
-    r AS (SELECT d, b::DOUBLE / lag(b) OVER w AS rb, g::DOUBLE / lag(g) OVER w AS rg FROM j WINDOW w AS (ORDER BY d)), k AS (SELECT *, row_number() OVER (ORDER BY d DESC) AS n FROM r WHERE rb IS NOT NULL),
-    e AS (SELECT x."window", (product(rb) - 1) * 100 AS br, (product(rg) - 1) * 100 AS gr FROM k, (VALUES ('21', 21), ('63', 63)) x("window", len) WHERE n <= len GROUP BY 1)
-    SELECT "window", round(br, 2) AS base_return, round(gr, 2) AS geared_return, round(gr - 3 * br, 2) AS drag FROM e""",
-    "leverage_drag_pairs": f"""WITH {BARS}, j AS (SELECT a.symbol AS base, c.symbol AS geared, a.d, a.close AS b, c.close AS g FROM bars a JOIN bars c ON a.d = c.d WHERE a.symbol = 'Brand#11' AND c.symbol <> a.symbol),
-    r AS (SELECT base, geared, d, b::DOUBLE / lag(b) OVER w AS rb, g::DOUBLE / lag(g) OVER w AS rg FROM j WINDOW w AS (PARTITION BY base, geared ORDER BY d)), k AS (SELECT *, row_number() OVER (PARTITION BY base, geared ORDER BY d DESC) AS n FROM r WHERE rb IS NOT NULL),
-    e AS (SELECT base, geared, x."window", (product(rb) - 1) * 100 AS br, (product(rg) - 1) * 100 AS gr FROM k, (VALUES ('21', 21), ('63', 63), ('all', 1 << 30)) x("window", len) WHERE n <= len GROUP BY ALL)
-    SELECT base, geared, "window", round(br, 2) AS base_return, round(gr, 2) AS geared_return, round(gr - 3 * br, 2) AS drag FROM e""",
+    "leverage_drag": f"""WITH {BARS}, j AS (SELECT a.symbol AS base, c.symbol AS geared, a.d, a.close + 100000000 AS b, c.close + 100000000 AS g FROM bars a JOIN bars c ON a.d = c.d WHERE a.symbol = 'Brand#11' AND c.symbol <> a.symbol),
+    r AS (SELECT base, geared, d, b::DOUBLE / lag(b) OVER w AS rb, g::DOUBLE / lag(g) OVER w AS rg FROM j WINDOW w AS (PARTITION BY base, geared ORDER BY d)), k AS (SELECT *, row_number() OVER (PARTITION BY base, geared ORDER BY d DESC) AS n, count(*) OVER (PARTITION BY base, geared) AS total FROM r WHERE rb IS NOT NULL),
+    e AS (SELECT base, geared, x."window", (product(rb) - 1) * 100 AS br, (product(rg) - 1) * 100 AS gr, (product(1 + 3 * (rb - 1)) - 1) * 100 AS tr FROM k, (VALUES ('21', 21, 21), ('63', 63, 63), ('all', 1 << 30, 1)) x("window", len, least) WHERE n <= len AND total >= least GROUP BY ALL)
+    SELECT base, geared, "window", round(br, 2) AS base_return, round(gr, 2) AS geared_return, round(tr, 2) AS theory_return, round(gr - tr, 2) AS drag FROM e""",
     "relative_strength": f"""WITH {BARS}, r AS (SELECT symbol, d, (close::DOUBLE / lag(close, 5) OVER w - 1) * 100 AS r5, (close::DOUBLE / lag(close, 21) OVER w - 1) * 100 AS r21, (close::DOUBLE / lag(close, 63) OVER w - 1) * 100 AS r63 FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY d))
     SELECT a.symbol, a.d, round(a.r5 - b.r5, 4) AS rs_5, round(a.r21 - b.r21, 4) AS rs_21, round(a.r63 - b.r63, 4) AS rs_63 FROM r a JOIN r b ON a.d = b.d AND b.symbol = 'Brand#11' WHERE a.symbol <> 'Brand#11'""",
     "returns_heatmap": f"WITH {BARS} SELECT symbol, d, round((close::DOUBLE / lag(close, 1) OVER w - 1) * 100, 4) AS r_1, round((close::DOUBLE / lag(close, 5) OVER w - 1) * 100, 4) AS r_5, round((close::DOUBLE / lag(close, 21) OVER w - 1) * 100, 4) AS r_21, round((close::DOUBLE / lag(close, 63) OVER w - 1) * 100, 4) AS r_63 FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY d)",
@@ -230,9 +234,9 @@ b AS (SELECT d, count(*) FILTER (mv > 0) AS advances, count(*) FILTER (mv < 0) A
 ORACLE_SQL |= {
     "breadth_trin": f"WITH {_BREADTH} SELECT *, round(coalesce((advances::DOUBLE / nullif(declines, 0)) / nullif(up_volume::DOUBLE / nullif(down_volume, 0), 0), 0), 4) AS trin FROM b",
     "breadth_thrust": f"WITH {_BREADTH} SELECT d, CASE WHEN above_20 >= 90 AND min(above_20) OVER (ORDER BY d ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) <= 10 THEN 'thrust' WHEN above_20 <= 10 THEN 'washout' ELSE 'none' END AS signal FROM b",
-    "gamma_curve": f"WITH {CURVE} SELECT ticker, bucket, i, round(exposure, 4) AS exposure FROM curve",
-    "gamma_buckets": f"""WITH {CHAIN}, v AS (SELECT *, {_gamma("spot")} AS v FROM held) SELECT ticker, bucket, round(sum(v), 4) AS net_gamma_m, count(*) AS contract_count, count(DISTINCT dte) AS expiration_count FROM v GROUP BY ALL
-    UNION ALL SELECT ticker, 'ALL', round(sum(v), 4), count(*), count(DISTINCT dte) FROM v GROUP BY ticker""",
+    "gamma_curve": f"WITH {CURVE} SELECT ticker, bucket, i, round(level, 6) AS level, round(exposure, 4) AS exposure FROM curve",
+    "gamma_buckets": f"""WITH {CHAIN}, v AS (SELECT *, {_gamma("spot")} AS v FROM held) SELECT ticker, bucket, round(sum(v), 4) AS net_gamma_m, count(*) AS contract_count, count(DISTINCT dte) AS expiration_count, array_to_string(list_sort(list(DISTINCT dte)), ',') AS expirations FROM v GROUP BY ALL
+    UNION ALL SELECT ticker, 'ALL', round(sum(v), 4), count(*), count(DISTINCT dte), array_to_string(list_sort(list(DISTINCT dte)), ',') FROM v GROUP BY ticker""",
     "gamma_flip": f"""WITH {CURVE}, n AS (SELECT *, lead(exposure) OVER w AS y1, lead(level) OVER w AS x1, max(abs(exposure)) OVER (PARTITION BY ticker, bucket) AS scale FROM curve WINDOW w AS (PARTITION BY ticker, bucket ORDER BY i)),
     z AS (SELECT ticker, bucket, round(CASE WHEN abs(exposure) <= greatest(1e-12, scale * 1e-9) THEN level WHEN exposure * y1 < 0 THEN level - exposure * (x1 - level) / (y1 - exposure) END, 4) AS zero FROM n WHERE scale >= 1e-12)
     SELECT ticker, bucket, round(arg_min(zero, [abs(zero - spot), zero]), 3) AS flip FROM z JOIN spots USING (ticker) WHERE zero IS NOT NULL GROUP BY ticker, bucket""",
@@ -241,9 +245,9 @@ ORACLE_SQL |= {
     SELECT ticker, c AS call_wall, p AS put_wall, CASE WHEN c = p THEN c END AS pin_strike, CASE WHEN c = p THEN CASE WHEN net >= 0 THEN 'PIN_CANDIDATE' ELSE 'BREAKOUT_PIVOT' END END AS pin_state FROM t LEFT JOIN a USING (ticker)""",
     "max_oi": f"WITH {CHAIN}, r AS (SELECT c.*, spot, row_number() OVER (PARTITION BY ticker ORDER BY oi DESC, dte, strike, cp) AS k FROM chain c JOIN spots USING (ticker) WHERE oi > 0) SELECT ticker, dte, strike, cp, oi, round((spot - strike) / spot * 100, 4) AS distance_pct FROM r WHERE k = 1",
     "pcr": f"WITH {CHAIN} SELECT ticker, round(coalesce(sum(oi) FILTER (cp = 'P'), 0)::DOUBLE / nullif(sum(oi) FILTER (cp = 'C'), 0), 4) AS oi_pcr FROM chain GROUP BY ticker",
-    "expected_move": f"""WITH {CHAIN}, e AS (SELECT c.*, spot FROM chain c JOIN spots USING (ticker) WHERE dte > 0), f AS (SELECT e.* FROM e JOIN (SELECT ticker, min(dte) AS dte FROM e GROUP BY 1) m USING (ticker, dte)),
+    "expected_move": f"""WITH {CHAIN}, e AS (SELECT c.*, spot FROM chain c JOIN spots USING (ticker)), f AS (SELECT e.* FROM e JOIN (SELECT ticker, min(dte) AS dte FROM e GROUP BY 1) m USING (ticker, dte)),
     k AS (SELECT *, dense_rank() OVER (PARTITION BY ticker ORDER BY abs(strike - spot), strike) AS r FROM f)
-    SELECT ticker, any_value(strike) AS atm_strike, round(any_value(spot) * median(iv) * sqrt(any_value(dte) / 365.0::DOUBLE), 4) AS value, round(median(iv) * sqrt(any_value(dte) / 365.0::DOUBLE) * 100, 4) AS pct, 'ATM_IV_FALLBACK' AS source FROM k WHERE r = 1 GROUP BY ticker""",
+    SELECT ticker, any_value(strike) AS atm_strike, round(CASE WHEN any_value(dte) > 0 THEN any_value(spot) * median(iv) * sqrt(any_value(dte) / 365.0::DOUBLE) END, 4) AS value, round(CASE WHEN any_value(dte) > 0 THEN median(iv) * sqrt(any_value(dte) / 365.0::DOUBLE) * 100 END, 4) AS pct, CASE WHEN any_value(dte) > 0 THEN 'ATM_IV_FALLBACK' ELSE 'MISSING' END AS source FROM k WHERE r = 1 GROUP BY ticker""",
     "vanna_charm": f"""WITH {CHAIN}, q AS (SELECT *, {D1} AS d1, iv * sqrt(years) AS root FROM held), p AS (SELECT *, exp(-d1 * d1 / 2) / sqrt(2 * pi()) AS f, d1 - root AS d2 FROM q)
     SELECT ticker, round(sum(-f * d2 / iv * oi), 2) AS vanna, round(sum(-f * (0.053::DOUBLE / root - d2 / (2 * years)) * oi), 2) AS charm FROM p GROUP BY ticker""",
     "nearest_strikes": f"""WITH {CHAIN}, s AS (SELECT ticker, strike, any_value(spot) AS spot, row_number() OVER (PARTITION BY ticker ORDER BY strike) AS k FROM (SELECT DISTINCT ticker, strike FROM chain) JOIN spots USING (ticker) GROUP BY ticker, strike),
@@ -271,19 +275,15 @@ ORACLE_SQL |= {
       concat_ws('; ', CASE WHEN c < 0 THEN 'curve inverted' WHEN c < 3 THEN 'curve flat' END, CASE WHEN g > 1.5 THEN 'narrow breadth' END, CASE WHEN k < -2 THEN 'leverage drag' END) AS findings FROM r""",
     "third_friday": """WITH o AS (SELECT DISTINCT o_orderdate::DATE AS d FROM orders), f AS (SELECT d, (date_trunc('month', d)::DATE + ((12 - isodow(date_trunc('month', d)))::INT % 7) + 14)::DATE AS a, (date_trunc('month', d) + INTERVAL 1 MONTH)::DATE AS m FROM o)
     SELECT d, CASE WHEN a >= d THEN a ELSE (m + ((12 - isodow(m))::INT % 7) + 14)::DATE END AS expiry FROM f""",
-    "stream_tick_mean": "WITH e AS (SELECT time_bucket(INTERVAL 5 MINUTE, ts) - INTERVAL 5 MINUTE * k AS start, value FROM events, range(3) t(k)) SELECT start::TIMESTAMP AS start, round(avg(value), 9) AS mean_value, count(*) AS n FROM e GROUP BY ALL",
+    "stream_tick_mean": "WITH e AS (SELECT time_bucket(INTERVAL 1 MINUTE, ts) - INTERVAL 1 MINUTE * k AS start, value FROM events, range(15) t(k)) SELECT start::TIMESTAMP AS start, round(avg(value), 9) AS mean_value, count(*) AS n FROM e GROUP BY ALL",
     "stream_vwap": "SELECT ts::DATE AS day, event_type, round(sum(value * (user_id % 100 + 1)) / sum(user_id % 100 + 1), 4) AS vwap FROM events GROUP BY ALL",
     "stream_alert_dedupe": "SELECT DISTINCT ts::DATE AS day, event_type FROM events",
 }
 
 _ROC = ", ".join(f"round(value / nullif(lag(value, {k}) OVER w, 0) * 100 - 100, 4) AS roc_{k}" for k in (20, 21, 62, 251))
 ORACLE_SQL |= {
-    "dashboard_z": f"""WITH {FACTS}, r AS (SELECT scope, d, value, count(*) OVER f AS n, count(*) OVER (PARTITION BY scope) AS total, avg(value) OVER f AS mean, stddev_samp(value) OVER f AS dev FROM facts WHERE metric = 'vix'
-      WINDOW f AS (PARTITION BY scope ORDER BY d ROWS BETWEEN 251 PRECEDING AND CURRENT ROW)) SELECT scope, d, round(CASE WHEN n >= greatest(30, least(252, total) // 2) AND dev > 0 THEN (value - mean) / dev ELSE 0 END, 4) AS z FROM r""",
-    "rate_of_change": f"WITH {FACTS} SELECT scope, d, {_ROC} FROM facts WHERE metric = 'vix' WINDOW w AS (PARTITION BY scope ORDER BY d)",
-    "monthly_yoy": f"WITH {FACTS}, m AS (SELECT scope, date_trunc('month', d)::DATE AS d, sum(value) AS value FROM facts WHERE metric = 'pct_200ma' GROUP BY ALL) SELECT scope, d, round(value / lag(value, 12) OVER (PARTITION BY scope ORDER BY d) * 100 - 100, 4) AS yoy FROM m",
     "sma20": f"WITH {BARS} SELECT symbol, d, round(avg(close) OVER (PARTITION BY symbol ORDER BY d ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), 4) AS sma FROM bars",
-    "sign_flips": f"WITH {FACTS} SELECT scope, d, coalesce(sign(value - 4) * sign(lag(value - 4) OVER w) < 0, false) AS day, coalesce(sign(value - 4) * sign(lag(value - 4, 5) OVER w) < 0, false) AS week FROM facts WHERE metric = 'vix_contango_pct' WINDOW w AS (PARTITION BY scope ORDER BY d)",
+    "sign_flips": f"WITH {FACTS} SELECT scope, metric, d, coalesce(sign(value - 4) * sign(lag(value - 4) OVER w) < 0, false) AS day, coalesce(sign(value - 4) * sign(lag(value - 4, 5) OVER w) < 0, false) AS week FROM facts WINDOW w AS (PARTITION BY scope, metric ORDER BY d)",
     "extreme_probe": f"WITH {STATS} SELECT scope, metric, d, round(z, 4) AS z FROM stats WHERE n > 30 AND abs(z) > 2",
     "latest_values": f"WITH {FACTS} SELECT scope, metric, arg_max(value, d) AS value, max(d) AS d FROM facts GROUP BY ALL",
     "weighted_flow": f"WITH {BARS}, f AS (SELECT d, (volume - lag(volume) OVER (PARTITION BY symbol ORDER BY d)) * close AS x FROM bars) SELECT d, round(sum(x)::DOUBLE / 1000000, 6) AS flow FROM f GROUP BY d",
@@ -291,18 +291,17 @@ ORACLE_SQL |= {
     "alert_bodies": f"""WITH {STATS}, l AS (SELECT d, severity, '[' || severity || '] ' || concat_ws(' ', metric, scope, window_scope) AS line FROM alerts)
       SELECT d, count(*) || ' alerts, severity ' || max(severity) AS subject, string_agg(line, chr(10) ORDER BY severity DESC, line) AS body FROM l GROUP BY d""",
 }
-#: Every series of the queries that give one metric.
 ORACLE_SQL |= {
-    "weekday_lag_all": f"WITH {ALIGNED} SELECT scope, metric, x.d, (b.upto - a.upto)::INTEGER AS lag_days FROM aligned x LEFT JOIN counted a ON a.d = x.source_date - 1 LEFT JOIN counted b ON b.d = x.d - 1",
-    "session_lag_all": f"""WITH {ALIGNED}, sessions AS (SELECT d, sum((isodow(d) < 6 AND d NOT IN (DATE '1995-07-04', DATE '1996-07-04', DATE '1997-07-04') AND d >= DATE '1995-01-02')::INT) OVER (ORDER BY d) AS upto FROM counted)
+    "weekday_lag": f"WITH {ALIGNED} SELECT scope, metric, x.d, (b.upto - a.upto)::INTEGER AS lag_days FROM aligned x LEFT JOIN counted a ON a.d = x.source_date - 1 LEFT JOIN counted b ON b.d = x.d - 1",
+    "session_lag": f"""WITH {ALIGNED}, sessions AS (SELECT d, sum((isodow(d) < 6 AND d NOT IN (DATE '1995-07-04', DATE '1996-07-04', DATE '1997-07-04') AND d >= (SELECT first FROM ends))::INT) OVER (ORDER BY d) AS upto FROM counted)
     SELECT scope, metric, x.d, greatest(0, b.upto - a.upto - 1)::INTEGER AS lag_days FROM aligned x JOIN sessions a ON a.d = x.source_date - 1 JOIN sessions b ON b.d = x.d""",
-    "five_day_change_all": f"""WITH {FACTS}, {SPINE}, cal AS (SELECT d, row_number() OVER (ORDER BY d) AS seq FROM weekdays), v AS (SELECT scope, metric, d, value FROM facts WHERE isodow(d) < 6),
+    "five_day_change": f"""WITH {FACTS}, {SPINE}, cal AS (SELECT d, row_number() OVER (ORDER BY d) AS seq FROM weekdays), v AS (SELECT scope, metric, d, value FROM facts WHERE isodow(d) < 6),
     m AS (SELECT v.scope, v.metric, v.d, v.value, b.d AS past FROM v JOIN cal c ON c.d = v.d LEFT JOIN cal b ON b.seq = c.seq - 5)
     SELECT m.scope, m.metric, m.d, round(m.value - p.value, 4) AS change FROM m ASOF LEFT JOIN v p ON p.scope = m.scope AND p.metric = m.metric AND p.d <= m.past""",
-    "dashboard_z_all": f"""WITH {FACTS}, r AS (SELECT scope, metric, d, value, count(*) OVER f AS n, count(*) OVER (PARTITION BY scope, metric) AS total, avg(value) OVER f AS mean, stddev_samp(value) OVER f AS dev FROM facts
+    "rolling_z_or_zero": f"""WITH {FACTS}, r AS (SELECT scope, metric, d, value, count(*) OVER f AS n, count(*) OVER (PARTITION BY scope, metric) AS total, avg(value) OVER f AS mean, stddev_samp(value) OVER f AS dev FROM facts
       WINDOW f AS (PARTITION BY scope, metric ORDER BY d ROWS BETWEEN 251 PRECEDING AND CURRENT ROW)) SELECT scope, metric, d, round(CASE WHEN n >= greatest(30, least(252, total) // 2) AND dev > 0 THEN (value - mean) / dev ELSE 0 END, 4) AS z FROM r""",
-    "rate_of_change_all": f"WITH {FACTS} SELECT scope, metric, d, {_ROC} FROM facts WINDOW w AS (PARTITION BY scope, metric ORDER BY d)",
-    "monthly_yoy_all": f"""WITH {FACTS}, m AS (SELECT scope, metric, date_trunc('month', d)::DATE AS d, sum(round(value * 10000)::BIGINT)::BIGINT AS value FROM facts GROUP BY ALL)
+    "rate_of_change": f"WITH {FACTS} SELECT scope, metric, d, {_ROC} FROM facts WINDOW w AS (PARTITION BY scope, metric ORDER BY d)",
+    "monthly_yoy": f"""WITH {FACTS}, m AS (SELECT scope, metric, date_trunc('month', d)::DATE AS d, sum(round(value * 10000)::BIGINT)::BIGINT AS value FROM facts GROUP BY ALL)
       SELECT scope, metric, d, round(value / nullif(lag(value, 12) OVER (PARTITION BY scope, metric ORDER BY d), 0) * 100 - 100, 4) AS yoy FROM m""",
 }
 _LIQUIDITY_STATE = ORACLE_SQL["liquidity_state"]
@@ -311,7 +310,7 @@ ORACLE_SQL["liquidity_trend"] = f"""WITH st AS ({_LIQUIDITY_STATE}), r AS (SELEC
 
 #: The date columns of the results, given as ISO text like those of the queries.
 UNDATED = {
-    "poc_profile", "vwap_session", "ivr", "leverage_drag", "leverage_drag_pairs", "gamma_curve", "gamma_buckets", "gamma_flip", "gamma_walls", "max_oi", "pcr", "expected_move", "vanna_charm",
+    "poc_profile", "poc_profile_prices", "vwap_session", "ivr", "leverage_drag", "gamma_curve", "gamma_buckets", "gamma_flip", "gamma_walls", "max_oi", "pcr", "expected_move", "vanna_charm",
     "nearest_strikes", "expiration_sample", "top5_unusual", "bs_price", "delta_skew", "stream_tick_mean",
 }
 DATED = {"asof_align": ["d", "source_date"], "third_friday": ["d", "expiry"], "stream_vwap": ["day"], "stream_alert_dedupe": ["day"]}
@@ -324,3 +323,6 @@ def _text_dates(name: str, sql: str) -> str:
 
 
 ORACLE_SQL = {name: _text_dates(name, sql) for name, sql in ORACLE_SQL.items()}
+for _name in ("weekday_lag", "session_lag", "five_day_change", "rolling_z_or_zero", "rate_of_change", "monthly_yoy"):
+    ORACLE_SQL[f"{_name}_all"] = ORACLE_SQL[_name]  # names of round 1
+ORACLE_SQL["leverage_drag_pairs"] = ORACLE_SQL["leverage_drag"]

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .functions import pricing, series
 from .operators import align, anomaly, bars, environment, liquidity, options, probes, reports
 from .plans import inputs
+from .sources import folders
 from .streaming import market
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,6 +24,11 @@ LIQUIDITY_INPUTS = {
 }
 #: metric of the environment model: (MACRO or not, metric) of the facts that stand in for it.
 ENVIRONMENT_INPUTS = [("vix", True, "vix"), ("move", True, "move"), ("vix_contango_pct", True, "vix_contango_pct"), ("pct_200ma", True, "pct_200ma"), ("trin", True, "trin"), ("credit_spread", True, "credit_z"), ("nfci", True, "credit_z"), ("ivr_pct", False, "vix"), ("expected_move_pct", False, "move")]
+#: input of the resonance themes: (scope, metric) of the facts that stand in for it; of the ratio its change over 20 rows.
+RESONANCE_INPUTS = {
+    "vix_contango_pct": ("MACRO", "vix_contango_pct"), "move": ("MACRO", "move"), "pct_200ma": ("MACRO", "pct_200ma"), "credit_z": ("MACRO", "credit_z"), "trin": ("MACRO", "trin"),
+    "hyg_tlt_ratio_roc": ("5-LOW", "vix"), "vrp_num": ("2-HIGH", "vix"), "pct_20ma": ("2-HIGH", "trin"), "breadth_diff_pct": ("3-MEDIUM", "trin"), "ivr_low": ("4-NOT SPECIFIED", "trin"),
+}
 #: The symbol that others are measured against.
 BENCHMARK = "Brand#11"
 
@@ -99,8 +105,11 @@ def anomaly_multiwindow(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _resonance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    macro = inputs.metric_facts(spark, sf_dir).where("scope = 'MACRO'").select("d", F.col("metric").alias("input"), "value")
-    return anomaly.resonance(macro)
+    facts, w = _series(spark, sf_dir)
+    names = F.create_map(*(F.lit(x) for name, (scope, metric) in RESONANCE_INPUTS.items() for x in (f"{scope}/{metric}", name)))
+    moved = series.pct_change(F.col("value"), w, 20)
+    named = facts.withColumn("value", F.when((F.col("scope") == "5-LOW") & (F.col("metric") == "vix"), moved).otherwise(F.col("value")))
+    return anomaly.resonance(named.select("d", F.try_element_at(names, F.concat_ws("/", "scope", "metric")).alias("input"), "value").where("input is not null"))
 
 
 @query
@@ -149,24 +158,11 @@ def effective_obs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def weekday_lag(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _aligned(spark, sf_dir).where("metric = 'vix'").select("scope", "d", align.weekday_lag(F.col("source_date"), F.col("d")).alias("lag_days"))
-
-
-@query
-def weekday_lag_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every series; ``weekday_lag`` gives one metric, as do the queries beside the other names in _all."""
     return _aligned(spark, sf_dir).select("scope", "metric", "d", align.weekday_lag(F.col("source_date"), F.col("d")).alias("lag_days"))
 
 
 @query
 def session_lag(spark: SparkSession, sf_dir: str) -> DataFrame:
-    calendar = _calendar(spark, sf_dir, ["1995-07-04", "1996-07-04", "1997-07-04"])
-    rows = _aligned(spark, sf_dir).where("metric = 'vix' and source_date is not null").select("scope", "d", "source_date")
-    return align.session_lag(calendar, rows, "source_date", "d").select("scope", "d", "lag_days")
-
-
-@query
-def session_lag_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     calendar = _calendar(spark, sf_dir, ["1995-07-04", "1996-07-04", "1997-07-04"])
     rows = _aligned(spark, sf_dir).where("source_date is not null").select("scope", "metric", "d", "source_date")
     return align.session_lag(calendar, rows, "source_date", "d").select("scope", "metric", "d", "lag_days")
@@ -174,13 +170,6 @@ def session_lag_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def five_day_change(spark: SparkSession, sf_dir: str) -> DataFrame:
-    facts = inputs.metric_facts(spark, sf_dir).where("metric = 'vix' and weekday(d) < 5")
-    rows = align.offset_value(facts, _calendar(spark, sf_dir), ["scope"], 5)
-    return rounded(rows.select("scope", "d", (F.col("value") - F.col("base")).alias("change")))
-
-
-@query
-def five_day_change_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     facts = inputs.metric_facts(spark, sf_dir).where("weekday(d) < 5")
     rows = align.offset_value(facts, _calendar(spark, sf_dir), ["scope", "metric"], 5)
     return rounded(rows.select("scope", "metric", "d", (F.col("value") - F.col("base")).alias("change")))
@@ -273,6 +262,12 @@ def poc_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(bars.point_of_control(inputs.bars(spark, sf_dir)))
 
 
+@query
+def poc_profile_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same on prices with decimals."""
+    return rounded(bars.point_of_control(inputs.bars(spark, sf_dir).withColumn("close", F.col("close") / 100.0)))
+
+
 @query
 def obv_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bars.obv(inputs.bars(spark, sf_dir))
@@ -308,18 +303,10 @@ def ivr(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def leverage_drag(spark: SparkSession, sf_dir: str) -> DataFrame:
-    daily = inputs.bars(spark, sf_dir)
-    symbols = [r.symbol for r in daily.select("symbol").distinct().orderBy("symbol").limit(2).collect()]
-    returns = bars.leverage_drag(daily.where(F.col("symbol") == symbols[0]), daily.where(F.col("symbol") == symbols[1]))
-    return rounded(returns.where("window <> 'all'"), 2)
-
-
-@query
-def leverage_drag_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All windows of the benchmark with each other symbol; ``leverage_drag`` gives two windows of the first two symbols."""
+    """All windows of the benchmark with each other symbol, their closes raised to move by a few percent a day."""
     others = inputs.table(spark, sf_dir, "part").select(F.col("p_brand").alias("geared")).distinct()
     pairs = others.where(F.col("geared") != BENCHMARK).withColumn("base", F.lit(BENCHMARK))
-    return rounded(bars.leverage_drags(inputs.bars(spark, sf_dir), pairs), 2)
+    return rounded(bars.leverage_drags(inputs.bars(spark, sf_dir).withColumn("close", F.col("close") + 100_000_000), pairs), 2)
 
 
 @query
@@ -369,12 +356,13 @@ def _held(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def gamma_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(options.gamma_curve(_held(spark, sf_dir)).drop("level"))
+    curve = options.gamma_curve(_held(spark, sf_dir))
+    return curve.select("ticker", "bucket", "i", F.round("level", 6).alias("level"), F.round("exposure", 4).alias("exposure"))
 
 
 @query
 def gamma_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(options.gamma_buckets(_held(spark, sf_dir)).drop("expirations"))
+    return rounded(options.gamma_buckets(_held(spark, sf_dir)))
 
 
 @query
@@ -400,7 +388,7 @@ def pcr(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def expected_move(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(options.expected_move(inputs.chain(spark, sf_dir).where("dte > 0"), _spots(spark, sf_dir)))
+    return rounded(options.expected_move(inputs.chain(spark, sf_dir), _spots(spark, sf_dir)))
 
 
 @query
@@ -487,63 +475,40 @@ def third_friday(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _events_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events as a stream; a pattern, since a stream's source must not be a single file."""
-    return market.stream(spark, f"{sf_dir}/events*.parquet")
+    """The events as a stream, all that is there as one batch, so that no row comes late; a pattern, since a stream's source must not be a single file."""
+    return market.stream(spark, f"{sf_dir}/events*.parquet", files_per_trigger=1 << 30)
 
 
 @query
 def stream_tick_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(market.drain(market.tick_mean(_events_table(spark, sf_dir)), "tick_mean"), 9).withColumn("start", F.col("start").cast("timestamp_ntz"))
+    return rounded(market.drain(market.tick_mean(_events_table(spark, sf_dir)), ["start"], folders.fresh(spark, "tick_mean")), 9).withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
 @query
 def stream_vwap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(market.drain(market.session_vwap(_events_table(spark, sf_dir)), "session_vwap"))
+    return rounded(market.drain(market.session_vwap(_events_table(spark, sf_dir)), ["day", "event_type"], folders.fresh(spark, "session_vwap")))
 
 
 @query
 def stream_alert_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return market.drain(market.alert_days(_events_table(spark, sf_dir)), "alert_days")
-
-
+    return market.drain(market.alert_days(_events_table(spark, sf_dir)), ["day", "event_type"], folders.fresh(spark, "alert_days"))
 
 
-@query
-def dashboard_z(spark: SparkSession, sf_dir: str) -> DataFrame:
-    facts, w = _series(spark, sf_dir)
-    return rounded(facts.where("metric = 'vix'").select("scope", "d", series.dashboard_z(F.col("value"), w).alias("z")))
-
 
 @query
-def dashboard_z_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def rolling_z_or_zero(spark: SparkSession, sf_dir: str) -> DataFrame:
     facts, w = _series(spark, sf_dir)
-    return rounded(facts.select("scope", "metric", "d", series.dashboard_z(F.col("value"), w).alias("z")))
+    return rounded(facts.select("scope", "metric", "d", series.rolling_z_or_zero(F.col("value"), w).alias("z")))
 
 
 @query
 def rate_of_change(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """20, 21, 62 and 251 steps: distinct measures that must not share a name."""
-    facts, w = _series(spark, sf_dir)
-    steps = {f"roc_{k}": series.pct_change(F.col("value"), w, k) for k in (20, 21, 62, 251)}
-    return rounded(facts.where("metric = 'vix'").select("scope", "d", *(v.alias(k) for k, v in steps.items())))
-
-
-@query
-def rate_of_change_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     facts, w = _series(spark, sf_dir)
     return rounded(facts.select("scope", "metric", "d", *(series.pct_change(F.col("value"), w, k).alias(f"roc_{k}") for k in (20, 21, 62, 251))))
 
 
 @query
 def monthly_yoy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Twelve steps at the native monthly grain."""
-    facts = inputs.metric_facts(spark, sf_dir).where("metric = 'pct_200ma'")
-    months = facts.groupBy("scope", F.trunc("d", "month").alias("d")).agg(F.sum("value").alias("value"))
-    return rounded(months.select("scope", "d", series.pct_change(F.col("value"), Window.partitionBy("scope").orderBy("d"), 12).alias("yoy")))
-
-
-@query
-def monthly_yoy_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Twelve steps at the native monthly grain; sums are of whole ten-thousandths, so their order doesn't matter."""
     months = inputs.metric_facts(spark, sf_dir).groupBy("scope", "metric", F.trunc("d", "month").alias("d")).agg(F.sum(F.round(F.col("value") * 10000).cast("long")).alias("value"))
     return rounded(months.select("scope", "metric", "d", series.pct_change(F.col("value"), Window.partitionBy("scope", "metric").orderBy("d"), 12).alias("yoy")))
@@ -559,7 +524,7 @@ def sma20(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sign_flips(spark: SparkSession, sf_dir: str) -> DataFrame:
     facts, w = _series(spark, sf_dir)
     centred = F.col("value") - 4
-    return facts.where("metric = 'vix_contango_pct'").select("scope", "d", series.sign_flip(centred, w).alias("day"), series.sign_flip(centred, w, 5).alias("week"))
+    return facts.select("scope", "metric", "d", series.sign_flip(centred, w).alias("day"), series.sign_flip(centred, w, 5).alias("week"))
 
 
 @query
@@ -593,3 +558,8 @@ def alert_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def liquidity_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(reports.trend(liquidity_state(spark, sf_dir)))
+
+
+for _name in ("weekday_lag", "session_lag", "five_day_change", "rolling_z_or_zero", "rate_of_change", "monthly_yoy"):
+    QUERIES[f"{_name}_all"] = QUERIES[_name]  # names of round 1
+QUERIES["leverage_drag_pairs"] = QUERIES["leverage_drag"]
