@@ -216,6 +216,55 @@ def test_quality_classifier_odd_rows(spark, odd, empty, docs, data):
     assert kept.columns == odd.columns and kept.count() == sum(r.predicted for r in got)
 
 
+def plain_score(network, text):
+    """The forward pass window by window and chunk by chunk, in doubles."""
+    w = {k: v.astype(np.float64) for k, v in network.weights.items()}
+    cuts = [0]
+    while cuts[-1] + quality_classifier.CHUNK < len(text):
+        cuts.append(cuts[-1] + quality_classifier.STRIDE)
+    hidden = []
+    for a in cuts:
+        symbols = [b + 1 for b in text[a : a + quality_classifier.CHUNK]]
+        symbols += [0] * (quality_classifier.CHUNK - len(symbols))
+        best = np.full(quality_classifier.FILTERS, -np.inf)
+        for i in range(0, quality_classifier.CHUNK - quality_classifier.WIDTH + 1, quality_classifier.STEP):
+            window = np.concatenate([w["embed"][s] for s in symbols[i : i + quality_classifier.WIDTH]])
+            best = np.maximum(best, window @ w["filter"])
+        hidden.append(np.maximum(np.maximum(best + w["filter_bias"], 0) @ w["dense"] + w["dense_bias"], 0))
+    both = np.concatenate([np.mean(hidden, 0), np.max(hidden, 0)])
+    return 1 / (1 + math.exp(-(both @ w["out"] + w["out_bias"][0] + network.bias_shift)))
+
+
+def test_classifier_scores_match_a_plain_forward_pass(spark):
+    random_ = random.Random(2)
+    texts = ["", "a", "short text", "é" * 700, "x" * 1024, "y" * 1025, "".join(random_.choice("abc de") for _ in range(3000)), None]
+    network = quality_classifier.Network.fresh(7)
+    network.bias_shift = 0.25
+    got = {r.doc_id: r for r in quality_classifier.score_quality(frame(spark, enumerate(texts)), network).collect()}
+    for i, text in enumerate(texts):
+        assert math.isclose(got[i].score, plain_score(network, (text or "").encode()), rel_tol=1e-4)
+        assert got[i].held_out == (zlib.crc32(str(i).encode()) % 5 == 0) and got[i].predicted == (got[i].score >= 0.3)
+
+
+def test_classifier_fits_long_texts_too():
+    text = bytes(range(256)) * 200
+    assert quality_classifier.spread(text).shape == (quality_classifier.FITTED, quality_classifier.CHUNK)
+    start, ends = quality_classifier.chunks(np.array([0, len(text)]))
+    whole = quality_classifier.gather(np.frombuffer(text, np.uint8), start, np.full(len(start), len(text)))
+    some = quality_classifier.spread(text)
+    assert np.array_equal(some[0], whole[0]) and np.array_equal(some[-1], whole[-1])
+    assert len(quality_classifier.spread(text[:5000])) == 6
+
+
+def test_classifier_takes_one_text_an_id(spark):
+    """Repeated documents of an id give the same network whatever their order."""
+    rows = [(i, ("good words here " if i % 2 else "BAD JUNK!! ") * (1 + i % 7)) for i in range(40)] + [(i, f"other {i}") for i in range(10)]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(40)], "doc_id long, quality int, toxic int")
+    one = quality_classifier.train(frame(spark, rows), labels)
+    other = quality_classifier.train(frame(spark, rows[::-1]).repartition(5), labels)
+    assert all(np.array_equal(one.weights[k], other.weights[k]) for k in one.weights)
+
+
 def test_classifier_scores_a_row_alike_in_any_company():
     random = np.random.default_rng(4)
     texts = [random.integers(0, 256, n, np.uint8).tobytes() for n in [0, 1, 11, 700, 1024, 1025, 5000, 20_000, 40] * 4]
@@ -340,10 +389,34 @@ def test_media_digests(odd, empty):
     assert media.media_digests(empty).count() == 0
 
 
+def plain_pixels(image):
+    """RGB of a decoded file by the transform's definition, each chroma sample repeated, colours in doubles."""
+    x = np.arange(8)
+    wave = np.where(x == 0, math.sqrt(1 / 8), 0.5)[:, None] * np.cos((2 * x[None, :] + 1) * x[:, None] * math.pi / 16)
+    planes, tall, wide = [], max(c.v for c in image.components.values()), max(c.h for c in image.components.values())
+    for c in image.components.values():
+        rows, columns, _ = c.coefficients.shape
+        natural = np.zeros((rows, columns, 64))
+        natural[..., progressive_jpeg.ZIGZAG] = c.coefficients * image.quantisers[c.table]
+        blocks = np.einsum("rcuv,ux,vy->rxcy", natural.reshape(rows, columns, 8, 8), wave, wave).reshape(rows * 8, columns * 8)
+        samples = np.clip(np.floor(blocks + 128.5), 0, 255)
+        planes.append(np.kron(samples, np.ones((tall // c.v, wide // c.h)))[: image.height, : image.width])
+    y, blue, red = planes[0], planes[1] - 128, planes[2] - 128
+    rgb = np.stack([y + 1.402 * red, y - 0.344136 * blue - 0.714136 * red, y + 1.772 * blue], axis=-1)
+    return np.clip(np.floor(rgb + 0.5), 0, 255)
+
+
 def test_media_round_trip_and_tensor(spark, odd):
     stored = media.store_media(odd)
     r = media.read_media(stored.where("doc_id = 5")).first()
-    assert len(r.tensor) == r.width * r.height * 3
+    assert len(r.tensor) == r.width * r.height * 3 and r.payload == media.padded(odd_texts()[5][1].encode())
+    pixels = plain_pixels(progressive_jpeg.decode(r.media))
+    got = np.frombuffer(r.tensor, np.uint8).reshape(r.height, r.width, 3)
+    assert np.abs(got.astype(int) - pixels).max() <= 2
+    digest = media.media_digests(odd.where("doc_id = 5")).first().feature
+    mean = [int(got[..., c].astype(int).sum()) * 1000 // (r.width * r.height) for c in range(3)]
+    full = [sum(v in (0, 255) for v in got[..., c].ravel().tolist()) * 1000 // (r.width * r.height) for c in range(3)]
+    assert digest == f"{r.width}x{r.height} mean {','.join(map(str, mean))} saturated {','.join(map(str, full))}"
     assert media.read_media(stored.limit(1).withColumn("media", F.lit(None).cast("binary"))).first().tensor is None
 
 
@@ -622,7 +695,7 @@ def test_token_counts(spark, odd, empty, docs):
             n, at = n + 1, at + size
         return n
 
-    rows = odd_texts() + [(7000, "a\x00b 12.5e3!!! don't ÉÀ\x1c")] + [(r.doc_id, r.text) for r in docs.limit(40).collect()]
+    rows = odd_texts() + [(7000, "a\x00b 12.5e3!!! don't ÉÀ\x1c")] + [(r.doc_id, r.text) for r in docs.collect()]
     got = [tuple(r) for r in token_counts.count_tokens(frame(spark, rows), pieces).collect()]
     want = []
     for key, text in rows:
@@ -696,6 +769,35 @@ def test_bloom_has_no_false_negatives(spark):
 # 10 --------------------------------------------------------------------------------------------------------------
 
 
+def brute_shards(rows, shards=24):
+    """(id, shard, slot) by ranking each source's rows and sorting all by fractional rank in plain Python."""
+    by = {}
+    for key, text, source in rows:
+        crc, stratum = zlib.crc32((text or "").encode()), "" if source is None else f"s{source}"
+        h = hashlib.md5(f"{sharding.SEED}|{stratum}|{'' if key is None else key}|{crc}".encode()).hexdigest()[:16]
+        by.setdefault(stratum, []).append((h, key is not None, key or 0, crc, len((text or "").encode())))
+    order = []
+    for stratum, own in by.items():
+        order += [((2 * i + 1) / len(own), x[0], stratum, *x[1:]) for i, x in enumerate(sorted(own))]
+    out, seen = [], Counter()
+    for place, (_, _, _, held, key, *_) in enumerate(sorted(order)):
+        shard = place * shards // len(order)
+        out.append((key if held else None, shard, seen[shard]))
+        seen[shard] += 1
+    return out
+
+
+@pytest.mark.parametrize("rows_per_range", [10_000, 8])
+def test_shards_match_a_plain_ranking(spark, odd, docs, rows_per_range, monkeypatch):
+    monkeypatch.setattr(sharding, "ROWS_PER_RANGE", rows_per_range)
+    monkeypatch.setattr(sharding, "BLOCK", 4)
+    many = frame(spark, [(None, "same")] * 300 + [(i, "x") for i in range(50)])
+    for table in (odd, docs.select("doc_id", "text", "source"), many):
+        rows = [(r.doc_id, r.text, r.source) for r in table.collect()]
+        got = [(r.doc_id, r.shard, r.slot) for r in sharding.stratified_shards(table).collect()]
+        assert ordered(got) == ordered(brute_shards(rows))
+
+
 def test_sharding(spark, odd, empty, docs, monkeypatch):
     for rows_per_range in (10_000, 8):
         monkeypatch.setattr(sharding, "ROWS_PER_RANGE", rows_per_range)

@@ -285,11 +285,26 @@ def decode(data: bytes) -> Image:
             raise ValueError("not a progressive file")
 
 
+#: Blocks and pixel rows that are computed together, so that a large image takes few bytes a pixel beside its own.
+_BLOCKS, _LINES = 8192, 256
+
+
+def _pixels(images: list[Image]) -> np.ndarray:
+    """(blocks, 64) samples of all components of all images."""
+    blocks = [c.coefficients.reshape(-1, 64) * image.quantisers[c.table] for image in images for c in image.components.values()]
+    blocks = np.concatenate(blocks) if len(blocks) > 1 else blocks[0]
+    out = np.empty(blocks.shape, np.uint8)
+    for a in range(0, len(blocks), _BLOCKS):
+        sums = (blocks[a : a + _BLOCKS].astype(np.float64) @ INVERSE + (1 << SHIFT - 1)) / (1 << SHIFT)
+        out[a : a + _BLOCKS] = np.clip(np.floor(sums) + 128, 0, 255)
+    return out
+
+
 def tensors(images: list[Image]) -> list[np.ndarray]:
     """(height, width, 3) RGB bytes of each image: inverse transform, chroma repeated to full size, colours."""
-    blocks = [c.coefficients.reshape(-1, 64) * image.quantisers[c.table] for image in images for c in image.components.values()]
-    pixels = (np.concatenate(blocks).astype(np.float64) @ INVERSE + (1 << SHIFT - 1)) / (1 << SHIFT)
-    pixels = np.clip(np.floor(pixels) + 128, 0, 255).astype(np.int32)
+    if not images:
+        return []
+    pixels = _pixels(images)
     out, at = [], 0
     for image in images:
         h, v = max(c.h for c in image.components.values()), max(c.v for c in image.components.values())
@@ -304,12 +319,16 @@ def tensors(images: list[Image]) -> list[np.ndarray]:
                 plane = np.repeat(plane, h // c.h, axis=1)
             planes.append(plane[: image.height, : image.width])
         if len(planes) == 1:
-            planes *= 3
-        else:
-            y, blue, red = planes[0], planes[1] - 128, planes[2] - 128
+            out.append(np.stack(planes * 3, axis=-1))
+            continue
+        tensor = np.empty((image.height, image.width, 3), np.uint8)
+        for a in range(0, image.height, _LINES):
+            y, blue, red = (p[a : a + _LINES].astype(np.int32) for p in planes)
+            blue, red = blue - 128, red - 128
             # The colour weights 1.402, 0.344136, 0.714136 and 1.772 in 16-bit fixed point.
-            planes = [y + ((91881 * red + 32768) >> 16), y - ((22554 * blue + 46802 * red + 32768) >> 16), y + ((116130 * blue + 32768) >> 16)]
-        out.append(np.clip(np.stack(planes, axis=-1), 0, 255).astype(np.uint8))
+            colours = y + ((91881 * red + 32768) >> 16), y - ((22554 * blue + 46802 * red + 32768) >> 16), y + ((116130 * blue + 32768) >> 16)
+            tensor[a : a + _LINES] = np.clip(np.stack(colours, axis=-1), 0, 255)
+        out.append(tensor)
     return out
 
 

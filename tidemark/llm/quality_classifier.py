@@ -5,8 +5,8 @@ over the embedded bytes of a chunk and are max-pooled to one vector; a dense lay
 each chunk, and the mean and maximum over the chunks combine to one probability.
 
 The network is fitted on the driver to a bounded sample of labelled rows (``SAMPLE`` rows
-of each label, of at most ``SAMPLE_BYTES`` bytes each, by a seeded hash of the id); scoring
-is one pass over all documents with the broadcast weights, a few ten kilobytes.
+of each label by a seeded hash of the id, whatever their length; of a text with more than
+``FITTED`` chunks so many, evenly spread over it, are fitted); scoring is one pass over all documents with the broadcast weights, a few ten kilobytes.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from .shared import fold
 
 CHUNK, STRIDE = 1024, 960
 EMBEDDED, WIDTH, STEP, FILTERS, HIDDEN = 6, 12, 2, 32, 16
-SAMPLE, SAMPLE_BYTES = 1000, 1 << 14
+SAMPLE, FITTED = 1000, 16
 EPOCHS, BATCH, RATE, SEED = 14, 16, 0.008, 5
 THRESHOLD = 0.3
 #: Chunks that pass the network together.
@@ -105,11 +105,14 @@ class Network:
 
     def gradients(self, raw: np.ndarray, offsets: np.ndarray, labels: np.ndarray) -> dict[str, np.ndarray]:
         """Of the mean log loss over the rows."""
-        w = self.weights
         start, ends = chunks(offsets)
+        return self.chunk_gradients(gather(raw, start, np.repeat(offsets[1:], np.diff(ends))), ends, labels)
+
+    def chunk_gradients(self, symbols: np.ndarray, ends: np.ndarray, labels: np.ndarray) -> dict[str, np.ndarray]:
+        """The same from the rows' chunks."""
+        w = self.weights
         counts = np.diff(ends)
         row = np.repeat(np.arange(len(counts)), counts)
-        symbols = gather(raw, start, offsets[1:][row])
         pooled, where, windows = self.pooled(symbols)
         hidden = self.hidden(pooled)
         both = self.combine(hidden, ends)
@@ -129,23 +132,32 @@ class Network:
         }
 
 
-def fit(texts: list[bytes], labels: np.ndarray, ones: int, zeros: int, seed: int = SEED) -> Network:
-    """Adam on the sample, in a seeded order; ``ones`` and ``zeros`` count all labelled training rows."""
+def spread(text: bytes, most: int = FITTED) -> np.ndarray:
+    """(chunks, CHUNK) symbols of a text: all its chunks, or ``most`` of them evenly spread from the first to the last."""
+    raw = np.frombuffer(text, np.uint8)
+    start, _ = chunks(np.array([0, len(raw)]))
+    if len(start) > most:
+        start = start[np.arange(most) * (len(start) - 1) // (most - 1)]
+    return gather(raw, start, np.full(len(start), len(raw)))
+
+
+def fit(rows: list[np.ndarray], labels: np.ndarray, ones: int, zeros: int, seed: int = SEED) -> Network:
+    """Adam on the sample's chunks (see ``spread``), in a seeded order; ``ones`` and ``zeros`` count all labelled training rows."""
     if not ones or not zeros:
         return Network({}, constant=(ones + 1) / (ones + zeros + 2))
     network, random = Network.fresh(seed), np.random.default_rng(seed)
     first = {k: np.zeros_like(v) for k, v in network.weights.items()}
     second = {k: np.zeros_like(v) for k, v in network.weights.items()}
-    steps, total = 0, EPOCHS * -(-len(texts) // BATCH)
+    steps, total = 0, EPOCHS * -(-len(rows) // BATCH)
     for _ in range(EPOCHS):
-        order = random.permutation(len(texts))
+        order = random.permutation(len(rows))
         for a in range(0, len(order), BATCH):
             mine = order[a : a + BATCH]
-            raw = np.frombuffer(b"".join(texts[i] for i in mine), np.uint8)
-            offsets = np.cumsum([0, *(len(texts[i]) for i in mine)])
+            symbols = np.concatenate([rows[i] for i in mine]).astype(np.int64)
+            ends = np.cumsum([0, *(len(rows[i]) for i in mine)])
             steps += 1
             rate = RATE * (1 - 0.9 * steps / total)
-            for k, g in network.gradients(raw, offsets, labels[mine]).items():
+            for k, g in network.chunk_gradients(symbols, ends, labels[mine]).items():
                 first[k] = 0.9 * first[k] + 0.1 * g
                 second[k] = 0.99 * second[k] + 0.01 * g * g
                 move = rate * (first[k] / (1 - 0.9**steps)) / (np.sqrt(second[k] / (1 - 0.99**steps)) + 1e-8)
@@ -159,15 +171,22 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """A network fitted to labelled documents whose crc32(id as text) mod 5 is not 0.
 
     Labels other than 0 and 1, null ids and ids without a document are left out; of repeated
-    labels or documents of an id one counts.
+    labels of an id the larger counts, of its repeated documents the least text.
     """
     known = labels.where(F.col(label_col).isin(0, 1) & (fold(id_col) != 0)).select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label"))
     known = known.groupBy("id").agg(F.max("label").alias("label"))
     counts = {r.label: r["count"] for r in known.groupBy("label").count().collect()}
     chosen = [known.where(F.col("label") == v).orderBy(F.xxhash64(F.lit(SEED), "id")).limit(sample) for v in (0, 1)]
     chosen = F.broadcast(chosen[0].union(chosen[1]))  # at most 2 * sample rows
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).where(F.octet_length("text") <= SAMPLE_BYTES)
-    rows = {r.id: (r.text.encode(), r.label) for r in texts.join(chosen, "id").collect()}
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    texts = texts.join(chosen, "id").groupBy("id", "label").agg(F.min("text").alias("text"))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, text in enumerate(batch.column("text").cast(pa.binary()).to_pylist()):
+                yield pa.RecordBatch.from_arrays([*batch.slice(i, 1).columns[:2], pa.array([spread(text).astype(np.uint16).tobytes()], pa.binary())], ["id", "label", "symbols"])
+
+    rows = {r.id: (np.frombuffer(r.symbols, np.uint16).reshape(-1, CHUNK), r.label) for r in texts.mapInArrow(cut, "id long, label int, symbols binary").collect()}
     ids = sorted(rows)
     given = np.array([rows[i][1] for i in ids], np.float64)
     if len(set(given.tolist())) < 2:

@@ -10,10 +10,6 @@ from pyspark.sql import functions as F
 from . import decontaminate, jaccard_join, language_model, license_scan, media, quality_classifier, sentence_pieces, sharding, token_counts, url_filter
 from .shared import read
 
-#: Labels of hosts whose pages make up the query's list of canonical URLs.
-LISTED_HOSTS = ["spam-farm", "cheap-pills", "casino-win", "free-bets", "ads-track"]
-
-
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(read(spark, sf_dir, "documents"))
 
@@ -49,8 +45,8 @@ def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read(spark, sf_dir, "pages")
-    host, path = url_filter.host(F.col("url")), url_filter.path(F.col("url"))
-    listed = pages.where(host.rlike(rf"(^|\.)({'|'.join(LISTED_HOSTS)})\.")).select(url_filter.canonical(host, path).alias("canonical"))
+    reported = pages.where("page_id % 50 = 0")  # the list: canonical URLs of a stated fiftieth; every page is judged
+    listed = reported.select(url_filter.canonical(url_filter.host(F.col("url")), url_filter.path(F.col("url"))).alias("canonical"))
     return url_filter.filter_urls(pages, listed)
 
 
@@ -111,7 +107,7 @@ WITH parts AS (
 ), named AS (
   SELECT *, regexp_replace(host, '^(www|m)\.', '') || regexp_replace(path, '(\.html|/)$', '') AS canonical FROM parts
 ), listed AS (
-  SELECT DISTINCT canonical FROM named WHERE regexp_matches(host, '(^|\.)({"|".join(LISTED_HOSTS)})\.')
+  SELECT DISTINCT canonical FROM named WHERE page_id % 50 = 0 AND canonical <> ''
 ), judged AS (
   SELECT n.*, l.canonical IS NOT NULL AS listed, CASE
     WHEN (host = 'example.net' OR ends_with(host, '.example.net')) AND starts_with(path, '/en/') THEN 'example.net/en/'
@@ -124,4 +120,26 @@ SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/')
 FROM judged
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_ngram_jaccard_join": OP1_SQL, "op8_benchmark_decontamination": OP8_SQL, "op9_url_filters": OP9_SQL}
+#: Ranks within each source and fractional ranks over all rows, without ranges.
+OP10_SQL = r"""
+WITH crc_table AS (
+  SELECT list_transform(range(256), lambda b: list_reduce(range(8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, b)) AS t
+), rows AS (
+  SELECT doc_id, coalesce(text, '') AS text, coalesce('s' || source, '') AS stratum FROM documents
+), hashed AS (
+  SELECT doc_id, stratum, octet_length(encode(text)) + 8 AS size,
+    xor(list_reduce(list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda p: ('0x' || p)::BIGINT), lambda c, b: xor(c >> 8, t[xor(c & 255, b) + 1]), 4294967295::BIGINT), 4294967295) AS crc
+  FROM rows, crc_table
+), shuffled AS (
+  SELECT *, md5('20240607|' || stratum || '|' || coalesce(doc_id::VARCHAR, '') || '|' || crc)[1:16] AS h FROM hashed
+), ranked AS (
+  SELECT *, 2 * row_number() OVER (PARTITION BY stratum ORDER BY h, doc_id, crc, size) - 1 AS odd, count(*) OVER (PARTITION BY stratum) AS of FROM shuffled
+), placed AS (
+  SELECT *, row_number() OVER (ORDER BY odd::DOUBLE / of, h, stratum, doc_id, crc, size) - 1 AS place, count(*) OVER () AS total FROM ranked
+), cut AS (
+  SELECT *, place * 24 // total AS shard FROM placed
+)
+SELECT doc_id, size, crc AS text_crc32, 'rows' AS law, shard::INTEGER AS shard, place - (shard * total + 23) // 24 AS slot, NULL::INTEGER AS grown_shard FROM cut
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_ngram_jaccard_join": OP1_SQL, "op8_benchmark_decontamination": OP8_SQL, "op9_url_filters": OP9_SQL, "op10_sharding": OP10_SQL}

@@ -6,7 +6,8 @@ the mixture's proportions, so cutting it evenly gives each shard that mixture.
 
 Ranks come from counts: hash ranges are counted and their offsets summed, and only rows
 inside one range are sorted together.  So a source with a third of all rows is ranked by
-as many tasks as it has ranges, and no task ever orders the whole table.
+as many tasks as it has ranges, and no task ever orders the whole table.  Rows that are
+equal in all that matters here are counted first and dealt as one until their places are known.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ from .shared import cut
 
 SEED = 20_240_607
 ROWS_PER_RANGE = 10_000
+#: Stretches whose offsets one task sums.
+BLOCK = 4096
 
 
 def stratified_shards(docs: DataFrame, shards: int = 24, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -36,23 +39,31 @@ def stratified_shards(docs: DataFrame, shards: int = 24, seed: int = SEED, id_co
         F.crc32(F.encode(text, "UTF-8")).alias("crc"),
         F.coalesce(F.concat(F.lit("s"), F.col(source_col).cast("string")), F.lit("")).alias("stratum"),
     )
-    rows = cut(rows.withColumn("h", F.xxhash64(F.lit(seed), "stratum", "id", "crc")))
-    total = rows.count()
-    bits = min(24, max(0, (total // ROWS_PER_RANGE).bit_length()))
-    ranges = 1 << bits
-    # The hash's first bits, the sign turned over, so that ranges ascend as the hash itself does.
-    rows = rows.withColumn("range", F.shiftrightunsigned(F.col("h").bitwiseXOR(F.lit(-(1 << 63)).cast("long")), 64 - bits) if bits else F.lit(0).cast("long"))
+    shuffled = F.md5(F.concat_ws("|", F.lit(str(seed)), "stratum", F.coalesce(F.col("id").cast("string"), F.lit("")), F.col("crc").cast("string")))
+    rows = rows.withColumn("h", F.substring(shuffled, 1, 16))
+    rows = cut(rows.groupBy("h", "stratum", "id", "crc", "size").agg(F.count("*").alias("copies")))
+    total = rows.agg(F.sum("copies")).first()[0] or 0
+    digits = 0
+    while total > ROWS_PER_RANGE << 4 * digits:
+        digits += 1
+    ranges = 1 << 4 * digits
+    rows = rows.withColumn("range", F.substring("h", 1, digits) if digits else F.lit(""))  # hexadecimal digits ascend as the hash does
 
     before = Window.partitionBy("stratum").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = rows.groupBy("stratum", "range").agg(F.count("*").alias("n")).select(
+    offsets = rows.groupBy("stratum", "range").agg(F.sum("copies").alias("n")).select(
         "stratum", "range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("below"), F.sum("n").over(Window.partitionBy("stratum")).alias("of"),
     )
-    inside = F.row_number().over(Window.partitionBy("stratum", "range").orderBy("h", "id", "crc", "size"))
-    ranked = rows.join(offsets, ["stratum", "range"]).select("id", "size", "crc", "stratum", "h", "of", (2 * (F.col("below") + inside) - 1).alias("odd"))
+    inside = F.sum("copies").over(Window.partitionBy("stratum", "range").orderBy("h", "id", "crc", "size").rowsBetween(Window.unboundedPreceding, 0))
+    ranked = rows.join(offsets, ["stratum", "range"]).withColumn("last", F.col("below") + inside)
+    ranked = ranked.withColumn("rank", F.explode(F.sequence(F.col("last") - F.col("copies") + 1, "last")))
+    ranked = ranked.select("id", "size", "crc", "stratum", "h", "of", (2 * F.col("rank") - 1).alias("odd"))
     ranked = cut(ranked.withColumn("stretch", F.expr(f"odd * {ranges}L div (2 * of)")))
 
-    before = Window.orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)  # over the counts of the stretches alone
-    offsets = ranked.groupBy("stretch").agg(F.count("*").alias("n")).select("stretch", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("below"))
+    # The stretches' offsets in two levels: a stretch within its block, a block among all.
+    counts = ranked.groupBy("stretch").agg(F.count("*").alias("n")).withColumn("block", F.expr(f"stretch div {BLOCK}L"))
+    up = Window.unboundedPreceding
+    blocks = counts.groupBy("block").agg(F.sum("n").alias("n")).select("block", F.coalesce(F.sum("n").over(Window.orderBy("block").rowsBetween(up, -1)), F.lit(0)).alias("base"))
+    offsets = counts.join(blocks, "block").select("stretch", (F.col("base") + F.coalesce(F.sum("n").over(Window.partitionBy("block").orderBy("stretch").rowsBetween(up, -1)), F.lit(0))).alias("below"))
     inside = F.row_number().over(Window.partitionBy("stretch").orderBy(F.col("odd") / F.col("of"), "h", "stratum", "id", "crc", "size"))
     placed = ranked.join(offsets, "stretch").withColumn("place", F.col("below") + inside - 1)
     placed = placed.withColumn("shard", F.expr(f"cast(place * {shards}L div {max(1, total)}L as int)"))

@@ -80,10 +80,11 @@ def filter_urls(pages: DataFrame, listed: DataFrame, rules: list[tuple[str, str,
     parts = pages.select(F.col(id_col), host(F.col(url_col)).alias("host"), path(F.col(url_col)).alias("path"))
     parts = parts.withColumn("canonical", canonical(F.col("host"), F.col("path")))
     parts = parts.withColumns({"block": _block(F.col("canonical"), blocks), "want": _bits(F.col("canonical"))})
-    probed = parts.join(filter_, "block", "left").withColumn("maybe", F.coalesce(F.col("bits").bitwiseAND(F.col("want")) == F.col("want"), F.lit(False)))
-    columns = [id_col, "host", "path", "canonical"]
-    hits = probed.where("maybe").select(*columns).join(listed.withColumn("listed", F.lit(True)), "canonical", "left").select(*columns, F.coalesce("listed", F.lit(False)).alias("listed"))
-    both = probed.where("not maybe").select(*columns, F.lit(False).alias("listed")).union(hits)
+    maybe = F.col("bits").bitwiseAND(F.col("want")) == F.col("want")
+    # Only possible hits have a key, so all others pass the exact join without a partner.
+    probed = parts.join(filter_, "block", "left").withColumn("key", F.when(maybe, F.col("canonical")))
+    exact = listed.select(F.col("canonical").alias("key"), F.lit(True).alias("listed"))
+    both = probed.join(exact, "key", "left").withColumn("listed", F.coalesce("listed", F.lit(False)))
     both = both.withColumn("r", rule_of(F.col("host"), F.col("path"), rules))
     return both.select(
         id_col, "host", "path", F.col("r.rule").alias("rule"),
