@@ -355,6 +355,22 @@ def test_lm_scoring(spark, docs, odd, small, monkeypatch):
         assert math.isclose(a[6], b[6], rel_tol=2e-3)  # the mixtures come from binned ratios
 
 
+@pytest.mark.parametrize("arity", [2, 3])
+def test_lm_scoring_through_groups(spark, odd, arity, monkeypatch):
+    """Several levels of groups, and rows so often repeated that they are counted first."""
+    monkeypatch.setattr(language_model, "CHUNK_BYTES", 9000)
+    monkeypatch.setattr(language_model, "BUCKET_KEYS", 200)
+    monkeypatch.setattr(language_model, "ARITY", arity)
+    monkeypatch.setattr(language_model, "REPEATS", 5)
+    again = [(None, "again and again"), (12, "again and once more"), (None, None)] * 9
+    key = lambda r: (r[0] is None, r[0] or 0, r[5], r[2])
+    got = sorted(map(tuple, language_model.score_documents(odd.union(frame(spark, again))).collect()), key=key)
+    for a, b in zip(got, sorted(brute_lm(odd_texts() + again), key=key), strict=True):
+        assert a[:5] == b[:5]
+        assert math.isclose(a[5], b[5], rel_tol=1e-9)
+        assert math.isclose(a[6], b[6], rel_tol=2e-3)
+
+
 def test_lm_beats_base_on_held_out(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     r = language_model.score_documents(docs).where("held_out").agg(F.sum("base_score"), F.sum("score"), F.sum("n_tokens")).first()
