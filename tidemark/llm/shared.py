@@ -2,28 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources import folders
+
 #: Spark drops the shuffle files of an execution at its end if this is set when its plan is made.
 CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder, ``spark.checkpoint.dir``; only a local session without one (tests) gets its own."""
-    context = spark.sparkContext
-    folder = context.getConf().get("spark.checkpoint.dir")
-    if folder is None:
-        if context.master.partition("[")[0] != "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        folder = tempfile.mkdtemp(prefix="tidemark-")
-    return folder
-
-
 @contextmanager
 def clean_up(spark: SparkSession) -> Iterator[None]:
     """Plans made inside leave no shuffle files behind once they have run."""
@@ -36,13 +26,13 @@ def clean_up(spark: SparkSession) -> Iterator[None]:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed once, its lineage cut by a checkpoint in the cluster's shared folder.
+    """``df`` computed once, its lineage cut by a checkpoint in the cluster's shared folder (see ``folders``).
 
     The shuffle files that led to it are dropped then: nothing reads them any more.
     """
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_folder(spark))
+        spark.sparkContext.setCheckpointDir(folders.shared(spark))
     with clean_up(spark):
         return df.select("*").checkpoint()
 
