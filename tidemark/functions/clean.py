@@ -51,3 +51,47 @@ def missing_fields(*columns: str) -> Column:
     """Names of the columns that hold no usable value, in the given order."""
     bad = [F.when(F.col(c).isNull() | F.lower(F.trim(F.col(c).cast("string"))).isin(MISSING), F.lit(c)) for c in columns]
     return F.array_compact(F.array(*bad))
+
+
+#: Price fields in the order in which they are tried.
+CASCADES = {
+    "quote": ["market", "close", "last"],
+    "index": ["last", "close", "bid", "ask", "market", "latest_bar"],
+}
+
+
+def cascade(name: str) -> tuple[Column, Column]:
+    """(price, field) of a named cascade over the fields' columns; in ``index`` zero counts as missing."""
+    held = {c: finite(F.col(c)) for c in CASCADES[name]}
+    if name == "index":
+        held = {c: F.nullif(v, F.lit(0.0)) for c, v in held.items()}
+    return F.coalesce(*held.values()), F.coalesce(*(F.when(v.isNotNull(), F.lit(c)) for c, v in held.items()), F.lit("missing"))
+
+
+def normalised_history(df: DataFrame, date: str = "d", order: str = "ordinal") -> DataFrame:
+    """Rows with a readable date, which loses its time zone; of a date the last row counts."""
+    text = F.regexp_replace(F.trim(F.col(date).cast("string")), r"([T ].*)$", "")
+    rows = df.withColumn(date, F.coalesce(text.try_cast("date"), F.try_to_date(text, "yyyyMMdd"))).where(F.col(date).isNotNull())
+    return keep_last(rows, [date], [order])
+
+
+def new_york(text: Column) -> Column:
+    """A time in New York: text with a UTC offset is converted, text without one is taken to be there already."""
+    zoned = text.rlike(r"([+-]\d{2}:?\d{2}|Z)$")
+    local = F.try_to_timestamp(F.regexp_replace(text, "T", " "), F.lit("yyyy-MM-dd HH:mm:ss"))
+    return F.when(zoned, F.from_utc_timestamp(text.try_cast("timestamp"), "America/New_York")).otherwise(local).cast("timestamp_ntz")
+
+
+def period_days(text: Column) -> Column:
+    """Days of a look-back such as ``2y`` or ``18mo``: years of 365 days, months of 30; null for other text."""
+    clean = F.lower(text)
+    count, unit = F.regexp_extract(clean, r"^(\d+)(y|mo)$", 1), F.regexp_extract(clean, r"^(\d+)(y|mo)$", 2)
+    return F.when(unit != "", count.cast("int") * F.when(unit == "y", 365).otherwise(30))
+
+
+def stamped(df: DataFrame, source_date: Column | None = None) -> DataFrame:
+    """``df`` with source_date and as_of_time where it lacks them (by default its own date), and always a new ingested_at."""
+    day = next((F.col(c) for c in ("date", "record_date", "d") if c in df.columns), F.lit(None))
+    given = (source_date if source_date is not None else day).cast("string")
+    held = {"source_date": given, "as_of_time": F.current_timestamp()}
+    return df.withColumns({c: F.coalesce(F.col(c), v) if c in df.columns else v for c, v in held.items()} | {"ingested_at": F.current_timestamp()})

@@ -99,7 +99,15 @@ def third_friday(day: Column) -> Column:
     return F.when(of(day) >= day, of(day)).otherwise(of(F.add_months(day, 1)))
 
 
-_erf = np.vectorize(math.erf, otypes=[float])
+def _cdf(x: np.ndarray) -> np.ndarray:
+    """``cdf`` on arrays."""
+    z = np.abs(x) / math.sqrt(2)
+    t = 1 / (1 + _ERF_P * z)
+    poly = np.zeros_like(z)
+    for a in reversed(_ERF):
+        poly = (poly + a) * t
+    erf = 1 - poly * np.exp(-z * z)
+    return np.where(x >= 0, (1 + erf) / 2, (1 - erf) / 2)
 
 
 @F.pandas_udf(DoubleType())
@@ -117,7 +125,7 @@ def implied_volatility(price_: pd.Series, spot: pd.Series, strike: pd.Series, ye
             a = (np.log(s / k) + (RATE + sigma**2 / 2) * t) / root
             b = a - root
             held = k * np.exp(-RATE * t)
-            na, nb = (1 + _erf(a / math.sqrt(2))) / 2, (1 + _erf(b / math.sqrt(2))) / 2
+            na, nb = _cdf(a), _cdf(b)
             model = np.where(call, s * na - held * nb, held * (1 - nb) - s * (1 - na))
             vega = s * np.exp(-a * a / 2) / math.sqrt(2 * math.pi) * np.sqrt(t)
             gap = model - p
@@ -127,3 +135,8 @@ def implied_volatility(price_: pd.Series, spot: pd.Series, strike: pd.Series, ye
                 break
             sigma = np.clip(sigma - step, 0.005, 4.0)
     return pd.Series(np.where(valid & done, sigma, np.nan)).replace({np.nan: None}).astype("Float64")
+
+
+def vega(spot: Column, strike: Column, years: Column, sigma: Column, rate: float = RATE) -> Column:
+    """Change of the price per unit of volatility."""
+    return F.when(usable(spot, strike, years, sigma), spot * pdf(d1(spot, strike, years, sigma, rate)) * F.sqrt(years))

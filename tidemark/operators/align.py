@@ -115,3 +115,48 @@ def offset_value(series: DataFrame, calendar: DataFrame, keys: list[str], sessio
     w = Window.partitionBy(*keys).orderBy(F.col("t").asc_nulls_first(), "side").rowsBetween(Window.unboundedPreceding, 0)
     joined = marks.unionByName(seen).withColumn("base", F.last("seen", ignorenulls=True).over(w)).where("side = 1")
     return joined.select(*keys, "d", "value", F.when(F.col("t").isNotNull(), F.col("base")).alias("base"))
+
+
+def at_or_before(observations: DataFrame, keys: list[str], day: str, business_days: int = 0, date: str = "d", value: str = "value") -> DataFrame:
+    """(keys, value, source_date): each key's last non-null value at or before the day, or so many weekdays before it."""
+    last = F.lit(day).cast("date")
+    if business_days:
+        # Whole weeks first, then single steps over a weekend.
+        weeks, rest = divmod(business_days, 5)
+        last = F.date_sub(F.date_sub(last, F.greatest(F.weekday(last) - 4, F.lit(0))), 7 * weeks)
+        last = F.date_sub(last, rest + F.when(F.weekday(last) < rest, 2).otherwise(0)) if rest else last
+    seen = observations.where((F.col(date) <= last) & F.col(value).isNotNull())
+    return seen.groupBy(*keys).agg(F.max_by(F.struct(F.col(value).alias("value"), F.col(date).alias("source_date")), date).alias("r")).select(*keys, "r.*")
+
+
+def official_frame(aligned: DataFrame, columns: list[str], key: str = "column", date: str = "d") -> DataFrame:
+    """One row a day from aligned (key, d, value, source_date): a column and its source date for each name.
+
+    Differences of columns that are there follow: net liquidity and spreads to the administered
+    rate, each with the oldest of its sources' dates.
+    """
+    wide = aligned.groupBy(date).pivot(key, columns).agg(F.first("value").alias("value"), F.first("source_date").alias("source_date"))
+    wide = wide.select(date, *(F.col(f"{c}_value").alias(c) for c in columns), *(F.col(f"{c}_source_date") for c in columns))
+
+    def derived(name: str, value: Column, *of: str) -> dict[str, Column]:
+        known = F.coalesce(*(F.when(F.col(c).isNull(), 0) for c in of), F.lit(1)) == 1
+        oldest = F.least(*(F.col(f"{c}_source_date") for c in of)) if len(of) > 1 else F.col(f"{of[0]}_source_date")
+        return {name: value, f"{name}_source_date": F.when(known, oldest)} if set(of) <= set(columns) else {}
+
+    c, spreads = F.col, {}
+    for rate in ("sofr", "tgcr", "effr"):
+        spreads |= derived(f"{rate}_iorb_bps", (c(f"{rate}_rate") - c("iorb")) * 100, f"{rate}_rate", "iorb")
+    spreads |= derived("sofr_75_iorb_bps", (c("sofr_p75") - c("iorb")) * 100, "sofr_p75", "iorb")
+    spreads |= derived("sofr_dispersion_bps", (c("sofr_p99") - c("sofr_rate")) * 100, "sofr_p99", "sofr_rate")
+    return wide.withColumns(derived("net_liq_b", c("fed_assets_b") - c("tga_b") - c("rrp_b"), "fed_assets_b", "tga_b", "rrp_b") | spreads)
+
+
+def resampled(observations: DataFrame, spine: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, d, value): series of any frequency carried forward to the spine's days, the latest of them alone."""
+    return asof(spine, observations, keys).groupBy(*keys).agg(F.max("d").alias("d"), F.max_by("value", "d").alias("value"))
+
+
+def merged_prices(pre: DataFrame, post: DataFrame, keys: list[str], price: str = "price") -> DataFrame:
+    """``unified`` in which the later price wins: one ``price`` column, the one after the close if there is one."""
+    both = unified(pre, post, keys)
+    return both.withColumn(price, F.coalesce(F.col(f"{price}_post"), F.col(price))).drop(f"{price}_post")

@@ -112,3 +112,9 @@ def cluster_names(events: DataFrame) -> DataFrame:
     moderate = events.where((F.col("layer") == "single") & (F.col("severity") >= rule["cluster_severity"]) & (F.col("confidence") >= rule["cluster_confidence"]))
     days = moderate.groupBy("d").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set("metric")), ",").alias("metrics"))
     return days.where(F.col("n") >= rule["cluster_count"])
+
+
+def ordered(events: DataFrame) -> DataFrame:
+    """``events`` with place: a day's order by severity, then confidence, both descending; the rest of the key settles ties."""
+    day = Window.partitionBy("d").orderBy(F.col("severity").desc(), F.col("confidence").desc(), "layer", "scope", "metric", "window_scope", "resonance_key")
+    return events.withColumn("place", F.row_number().over(day))

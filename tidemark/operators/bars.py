@@ -153,3 +153,45 @@ def weighted_flow(holdings: DataFrame) -> DataFrame:
     """(d, flow): summed change of shares times price in millions, from (symbol, d, shares, price)."""
     change = F.col("shares") - F.lag("shares").over(_days())
     return holdings.withColumn("f", change * F.col("price") / 1e6).groupBy("d").agg(F.sum("f").alias("flow"))
+
+
+def market_snapshot(bars: DataFrame) -> DataFrame:
+    """(symbol, d, change, close, sma_20, sma_50, sma_200, high_252, low_252, volume): what breadth counts of a day."""
+    w = _days()
+    means = {f"sma_{n}": F.when(F.row_number().over(w) >= n, F.avg("close").over(w.rowsBetween(1 - n, 0))) for n in (20, 50, 200)}
+    year = w.rowsBetween(-251, 0)
+    rows = bars.withColumns(means | {"change": F.col("close") - F.lag("close").over(w), "high_252": F.max("high").over(year), "low_252": F.min("low").over(year)})
+    return rows.select("symbol", "d", "change", "close", *means, "high_252", "low_252", "volume")
+
+
+def breadth_counts(snapshot: DataFrame) -> DataFrame:
+    """(d, total, advances, declines, trin, pct_20ma, pct_50ma, pct_200ma, nh, nl, net_nh_nl) of each day.
+
+    A rise or fall counts with its volume; a close within one percent of the year's extreme is a
+    new high or low; a symbol without an average is above none, but counts in the total.
+    """
+    c = F.col
+    moved = c("volume") > 0
+    up, down = moved & (c("change") > 0), moved & (c("change") < 0)
+    days = snapshot.groupBy("d").agg(
+        F.count("*").alias("total"), F.count_if(up).alias("advances"), F.count_if(down).alias("declines"),
+        F.coalesce(F.sum(F.when(up, c("volume"))), F.lit(0)).alias("up"), F.coalesce(F.sum(F.when(down, c("volume"))), F.lit(0)).alias("down"),
+        *(F.count_if(c("close") > c(f"sma_{n}")).alias(f"above_{n}") for n in (20, 50, 200)),
+        F.count_if(c("close") >= c("high_252") * 0.99).alias("nh"), F.count_if(c("close") <= c("low_252") * 1.01).alias("nl"),
+    )
+    trin = F.when((c("declines") > 0) & (c("down") > 0) & (c("up") > 0), (c("advances") / c("declines")) / (c("up") / c("down"))).otherwise(0.0)
+    shares = [F.round(c(f"above_{n}") / c("total") * 100, 1).alias(f"pct_{n}ma") for n in (20, 50, 200)]
+    return days.select("d", "total", "advances", "declines", F.round(trin, 2).alias("trin"), *shares, "nh", "nl", (c("nh") - c("nl")).alias("net_nh_nl"))
+
+
+def heatmap(bars: DataFrame, steps: tuple[int, ...] = (1, 5, 21, 63)) -> DataFrame:
+    """(symbol, d, r_1, r_5, ...): the latest row's returns of each symbol with more than the longest step plus one rows."""
+    w = _days()
+    rows = returns(bars, steps).withColumns({"n": F.row_number().over(w), "back": F.row_number().over(Window.partitionBy("symbol").orderBy(F.col("d").desc()))})
+    return rows.where((F.col("back") == 1) & (F.col("n") > max(steps) + 1)).drop("n", "back")
+
+
+def trailing_mean(ticks: DataFrame, keys: list[str], ts: str = "ts", value: str = "value", minutes: int = 15) -> DataFrame:
+    """``ticks`` with trailing_mean: over the rows of the key up to ``minutes`` before each, itself included."""
+    w = Window.partitionBy(*keys).orderBy(F.unix_micros(F.col(ts).cast("timestamp"))).rangeBetween(-minutes * 60_000_000, 0)
+    return ticks.withColumn("trailing_mean", F.avg(value).over(w))

@@ -126,3 +126,50 @@ def supports_and_drags(scored: DataFrame, keys: tuple[str, ...] = (), k: int = 3
     sides = [("support", F.col("score").desc(), F.col("score") >= 60), ("drag", F.col("score").asc(), F.col("score") <= 40)]
     parts = [eligible.withColumn("place", F.row_number().over(day.orderBy(order, "component"))).where((F.col("place") <= k) & bound).select(*keys, "d", F.lit(side).alias("side"), "place", "component", "score") for side, order, bound in sides]
     return parts[0].unionByName(parts[1])
+
+
+#: Columns shown beside the score, which don't count in it.
+CONTEXT = ["rrp_b", "reserves_t", "tga_b", "dix_pct", "gex_billions"]
+
+
+def context(latest: DataFrame, keys: tuple[str, ...] = (), columns: list[str] | None = None) -> DataFrame:
+    """(keys, d, one column for each name): values as known on each day, from (keys, d, column, value)."""
+    names = columns or CONTEXT + [c for c, _ in specs.FUNDING_GUARDS + specs.CREDIT_GUARDS]
+    return latest.groupBy(*keys, "d").agg(*(F.max(F.when(F.col("column") == c, F.col("value"))).alias(c) for c in names))
+
+
+def warnings(pillars: DataFrame, context_: DataFrame, tga_change: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, d, warnings): structural notes of a day in a fixed order, from pillars, context and (keys, d, tga_5d)."""
+    wide = pillars.groupBy(*keys, "d").agg(
+        *(F.max(F.when(F.col("pillar") == p, F.col("score"))).alias(p) for p in ("market_distribution", "funding_health", "credit_transmission")), F.max(F.when(F.col("pillar") == "funding_health", F.col("coverage"))).alias("funding_coverage"),
+    )
+    rows = wide.join(context_, [*keys, "d"], "left").join(tga_change, [*keys, "d"], "left")
+
+    def hit(bounds: list[tuple[str, float]]) -> Column:
+        found = F.lit(False)
+        for name, bound in bounds:
+            found = found | F.coalesce(F.col(name) >= bound, F.lit(False))
+        return found
+
+    c = F.col
+    # The bounds of the notes.
+    notes = [
+        (c("rrp_b") < 50, "reverse repo buffer nearly used up"), (c("reserves_t") < 2.85, "reserves in the sensitive range"), (c("tga_5d") >= 100, "treasury account up by 100 billion in five days"),
+        (c("market_distribution") < 45, "concentrated distribution"), (c("funding_coverage") < 0.60, "funding coverage thin"),
+        ((c("funding_health") < 30) & ~hit(specs.FUNDING_GUARDS), "funding weak but within absolute bounds"), ((c("credit_transmission") < 25) & ~hit(specs.CREDIT_GUARDS), "credit weak but within absolute bounds"),
+    ]
+    return rows.select(*keys, "d", F.array_join(F.array_compact(F.array(*(F.when(when, F.lit(text)) for when, text in notes))), "; ").alias("warnings"))
+
+
+def summary_rows(waterline_: DataFrame, pillars: DataFrame, sides: DataFrame, warnings_: DataFrame) -> DataFrame:
+    """(d, place, line): a day's report, line by line: state, composite, coverage, pillars, supports, drags, warnings."""
+    number = lambda c: F.coalesce(F.format_number(c, 1), F.lit("insufficient data"))
+    head = waterline_.select("d", F.posexplode(F.array(F.concat(F.lit("state: "), "state"), F.concat(F.lit("composite: "), number("composite")), F.concat(F.lit("coverage: "), F.format_number(F.col("coverage") * 100, 0), F.lit("%")))).alias("place", "line"))
+    order = F.lit(None).cast("int")
+    for i, (name, _) in enumerate(specs.PILLARS):
+        order = F.when(F.col("pillar") == name, 3 + i).otherwise(order)
+    body = pillars.select("d", order.alias("place"), F.concat("pillar", F.lit(": "), number("score")).alias("line"))
+    names = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "component", "score"))), lambda x: F.concat(x["component"], F.lit(" "), F.format_number(x["score"], 0))), "; ")
+    tail = sides.groupBy("d", "side").agg(names.alias("names")).select("d", F.when(F.col("side") == "support", 9).otherwise(10).alias("place"), F.concat("side", F.lit("s: "), "names").alias("line"))
+    notes = warnings_.where("warnings <> ''").select("d", F.lit(11).alias("place"), F.concat(F.lit("notes: "), "warnings").alias("line"))
+    return head.unionByName(body).unionByName(tail).unionByName(notes)

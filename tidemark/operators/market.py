@@ -92,3 +92,21 @@ def todays_log(lines: DataFrame, today: str, noise: list[str]) -> DataFrame:
     date = F.nullif(F.regexp_extract("line", r"^\[?(\d{4}-\d{2}-\d{2})", 1), F.lit(""))
     rows = lines.withColumn("_day", F.last(date, ignorenulls=True).over(w)).where(F.col("_day") == today)
     return rows.where(~F.col("line").rlike("|".join(noise)) if noise else F.lit(True)).drop("_day")
+
+
+def g3_liquidity(fed: Column, ecb: Column, boj: Column, eur_usd: Column, usd_jpy: Column) -> Column:
+    """Three central banks' assets in billions of dollars: millions of dollars, millions of euros, units of 100 million yen."""
+    value = fed / 1000 + ecb * F.coalesce(eur_usd, F.lit(1.0)) / 1000 + F.try_divide(boj / 10, F.coalesce(usd_jpy, F.lit(150.0)))
+    return F.when(fed > 0, F.round(value, 2))
+
+
+def sessions(bars: DataFrame, ts: str = "ts") -> DataFrame:
+    """Intraday bars with their local day and session: PRE before 09:30 New York, RTH to 16:00, POST after."""
+    local = F.from_utc_timestamp(F.col(ts), NEW_YORK)
+    clock = F.date_format(local, "HH:mm")
+    return bars.withColumns({"day": F.to_date(local), "session": F.when(clock < "09:30", "PRE").when(clock < "16:00", "RTH").otherwise("POST")})
+
+
+def largest(snapshot: DataFrame, k: int = 500, by: str = "market_cap", name: str = "name") -> DataFrame:
+    """The k rows with the greatest ``by``, ties by name: a top-k report, merged from each task's own top k."""
+    return snapshot.where(F.col(by).isNotNull()).orderBy(F.col(by).desc(), name).limit(k)

@@ -159,3 +159,35 @@ def flip_continuity(days: DataFrame) -> DataFrame:
         .when(jump, "JUMP_REVIEW").when(~F.col("expirations").eqNullSafe(F.col("p.expirations")), "ROLL_CHANGED").otherwise("OK")
     )
     return days.withColumn("p", before).select("ticker", "d", status.alias("status"))
+
+
+def assemble_chain(expirations: DataFrame, strikes: DataFrame, spots: DataFrame, most: int = 31) -> DataFrame:
+    """(ticker, dte, strike, cp): each sampled expiration with the ``most`` strikes around spot, both rights.
+
+    Strikes within 20 percent of spot count; half of ``most`` on either side of the nearest one,
+    so a ticker has at most expirations * ``most`` * 2 contracts.
+    """
+    inside = strikes.join(spots, "ticker").where((F.col("strike") >= F.col("spot") * 0.80) & (F.col("strike") <= F.col("spot") * 1.20)).select("ticker", "strike", "spot").distinct()
+    w = Window.partitionBy("ticker").orderBy("strike")
+    placed = inside.withColumn("i", F.row_number().over(w))
+    nearest = placed.groupBy("ticker").agg(F.min_by("i", F.struct(F.abs(F.col("strike") - F.col("spot")), "strike")).alias("mid"))
+    kept = placed.join(nearest, "ticker").where(F.abs(F.col("i") - F.col("mid")) <= most // 2).select("ticker", "strike")
+    return expirations.select("ticker", "dte").distinct().join(kept, "ticker").select("ticker", "dte", "strike", F.explode(F.array(F.lit("C"), F.lit("P"))).alias("cp"))
+
+
+def volume_ratio(chain: DataFrame) -> DataFrame:
+    """(ticker, volume_pcr): put over call volume of the nearest living expiration, to 2 places; null without call volume."""
+    alive = chain.where("dte >= 0")
+    first = alive.groupBy("ticker").agg(F.min("dte").alias("dte"))
+    calls, puts = (F.coalesce(F.sum(F.when(F.col("cp") == side, F.col("volume"))), F.lit(0)) for side in "CP")
+    return alive.join(first, ["ticker", "dte"]).groupBy("ticker").agg(F.when(calls > 0, F.round(puts / calls, 2)).alias("volume_pcr"))
+
+
+def middle_strikes(strikes: DataFrame, spots: DataFrame, share: float = 0.12, around: int = 20) -> DataFrame:
+    """(ticker, strike): strikes within ``share`` of spot, or of a ticker without any the ``around`` on either side of its middle one."""
+    rows = strikes.select("ticker", "strike").distinct().join(spots, "ticker")
+    w = Window.partitionBy("ticker")
+    near = (F.col("strike") >= F.col("spot") * (1 - share)) & (F.col("strike") <= F.col("spot") * (1 + share))
+    rows = rows.withColumns({"near": near, "any": F.bool_or(near).over(w), "i": F.row_number().over(w.orderBy("strike")) - 1, "mid": F.floor(F.count("*").over(w) / 2)})
+    between = (F.col("i") >= F.col("mid") - around) & (F.col("i") < F.col("mid") + around)
+    return rows.where(F.when(F.col("any"), F.col("near")).otherwise(between)).select("ticker", "strike")

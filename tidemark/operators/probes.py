@@ -96,3 +96,20 @@ def volume_ratio(up: Column, down: Column) -> Column:
 
 def job_status(missing: Column, expected: int) -> Column:
     return F.when(F.size(missing) == 0, "ok").when(F.size(missing) < expected, "partial").otherwise("failed")
+
+
+def macro_probe(rows: DataFrame) -> DataFrame:
+    """(d, level, findings) from (d, thrust, dix_divergence, term_inverted, vrp_panic, risk_averse): texts in order, points of the alert level."""
+    c = F.col
+    # What is found, and the points it adds to the alert level.
+    found = [
+        (c("thrust") == "thrust", "bottom confirmed by breadth", 0), (c("thrust") == "washout", "panic in breadth", 2), (c("dix_divergence"), "off-exchange divergence", 0),
+        (c("term_inverted"), "volatility curve inverted", 2), (c("vrp_panic"), "volatility premium extreme", 1), (c("risk_averse"), "credit against bonds turns averse", 1),
+    ]
+    level = sum((F.when(hit, points).otherwise(0) for hit, _, points in found), F.lit(0))
+    return rows.select("d", level.alias("level"), F.array_join(F.array_compact(F.array(*(F.when(hit, F.lit(text)) for hit, text, _ in found))), "; ").alias("findings"))
+
+
+def momentum_scan(snapshots: DataFrame, least: int = 30, bound: float = 2.0) -> DataFrame:
+    """(scope, metric, d, z, move): series more than ``bound`` deviations off with more than ``least`` rows, up or down."""
+    return snapshots.where((F.col("n") > least) & (F.abs("z") > bound)).select("scope", "metric", "d", "z", F.when(F.col("z") > 0, "up").otherwise("down").alias("move"))

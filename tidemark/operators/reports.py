@@ -30,3 +30,31 @@ def trend(waterline: DataFrame, last: int = 126) -> DataFrame:
     w = Window.orderBy("d")  # one row a day
     rows = waterline.select("d", "composite", "state", (F.col("composite") - F.lag("composite", 5).over(w)).alias("change_5"))
     return rows.withColumn("_back", F.row_number().over(Window.orderBy(F.col("d").desc()))).where(F.col("_back") <= last).drop("_back")
+
+
+def appendix_rows(snapshots: DataFrame, events: DataFrame) -> DataFrame:
+    """(d, section, name, text): the raw values and events behind a day's report."""
+    values = snapshots.select("d", F.lit("metrics").alias("section"), F.concat_ws("/", "scope", "metric").alias("name"), F.format_number("value", 4).alias("text"))
+    found = events.select("d", F.lit("events").alias("section"), F.concat_ws("/", "scope", "metric", "window_scope", "resonance_key").alias("name"), F.concat_ws(" ", "layer", F.col("severity").cast("string")).alias("text"))
+    return values.unionByName(found)
+
+
+def dashboard_rows(macro: DataFrame, micro: DataFrame, regimes: DataFrame, environment: DataFrame, liquidity: DataFrame) -> DataFrame:
+    """One row a day of everything that a dashboard shows; absent parts are null."""
+    out = macro
+    for part in (micro, regimes, environment.select("d", "composite"), liquidity.select("d", F.col("composite").alias("waterline"), F.col("state").alias("liquidity_state"))):
+        out = out.join(part, "d", "full")
+    return out
+
+
+def quadrant(pillars: DataFrame) -> DataFrame:
+    """(d, water_stock, flow_pulse, cell): a day's point of the level and flow chart; null where a score is missing."""
+    named = [F.max(F.when(F.col("pillar") == p, F.col("score"))).alias(p) for p in ("water_stock", "flow_pulse")]
+    level, flow = (F.when(F.col(c) >= 50, high).when(F.col(c) < 50, low) for c, high, low in (("water_stock", "high", "low"), ("flow_pulse", "inflow", "outflow")))
+    return pillars.groupBy("d").agg(*named).select("d", "water_stock", "flow_pulse", F.when(level.isNotNull() & flow.isNotNull(), F.concat_ws(" ", level, flow)).alias("cell"))
+
+
+def degraded_days(days: DataFrame, snapshots: DataFrame) -> DataFrame:
+    """(d, notice): the days of ``days`` for which no metric has a value, so that silence isn't taken for calm."""
+    seen = snapshots.where("value is not null").select("d").distinct()
+    return days.select("d").distinct().join(seen, "d", "left_anti").select("d", F.lit("no usable metric: upstream data missing").alias("notice"))

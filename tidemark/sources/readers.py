@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date, timedelta
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,9 +33,25 @@ def dix_csv(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.expr("try_to_date(date)").alias("d"), (number(F.col("dix")) * 100).alias("dix_pct"), (number(F.col("gex")) / 1e9).alias("gex_billions")).where("d is not null")
 
 
+SHORT_VOLUME = "Date string, Symbol string, ShortVolume string, ShortExemptVolume string, TotalVolume string, Market string"
+
+
 def short_volume(spark: SparkSession, path: str, symbols: list[str] | None = None) -> DataFrame:
     """(symbol, d, dpsv_pct) of pipe-delimited daily files; the trailing count line drops out."""
-    rows = spark.read.csv(path, header=True, sep="|", schema="Date string, Symbol string, ShortVolume string, ShortExemptVolume string, TotalVolume string, Market string")
+    return _short_shares(spark.read.csv(path, header=True, sep="|", schema=SHORT_VOLUME), symbols)
+
+
+def newest_short_volume(spark: SparkSession, folder: str, today: str, symbols: list[str] | None = None, back: int = 5, prefix: str = "CNMSshvol") -> DataFrame:
+    """``short_volume`` of the newest daily file among today's and those of the days before; empty if none is there."""
+    names = [f"{prefix}{date.fromisoformat(today) - timedelta(days=i):%Y%m%d}.txt" for i in range(back)]
+    rows = spark.read.csv(folder, header=True, sep="|", schema=SHORT_VOLUME, pathGlobFilter=f"{prefix}*.txt", recursiveFileLookup=True)
+    file = F.element_at(F.split("_metadata.file_path", "/"), -1)
+    held = rows.withColumn("file", file).where(F.col("file").isin(names))
+    newest = held.agg(F.max("file").alias("file"))
+    return _short_shares(held.join(F.broadcast(newest), "file"), symbols)
+
+
+def _short_shares(rows: DataFrame, symbols: list[str] | None) -> DataFrame:
     rows = rows.where(F.col("Symbol").isNotNull())
     if symbols:
         rows = rows.where(F.col("Symbol").isin(symbols))
@@ -41,6 +59,13 @@ def short_volume(spark: SparkSession, path: str, symbols: list[str] | None = Non
     return rows.select(F.col("Symbol").alias("symbol"), F.expr("try_to_date(Date, 'yyyyMMdd')").alias("d"), share.alias("dpsv_pct")).where("d is not null")
 
 
+def day_rows(stored: DataFrame, day: str, session: str | None = None, without_scope: str | None = None) -> DataFrame:
+    """A day's rows of a table partitioned by report_date, of one session, without a scope; only the day's partition is read."""
+    rows = stored.where(F.col("report_date") == F.lit(day).cast("date"))
+    rows = rows.where(F.col("session") == session) if session else rows
+    return rows.where(F.col("scope") != without_scope) if without_scope else rows
+
+
 def observations_json(spark: SparkSession, path: str, series: str) -> DataFrame:
     """(column, d, value, source_date) of documents {observations: [{date, value}]}; a dot is missing, the last of a date wins."""
     docs = spark.read.schema("observations array<struct<date:string,value:string>>").json(path, multiLine=True)

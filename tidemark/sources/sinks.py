@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+import logging
+import time
+from collections.abc import Callable
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.clean import keep_last
+from . import folders
+
+log = logging.getLogger(__name__)
 
 
 def stored(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -24,16 +31,47 @@ def replace_partitions(df: DataFrame, path: str, partition: str) -> None:
     df.repartition(F.col(partition)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
 
 
-def upsert(new: DataFrame, old: DataFrame, keys: list[str], path: str, partition: str) -> None:
-    """New rows replace stored ones of their key; among new rows of a key any one stays.
+def upsert(new: DataFrame, old: DataFrame, keys: list[str], path: str, partition: str, order: list[str] | None = None) -> None:
+    """New rows replace stored ones of their key; among new rows of a key the last in ``order`` (by default of all columns).
 
-    Only the touched dates are read back and written.  The old rows are materialised first,
-    since their partitions are overwritten.
+    Only the touched dates are read back and written.  What will stand there is written to a
+    folder of its own first, since the old rows' partitions are overwritten.
     """
+    spark = new.sparkSession
     dates = new.select(partition).distinct()
     kept = old.join(F.broadcast(dates), partition, "left_semi").join(new.select(*keys).distinct(), keys, "left_anti")
-    merged = new.dropDuplicates(keys).unionByName(kept, allowMissingColumns=True).checkpoint()
-    replace_partitions(merged, path, partition)
+    latest = keep_last(new, keys, order or [c for c in new.columns if c not in keys])
+    merged, staged = latest.unionByName(kept, allowMissingColumns=True), folders.fresh(spark, "upsert")
+    merged.write.parquet(staged)
+    replace_partitions(spark.read.schema(merged.schema).parquet(staged), path, partition)
+
+
+def append(df: DataFrame, path: str, partition: str | None = None) -> None:
+    """Rows added to a log; none is looked at again."""
+    writer = df.write.mode("append")
+    (writer.partitionBy(partition) if partition else writer).parquet(path)
+
+
+def retried(write: Callable[[], None], tries: int = 3, wait: Callable[[float], None] = time.sleep) -> bool:
+    """Runs an idempotent write until it succeeds, after 1, 2, 4 ... seconds again; whether it did."""
+    for attempt in range(tries):
+        try:
+            write()
+            return True
+        except Exception as e:
+            log.warning("write failed (try %d of %d): %s", attempt + 1, tries, e)
+            if attempt < tries - 1:
+                wait(2**attempt)
+    return False
+
+
+def replace_dates(new: DataFrame, old: DataFrame, date: str = "d") -> DataFrame:
+    """``old`` without the dates that ``new`` has, and ``new``: a delimited history in which a date is written again."""
+    return old.join(F.broadcast(new.select(date).distinct()), date, "left_anti").unionByName(new)
+
+
+def write_csv(df: DataFrame, path: str) -> None:
+    df.write.mode("overwrite").option("header", "true").csv(path)
 
 
 def sync_day(active: DataFrame, path: str, partition: str = "report_date") -> None:
@@ -59,6 +97,9 @@ SCHEMAS = {
     "environment_daily": "report_date date, scores map<string,double>, coverage map<string,double>, composite double, state string",
     "liquidity_daily": "report_date date, composite double, coverage double, state string, pillars map<string,struct<score:double,coverage:double>>, details string",
     "sentinel_runs": "report_date date, fingerprint string, created_at timestamp",
+    "market_history": "report_date date, macro_score int, micro_score int, regime string, skeleton string, full_metrics map<string,double>, source_date date, as_of_time timestamp, ingested_at timestamp",
+    "spot_daily": "report_date date, ticker string, session string, price double, price_source string, previous_close double, poc double, ivr_pct double, oi_pcr double, gamma_flip double, call_wall double, put_wall double, is_final boolean, ingested_at timestamp",
+    "intraday_log": "report_date date, ts timestamp, price double, vwap double, trin double, ratio double, ctick double, alert string",
     "data_quality": "report_date date, job string, status string, missing array<string>, note string, created_at timestamp",
 }
 

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
+from ..sources import sinks
+
 
 def stream(spark: SparkSession, path: str, files_per_trigger: int = 1) -> DataFrame:
     """The events under ``path`` as a stream, ``ts`` as a UTC instant; each trigger is bounded by a number of files."""
@@ -68,6 +70,17 @@ def drain(df: DataFrame, keys: list[str], folder: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("r")).select(*keys, "r.*").select(*df.columns)
 
 
-def each_batch(df: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str):
-    """Starts a query whose batches go through an idempotent writer such as ``sinks.upsert``."""
-    return df.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).start()
+def each_batch(df: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, every: str | None = None):
+    """Starts a query whose batches go through an idempotent writer such as ``finalise``: what is there, or a scan ``every`` so often."""
+    trigger = {"processingTime": every} if every else {"availableNow": True}
+    return df.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**trigger).start()
+
+
+def finalise(path: str, schema: str, keys: list[str], partition: str = "d") -> Callable[[DataFrame, int], None]:
+    """A batch writer in which stored final rows stay as they are and all others are replaced by key."""
+
+    def write(rows: DataFrame, batch: int) -> None:
+        old = sinks.stored(rows.sparkSession, path, schema)
+        sinks.upsert(sinks.protect_final(rows, old, keys), old, keys, path, partition)
+
+    return write
