@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from . import queries as base
 from .functions import clean, pricing, series
-from .operators import align, anomaly, bars, environment, liquidity, market, options, probes, reports
+from .operators import align, anomaly, bars, liquidity, market, options, probes, reports
 from .plans import inputs
 from .queries import BENCHMARK, QUERIES, query, rounded
 from .sources import folders, readers, sinks
@@ -16,7 +16,6 @@ from .streaming import market as streams
 __all__ = ["QUERIES"]
 
 TODAY = "1998-06-30"
-HOLIDAYS = ["1995-07-04", "1996-07-04", "1997-07-04"]
 
 
 def _cents(name: str) -> Column:
@@ -197,7 +196,7 @@ def rate_spreads(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def g3_liquidity(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.col
-    value = market.g3_liquidity(c("vix") * 1000, c("move") * 1000, c("pct_200ma") * 1e5, c("credit_z"), c("trin") * 10)
+    value = market.g3_liquidity(c("vix") * 1000, c("move") * 1000, c("pct_200ma") * 1e5, c("credit_z"), c("trin") * 10 + 0.7)
     return base._macro_wide(spark, sf_dir).select("d", value.alias("g3_liq"))
 
 
@@ -254,7 +253,7 @@ def net_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     reports_ = inputs.table(spark, sf_dir, "part").select(
         F.date_add(F.lit(TODAY).cast("date"), -7 * (F.col("p_size") % 3)).alias("d"), F.col("p_type").alias("market"), F.col("p_size").cast("long").alias("long"), (F.col("p_partkey") % 17).alias("short"),
     )
-    return readers.net_positions(reports_, {"metal": "steel", "alloy": "copper", "other": "brass"})
+    return readers.net_positions(reports_, {"household": "economy", "parts": "small", "offers": "promo"})
 
 
 @query
@@ -472,7 +471,7 @@ def _document(rows: DataFrame, field: str, item: Column) -> DataFrame:
 def observations_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     wide, folder = base._macro_wide(spark, sf_dir), folders.fresh(spark, "observations")
     item = F.struct(F.col("d").cast("string").alias("date"), F.when(F.dayofmonth("d") == 5, ".").otherwise(F.col("vix").cast("decimal(18,4)").cast("string")).alias("value"))
-    _document(wide, "observations", item).write.json(folder)
+    _document(wide, "observations", item).write.option("maxRecordsPerFile", 1).json(folder)
     rows = readers.observations_json(spark, folder, "vix")
     return rounded(rows.withColumn("source_date", F.col("source_date").cast("string")))
 
@@ -482,7 +481,7 @@ def treasury_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     wide, folder = base._macro_wide(spark, sf_dir), folders.fresh(spark, "treasury")
     text = F.col("vix").cast("decimal(18,4)").cast("string")
     item = F.struct(F.col("d").cast("string").alias("record_date"), F.when(F.dayofmonth("d") < 20, text).otherwise("null").alias("close_today_bal"), F.when(F.dayofmonth("d") < 28, text).alias("open_today_bal"))
-    _document(wide, "data", item).write.json(folder)
+    _document(wide, "data", item).write.option("maxRecordsPerFile", 1).json(folder)
     return rounded(readers.treasury_json(spark, folder))
 
 
@@ -490,7 +489,7 @@ def treasury_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rates_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     wide, folder = base._macro_wide(spark, sf_dir), folders.fresh(spark, "rates")
     item = F.struct(F.col("d").cast("string").alias("effectiveDate"), F.col("trin").alias("percentRate"), (F.col("trin") + 0.5).alias("percentPercentile75"), F.when(F.dayofmonth("d") > 3, F.col("trin") + 1).alias("percentPercentile99"), F.col("vix").alias("volumeInBillions"))
-    _document(wide, "refRates", item).write.json(folder)
+    _document(wide, "refRates", item).write.option("maxRecordsPerFile", 1).json(folder)
     return rounded(readers.rates_json(spark, folder))
 
 

@@ -316,13 +316,12 @@ UNDATED = {
 DATED = {"asof_align": ["d", "source_date"], "third_friday": ["d", "expiry"], "stream_vwap": ["day"], "stream_alert_dedupe": ["day"]}
 
 
-def _text_dates(name: str, sql: str) -> str:
+def text_dates(sql: str, dates: list[str]) -> str:
     sql = re.sub(r"(SELECT |, )round\(", r"\g<1>0 + round(", sql)  # DuckDB may round to -0.0, Spark to 0.0
-    dates = [] if name in UNDATED else DATED.get(name, ["d"])
     return f"SELECT * REPLACE ({', '.join(f'{c}::VARCHAR AS {c}' for c in dates)}) FROM ({sql})" if dates else sql
 
 
-ORACLE_SQL = {name: _text_dates(name, sql) for name, sql in ORACLE_SQL.items()}
+ORACLE_SQL = {name: text_dates(sql, [] if name in UNDATED else DATED.get(name, ["d"])) for name, sql in ORACLE_SQL.items()}
 for _name in ("weekday_lag", "session_lag", "five_day_change", "rolling_z_or_zero", "rate_of_change", "monthly_yoy"):
     ORACLE_SQL[f"{_name}_all"] = ORACLE_SQL[_name]  # names of round 1
 ORACLE_SQL["leverage_drag_pairs"] = ORACLE_SQL["leverage_drag"]
