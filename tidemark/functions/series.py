@@ -6,8 +6,11 @@ Frames are bounded, so a series is processed as a stream of rows within its part
 
 from __future__ import annotations
 
-from pyspark.sql import Column, WindowSpec
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BASELINE, LEAST = 252, 30
 
@@ -84,3 +87,49 @@ def sign_flip(value: Column, w: WindowSpec, rows: int = 1) -> Column:
 
 def moving_average(value: Column, w: WindowSpec, rows: int) -> Column:
     return F.avg(value).over(w.rowsBetween(1 - rows, 0))
+
+
+#: Rows of a series that are ranked together; each block also holds the rows before it that its windows reach.
+BLOCK = 8192
+
+
+def rolling_stats(rows: DataFrame, keys: list[str], size: int = BASELINE, least: int = LEAST, value: str = "value", inclusive: bool = False) -> DataFrame:
+    """``rows``, (keys, value, n) among others with n the row's number in its series, with z and pct.
+
+    The same as ``zscore`` and ``percentile``, in numpy over blocks of a series: a frame that slides
+    by one row is not summed and copied anew for each row, and no task holds more than a block.
+    A null value gets nulls and doesn't count in others' frames.
+    """
+    schema = T.StructType([*rows.schema.fields, T.StructField("z", T.DoubleType()), T.StructField("pct", T.DoubleType())])
+    names = rows.columns
+    at = F.col("n") - 1
+    spilled = F.when(at % BLOCK >= BLOCK - (size - 1), F.array(F.floor(at / BLOCK), F.floor(at / BLOCK) + 1)).otherwise(F.array(F.floor(at / BLOCK)))
+
+    def stats(key: tuple, table: pa.Table) -> pa.Table:
+        table = table.sort_by("n")
+        number = table["n"].to_numpy()
+        z, pct = _frames(table[value].to_numpy(zero_copy_only=False).astype(np.float64), size, inclusive)
+        few = (number < least) | np.isnan(pct)
+        out = [*(table[c] for c in names), pa.array(z, mask=few), pa.array(pct, mask=few)]
+        return pa.table(out, names=[*names, "z", "pct"]).filter(pa.array(number > key[-1].as_py() * BLOCK))
+
+    return rows.withColumn("_block", F.explode(spilled)).groupBy(*keys, "_block").applyInArrow(stats, schema)
+
+
+def _frames(value: np.ndarray, size: int, inclusive: bool) -> tuple[np.ndarray, np.ndarray]:
+    """z and pct of each value in the frame of so many values that ends with it; NaN stands for null."""
+    z, pct = np.full(len(value), np.nan), np.full(len(value), np.nan)
+    for a in range(0, len(value), 1024):
+        b = min(a + 1024, len(value))
+        low = max(0, a - size + 1)
+        frame = np.lib.stride_tricks.sliding_window_view(np.concatenate([np.full(size - 1 - (a - low), np.nan), value[low:b]]), size)
+        own, known = value[a:b], ~np.isnan(frame)
+        held = known.sum(1)
+        with np.errstate(invalid="ignore", divide="ignore"):
+            mean = np.where(known, frame, 0.0).sum(1) / held
+            spread = np.sqrt(np.where(known, (frame - mean[:, None]) ** 2, 0.0).sum(1) / np.maximum(held - 1, 1))
+            flat = np.where(known, frame, -np.inf).max(1) == np.where(known, frame, np.inf).min(1)
+            z[a:b] = np.where(flat, 0.0, (own - mean) / np.where(flat, 1.0, spread))
+            share = ((frame <= own[:, None]) if inclusive else (frame < own[:, None])).sum(1) / held * 100
+        pct[a:b] = np.where(np.isnan(own), np.nan, np.where(flat & inclusive, 50.0, share))
+    return z, pct

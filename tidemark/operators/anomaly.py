@@ -30,10 +30,9 @@ def snapshot(facts: DataFrame, registry: DataFrame | None = None) -> DataFrame:
     rows = rows.where(F.col("value").isNotNull() & ~F.isnan("value") & (F.abs("value") != float("inf")))
     w = Window.partitionBy("scope", "metric").orderBy("d")
     v = F.col("value")
-    stats = rows.join(F.broadcast(registry), "metric").select(
-        "scope", "metric", "d", "value", "lag_days", "bad_dir", "rules", "z2", "z3", series.count_so_far(w).alias("n"),
-        series.zscore(v, w).alias("z"), series.percentile(v, w).alias("pct"), *(series.change(v, w, k).alias(f"chg_{k}d") for k in (1, 5, 21, 63)),
-    )
+    known = rows.join(F.broadcast(registry.select("metric")), "metric", "left_semi")
+    moved = known.select("scope", "metric", "d", v.cast("double").alias("value"), "lag_days", series.count_so_far(w).alias("n"), *(series.change(v, w, k).alias(f"chg_{k}d") for k in (1, 5, 21, 63)))
+    stats = series.rolling_stats(moved, ["scope", "metric"]).join(F.broadcast(registry), "metric")
     hits = F.filter("rules", lambda r: series.compare(r["op"], v, r["bound"]))
     danger = F.col("z") * F.col("bad_dir")
     z_sev = F.when((F.col("bad_dir") != 0) & (danger >= F.col("z3")), 3).when((F.col("bad_dir") != 0) & (danger >= F.col("z2")), 2).otherwise(0)
@@ -44,7 +43,7 @@ def snapshot(facts: DataFrame, registry: DataFrame | None = None) -> DataFrame:
     gap = F.when(F.col("entry.op").startswith(">"), F.col("entry.bound") - v).otherwise(v - F.col("entry.bound"))
     return stats.withColumns({
         "severity": F.greatest("abs_sev", "z_sev"), "dist_to_thr": gap, "days_in_risk": F.when(F.col("entry").isNotNull(), series.run_length(inside, w)),
-    }).drop("rules", "entry", "z2", "z3")
+    }).drop("rules", "entry", "z2", "z3", "kind")
 
 
 def single_and_multiwindow(snapshots: DataFrame) -> DataFrame:

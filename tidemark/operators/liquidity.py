@@ -42,7 +42,7 @@ def component_scores(facts: DataFrame, components: DataFrame | None = None, keys
     least number of distinct native dates a component has no score and quality 0.
     """
     spec = F.broadcast(components if components is not None else specs.components(facts.sparkSession))
-    rows = facts.where(F.col("value").isNotNull()).join(spec, "column")
+    rows = facts.where(F.col("value").isNotNull()).withColumn("value", F.col("value").cast("double")).join(spec, "column")
     w = Window.partitionBy(*keys, "component").orderBy("d")
     v = F.col("value")
     steps = F.array(*(F.lag(v, k).over(w) for k in (5, 20, 21)))
@@ -51,12 +51,10 @@ def component_scores(facts: DataFrame, components: DataFrame | None = None, keys
     rows = rows.withColumn("signal", moved)
     fresh = F.when(F.col("signal").isNotNull() & F.col("source_date").isNotNull() & ~F.col("source_date").eqNullSafe(F.lag(F.when(F.col("signal").isNotNull(), F.col("source_date"))).over(w)), 1).otherwise(0)
     rows = rows.withColumn("fresh", fresh)
-    frame = F.collect_list("signal").over(w.rowsBetween(-251, 0))
-    share = F.try_divide(F.size(F.filter(frame, lambda x: x <= F.col("signal"))), F.size(frame)) * 100
-    rank = F.when(F.array_min(frame) == F.array_max(frame), 50.0).otherwise(share)
     rows = rows.withColumns({
-        "observations": F.sum("fresh").over(w.rowsBetween(Window.unboundedPreceding, 0)), "rank": rank, "lag_days": weekday_lag(F.col("source_date"), F.col("d")),
+        "observations": F.sum("fresh").over(w.rowsBetween(Window.unboundedPreceding, 0)), "lag_days": weekday_lag(F.col("source_date"), F.col("d")), "n": series.count_so_far(w),
     })
+    rows = series.rolling_stats(rows, [*keys, "component"], least=0, value="signal", inclusive=True).withColumnRenamed("pct", "rank")
     freshness = F.when(F.col("lag_days").isNull(), 0.75).otherwise(F.pow(F.lit(0.85), F.greatest(F.lit(0), F.col("lag_days") - F.col("tolerance"))))
     quality = F.least(F.lit(1.0), F.col("observations") / F.greatest(F.lit(1), F.col("baseline"))) * freshness
     score = F.when(F.col("mode") == "reserves_buffer", reserve_score(v)).when(F.col("direction") > 0, F.col("rank")).otherwise(100 - F.col("rank"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import pricing
 
+# Levels of the grid, and how far it reaches from spot.
 GRID, WIDTH = 161, 0.20
 
 
@@ -23,15 +24,16 @@ def contracts(chain: DataFrame, spots: DataFrame) -> DataFrame:
 def gamma_curve(held: DataFrame) -> DataFrame:
     """(ticker, bucket, i, level, exposure): gamma re-priced on 161 levels within 20 percent of spot.
 
-    Each contract meets its own grid (an explode, no join); every bucket and ALL are grouping
-    sets of one aggregation with map-side sums.
+    Each contract meets its own grid (an explode, no join), summed map-side by bucket; ALL is
+    summed from the buckets' few rows.
     """
     at = F.explode(F.sequence(F.lit(0), F.lit(GRID - 1)))
-    rows = held.withColumn("i", at).withColumn("level", F.col("spot") * (1 - WIDTH + 2 * WIDTH * F.col("i") / (GRID - 1)))
-    value = pricing.dollar_gamma(F.col("level"), F.col("strike"), F.col("years"), F.col("iv"), F.col("oi"), F.col("cp"))
-    rows = rows.select("ticker", "bucket", "i", "level", value.alias("v"))
-    both = rows.groupingSets([["ticker", "i", "level", "bucket"], ["ticker", "i", "level"]], "ticker", "i", "level", "bucket").agg(F.sum("v").alias("exposure"))
-    return both.select("ticker", F.coalesce("bucket", F.lit("ALL")).alias("bucket"), "i", "level", F.coalesce("exposure", F.lit(0.0)).alias("exposure"))
+    level = F.col("spot") * (1 - WIDTH + 2 * WIDTH * F.col("i") / (GRID - 1))
+    rows = held.select("ticker", "bucket", "spot", "strike", "years", "iv", "oi", "cp", at.alias("i"))
+    value = pricing.dollar_gamma(level, F.col("strike"), F.col("years"), F.col("iv"), F.col("oi"), F.col("cp"))
+    own = rows.groupBy("ticker", "bucket", "spot", "i").agg(F.sum(value).alias("exposure"))
+    sets = own.groupingSets([["ticker", "spot", "i", "bucket"], ["ticker", "spot", "i"]], "ticker", "spot", "i", "bucket").agg(F.sum("exposure").alias("exposure"))
+    return sets.select("ticker", F.coalesce("bucket", F.lit("ALL")).alias("bucket"), "i", level.alias("level"), F.coalesce("exposure", F.lit(0.0)).alias("exposure"))
 
 
 def zero_points(curve: DataFrame) -> DataFrame:
