@@ -229,7 +229,7 @@ def test_stream_dedupe_over_batches(spark, tmp_path):
     folder = tmp_path / "events"
     for i in range(3):
         spark.sql(f"select timestamp_ntz '2024-01-01 10:0{i}:00' as ts, 1L as user_id, 'a' as event_type, 1.0D as value").coalesce(1).write.mode("append").parquet(str(folder))
-    out = market.drain(market.once_a_day(market.stream(spark, str(folder))), "dedupe_test", "append")
+    out = market.drain(market.once_a_day(market.stream(spark, str(folder))), ["day", "event_type"], str(tmp_path / "out"))
     assert out.count() == 1
 
 

@@ -32,15 +32,11 @@ def _spread(name: str, over: str, under: str) -> str:
     return f"round(({over} - {under}) * 100, 4) AS {name}"
 
 
-def _oldest(name: str, *of: str) -> str:
-    return f"least({', '.join(f'{c}_source_date' for c in of)})::VARCHAR AS {name}_source_date"
-
-
 _SPREADS = {"sofr_iorb_bps": ("sofr_rate", "iorb"), "tgcr_iorb_bps": ("tgcr_rate", "iorb"), "effr_iorb_bps": ("effr_rate", "iorb"), "sofr_75_iorb_bps": ("sofr_p75", "iorb"), "sofr_dispersion_bps": ("sofr_p99", "sofr_rate")}
 
 
-def _known(name: str, *of: str) -> str:
-    return f"CASE WHEN {' AND '.join(f'{c} IS NOT NULL' for c in of)} THEN least({', '.join(f'{c}_source_date' for c in of)}) END AS {name}_source_date"
+def _oldest(name: str, *of: str) -> str:
+    return f"least({', '.join(f'{c}_source_date' for c in of)}) AS {name}_source_date"
 
 
 SNAP = BARS + """, snap AS (
@@ -97,8 +93,8 @@ SQL: dict[str, str] = {
       SELECT d, (CASE WHEN a >= d THEN a ELSE (m + ((12 - isodow(m))::INT % 7) + 14)::DATE END - d)::INTEGER AS days FROM f""",
     "date_formats": "SELECT DISTINCT o_orderdate::DATE AS d, strftime(o_orderdate::DATE, '%Y%m%d') AS compact, o_orderdate::DATE::VARCHAR AS again FROM orders",
     "curve_forms": f"WITH {MACRO} SELECT d, round((move / nullif(vix, 0) - 1) * 100, 4) AS futures, round((1 - vix / nullif(move, 0)) * 100, 4) AS ratio, round((move / nullif(vix, 0) - 1) * 100, 4) AS backfill FROM wide",
-    "official_frame": f"""WITH {OFFICIAL} SELECT d, {", ".join(f"round({c}, 4) AS {c}, {c}_source_date::VARCHAR AS {c}_source_date" for c in _OFFICIAL)}, round(fed_assets_b - tga_b - rrp_b, 4) AS net_liq_b, {_known("net_liq_b", "fed_assets_b", "tga_b", "rrp_b")},
-      {", ".join(f"{_spread(n, a, b)}, {_known(n, a, b)}" for n, (a, b) in _SPREADS.items())} FROM wide""",
+    "official_frame": f"""WITH {OFFICIAL} SELECT d, {", ".join(f"round({c}, 4) AS {c}, {c}_source_date::VARCHAR AS {c}_source_date" for c in _OFFICIAL)}, round(fed_assets_b - tga_b - rrp_b, 4) AS net_liq_b, {_oldest("net_liq_b", "fed_assets_b", "tga_b", "rrp_b")},
+      {", ".join(f"{_spread(n, a, b)}, {_oldest(n, a, b)}" for n, (a, b) in _SPREADS.items())} FROM wide""",
     "net_liquidity": f"WITH {OFFICIAL} SELECT d, round(fed_assets_b - tga_b - rrp_b, 4) AS net_liq_b, least(fed_assets_b_source_date, tga_b_source_date, rrp_b_source_date) AS source_date FROM wide",
     "rate_spreads": f"WITH {OFFICIAL} SELECT d, {', '.join(_spread(n, a, b) for n, (a, b) in _SPREADS.items())} FROM wide",
     "g3_liquidity": f"WITH {MACRO} SELECT d, CASE WHEN vix > 0 THEN round(vix * 1000 / 1000 + move * 1000 * credit_z / 1000 + pct_200ma * 100000 / 10 / (trin * 10 + 0.7::DOUBLE), 2) END AS g3_liq FROM wide",

@@ -121,10 +121,10 @@ def at_or_before(observations: DataFrame, keys: list[str], day: str, business_da
     """(keys, value, source_date): each key's last non-null value at or before the day, or so many weekdays before it."""
     last = F.lit(day).cast("date")
     if business_days:
-        # Whole weeks first, then single steps over a weekend.
+        # From a weekend the count starts on Monday; whole weeks, then single days over at most one weekend.
         weeks, rest = divmod(business_days, 5)
-        last = F.date_sub(F.date_sub(last, F.greatest(F.weekday(last) - 4, F.lit(0))), 7 * weeks)
-        last = F.date_sub(last, rest + F.when(F.weekday(last) < rest, 2).otherwise(0)) if rest else last
+        last = F.date_sub(F.when(F.weekday(last) > 4, F.date_add(last, 7 - F.weekday(last))).otherwise(last), 7 * weeks)
+        last = F.date_sub(last, rest + F.when(F.weekday(last) < rest, 2).otherwise(0))
     seen = observations.where((F.col(date) <= last) & F.col(value).isNotNull())
     return seen.groupBy(*keys).agg(F.max_by(F.struct(F.col(value).alias("value"), F.col(date).alias("source_date")), date).alias("r")).select(*keys, "r.*")
 
@@ -133,15 +133,14 @@ def official_frame(aligned: DataFrame, columns: list[str], key: str = "column",
     """One row a day from aligned (key, d, value, source_date): a column and its source date for each name.
 
     Differences of columns that are there follow: net liquidity and spreads to the administered
-    rate, each with the oldest of its sources' dates.
+    rate, each with the oldest of its sources' dates that are known.
     """
     wide = aligned.groupBy(date).pivot(key, columns).agg(F.first("value").alias("value"), F.first("source_date").alias("source_date"))
     wide = wide.select(date, *(F.col(f"{c}_value").alias(c) for c in columns), *(F.col(f"{c}_source_date") for c in columns))
 
     def derived(name: str, value: Column, *of: str) -> dict[str, Column]:
-        known = F.coalesce(*(F.when(F.col(c).isNull(), 0) for c in of), F.lit(1)) == 1
         oldest = F.least(*(F.col(f"{c}_source_date") for c in of)) if len(of) > 1 else F.col(f"{of[0]}_source_date")
-        return {name: value, f"{name}_source_date": F.when(known, oldest)} if set(of) <= set(columns) else {}
+        return {name: value, f"{name}_source_date": oldest} if set(of) <= set(columns) else {}
 
     c, spreads = F.col, {}
     for rate in ("sofr", "tgcr", "effr"):
