@@ -8,7 +8,8 @@ length, and a document is held only against partitions it is large enough for.
 hits are then verified by exact shingle containment.
 
 The items are the stated query set: they are shipped to the tasks in blocks of bounded
-size, one pass over the documents a block.
+size, one pass over the documents a block.  That suits benchmarks, some ten thousand items a
+block; an item table as large as the documents is a join of two corpora, which this is not.
 """
 
 from __future__ import annotations
