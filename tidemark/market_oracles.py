@@ -104,6 +104,8 @@ SQL: dict[str, str] = {
       SELECT scope, metric, any_value(e.d) AS d, round(arg_max(value, k.d) FILTER (k.d <= e.d), 4) AS value FROM k, e GROUP BY scope, metric""",
     "strict_previous": f"WITH {FACTS} SELECT scope, metric, d, (lag(d) OVER w)::VARCHAR AS previous, round(value - lag(value) OVER w, 4) AS increment FROM facts WINDOW w AS (PARTITION BY scope, metric ORDER BY d)",
     "merged_prices": f"WITH {DAILY} SELECT d, coalesce(CASE WHEN s.n % 3 > 0 THEN ship_price END, o.price) AS price FROM o FULL JOIN s USING (d)",
+    "priority_dated": f"""WITH {DAILY}, a AS (SELECT d, CASE WHEN n % 4 > 0 THEN n END AS n, d - 1 AS s FROM s), b AS (SELECT d, CASE WHEN n % 5 > 0 THEN n END AS n, d - 7 AS s FROM o)
+      SELECT d, coalesce(a.n, b.n) AS n, CASE WHEN a.n IS NOT NULL THEN 'first' WHEN b.n IS NOT NULL THEN 'second' END AS n_from, CASE WHEN a.n IS NOT NULL THEN a.s WHEN b.n IS NOT NULL THEN b.s END AS n_source_date FROM a FULL JOIN b USING (d)""",
     "with_fallback": f"WITH {DAILY} SELECT d, n FROM s UNION ALL SELECT d, n FROM o WHERE d NOT IN (SELECT d FROM s)",
     "latest_rows": f"WITH {FACTS} SELECT scope, metric, max(d) AS d, round(arg_max(value, d), 4) AS value FROM facts WHERE d BETWEEN DATE '1996-01-01' AND {TODAY} GROUP BY ALL",
     "wide_to_long": f"WITH {FACTS} SELECT d, metric, round(value, 4) AS value FROM facts WHERE scope = 'MACRO'",
@@ -224,6 +226,6 @@ _DATED = {
         "liquidity_quadrant", "raw_appendix", "degraded_days", "metadata_stamp", "short_volume_files", "observations_json", "treasury_json", "rates_json", "dix_csv", "upserted", "finalised", "synced_days", "appended_log", "replaced_dates",
         "rolling_cache", "stale_events", "stream_finalised",
     )
-} | {"net_liquidity": ["d", "source_date"], "official_frame": ["d", "net_liq_b_source_date", *(f"{n}_source_date" for n in _SPREADS)]}
+} | {"net_liquidity": ["d", "source_date"], "priority_dated": ["d", "n_source_date"], "official_frame": ["d", "net_liq_b_source_date", *(f"{n}_source_date" for n in _SPREADS)]}
 
 ORACLE_SQL |= {name: text_dates(sql, _DATED.get(name, [])) for name, sql in SQL.items()}

@@ -230,6 +230,15 @@ def merged_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.merged_prices(orders.select("d", "price"), ships.select("d", F.when(F.col("n") % 3 > 0, F.col("ship_price")).alias("price")), ["d"])
 
 
+@query
+def priority_dated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two tables of one measure, each with gaps and the dates that its values are from."""
+    orders, ships = base._daily(spark, sf_dir)
+    first = ships.select("d", F.when(F.col("n") % 4 > 0, F.col("n")).alias("n"), F.date_sub("d", 1).alias("n_source_date"))
+    second = orders.select("d", F.when(F.col("n") % 5 > 0, F.col("n")).alias("n"), F.date_sub("d", 7).alias("n_source_date"))
+    return align.priority_merge(first, second, ["d"], ["n"])
+
+
 @query
 def with_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of one table, and of another where the first has no such key."""

@@ -82,12 +82,18 @@ def effective_observations(aligned: DataFrame, keys: list[str], date: str = "d")
 
 
 def priority_merge(first: DataFrame, second: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
-    """Full outer join in which a value of ``first`` wins over ``second``; each value tells its table."""
+    """Full outer join in which a value of ``first`` wins over ``second``; each value tells its table.
+
+    Where both tables have ``<value>_source_date``, the winner's comes with its value.
+    """
     a, b = first.alias("a"), second.alias("b")
     both = a.join(b, [F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys], "full")
     picked = [F.coalesce(F.col(f"a.{k}"), F.col(f"b.{k}")).alias(k) for k in keys]
     for v in values:
         picked += [F.coalesce(F.col(f"a.{v}"), F.col(f"b.{v}")).alias(v), F.when(F.col(f"a.{v}").isNotNull(), "first").when(F.col(f"b.{v}").isNotNull(), "second").alias(f"{v}_from")]
+        dated = f"{v}_source_date"
+        if dated in first.columns and dated in second.columns:
+            picked.append(F.when(F.col(f"a.{v}").isNotNull(), F.col(f"a.{dated}")).when(F.col(f"b.{v}").isNotNull(), F.col(f"b.{dated}")).alias(dated))
     return both.select(*picked)
 
 
