@@ -124,7 +124,7 @@ def near_copies(n, size=70, seed=5):
     return rows
 
 
-@pytest.mark.parametrize("seed", [5, 6])
+@pytest.mark.parametrize("seed", [6])
 def test_jaccard_join_large_family(spark, seed, monkeypatch):
     """Components are whole, and the pairs whose sets are compared grow in proportion to the rows."""
     compared, overlaps = [], jaccard_join._overlaps
