@@ -9,7 +9,7 @@ from . import queries as base
 from .functions import clean, pricing, series
 from .operators import align, anomaly, bars, liquidity, market, options, probes, reports
 from .plans import inputs
-from .queries import BENCHMARK, QUERIES, query, rounded
+from .queries import QUERIES, query, rounded
 from .sources import folders, readers, sinks
 from .streaming import market as streams
 
