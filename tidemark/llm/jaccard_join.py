@@ -228,7 +228,7 @@ def _classes(rows: DataFrame) -> DataFrame:
 
     placed = sets.select("node", "k", "n").join(parts.withColumnRenamed("node", "k"), "k", "left").withColumn("c", F.coalesce("component", "k"))
     placed = placed.select("node", "n", "c").join(classes.select("node", "rep"), "node")
-    smallest = placed.groupBy("c").agg(F.min("rep").alias("smallest"), F.min("node").alias("part"))
+    smallest = cut(placed.groupBy("c").agg(F.min("rep").alias("smallest"), F.min("node").alias("part")))  # so that Spark can split the join of a large component
     placed = placed.join(smallest, "c").select("node", "n", "smallest", "part")
     return classes.join(placed, "node", "left").select("node", "rep", F.coalesce("n", "lone_n").alias("n"), F.coalesce("smallest", "rep").alias("smallest"), F.coalesce("part", "node").alias("part"))
 
@@ -244,7 +244,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     empty table gives an empty one.
     """
     rows = _texts(docs, id_col, text_col)
-    return rows.select("id", "node").join(_classes(rows), "node").select(
+    classes = cut(_classes(rows))  # so that Spark can split the join of a text with very many copies
+    return rows.select("id", "node").join(classes, "node").select(
         F.col("id").alias(id_col),
         F.col("n").alias("n_shingles"),
         F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("smallest")).alias("component_id"),
