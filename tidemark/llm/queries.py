@@ -120,6 +120,46 @@ SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/')
 FROM judged
 """
 
+_TEMPLATES = ", ".join(f"({i}, '{label}', '{text}')" for i, (label, text) in enumerate(license_scan.TEMPLATES))
+
+#: Phrases by neighbouring words; every line, and every window from a template's token on, is counted.
+OP6_SQL = rf"""
+WITH lines AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS n FROM documents
+), found AS (
+  SELECT doc_id, n, regexp_extract_all({_LOW.format("line")}, '[a-z0-9\x{{80}}-\x{{10FFFF}}]+') AS w FROM lines
+), words AS (
+  SELECT doc_id, n, word, row_number() OVER (PARTITION BY doc_id ORDER BY n, i) - 1 AS pos FROM (SELECT doc_id, n, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM found)
+), next AS (
+  SELECT *, lead(word, 1) OVER o AS second, lead(word, 2) OVER o AS third FROM words WINDOW o AS (PARTITION BY doc_id ORDER BY pos)
+), places AS (
+  SELECT doc_id, pos, CASE WHEN word = 'cc' AND second = 'by' THEN 'cc-by' WHEN word = 'general' AND second = 'public' AND third = 'license' THEN 'gpl' WHEN word = 'all' AND second = 'rights' AND third = 'reserved' THEN 'reserved' END AS label FROM next
+), base AS (
+  SELECT doc_id, count(*) AS n_words, count(label) AS n_base, min(pos) FILTER (label IS NOT NULL) AS first_word, max(pos) FILTER (label IS NOT NULL) AS last_word FROM places GROUP BY doc_id
+), templates AS (
+  SELECT i, label, regexp_extract_all({_LOW.format("text")}, '[a-z0-9]+') AS w FROM (VALUES {_TEMPLATES}) t(i, label, text)
+), sized AS (
+  SELECT i, label, list_distinct(w) AS tokens, len(list_distinct(w)) AS size, ceil(round(0.85::DOUBLE * len(list_distinct(w)), 9)) AS need, floor(round(len(w) / 0.85::DOUBLE, 9)) AS width FROM templates
+), hits AS (
+  SELECT doc_id, n, pos, word, i, label, size, need, width FROM words JOIN (SELECT *, unnest(tokens) AS token FROM sized) ON word = token
+), likely AS (
+  SELECT doc_id, i FROM hits GROUP BY ALL HAVING count(DISTINCT word) >= any_value(need)
+), kept AS (
+  SELECT h.* FROM hits h JOIN likely USING (doc_id, i)
+), joined AS (
+  SELECT doc_id, label, count(DISTINCT word) / any_value(size) AS share FROM kept GROUP BY doc_id, n, i, label HAVING count(DISTINCT word) >= any_value(need)
+  UNION ALL SELECT a.doc_id, a.label, count(DISTINCT b.word) / any_value(a.size) FROM kept a JOIN kept b ON a.doc_id = b.doc_id AND a.i = b.i AND b.pos BETWEEN a.pos AND a.pos + a.width - 1 GROUP BY a.doc_id, a.i, a.label, a.pos HAVING count(DISTINCT b.word) >= any_value(a.need)
+), own AS (
+  SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT doc_id, label FROM places WHERE label IS NOT NULL UNION ALL SELECT doc_id, label FROM joined) GROUP BY doc_id
+), plain AS (
+  SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM places WHERE label IS NOT NULL GROUP BY doc_id
+), best AS (
+  SELECT doc_id, max(share) AS score FROM joined GROUP BY doc_id
+)
+SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0)::DOUBLE AS score
+FROM documents LEFT JOIN base USING (doc_id) LEFT JOIN plain USING (doc_id) LEFT JOIN own USING (doc_id) LEFT JOIN best USING (doc_id)
+"""
+
 #: Ranks within each source and fractional ranks over all rows, without ranges.
 OP10_SQL = r"""
 WITH crc_table AS (
@@ -142,4 +182,4 @@ WITH crc_table AS (
 SELECT doc_id, size, crc AS text_crc32, 'rows' AS law, shard::INTEGER AS shard, place - (shard * total + 23) // 24 AS slot, NULL::INTEGER AS grown_shard FROM cut
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_ngram_jaccard_join": OP1_SQL, "op8_benchmark_decontamination": OP8_SQL, "op9_url_filters": OP9_SQL, "op10_sharding": OP10_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_ngram_jaccard_join": OP1_SQL, "op6_license_scans": OP6_SQL, "op8_benchmark_decontamination": OP8_SQL, "op9_url_filters": OP9_SQL, "op10_sharding": OP10_SQL}
