@@ -227,17 +227,6 @@ def read_model(spark: SparkSession, path: str = MODEL) -> bytes:
     return bytes(spark.read.format("binaryFile").load(path).select("content").first()[0])
 
 
-_models: dict[bytes, Model] = {}
-
-
-def loaded(content: bytes) -> Model:
-    """The model of a file's content; a Python worker builds the one it uses once for all its tasks."""
-    if content not in _models:
-        _models.clear()
-        _models[content] = Model(content)
-    return _models[content]
-
-
 def encode_pieces(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_pieces, ids, round_trip) of every row: its piece ids, and whether they decode to the text.
 
@@ -249,7 +238,7 @@ def encode_pieces(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_co
     shipped = docs.sparkSession.sparkContext.broadcast(model)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = loaded(shipped.value)
+        m = Model(shipped.value)  # not kept between tasks: its tables of some 100 MB would stay with the worker
         for batch in batches:
             raw, offsets = hashing.text_bytes(batch.column("text"))
             for a, b in hashing.slices(offsets, SLICE):
@@ -273,7 +262,7 @@ def decode_pieces(encoded: DataFrame, model: bytes, id_col: str = "doc_id", ids_
     shipped = encoded.sparkSession.sparkContext.broadcast(model)
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = loaded(shipped.value)
+        m = Model(shipped.value)
         for batch in batches:
             lists = [np.array(x or [], np.int64) for x in batch.column("ids").to_pylist()]
             text, ends = m.decode(np.concatenate([np.zeros(0, np.int64), *lists]), np.cumsum([0, *map(len, lists)]))

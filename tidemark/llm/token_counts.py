@@ -73,18 +73,6 @@ def piece_counts(automaton: LongestMatch, low: np.ndarray, start: np.ndarray, en
     return out
 
 
-_automata: dict[tuple[bytes, ...], LongestMatch] = {}
-
-
-def automaton_of(pieces: list[bytes]) -> LongestMatch:
-    """The pieces' automaton; a Python worker builds the one it uses once for all its tasks."""
-    key = tuple(pieces)
-    if key not in _automata:
-        _automata.clear()
-        _automata[key] = LongestMatch(pieces)
-    return _automata[key]
-
-
 def count_tokens(docs: DataFrame, pieces: list[bytes], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_words, n_tokens) of every row: words, and their greedy longest-match pieces.
 
@@ -96,7 +84,7 @@ def count_tokens(docs: DataFrame, pieces: list[bytes], id_col: str = "doc_id", t
     shipped = docs.sparkSession.sparkContext.broadcast(pieces)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = automaton_of(shipped.value)
+        automaton = LongestMatch(shipped.value)  # not kept between tasks: its tables would stay with the worker
         for batch in batches:
             raw, offsets = hashing.text_bytes(batch.column("text"))
             for a, b in hashing.slices(offsets, SLICE):
