@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing
-from .shared import clean_up, cut, fold
+from .shared import cut, fold, step
 
 #: Bytes of text in a chunk, and about so many keys in a bucket.
 CHUNK_BYTES = 8 << 20
@@ -340,7 +340,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     held = rows.where(F.col("kind") == HELD).select("chunk", "text", "times").groupBy("chunk")
     answers = replies.where(F.col("chunk") < chunks[HELD]).select("bucket", "chunk", "main").groupBy("chunk")
     binned = held.cogroup(answers).applyInArrow(_held_out(finest, n_main, n_types, starts[MAIN]), "bucket long, r2 long, r1 long, n long, sum2 double, sum1 double")
-    with clean_up(docs.sparkSession):
+    with step(docs.sparkSession):
         binned = binned.groupBy("bucket", "r2", "r1").agg(F.sum("n").alias("n"), F.sum("sum2").alias("s2"), F.sum("sum1").alias("s1")).collect()
     mixtures = learn_mixtures([(r.bucket, r.n, r.s2 / r.n, r.s1 / r.n) for r in sorted(binned)])
 

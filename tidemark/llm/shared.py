@@ -10,19 +10,22 @@ from pyspark.sql import functions as F
 
 from ..sources import folders
 
-#: Spark drops the shuffle files of an execution at its end if this is set when its plan is made.
-CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Settings while a step runs: Spark drops its shuffle files at its end, and Python gets texts in batches of bounded
+#: bytes, so that a task holds a few megabytes of them at a time.
+STEP = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
 
 
 @contextmanager
-def clean_up(spark: SparkSession) -> Iterator[None]:
-    """Plans made inside leave no shuffle files behind once they have run."""
-    before = spark.conf.get(CLEAN_UP, None)
-    spark.conf.set(CLEAN_UP, "true")
+def step(spark: SparkSession) -> Iterator[None]:
+    """Plans made and run inside go by ``STEP``; the session's own settings come back after it."""
+    before = {k: spark.conf.get(k, None) for k in STEP}
+    for k, v in STEP.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.unset(CLEAN_UP) if before is None else spark.conf.set(CLEAN_UP, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -33,7 +36,7 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(folders.shared(spark))
-    with clean_up(spark):
+    with step(spark):
         return df.select("*").checkpoint()
 
 
