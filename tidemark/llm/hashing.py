@@ -74,12 +74,12 @@ def _eights(data: np.ndarray) -> np.ndarray:
     return np.ndarray((len(data) + 1,), "<u8", padded, 0, (1,))
 
 
-def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
     """A 64-bit hash of each ``data[start:end]``: its lanes of eight bytes are mixed one by one, then summed and mixed."""
     if not len(start):
         return np.zeros(0, np.uint64)
     _, place, first, mask = _lanes(data, start, end)
-    lane = mix((_eights(data)[first] & mask) ^ M2)
+    lane = mix((_eights(data)[first] & mask) ^ M2 ^ np.uint64(seed))
     lane = mix(lane + (place + 1).astype(np.uint64) * BASE)
     return mix(np.add.reduceat(lane, np.flatnonzero(place == 0)) + (end - start).astype(np.uint64) * M1)
 
@@ -101,27 +101,32 @@ def distinct_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tupl
     return np.concatenate([example, own]), same
 
 
-def words(raw: np.ndarray, offsets: np.ndarray, separators: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, start and end byte of each word (A-Z lower-cased), and n + 1 word offsets by row.
+def word_spans(raw: np.ndarray, offsets: np.ndarray, separators: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end byte of each word, and n + 1 word offsets by row.
 
     A row's end also ends a word, so no word spans two rows.
     """
     n = len(raw)
     if not n:
         none = np.zeros(0, np.int64)
-        return np.zeros(0, np.uint64), none, none, np.zeros(len(offsets), np.int64)
-    low = LOWER[raw]
+        return none, none, np.zeros(len(offsets), np.int64)
     inside = np.empty(n + 2, dtype=bool)
     inside[0] = inside[-1] = False
-    np.logical_not(separators[low], out=inside[1:-1])
+    np.logical_not(separators[raw], out=inside[1:-1])
     starts = inside[1:-1] & ~inside[:-2]
     ends = inside[1:-1] & ~inside[2:]
     borders = offsets[(offsets > 0) & (offsets < n)]
     starts[borders] = inside[1:-1][borders]
     ends[borders - 1] = inside[1:-1][borders - 1]
     start, end = np.flatnonzero(starts), np.flatnonzero(ends) + 1
-    hashed = span_hashes(low, start, end)
-    return hashed, start, end, np.searchsorted(start, offsets)
+    return start, end, np.searchsorted(start, offsets)
+
+
+def words(raw: np.ndarray, offsets: np.ndarray, separators: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, start and end byte of each word (A-Z lower-cased), and n + 1 word offsets by row."""
+    low = LOWER[raw]
+    start, end, by_row = word_spans(low, offsets, separators)
+    return span_hashes(low, start, end), start, end, by_row
 
 
 def shingles(hashed: np.ndarray, word_offsets: np.ndarray, size: int = 5) -> tuple[np.ndarray, np.ndarray]:

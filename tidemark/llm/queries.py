@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard_join, language_model, license_scan, media, quality_classifier, sentence_pieces, sharding, token_counts, url_filter
+from . import decontaminate, importance, jaccard_join, language_model, license_scan, media, quality_classifier, sentence_pieces, sharding, substring_dedup, token_counts, url_filter, whitening
 from .shared import read
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,11 +54,24 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.stratified_shards(read(spark, sf_dir, "documents"))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read(spark, sf_dir, "embeddings"))
+
+
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_ngram_jaccard_join, op2_quality_classifier, op3_lm_scoring, op4_media_columns, op5_sentence_pieces,
         op6_license_scans, op7_token_counts, op8_benchmark_decontamination, op9_url_filters, op10_sharding,
+        op11_importance_resampling, op12_embedding_whitening, op13_substring_dedup,
     )
 }
 
@@ -182,4 +195,53 @@ WITH crc_table AS (
 SELECT doc_id, size, crc AS text_crc32, 'rows' AS law, shard::INTEGER AS shard, place - (shard * total + 23) // 24 AS slot, NULL::INTEGER AS grown_shard FROM cut
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_ngram_jaccard_join": OP1_SQL, "op6_license_scans": OP6_SQL, "op8_benchmark_decontamination": OP8_SQL, "op9_url_filters": OP9_SQL, "op10_sharding": OP10_SQL}
+#: Each distinct feature's crc32 by a byte table; the draw by sorting all rows.
+OP11_SQL = rf"""
+WITH crc_table AS (
+  SELECT list_transform(range(256), lambda b: list_reduce(range(8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, b)) AS t
+), words AS (
+  SELECT 'd' AS side, doc_id AS id, regexp_extract_all({_LOW.format("coalesce(text, '')")}, '[a-z0-9\x{{80}}-\x{{10FFFF}}]+') AS w FROM documents
+  UNION ALL
+  SELECT 'b', item_id, regexp_extract_all({_LOW.format("coalesce(text, '')")}, '[a-z0-9\x{{80}}-\x{{10FFFF}}]+') FROM benchmark
+), features AS (
+  SELECT side, id, unnest(list_concat(w, [array_to_string(w[i:i + 1], ' ') FOR i IN range(1, len(w))], [array_to_string(w[i:i + 2], ' ') FOR i IN range(1, len(w) - 1)])) AS feature FROM words
+), hashed AS (
+  SELECT feature, xor(list_reduce(list_transform(regexp_extract_all(hex(encode(feature)), '..'), lambda p: ('0x' || p)::BIGINT), lambda c, b: xor(c >> 8, t[xor(c & 255, b) + 1]), 4294967295::BIGINT), 4294967295) % 10000 AS bucket
+  FROM (SELECT DISTINCT feature FROM features), crc_table
+), placed AS (
+  SELECT side, id, bucket FROM features JOIN hashed USING (feature)
+), counts AS (
+  SELECT bucket, count(*) FILTER (side = 'd') AS s, count(*) FILTER (side = 'b') AS t FROM placed GROUP BY bucket
+), gains AS (
+  SELECT bucket, floor(1000 * ln(((t + 1) * ((SELECT sum(s) FROM counts) + 10000))::DOUBLE / ((s + 1) * ((SELECT sum(t) FROM counts) + 10000))::DOUBLE))::BIGINT AS gain FROM counts
+), weights AS (
+  SELECT id, count(*) AS n_features, sum(gain)::BIGINT AS weight FROM placed JOIN gains USING (bucket) WHERE side = 'd' GROUP BY id
+), scored AS (
+  SELECT id AS doc_id, len(w) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || sha256('42:' || id)[1:8])::BIGINT + 0.5)::DOUBLE / 4294967296::DOUBLE)))::BIGINT AS score
+  FROM words LEFT JOIN weights USING (id) WHERE side = 'd'
+), ranked AS (
+  SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS n FROM scored WHERE n_words >= 20
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= 5 * n // 100 THEN rank END AS rank FROM scored LEFT JOIN ranked USING (doc_id)
+"""
+
+#: Every window's words are compared as one string.
+OP13_SQL = r"""
+WITH words AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), windows AS (
+  SELECT doc_id, unnest(range(1, len(w) - 33)) AS i, unnest([array_to_string(w[i:i + 34], ' ') FOR i IN range(1, len(w) - 33)]) AS words FROM words WHERE len(w) >= 35
+), repeated AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY words) AS n FROM windows) WHERE n > 1
+), each AS (
+  SELECT doc_id, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS word FROM words WHERE len(w) > 0
+), marked AS (
+  SELECT e.doc_id, e.i, word, count(r.i) OVER (PARTITION BY e.doc_id ORDER BY e.i ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) > 0 AS removed FROM each e LEFT JOIN repeated r ON r.doc_id = e.doc_id AND r.i = e.i
+), kept AS (
+  SELECT doc_id, count(*) FILTER (removed) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (NOT removed) AS rest FROM marked GROUP BY doc_id
+)
+SELECT doc_id, len(w) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(rest, '')) AS kept_sha256 FROM words LEFT JOIN kept USING (doc_id)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_ngram_jaccard_join": OP1_SQL, "op6_license_scans": OP6_SQL, "op8_benchmark_decontamination": OP8_SQL, "op9_url_filters": OP9_SQL, "op10_sharding": OP10_SQL, "op11_importance_resampling": OP11_SQL, "op13_substring_dedup": OP13_SQL}

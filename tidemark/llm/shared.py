@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..sources import folders
@@ -57,3 +57,29 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def fold(doc_id: Column | str, folds: int = 5) -> Column:
     """crc32 of the id as text, modulo ``folds``; a null id falls into no fold (null)."""
     return F.crc32(F.encode((F.col(doc_id) if isinstance(doc_id, str) else doc_id).cast("string"), "UTF-8")) % folds
+
+
+#: Entries of an array that deals out a row's copies.
+STEP_COPIES = 1 << 16
+
+
+def each_copy(df: DataFrame, count: str, number: str) -> DataFrame:
+    """Each row of ``df`` ``count`` times, with ``number`` from 0; dealt in two steps, so that no array is as long as a large count."""
+    (step_,) = unused(df, "step")
+    many = df.withColumn(step_, F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(`{count}` - 1) div {STEP_COPIES}L"))))
+    first = F.col(step_) * STEP_COPIES
+    return many.withColumn(number, F.explode(F.sequence(first, F.least(F.col(count), first + STEP_COPIES) - 1))).drop(step_)
+
+
+def numbered(df: DataFrame, number: str, weight: str | None = None) -> DataFrame:
+    """``df`` computed once, its rows numbered without gaps from 0, partition after partition and in each one's order.
+
+    With ``weight`` a row's number is the sum of the weights before it.  Only the partitions' totals are ordered in one task.
+    """
+    at, part, base = unused(df, "at", "part", "base")
+    held = cut(df.withColumn(at, F.monotonically_increasing_id())).withColumn(part, F.shiftright(at, 33))
+    totals = held.groupBy(part).agg((F.sum(weight) if weight else F.count("*")).alias("n"))
+    before = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = F.broadcast(totals.select(F.col(part), F.coalesce(F.sum("n").over(before), F.lit(0).cast("long")).alias(base)))
+    inside = F.sum(weight).over(Window.partitionBy(part).orderBy(at)) - F.col(weight) if weight else F.col(at).bitwiseAND(F.lit((1 << 33) - 1))
+    return held.join(offsets, part).withColumn(number, F.col(base) + inside).drop(at, part, base)
