@@ -246,14 +246,29 @@ def test_classifier_scores_match_a_plain_forward_pass(spark):
         assert got[i].held_out == (zlib.crc32(str(i).encode()) % 5 == 0) and got[i].predicted == (got[i].score >= 0.3)
 
 
-def test_classifier_fits_long_texts_too():
-    text = bytes(range(256)) * 200
-    assert quality_classifier.spread(text).shape == (quality_classifier.FITTED, quality_classifier.CHUNK)
-    start, ends = quality_classifier.chunks(np.array([0, len(text)]))
-    whole = quality_classifier.gather(np.frombuffer(text, np.uint8), start, np.full(len(start), len(text)))
-    some = quality_classifier.spread(text)
-    assert np.array_equal(some[0], whole[0]) and np.array_equal(some[-1], whole[-1])
-    assert len(quality_classifier.spread(text[:5000])) == 6
+def test_classifier_fits_whole_texts(spark, monkeypatch):
+    """A mark at the end of long texts is learned, and a sample holds whole texts of so many bytes together."""
+    plain = "".join(random.Random(1).choice("abcdefgh ") for _ in range(30_000))
+    rows = [(i, plain[i:] + (" GOOD GOOD GOOD" if i % 2 else "")) for i in range(60)]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(60)], "doc_id long, quality int, toxic int")
+    network = quality_classifier.train(frame(spark, rows), labels)
+    scores = {r.doc_id: r.score for r in quality_classifier.score_quality(frame(spark, rows), network).collect()}
+    assert min(scores[i] for i in range(1, 60, 2)) > max(scores[i] for i in range(0, 60, 2))
+    seen = []
+    monkeypatch.setattr(quality_classifier, "SAMPLE_BYTES", 200_000)
+    monkeypatch.setattr(quality_classifier, "fit", lambda texts, given, *_: seen.append((texts, given)))
+    quality_classifier.train(frame(spark, rows), labels)
+    (texts, given), whole = seen[0], {t.encode() for _, t in rows}
+    assert set(texts) <= whole and all(0 < sum(len(t) for t, g in zip(texts, given, strict=True) if g == v) <= 200_000 for v in (0, 1))
+
+
+def test_classifier_gradient_is_the_same_in_groups(monkeypatch):
+    network, r = quality_classifier.Network.fresh(1), np.random.default_rng(3)
+    raw, offsets = r.integers(0, 256, 40_000).astype(np.uint8), np.array([0, 30_000, 30_000, 30_500, 40_000])
+    whole = network.gradients(raw, offsets, np.array([1.0, 0.0, 1.0, 0.0]))
+    monkeypatch.setattr(quality_classifier, "TOGETHER", 3)
+    for k, g in network.gradients(raw, offsets, np.array([1.0, 0.0, 1.0, 0.0])).items():
+        assert np.allclose(g, whole[k], atol=1e-6)
 
 
 def test_classifier_takes_one_text_an_id(spark):
@@ -722,6 +737,14 @@ def test_token_counts(spark, odd, empty, docs):
     assert (few.n_words, few.n_tokens) == (2, 4)
 
 
+@pytest.mark.parametrize("longest", [200, 255, 256, 300, 600])
+def test_token_counts_of_long_pieces(spark, longest):
+    """A vocabulary's longest piece fails at its last byte: all the pieces before it are popped at once."""
+    word = "a" * (longest - 1) + "b"
+    row = token_counts.count_tokens(frame(spark, [(1, word + " " + "a" * longest + " " + "a" * (longest + 1))]), [b"a" * longest]).first()
+    assert (row.n_words, row.n_tokens) == (3, longest + 1 + 2)
+
+
 # 8 ---------------------------------------------------------------------------------------------------------------
 
 
@@ -774,6 +797,26 @@ def test_url_filters(spark, monkeypatch):
     assert url_filter.filter_urls(table, listed.limit(0)).where("listed").count() == 0
 
 
+def test_only_possible_hits_are_joined_with_the_list(spark):
+    """No shuffle holds the pages that the filter settles, so no partition does either."""
+    pages = spark.range(20_000).select(F.col("id").alias("page_id"), F.concat(F.lit("http://h.com/"), "id").alias("url"))
+    listed = spark.createDataFrame([(f"h.com/{i}",) for i in range(20)], "canonical string")
+    settings = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        found = url_filter.filter_urls(pages, listed)
+        node = found._jdf.queryExecution().executedPlan()
+        assert found.where("listed").count() == 20 and found.count() == 20_000
+        joins = [line for line in node.toString().splitlines() if "SortMergeJoin" in line or "ShuffledHashJoin" in line]
+        assert len(joins) == 1 and "canonical" in joins[0]
+        parts = found.withColumn("part", F.spark_partition_id()).groupBy("part").count().collect()
+        assert max(r["count"] for r in parts) < 20_000 / 4
+    finally:
+        for k in settings:
+            spark.conf.unset(k)
+
+
 def test_bloom_has_no_false_negatives(spark):
     urls = spark.range(3000).select(F.concat(F.lit("h/"), "id").alias("canonical"))
     blocks = url_filter.bloom_blocks(urls, 1 << 10)

@@ -72,9 +72,10 @@ class LongestMatch:
         present = {p for p in patterns if len(p) == 1}
         trie = build_trie([*patterns, *(bytes([b]) for b in range(256) if bytes([b]) not in present)])
         self.step = np.zeros((trie.size, 256), np.int32)
-        self.popped = np.zeros((trie.size, 256), np.uint8)
+        kind = np.uint8 if max(map(len, patterns), default=0) < 256 else np.int32  # a move pops no more pieces than the longest has bytes
+        self.popped = np.zeros((trie.size, 256), kind)
         self.close = np.zeros(trie.size, np.int32)  # pieces that the end of a word closes
-        fail, count = np.zeros(trie.size, np.int32), np.zeros(trie.size, np.uint8)
+        fail, count = np.zeros(trie.size, np.int32), np.zeros(trie.size, kind)
         for nodes, parents, symbols in trie.children:
             whole = trie.pattern[nodes] >= 0
             back = fail[parents]

@@ -308,7 +308,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     every = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text")).withColumn("fold", fold("id"))
     by_row = every.groupBy("fold", F.xxhash64("id", "text").alias("h")).agg(F.sum(F.octet_length("text")).alias("bytes"), F.count("*").alias("rows"))
-    sizes = by_row.groupBy("fold").agg(F.sum("bytes").alias("bytes"), F.sum("rows").alias("rows"), F.max("rows").alias("most")).collect()
+    sizes = by_row.groupBy("fold").agg(F.sum("bytes").alias("bytes"), F.sum("rows").alias("rows"), F.max("rows").alias("most"), F.max(F.when(F.col("rows") > 1, F.col("bytes"))).alias("widest")).collect()
     size = {kind: sum(r.bytes or 0 for r in sizes if kind == _kind(r.fold)) for kind in (TEST, HELD, MAIN)}
     starts = {kind: sum(r["rows"] for r in sizes if kind == _kind(r.fold)) for kind in (TEST, HELD, MAIN)}
     chunks = {kind: max(1, -(-size[kind] // CHUNK_BYTES)) for kind in size}
@@ -320,7 +320,8 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ranges = tuple(max(1, sum(size.values()) // of // BUCKET_KEYS // finer) for of in (40, 8))
     finest = ranges[0]  # the chunks' own ranges of words; their answers come in these
 
-    repeated = max((r.most for r in sizes), default=0) > REPEATS
+    # Copies of a row share a chunk, unless they are too many or too long for it: then they are counted first.
+    repeated = any(r.most > REPEATS or (r.widest or 0) > CHUNK_BYTES for r in sizes)
     mark = F.md5("text") if repeated else F.lit(None).cast("string")
     rows = every.groupBy("id", "text", "fold").agg(F.count("*").alias("times")) if repeated else every.withColumn("times", F.lit(1).cast("long"))
     kind = F.when(F.col("fold") == 2, HELD).when(F.col("fold") != 1, MAIN).otherwise(TEST)

@@ -4,9 +4,10 @@ Every document is cut into overlapping chunks that cover all of it.  Learned fil
 over the embedded bytes of a chunk and are max-pooled to one vector; a dense layer scores
 each chunk, and the mean and maximum over the chunks combine to one probability.
 
-The network is fitted on the driver to a bounded sample of labelled rows (``SAMPLE`` rows
-of each label by a seeded hash of the id, whatever their length; of a text with more than
-``FITTED`` chunks so many, evenly spread over it, are fitted); scoring is one pass over all documents with the broadcast weights, a few ten kilobytes.
+The network is fitted on the driver to a bounded sample of labelled rows: of each label the
+first ``SAMPLE`` by a seeded hash of the id, as far as they hold ``SAMPLE_BYTES`` together.  A
+text of the sample is fitted whole.  Scoring is one pass over all documents with the broadcast
+weights, a few ten kilobytes.
 """
 
 from __future__ import annotations
@@ -16,16 +17,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import hashing
-from .shared import fold
+from .shared import cut, fold
 
 CHUNK, STRIDE = 1024, 960
 EMBEDDED, WIDTH, STEP, FILTERS, HIDDEN = 6, 12, 2, 32, 16
-SAMPLE, FITTED = 1000, 16
+SAMPLE, SAMPLE_BYTES = 1000, 24 << 20
 EPOCHS, BATCH, RATE, SEED = 14, 16, 0.008, 5
 THRESHOLD = 0.3
 #: Chunks that pass the network together.
@@ -104,16 +105,15 @@ class Network:
         return 1 / (1 + np.exp(-logit.astype(np.float64)))
 
     def gradients(self, raw: np.ndarray, offsets: np.ndarray, labels: np.ndarray) -> dict[str, np.ndarray]:
-        """Of the mean log loss over the rows."""
-        start, ends = chunks(offsets)
-        return self.chunk_gradients(gather(raw, start, np.repeat(offsets[1:], np.diff(ends))), ends, labels)
-
-    def chunk_gradients(self, symbols: np.ndarray, ends: np.ndarray, labels: np.ndarray) -> dict[str, np.ndarray]:
-        """The same from the rows' chunks."""
+        """Of the mean log loss over the rows; their chunks pass the network ``TOGETHER`` at a time, forth and back."""
         w = self.weights
+        start, ends = chunks(offsets)
         counts = np.diff(ends)
         row = np.repeat(np.arange(len(counts)), counts)
-        pooled, where, windows = self.pooled(symbols)
+        stop = offsets[1:][row]
+        groups = [slice(a, a + TOGETHER) for a in range(0, len(start), TOGETHER)]
+        forth = [self.pooled(gather(raw, start[g], stop[g]))[:2] for g in groups]
+        pooled, where = (np.concatenate(x) for x in zip(*forth, strict=True))
         hidden = self.hidden(pooled)
         both = self.combine(hidden, ends)
         wrong = (1 / (1 + np.exp(-(both @ w["out"] + w["out_bias"][0]))) - labels) / len(labels)
@@ -122,42 +122,36 @@ class Network:
         to_hidden = to_both[row, :HIDDEN] / counts[row][:, None] + to_both[row, HIDDEN:] * largest / np.add.reduceat(largest, ends[:-1], axis=0)[row]
         to_hidden = (to_hidden * (hidden > 0)).astype(np.float32)
         to_pooled = (to_hidden @ w["dense"].T) * (pooled > 0)
-        at = windows[np.arange(len(symbols))[:, None], where]  # (chunks, FILTERS, WIDTH * EMBEDDED)
-        to_bytes = (to_pooled[:, :, None] * w["filter"].T).reshape(-1, EMBEDDED)
-        byte = symbols[np.arange(len(symbols))[:, None, None], where[:, :, None] * STEP + np.arange(WIDTH)].ravel()
-        embed = np.stack([np.bincount(byte, to_bytes[:, k], minlength=257) for k in range(EMBEDDED)], axis=1)
+        to_filter, to_embed = np.zeros((FILTERS, WIDTH * EMBEDDED)), np.zeros((257, EMBEDDED))
+        for g in groups:
+            symbols = gather(raw, start[g], stop[g])
+            held = symbols[np.arange(len(symbols))[:, None, None], where[g][:, :, None] * STEP + np.arange(WIDTH)]  # what each filter answered to
+            to_filter += np.einsum("cf,cfk->fk", to_pooled[g], w["embed"][held].reshape(len(symbols), FILTERS, -1))
+            to_bytes = (to_pooled[g][:, :, None] * w["filter"].T).reshape(-1, EMBEDDED)
+            to_embed += np.stack([np.bincount(held.ravel(), to_bytes[:, k], minlength=257) for k in range(EMBEDDED)], axis=1)
         return {
             "out": both.T @ wrong, "out_bias": wrong.sum(keepdims=True), "dense": pooled.T @ to_hidden, "dense_bias": to_hidden.sum(0),
-            "filter": np.einsum("cf,cfk->kf", to_pooled, at), "filter_bias": to_pooled.sum(0), "embed": embed,
+            "filter": to_filter.T, "filter_bias": to_pooled.sum(0), "embed": to_embed,
         }
 
 
-def spread(text: bytes, most: int = FITTED) -> np.ndarray:
-    """(chunks, CHUNK) symbols of a text: all its chunks, or ``most`` of them evenly spread from the first to the last."""
-    raw = np.frombuffer(text, np.uint8)
-    start, _ = chunks(np.array([0, len(raw)]))
-    if len(start) > most:
-        start = start[np.arange(most) * (len(start) - 1) // (most - 1)]
-    return gather(raw, start, np.full(len(start), len(raw)))
-
-
-def fit(rows: list[np.ndarray], labels: np.ndarray, ones: int, zeros: int, seed: int = SEED) -> Network:
-    """Adam on the sample's chunks (see ``spread``), in a seeded order; ``ones`` and ``zeros`` count all labelled training rows."""
+def fit(texts: list[bytes], labels: np.ndarray, ones: int, zeros: int, seed: int = SEED) -> Network:
+    """Adam on the sample's whole texts, in a seeded order; ``ones`` and ``zeros`` count all labelled training rows."""
     if not ones or not zeros:
         return Network({}, constant=(ones + 1) / (ones + zeros + 2))
     network, random = Network.fresh(seed), np.random.default_rng(seed)
     first = {k: np.zeros_like(v) for k, v in network.weights.items()}
     second = {k: np.zeros_like(v) for k, v in network.weights.items()}
-    steps, total = 0, EPOCHS * -(-len(rows) // BATCH)
+    steps, total = 0, EPOCHS * -(-len(texts) // BATCH)
     for _ in range(EPOCHS):
-        order = random.permutation(len(rows))
+        order = random.permutation(len(texts))
         for a in range(0, len(order), BATCH):
             mine = order[a : a + BATCH]
-            symbols = np.concatenate([rows[i] for i in mine]).astype(np.int64)
-            ends = np.cumsum([0, *(len(rows[i]) for i in mine)])
+            raw = np.frombuffer(b"".join(texts[i] for i in mine), np.uint8)
+            offsets = np.cumsum([0, *(len(texts[i]) for i in mine)])
             steps += 1
             rate = RATE * (1 - 0.9 * steps / total)
-            for k, g in network.chunk_gradients(symbols, ends, labels[mine]).items():
+            for k, g in network.gradients(raw, offsets, labels[mine]).items():
                 first[k] = 0.9 * first[k] + 0.1 * g
                 second[k] = 0.99 * second[k] + 0.01 * g * g
                 move = rate * (first[k] / (1 - 0.9**steps)) / (np.sqrt(second[k] / (1 - 0.99**steps)) + 1e-8)
@@ -179,14 +173,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     chosen = [known.where(F.col("label") == v).orderBy(F.xxhash64(F.lit(SEED), "id")).limit(sample) for v in (0, 1)]
     chosen = F.broadcast(chosen[0].union(chosen[1]))  # at most 2 * sample rows
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    texts = texts.join(chosen, "id").groupBy("id", "label").agg(F.min("text").alias("text"))
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i, text in enumerate(batch.column("text").cast(pa.binary()).to_pylist()):
-                yield pa.RecordBatch.from_arrays([*batch.slice(i, 1).columns[:2], pa.array([spread(text).astype(np.uint16).tobytes()], pa.binary())], ["id", "label", "symbols"])
-
-    rows = {r.id: (np.frombuffer(r.symbols, np.uint16).reshape(-1, CHUNK), r.label) for r in texts.mapInArrow(cut, "id long, label int, symbols binary").collect()}
+    texts = cut(texts.join(chosen, "id").groupBy("id", "label").agg(F.min("text").alias("text")))
+    before = Window.partitionBy("label").orderBy(F.xxhash64(F.lit(SEED), "id"), "id")  # of 2 * sample rows at most
+    within = texts.select("id", "label", F.octet_length("text").alias("bytes")).withColumn("bytes", F.sum("bytes").over(before)).where(F.col("bytes") <= SAMPLE_BYTES)
+    rows = {r.id: (r.text.encode(), r.label) for r in texts.join(F.broadcast(within.select("id")), "id").collect()}  # 2 * SAMPLE_BYTES at most
     ids = sorted(rows)
     given = np.array([rows[i][1] for i in ids], np.float64)
     if len(set(given.tolist())) < 2:

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import cut
+from .shared import cut, each_copy
 
 SEED = 20_240_607
 ROWS_PER_RANGE = 10_000
@@ -55,7 +55,7 @@ def stratified_shards(docs: DataFrame, shards: int = 24, seed: int = SEED, id_co
     )
     inside = F.sum("copies").over(Window.partitionBy("stratum", "range").orderBy("h", "id", "crc", "size").rowsBetween(Window.unboundedPreceding, 0))
     ranked = rows.join(offsets, ["stratum", "range"]).withColumn("last", F.col("below") + inside)
-    ranked = ranked.withColumn("rank", F.explode(F.sequence(F.col("last") - F.col("copies") + 1, "last")))
+    ranked = each_copy(ranked, "copies", "copy").withColumn("rank", F.col("last") - F.col("copy"))
     ranked = ranked.select("id", "size", "crc", "stratum", "h", "of", (2 * F.col("rank") - 1).alias("odd"))
     ranked = cut(ranked.withColumn("stretch", F.expr(f"odd * {ranges}L div (2 * of)")))
 

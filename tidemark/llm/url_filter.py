@@ -2,7 +2,8 @@
 
 The list's canonical URLs set ``PROBES`` bits in one 64-bit block each; the blocks are a
 two-column table.  A page whose block holds all its bits is a possible hit and goes to an
-exact join with the list, which removes false positives; every other page skips that join.
+exact join with the list, which removes false positives; every other page is in no join but
+the filter's own.
 """
 
 from __future__ import annotations
@@ -81,10 +82,10 @@ def filter_urls(pages: DataFrame, listed: DataFrame, rules: list[tuple[str, str,
     parts = parts.withColumn("canonical", canonical(F.col("host"), F.col("path")))
     parts = parts.withColumns({"block": _block(F.col("canonical"), blocks), "want": _bits(F.col("canonical"))})
     maybe = F.col("bits").bitwiseAND(F.col("want")) == F.col("want")
-    # Only possible hits have a key, so all others pass the exact join without a partner.
-    probed = parts.join(filter_, "block", "left").withColumn("key", F.when(maybe, F.col("canonical")))
-    exact = listed.select(F.col("canonical").alias("key"), F.lit(True).alias("listed"))
-    both = probed.join(exact, "key", "left").withColumn("listed", F.coalesce("listed", F.lit(False)))
+    probed = parts.join(filter_, "block", "left").withColumn("maybe", F.coalesce(maybe, F.lit(False)))
+    exact = listed.select("canonical", F.lit(True).alias("listed"))
+    hits = probed.where("maybe").join(exact, "canonical", "left").withColumn("listed", F.coalesce("listed", F.lit(False)))
+    both = hits.unionByName(probed.where("not maybe").withColumn("listed", F.lit(False)))
     both = both.withColumn("r", rule_of(F.col("host"), F.col("path"), rules))
     return both.select(
         id_col, "host", "path", F.col("r.rule").alias("rule"),
