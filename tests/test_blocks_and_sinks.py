@@ -177,7 +177,7 @@ def test_chain_of_a_ticker_without_near_strikes(spark):
     assert options.assemble_chain(expirations, near, spots).groupBy("cp").count().where("count <= 31").count() == 2
 
 
-def test_degraded_days_and_dashboard_of_nothing(spark):
+def test_degraded_days_and_overview_of_nothing(spark):
     days = spark.createDataFrame([(DAY,), (DAY + dt.timedelta(1),)], "d date")
     snapshots = spark.createDataFrame([(DAY, 1.0), (DAY + dt.timedelta(1), None)], "d date, value double")
     assert [r.d for r in reports.degraded_days(days, snapshots).collect()] == [DAY + dt.timedelta(1)]

@@ -55,13 +55,13 @@ def test_every_oracle_has_a_query():
 @pytest.mark.parametrize("name", ["weekday_lag", "session_lag", "five_day_change", "rolling_z_or_zero", "rate_of_change", "monthly_yoy"])
 def test_every_series_has_rows(spark, data, name):
     facts = inputs.metric_facts(spark, data).select("scope", "metric").distinct()
-    found = QUERIES[f"{name}_all"](spark, data).select("scope", "metric").distinct()
+    found = QUERIES[name](spark, data).select("scope", "metric").distinct()
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, facts.collect()))
 
 
 def test_leverage_drag_has_all_windows_of_all_symbols(spark, data):
     """Over enough days for each window; a pair with fewer days than a window has no row for it."""
-    got = QUERIES["leverage_drag_pairs"](spark, "/root/testdata/sf0.01").collect()
+    got = QUERIES["leverage_drag"](spark, "/root/testdata/sf0.01").collect()
     assert {r.window for r in got} == {"21", "63", "all"}
     assert {x for r in got for x in (r.base, r.geared)} == {r.symbol for r in inputs.bars(spark, data).select("symbol").distinct().collect()}
 

@@ -42,9 +42,10 @@ def keep_last(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return df.withColumn("_rank", F.row_number().over(latest)).where("_rank = 1").drop("_rank")
 
 
-def trading_days(df: DataFrame, date: str = "d", value: str = "value") -> DataFrame:
-    """Rows on weekdays with a finite value."""
-    return df.withColumn(value, finite(F.col(value).cast("double"))).where(F.col(value).isNotNull() & (F.weekday(date) < 5))
+def trading_days(df: DataFrame, keys: list[str], order: list[str], date: str = "d", value: str = "value") -> DataFrame:
+    """Rows on weekdays with a finite value, one a key and date: of several such the last in ``order``."""
+    finite_ = df.withColumn(value, finite(F.col(value).cast("double"))).where(F.col(value).isNotNull() & (F.weekday(date) < 5))
+    return keep_last(finite_, [*keys, date], order)
 
 
 def missing_fields(*columns: str) -> Column:

@@ -75,7 +75,7 @@ SQL: dict[str, str] = {
         CASE WHEN regexp_full_match(q, '\\d+(y|mo)') THEN regexp_extract(q, '\\d+')::INTEGER * CASE WHEN ends_with(q, 'y') THEN 365 ELSE 30 END END AS days, CASE WHEN p_partkey % 3 - 1 > 0 THEN p_partkey % 3 - 1 END AS positive FROM t""",
     "missing_fields": f"""WITH {RAW}, t AS (SELECT p_partkey, lower(trim(text)) IN {_BAD} AS a, lower(trim(size)) IN {_BAD} AS b, p_partkey % 4 = 0 AS c FROM raw)
       SELECT p_partkey, concat_ws(',', CASE WHEN a THEN 'text' END, CASE WHEN b THEN 'size' END, CASE WHEN c THEN 'price' END) AS missing, CASE a::INT + b::INT + c::INT WHEN 0 THEN 'ok' WHEN 3 THEN 'failed' ELSE 'partial' END AS status FROM t""",
-    "trading_days": f"WITH {FACTS} SELECT scope, metric, d, round(value, 4) AS value FROM facts WHERE dayofmonth(d) NOT IN (13, 14) AND isodow(d) < 6",
+    "trading_days": f"WITH {FACTS} SELECT scope, metric, d, round(value + CASE WHEN dayofmonth(d) IN (7, 9) THEN 1 ELSE 0 END, 4) AS value, CASE WHEN dayofmonth(d) IN (7, 9) THEN 2 ELSE 1 END AS sent FROM facts WHERE dayofmonth(d) NOT IN (13, 14) AND isodow(d) < 6",
     "history_normalised": """WITH r AS (SELECT o_orderdate::DATE AS d, o_orderkey AS ordinal, round(o_totalprice * 100)::BIGINT AS cents, row_number() OVER (PARTITION BY o_orderdate::DATE ORDER BY o_orderkey DESC) AS k FROM orders WHERE o_orderkey % 4 <> 2) SELECT d, ordinal, cents FROM r WHERE k = 1""",
     "new_york_times": """SELECT event_id, CASE event_id % 3 WHEN 0 THEN (date_trunc('second', ts) AT TIME ZONE 'UTC') AT TIME ZONE 'America/New_York' WHEN 1 THEN ((date_trunc('second', ts) - INTERVAL 2 HOUR) AT TIME ZONE 'UTC') AT TIME ZONE 'America/New_York' ELSE date_trunc('second', ts) END AS local FROM events""",
     "session_bars": """WITH l AS (SELECT event_id, (ts AT TIME ZONE 'UTC') AT TIME ZONE 'America/New_York' AS t FROM events)
@@ -109,7 +109,7 @@ SQL: dict[str, str] = {
     "with_fallback": f"WITH {DAILY} SELECT d, n FROM s UNION ALL SELECT d, n FROM o WHERE d NOT IN (SELECT d FROM s)",
     "latest_rows": f"WITH {FACTS} SELECT scope, metric, max(d) AS d, round(arg_max(value, d), 4) AS value FROM facts WHERE d BETWEEN DATE '1996-01-01' AND {TODAY} GROUP BY ALL",
     "wide_to_long": f"WITH {FACTS} SELECT d, metric, round(value, 4) AS value FROM facts WHERE scope = 'MACRO'",
-    "net_positions": f"""WITH r AS (SELECT p_size % 3 AS back, upper(p_type) AS t, p_size - p_partkey % 17 AS net FROM part), g AS (SELECT *, CASE WHEN contains(t, 'ECONOMY') THEN 'household' WHEN contains(t, 'SMALL') THEN 'parts' WHEN contains(t, 'PROMO') THEN 'offers' END AS "group" FROM r WHERE back = (SELECT min(back) FROM r))
+    "net_positions": f"""WITH r AS (SELECT p_size % 3 AS back, upper(p_type) AS t, p_size - p_partkey % 17 AS net FROM part), g AS (SELECT *, CASE WHEN contains(t, 'ECONOMY') AND contains(t, 'BRUSHED') AND NOT contains(t, 'COPPER') THEN 'household' WHEN contains(t, 'SMALL') AND NOT (contains(t, 'TIN') OR contains(t, 'STEEL')) THEN 'parts' WHEN contains(t, 'PROMO') THEN 'offers' WHEN contains(t, 'E') AND NOT contains(t, 'LARGE') THEN 'others' END AS "group" FROM r WHERE back = (SELECT min(back) FROM r))
       SELECT "group", sum(net)::BIGINT AS net FROM g WHERE "group" IS NOT NULL GROUP BY 1""",
     "largest_by_cap": "SELECT c_name AS name, c_acctbal AS market_cap FROM customer WHERE c_acctbal IS NOT NULL ORDER BY c_acctbal DESC, c_name LIMIT 500",
     "breadth_counts": f"""WITH {SNAP}, c AS (SELECT d, count(*) AS total, count(*) FILTER (change > 0 AND volume > 0) AS advances, count(*) FILTER (change < 0 AND volume > 0) AS declines, coalesce(sum(volume) FILTER (change > 0), 0)::BIGINT AS up, coalesce(sum(volume) FILTER (change < 0), 0)::BIGINT AS down,
@@ -140,10 +140,10 @@ SQL: dict[str, str] = {
       p AS (SELECT *, lag(flip) OVER w AS pf, lag(m) OVER w AS pm, lag(e) OVER w AS pe FROM f WINDOW w AS (PARTITION BY ticker ORDER BY d))
       SELECT ticker, d, CASE WHEN flip IS NULL THEN 'NO_CROSSING' WHEN pf IS NULL THEN 'BASELINE_RESET' WHEN m IS DISTINCT FROM pm THEN 'METHOD_CHANGED' WHEN abs(flip - pf) >= greatest(10, spot * 0.05::DOUBLE) THEN 'JUMP_REVIEW' WHEN e IS DISTINCT FROM pe THEN 'ROLL_CHANGED' ELSE 'OK' END AS status FROM p""",
     "micro_probe": f"""WITH {BARS}, st AS (SELECT symbol, d, close, open, high, low, volume, coalesce(sign(close - lag(close) OVER w)::BIGINT * volume, 0) AS step FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY d)), ob AS (SELECT *, sum(step) OVER (PARTITION BY symbol ORDER BY d) AS obv, row_number() OVER (PARTITION BY symbol ORDER BY d) AS n FROM st),
-      f AS (SELECT *, close - first_value(close) OVER v AS p, obv - first_value(obv) OVER v AS q, sign(close - open) * sign(lag(close - open, 5) OVER w) < 0 AS crossed, (volume % 7 - 3) * lag(volume % 7 - 3) OVER w < 0 AS flipped FROM ob WINDOW w AS (PARTITION BY symbol ORDER BY d), v AS (PARTITION BY symbol ORDER BY d ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)),
+      f AS (SELECT *, close - first_value(close) OVER v AS p, obv - first_value(obv) OVER v AS q, lag(CASE WHEN volume % 11 > 0 THEN open // 1000 END, 5) OVER w AS week, CASE WHEN volume % 11 > 0 THEN open // 1000 END AS level, (volume % 7 - 3) * lag(volume % 7 - 3) OVER w < 0 AS flipped FROM ob WINDOW w AS (PARTITION BY symbol ORDER BY d), v AS (PARTITION BY symbol ORDER BY d ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)),
       g AS (SELECT *, close / 100.0::DOUBLE AS price, (high + low) / 200.0::DOUBLE AS poc FROM f)
-      SELECT symbol AS ticker, d, concat_ws('; ', CASE WHEN price > poc * 1.02::DOUBLE THEN 'above cost core' END, CASE WHEN price < poc * 0.98::DOUBLE THEN 'below cost core' END, CASE WHEN n >= 2 AND ((p > 0 AND q < 0) OR (p < 0 AND q > 0)) THEN 'volume divergence' END, CASE WHEN volume % 70 > 50 THEN 'dark pool short high' END,
-        CASE WHEN volume % 70 < 40 THEN 'dark pool short low' END, CASE WHEN crossed THEN 'flip crossed in a week' END, CASE WHEN volume % 5 = 0 THEN 'pinned' END, CASE WHEN flipped THEN 'charm flipped' END, CASE WHEN volume % 40 < 10 THEN 'volatility cheap' END) AS findings FROM g""",
+      SELECT symbol AS ticker, d, CASE WHEN n < 2 THEN '' ELSE concat_ws('; ', CASE WHEN price > poc * 1.02::DOUBLE THEN 'above cost core' END, CASE WHEN price < poc * 0.98::DOUBLE THEN 'below cost core' END, CASE WHEN n >= 2 AND ((p > 0 AND q < 0) OR (p < 0 AND q > 0)) THEN 'volume divergence' END, CASE WHEN volume % 70 > 50 THEN 'dark pool short high' END,
+        CASE WHEN volume % 70 < 40 THEN 'dark pool short low' END, CASE WHEN level > week THEN 'flip up in a week' WHEN level < week THEN 'flip down in a week' END, CASE WHEN volume % 3 > 0 AND volume % 5 = 0 THEN 'pin candidate' WHEN volume % 3 > 0 AND volume % 5 = 1 THEN 'breakout pivot' END, CASE WHEN flipped THEN 'charm flipped' END, CASE WHEN volume % 40 < 10 THEN 'volatility cheap' END) END AS findings FROM g""",
     "intraday_alert": f"""WITH {BARS}, r AS (SELECT symbol, d, close AS p, open * (1 - (volume % 10) / 100) AS bound, (volume % 4) * 0.8::DOUBLE AS trin, (volume % 9) / 2 - 0.1::DOUBLE AS ratio, volume % 1000 - 500 AS ctick, high * 0.9::DOUBLE AS flip, (high + low) / 2 AS vwap FROM bars)
       SELECT symbol, d, CASE WHEN p <= bound * 1.002::DOUBLE AND trin >= 1.5 THEN CASE WHEN ratio >= 2 AND ctick > 0 THEN 'capitulation bid' END WHEN flip > 0 AND p < flip AND p < vwap THEN CASE WHEN ratio <= 0.25 AND ctick < -300 THEN 'gamma slide' END
         WHEN ratio >= 4 AND p > vwap THEN 'up-volume surge' WHEN ratio <= 0.20 AND p < vwap THEN 'down-volume surge' END AS alert FROM r""",
@@ -175,7 +175,7 @@ SQL: dict[str, str] = {
     "appended_log": f"WITH {DAILY} SELECT d, 2::BIGINT AS rows, (2 * n)::BIGINT AS n FROM o",
     "replaced_dates": f"WITH {DAILY} SELECT d, n FROM s WHERE n > 5 UNION ALL SELECT d, n FROM o WHERE d NOT IN (SELECT d FROM s WHERE n > 5)",
     "rolling_cache": f"WITH {DAILY}, b AS (SELECT d, coalesce(s.n, o.n) AS n FROM o FULL JOIN s USING (d)) SELECT d, n FROM b ORDER BY d DESC LIMIT 500",
-    "stale_events": f"WITH {STATS} SELECT d, scope, metric, window_scope, layer FROM events e WHERE NOT EXISTS (FROM alerts a WHERE a.d = e.d AND a.scope = e.scope AND a.metric = e.metric AND a.window_scope = e.window_scope AND a.layer = e.layer)",
+    "stale_events": f"WITH {STATS} SELECT e.d, e.scope, e.metric, e.window_scope, e.layer FROM events e ANTI JOIN alerts a USING (d, scope, metric, window_scope, layer)",
     "day_scan": f"WITH {FACTS} SELECT scope, metric, round(value, 4) AS value, 'PRE' AS session, '1997-03-01' AS report_date FROM facts WHERE date_trunc('month', d) = DATE '1997-03-01' AND dayofmonth(d) < 15 AND scope <> 'MACRO'",
     "stream_finalised": "SELECT ts::DATE AS d, event_type, count(*) AS n FROM events GROUP BY ALL",
 }
@@ -188,7 +188,7 @@ SQL["liquidity_summary"] = f"""WITH ls AS ({ORACLE_SQL["liquidity_state"]}), {CO
   UNION ALL SELECT d::VARCHAR, list_position({_NAMES!r}, pillar)::INT + 2, pillar || ': ' || coalesce(printf('%.1f', score), 'insufficient data') FROM pillars
   UNION ALL SELECT d::VARCHAR, CASE side WHEN 'support' THEN 9 ELSE 10 END, side || 's: ' || string_agg(component || ' ' || round_even(score, 0)::INT, '; ' ORDER BY place) FROM sd GROUP BY d, side
   UNION ALL SELECT d::VARCHAR, 11, 'notes: ' || warnings FROM noted WHERE warnings <> ''"""
-SQL["dashboard_rows"] = f"""WITH a AS ({ORACLE_SQL["macro_score"]}), b AS ({ORACLE_SQL["micro_score"]}), c AS ({ORACLE_SQL["regime_label"]}), e AS ({ORACLE_SQL["environment_composite"]}), l AS ({ORACLE_SQL["liquidity_state"]})
+SQL["overview_rows"] = f"""WITH a AS ({ORACLE_SQL["macro_score"]}), b AS ({ORACLE_SQL["micro_score"]}), c AS ({ORACLE_SQL["regime_label"]}), e AS ({ORACLE_SQL["environment_composite"]}), l AS ({ORACLE_SQL["liquidity_state"]})
   SELECT d, macro_score, micro_score, regime, skeleton, e.composite AS composite, l.composite AS waterline, l.state AS liquidity_state FROM a FULL JOIN b USING (d) FULL JOIN c USING (d) FULL JOIN e USING (d) FULL JOIN l USING (d)"""
 
 #: Newton's steps in SQL, as many as the operator takes.

@@ -72,9 +72,11 @@ def missing_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def trading_days(spark: SparkSession, sf_dir: str) -> DataFrame:
-    facts = inputs.metric_facts(spark, sf_dir)
-    gaps = facts.withColumn("value", F.when(F.dayofmonth("d") == 13, float("nan")).when(F.dayofmonth("d") == 14, float("inf")).otherwise(F.col("value")))
-    return rounded(clean.trading_days(gaps))
+    """Observations with holes, some of them corrected by a second one of the day, which may itself be no number."""
+    facts, day = inputs.metric_facts(spark, sf_dir).withColumn("sent", F.lit(1)), F.dayofmonth("d")
+    holes = facts.withColumn("value", F.when(day == 13, float("nan")).when(day == 14, float("inf")).otherwise(F.col("value")))
+    again = facts.where(day.between(7, 9)).select("scope", "metric", "d", F.when(day == 8, float("nan")).otherwise(F.col("value") + 1).alias("value"), F.lit(2).alias("sent"))
+    return rounded(clean.trading_days(holes.union(again), ["scope", "metric"], ["sent"]))
 
 
 @query
@@ -262,7 +264,7 @@ def net_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     reports_ = inputs.table(spark, sf_dir, "part").select(
         F.date_add(F.lit(TODAY).cast("date"), -7 * (F.col("p_size") % 3)).alias("d"), F.col("p_type").alias("market"), F.col("p_size").cast("long").alias("long"), (F.col("p_partkey") % 17).alias("short"),
     )
-    return readers.net_positions(reports_, {"household": "economy", "parts": "small", "offers": "promo"})
+    return readers.net_positions(reports_, [("household", ["economy", "brushed"], ["copper"]), ("parts", ["small"], ["tin", "steel"]), ("offers", ["promo"], []), ("others", ["e"], ["large"])])
 
 
 @query
@@ -345,8 +347,8 @@ def _probe_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.col
     rows = days.join(status, ["symbol", "d"])
     return rows.select(
-        c("symbol").alias("ticker"), "d", (c("close") / 100.0).alias("price"), ((c("high") + c("low")) / 200.0).alias("poc"), (c("volume") % 70).alias("dpsv"), (c("open") / 100.0).alias("flip"),
-        F.when(c("volume") % 5 == 0, "PIN_CANDIDATE").alias("pin_state"), (c("volume") % 7 - 3).alias("charm"), (c("volume") % 40).alias("ivr"), "obv_status",
+        c("symbol").alias("ticker"), "d", (c("close") / 100.0).alias("price"), ((c("high") + c("low")) / 200.0).alias("poc"), (c("volume") % 70).alias("dpsv"), F.when(c("volume") % 11 > 0, F.floor(c("open") / 1000) * 10.0).alias("flip"),
+        F.when(c("volume") % 3 > 0, c("open") / 100.0).alias("pin_strike"), F.when(c("volume") % 5 == 0, "PIN_CANDIDATE").when(c("volume") % 5 == 1, "BREAKOUT").alias("pin_state"), (c("volume") % 7 - 3).alias("charm"), (c("volume") % 40).alias("ivr"), "obv_status",
     )
 
 
@@ -442,9 +444,9 @@ def raw_appendix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query
-def dashboard_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+def overview_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = [q(spark, sf_dir) for q in (base.macro_score, base.micro_score, base.regime_label, base.environment_composite, base.liquidity_state)]
-    return reports.dashboard_rows(*parts)
+    return reports.overview_rows(*parts)
 
 
 @query
@@ -530,7 +532,8 @@ def upserted(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder, keys = folders.fresh(spark, "upserted"), ["d", "scope", "metric", "session"]
     first = _stored(spark, sf_dir, "PRE", 0)
     done = [sinks.retried(lambda rows=rows: sinks.upsert(rows, sinks.stored(spark, folder, STORED), keys, folder, "d")) for rows in (first, _stored(spark, sf_dir, "PRE", 1).where("scope <> 'MACRO'"), _stored(spark, sf_dir, "POST", 2).where("scope = 'MACRO'"))]
-    assert all(done)
+    if not all(done):
+        raise RuntimeError("a batch was not written")
     return rounded(sinks.stored(spark, folder, STORED).groupBy("d", "scope", "session").agg(F.count("*").alias("n"), F.sum(F.round(F.col("value") * 10000).cast("long")).alias("total")))
 
 
@@ -582,9 +585,9 @@ def rolling_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def stale_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stored events that a day's active set no longer has."""
-    events = base._events(spark, sf_dir).select("d", "scope", "metric", "window_scope", "layer")
-    active = events.join(base._alerts(spark, sf_dir).select("d", "scope", "metric", "window_scope", "layer"), ["d", "scope", "metric", "window_scope", "layer"], "left_semi")
-    return events.join(active, ["d", "scope", "metric", "window_scope", "layer"], "left_anti")
+    keys, events = ["d", "scope", "metric", "window_scope", "layer"], base._events(spark, sf_dir)
+    active = anomaly.gate(events.unionByName(base._resonance(spark, sf_dir)))
+    return events.select(*keys).join(active.select(*keys), keys, "left_anti")
 
 
 @query

@@ -81,6 +81,8 @@ def resonance(inputs: DataFrame, themes: DataFrame | None = None) -> DataFrame:
 def gate(events: DataFrame, keyed: bool = False) -> DataFrame:
     """Events that raise an alert, one per (d, metric, scope, window, layer); ``keyed`` keeps themes apart.
 
+    Of events with one key the severest counts, then the most confident, then the first by theme.
+
     Resonance and multi-window events always pass the confidence floor's gate, single ones
     when extreme, or when enough moderate ones meet on a day.
     """
@@ -95,7 +97,7 @@ def gate(events: DataFrame, keyed: bool = False) -> DataFrame:
         | (F.col("moderate") & (F.col("crowd") >= rule["cluster_count"]))
     )
     keys = ["d", "metric", "scope", "window_scope", "layer", *(["resonance_key"] if keyed else [])]
-    return passed.groupBy(*keys).agg(F.min_by(F.struct("severity", "confidence"), F.struct(-severity, "resonance_key")).alias("e")).select(*keys, "e.*")
+    return passed.groupBy(*keys).agg(F.min_by(F.struct("severity", "confidence", *([] if keyed else ["resonance_key"])), F.struct(-severity, -confidence, "resonance_key")).alias("e")).select(*keys, "e.*")
 
 
 def fingerprints(alerts: DataFrame) -> DataFrame:

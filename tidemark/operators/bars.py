@@ -144,9 +144,10 @@ def momentum(bars: DataFrame) -> DataFrame:
 
 
 def group_spread(returns_: DataFrame, group: list[str], benchmark: str, value: str = "r_1") -> DataFrame:
-    """(d, spread): mean return of a named group less the benchmark's; missing returns are left out."""
-    mean: Column = F.avg(F.when(F.col("symbol").isin(group), F.col(value)))
-    return returns_.groupBy("d").agg((mean - F.max(F.when(F.col("symbol") == benchmark, F.col(value)))).alias("spread"))
+    """(d, spread): mean return of a named group less the benchmark's; a missing return, the benchmark's too, counts as 0."""
+    total = F.sum(F.when(F.col("symbol").isin(group), F.col(value)))
+    other: Column = F.max(F.when(F.col("symbol") == benchmark, F.col(value)))
+    return returns_.groupBy("d").agg((F.coalesce(total, F.lit(0.0)) / len(group) - F.coalesce(other, F.lit(0.0))).alias("spread"))
 
 
 def weighted_flow(holdings: DataFrame) -> DataFrame:

@@ -61,15 +61,21 @@ def vol_probe(rows: DataFrame) -> DataFrame:
 
 
 def micro_probe(rows: DataFrame) -> DataFrame:
-    """(ticker, d, findings) from (ticker, d, price, poc, dpsv, flip, pin_state, charm, ivr, obv_status); the level is never raised."""
+    """(ticker, d, findings) from (ticker, d, price, poc, dpsv, flip, pin_strike, pin_state, charm, ivr, obv_status); the level is never raised.
+
+    The flip level is compared with that of the sixth last row, the charm with that of the row
+    before.  Rows without a date are left out, and a ticker's first row finds nothing.
+    """
     w = Window.partitionBy("ticker").orderBy("d")
     c = F.col
+    rows = rows.where("d is not null").withColumns({"_week": F.lag("flip", 5).over(w), "_n": F.row_number().over(w)})
+    pinned = c("pin_strike").isNotNull() & (c("pin_state") != "")
     found = [
-        (c("price") > c("poc") * 1.02, "above cost core"), (c("price") < c("poc") * 0.98, "below cost core"), (c("obv_status").endswith("divergence"), "volume divergence"),
-        (c("dpsv") > 50, "dark pool short high"), (c("dpsv") < 40, "dark pool short low"), (F.signum(c("price") - c("flip")) * F.signum(F.lag(c("price") - c("flip"), 5).over(w)) < 0, "flip crossed in a week"),
-        (c("pin_state").isNotNull(), "pinned"), (c("charm") * F.lag("charm").over(w) < 0, "charm flipped"), (c("ivr") < 10, "volatility cheap"),
+        (c("price") > c("poc") * 1.02, "above cost core"), ((c("price") > 0) & (c("price") < c("poc") * 0.98), "below cost core"), (c("obv_status").endswith("divergence"), "volume divergence"),
+        (c("dpsv") > 50, "dark pool short high"), (c("dpsv") < 40, "dark pool short low"), (c("flip") > c("_week"), "flip up in a week"), (c("flip") < c("_week"), "flip down in a week"),
+        (pinned & (c("pin_state") == "PIN_CANDIDATE"), "pin candidate"), (pinned & (c("pin_state") != "PIN_CANDIDATE"), "breakout pivot"), (c("charm") * F.lag("charm").over(w) < 0, "charm flipped"), (c("ivr") < 10, "volatility cheap"),
     ]
-    return rows.select("ticker", "d", F.array_compact(F.array(*(F.when(hit, F.lit(text)) for hit, text in found))).alias("findings"))
+    return rows.select("ticker", "d", F.array_compact(F.array(*(F.when((c("_n") > 1) & hit, F.lit(text)) for hit, text in found))).alias("findings"))
 
 
 def intraday_alert(rows: DataFrame, flip_alerts: bool = True) -> DataFrame:

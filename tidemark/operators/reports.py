@@ -39,8 +39,8 @@ def appendix_rows(snapshots: DataFrame, events: DataFrame) -> DataFrame:
     return values.unionByName(found)
 
 
-def dashboard_rows(macro: DataFrame, micro: DataFrame, regimes: DataFrame, environment: DataFrame, liquidity: DataFrame) -> DataFrame:
-    """One row a day of everything that a dashboard shows; absent parts are null."""
+def overview_rows(macro: DataFrame, micro: DataFrame, regimes: DataFrame, environment: DataFrame, liquidity: DataFrame) -> DataFrame:
+    """One row a day of everything that the overview shows; absent parts are null."""
     out = macro
     for part in (micro, regimes, environment.select("d", "composite"), liquidity.select("d", F.col("composite").alias("waterline"), F.col("state").alias("liquidity_state"))):
         out = out.join(part, "d", "full")

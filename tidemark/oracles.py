@@ -37,13 +37,13 @@ windowed AS (
 ), hits AS (
   SELECT s.scope, s.metric, s.d, max(r.sev) AS abs_sev FROM stats s JOIN rules r USING (metric)
   WHERE (r.op = '<' AND s.value < r.bound) OR (r.op = '>' AND s.value > r.bound) OR (r.op = '>=' AND s.value >= r.bound) GROUP BY ALL
-), graded AS (
+), graded AS MATERIALIZED (
   SELECT s.*, g.bad, coalesce(h.abs_sev, 0) AS abs_sev,
     CASE WHEN g.bad <> 0 AND z * g.bad >= g.z3 THEN 3 WHEN g.bad <> 0 AND z * g.bad >= g.z2 THEN 2 ELSE 0 END AS z_sev
   FROM stats s JOIN registry g USING (metric) LEFT JOIN hits h USING (scope, metric, d)
 ), entry AS (
   SELECT metric, arg_min(op, sev * 100 + i) AS op, arg_min(bound, sev * 100 + i) AS bound FROM rules GROUP BY metric
-), events AS (
+), events AS MATERIALIZED (
   SELECT d, scope, metric, value, '1D' AS window_scope, 'single' AS layer, abs_sev::INTEGER AS severity, round(greatest(0.5, least(1.0, n / 252.0)), 3) AS confidence,
     CASE WHEN bad >= 0 THEN 'up' ELSE 'down' END AS direction, '' AS resonance_key FROM graded WHERE abs_sev > 0
   UNION ALL SELECT d, scope, metric, value, '252D', 'single', z_sev::INTEGER, round(least(1.0, n / 252.0), 3), CASE WHEN z > 0 THEN 'up' ELSE 'down' END, '' FROM graded WHERE z_sev > 0
@@ -56,13 +56,14 @@ windowed AS (
 ), resonated AS (
   SELECT d, theme AS resonance_key, least(3, base + hits - need)::INTEGER AS severity, round(least(1.0, 0.5 + 0.12 * hits), 3)::DOUBLE AS confidence FROM themed WHERE hits >= need
 ), everything AS (
-  SELECT d, scope, metric, window_scope, layer, severity, confidence FROM events
-  UNION ALL SELECT d, 'MACRO', 'RESONANCE', 'multi', 'resonance', severity, confidence FROM resonated
-), eligible AS (
+  SELECT d, scope, metric, window_scope, layer, severity, confidence, resonance_key FROM events
+  UNION ALL SELECT d, 'MACRO', 'RESONANCE', 'multi', 'resonance', severity, confidence, resonance_key FROM resonated
+), eligible AS MATERIALIZED (
   SELECT *, count(*) FILTER (layer = 'single' AND severity >= 2 AND confidence >= 0.5) OVER (PARTITION BY d) AS crowd FROM everything WHERE confidence >= 0.35
 ), alerts AS (
-  SELECT d, metric, scope, window_scope, layer, max(severity)::INTEGER AS severity FROM eligible
-  WHERE layer <> 'single' OR (severity >= 3 AND confidence >= 0.5) OR (severity >= 2 AND confidence >= 0.5 AND crowd >= 2) GROUP BY ALL
+  SELECT d, metric, scope, window_scope, layer, severity::INTEGER AS severity, confidence, resonance_key FROM eligible
+  WHERE layer <> 'single' OR (severity >= 3 AND confidence >= 0.5) OR (severity >= 2 AND confidence >= 0.5 AND crowd >= 2)
+  QUALIFY row_number() OVER (PARTITION BY d, metric, scope, window_scope, layer ORDER BY severity DESC, confidence DESC, resonance_key) = 1
 )"""
 
 SPINE = """ends AS (SELECT min(o_orderdate)::DATE AS first, max(o_orderdate)::DATE AS last FROM orders), spine AS (SELECT unnest(range(first, last + 1, INTERVAL 1 DAY))::DATE AS d FROM ends), weekdays AS (SELECT d FROM spine WHERE isodow(d) < 6)"""
@@ -224,7 +225,7 @@ ORACLE_SQL: dict[str, str] = {
     "relative_strength": f"""WITH {BARS}, r AS (SELECT symbol, d, (close::DOUBLE / lag(close, 5) OVER w - 1) * 100 AS r5, (close::DOUBLE / lag(close, 21) OVER w - 1) * 100 AS r21, (close::DOUBLE / lag(close, 63) OVER w - 1) * 100 AS r63 FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY d))
     SELECT a.symbol, a.d, round(a.r5 - b.r5, 4) AS rs_5, round(a.r21 - b.r21, 4) AS rs_21, round(a.r63 - b.r63, 4) AS rs_63 FROM r a JOIN r b ON a.d = b.d AND b.symbol = 'Brand#11' WHERE a.symbol <> 'Brand#11'""",
     "returns_heatmap": f"WITH {BARS} SELECT symbol, d, round((close::DOUBLE / lag(close, 1) OVER w - 1) * 100, 4) AS r_1, round((close::DOUBLE / lag(close, 5) OVER w - 1) * 100, 4) AS r_5, round((close::DOUBLE / lag(close, 21) OVER w - 1) * 100, 4) AS r_21, round((close::DOUBLE / lag(close, 63) OVER w - 1) * 100, 4) AS r_63 FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY d)",
-    "group_spread": f"WITH {BARS}, r AS (SELECT symbol, d, (close::DOUBLE / lag(close) OVER (PARTITION BY symbol ORDER BY d) - 1) * 100 AS r FROM bars) SELECT d, round(avg(r) FILTER (symbol IN ('Brand#12', 'Brand#13', 'Brand#21')) - max(r) FILTER (symbol = 'Brand#11'), 4) AS spread FROM r GROUP BY d",
+    "group_spread": f"WITH {BARS}, r AS (SELECT symbol, d, (close::DOUBLE / lag(close) OVER (PARTITION BY symbol ORDER BY d) - 1) * 100 AS r FROM bars) SELECT d, round(coalesce(sum(r) FILTER (symbol IN ('Brand#12', 'Brand#13', 'Brand#21')), 0) / 3 - coalesce(max(r) FILTER (symbol = 'Brand#11'), 0), 4) AS spread FROM r GROUP BY d",
     "momentum": f"WITH {BARS}, m AS (SELECT symbol, d, (close::DOUBLE / lag(close) OVER (PARTITION BY symbol ORDER BY d) - 1) * 100 AS a, (close::DOUBLE / open - 1) * 100 AS b FROM bars) SELECT symbol, d, round(a, 4) AS close_to_close, round(b, 4) AS open_to_close, round(a - b, 4) AS gap FROM m",
     "prior_low": f"WITH {BARS}, m AS (SELECT symbol, d, close, min(close) OVER (PARTITION BY symbol ORDER BY d ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING) AS prior_low FROM bars) SELECT symbol, d, prior_low, close < prior_low AS broken FROM m",
 }
@@ -322,6 +323,3 @@ def text_dates(sql: str, dates: list[str]) -> str:
 
 
 ORACLE_SQL = {name: text_dates(sql, [] if name in UNDATED else DATED.get(name, ["d"])) for name, sql in ORACLE_SQL.items()}
-for _name in ("weekday_lag", "session_lag", "five_day_change", "rolling_z_or_zero", "rate_of_change", "monthly_yoy"):
-    ORACLE_SQL[f"{_name}_all"] = ORACLE_SQL[_name]  # names of round 1
-ORACLE_SQL["leverage_drag_pairs"] = ORACLE_SQL["leverage_drag"]

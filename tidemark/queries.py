@@ -56,13 +56,13 @@ def _series(spark: SparkSession, sf_dir: str):
 @query
 def zscore_252(spark: SparkSession, sf_dir: str) -> DataFrame:
     facts, w = _series(spark, sf_dir)
-    return rounded(facts.select("scope", "metric", "d", series.zscore(F.col("value"), w).alias("z")))
+    return rounded(series.rolling_stats(facts.withColumn("n", series.count_so_far(w)), ["scope", "metric"]).select("scope", "metric", "d", "z"))
 
 
 @query
 def percentile_252(spark: SparkSession, sf_dir: str) -> DataFrame:
     facts, w = _series(spark, sf_dir)
-    return rounded(facts.select("scope", "metric", "d", series.percentile(F.col("value"), w).alias("pct")))
+    return rounded(series.rolling_stats(facts.withColumn("n", series.count_so_far(w)), ["scope", "metric"]).select("scope", "metric", "d", "pct"))
 
 
 @query
@@ -123,7 +123,7 @@ def _alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def alert_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(_alerts(spark, sf_dir).select("d", "metric", "scope", "window_scope", "layer", "severity"))
+    return rounded(_alerts(spark, sf_dir).select("d", "metric", "scope", "window_scope", "layer", "severity", "confidence", "resonance_key"))
 
 
 @query
@@ -559,7 +559,3 @@ def alert_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
 def liquidity_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(reports.trend(liquidity_state(spark, sf_dir)))
 
-
-for _name in ("weekday_lag", "session_lag", "five_day_change", "rolling_z_or_zero", "rate_of_change", "monthly_yoy"):
-    QUERIES[f"{_name}_all"] = QUERIES[_name]  # names of round 1
-QUERIES["leverage_drag_pairs"] = QUERIES["leverage_drag"]

@@ -67,10 +67,15 @@ def day_rows(stored: DataFrame, day: str, session: str | None = None, without_sc
 
 
 def observations_json(spark: SparkSession, path: str, series: str) -> DataFrame:
-    """(column, d, value, source_date) of documents {observations: [{date, value}]}; a dot is missing, the last of a date wins."""
-    docs = spark.read.schema("observations array<struct<date:string,value:string>>").json(path, multiLine=True)
-    rows = docs.select(F.posexplode("observations").alias("at", "o")).select("at", F.expr("try_to_date(o.date)").alias("d"), number(F.col("o.value")).alias("value")).where("d is not null")
-    kept = keep_last(rows, ["d"], ["at"]).where("value is not null")
+    """(column, d, value, source_date) of documents {offset, observations: [{date, value}]}; a dot is missing.
+
+    The last of a date wins: that of the page with the largest offset, then of the last file by
+    name, then the last within its document.
+    """
+    docs = spark.read.schema("offset long, observations array<struct<date:string,value:string>>").json(path, multiLine=True)
+    paged = docs.select(F.coalesce("offset", F.lit(0)).alias("page"), F.col("_metadata.file_path").alias("file"), F.posexplode("observations").alias("at", "o"))
+    rows = paged.select("page", "file", "at", F.expr("try_to_date(o.date)").alias("d"), number(F.col("o.value")).alias("value")).where("d is not null")
+    kept = keep_last(rows, ["d"], ["page", "file", "at"]).where("value is not null")
     return kept.select(F.lit(series).alias("column"), "d", "value", F.col("d").alias("source_date"))
 
 
@@ -93,9 +98,22 @@ def wide_to_long(df: DataFrame, keys: list[str], name: str = "metric", value: st
     return df.unpivot(keys, [c for c in df.columns if c not in keys], name, value)
 
 
-def net_positions(df: DataFrame, groups: dict[str, str]) -> DataFrame:
-    """(group, net) of the latest report: long less short contracts, markets grouped by name pattern."""
+def net_positions(df: DataFrame, groups: list[tuple[str, list[str], list[str]]]) -> DataFrame:
+    """(group, net) of the latest report: long less short contracts of a group's markets.
+
+    A group (name, words, excluded) has the markets that hold all its words and none of the
+    excluded, in any case; the first such group in the list takes a market.
+    """
     name = F.upper("market")
-    label = F.coalesce(*(F.when(name.contains(pattern.upper()), F.lit(group)) for group, pattern in groups.items()))
+
+    def fits(words: list[str], excluded: list[str]) -> Column:
+        held = F.lit(True)
+        for word in words:
+            held = held & name.contains(word.upper())
+        for word in excluded:
+            held = held & ~name.contains(word.upper())
+        return held
+
+    label = F.coalesce(*(F.when(fits(words, excluded), F.lit(group)) for group, words, excluded in groups))
     newest = df.agg(F.max("d").alias("d"))
     return df.join(F.broadcast(newest), "d").withColumn("group", label).where("group is not null").groupBy("group").agg(F.sum(F.col("long") - F.col("short")).alias("net"))

@@ -26,9 +26,17 @@ def stored(spark: SparkSession, path: str, schema: str) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
+#: Rows of a file.
+ROWS_PER_FILE = 1 << 20
+
+
 def replace_partitions(df: DataFrame, path: str, partition: str) -> None:
-    """Write the dates that ``df`` holds, leaving others alone."""
-    df.repartition(F.col(partition)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
+    """Write the dates that ``df`` holds, leaving others alone.
+
+    Rows are rebalanced by date: Spark puts small dates together and splits a large one over
+    several tasks; files have a bounded number of rows.
+    """
+    df.hint("rebalance", partition).write.mode("overwrite").option("maxRecordsPerFile", ROWS_PER_FILE).option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
 
 
 def upsert(new: DataFrame, old: DataFrame, keys: list[str], path: str, partition: str, order: list[str] | None = None) -> None:
