@@ -10,7 +10,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import clean, series
-from tidemark.operators import align, anomaly, bars, liquidity, market, options, reports
+from tidemark.operators import align, anomaly, bars, calendar, liquidity, market, options, reports
 from tidemark.plans import specs
 from tidemark.sources import readers, sinks
 from tidemark.streaming import market as streams
@@ -46,10 +46,10 @@ def test_blocks_of_nothing(spark):
 
 
 def test_session_lag_beyond_the_calendar(spark):
-    calendar = align.weekdays(spark, "2024-01-01", "2024-01-12", ["2024-01-03"])
+    days = calendar.session_days(spark, "2024-01-01", "2024-01-12", holidays=[], closures=spark.createDataFrame([("2024-01-03",)], "d string").selectExpr("date(d) d"))
     pairs = [("2024-01-01", "2024-01-05", 3), ("2023-12-20", "2024-01-02", 1), ("2024-01-10", "2024-02-01", 2), ("2024-02-01", "2024-02-02", 0), ("2023-12-01", "2023-12-02", 0), ("2024-01-05", "2024-01-02", 0), ("2024-01-06", "2024-01-08", 0), (None, "2024-01-02", None)]
     df = spark.createDataFrame([(i, a, b) for i, (a, b, _) in enumerate(pairs)], "i int, a string, b string").select("i", F.col("a").cast("date").alias("a"), F.col("b").cast("date").alias("b"))
-    got = {r.i: r.lag_days for r in align.session_lag(calendar, df, "a", "b").collect()}
+    got = {r.i: r.lag_days for r in calendar.lag_days(df, days, "a", "b").collect()}
     assert got == {i: want for i, (_, _, want) in enumerate(pairs)}
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import clean, pricing, series
-from tidemark.operators import align, anomaly, bars, environment, liquidity, options, probes
+from tidemark.operators import align, anomaly, bars, calendar, environment, liquidity, options, probes
 from tidemark.sources import readers, sinks
 from tidemark.streaming import market
 
@@ -80,7 +80,7 @@ def test_gate_and_fingerprint(spark):
 
 
 def test_asof_carries_value_and_date(spark):
-    spine = align.weekdays(spark, "2024-01-01", "2024-01-05")
+    spine = calendar.session_days(spark, "2024-01-01", "2024-01-05", holidays=[]).select("d", "seq")
     seen = spark.createDataFrame([("x", dt.date(2024, 1, 1), 10.0), ("x", dt.date(2024, 1, 4), 12.0)], "k string, d date, value double")
     got = align.effective_observations(align.asof(spine, seen, ["k"]), ["k"]).orderBy("d").collect()
     assert [(r.value, r.source_date.day, r.effective_obs) for r in got] == [(10.0, 1, 1)] * 3 + [(12.0, 4, 2)] * 2
@@ -89,9 +89,9 @@ def test_asof_carries_value_and_date(spark):
 def test_lags(spark):
     df = spark.createDataFrame([(dt.date(2024, 1, 5), dt.date(2024, 1, 8)), (dt.date(2024, 1, 6), dt.date(2024, 1, 8)), (None, dt.date(2024, 1, 8)), (dt.date(2024, 1, 9), dt.date(2024, 1, 8))], "s date, r date")
     assert one(df.select(align.weekday_lag(F.col("s"), F.col("r")).alias("n")), "n") == [1, 0, None, 0]
-    calendar = align.weekdays(spark, "2024-01-01", "2024-01-31", ["2024-01-15"])
+    days = calendar.session_days(spark, "2024-01-02", "2024-01-31")
     rows = spark.createDataFrame([(dt.date(2024, 1, 12), dt.date(2024, 1, 16))], "s date, r date")
-    assert one(align.session_lag(calendar, rows, "s", "r"), "lag_days") == [1]
+    assert one(calendar.lag_days(rows, days, "s", "r"), "lag_days") == [1]
 
 
 def test_priority_merge_tells_the_table(spark):

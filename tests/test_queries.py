@@ -6,9 +6,9 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.market_oracles import ORACLE_SQL
+from tidemark.session_oracles import ORACLE_SQL
 from tidemark.plans import inputs
-from tidemark.market_queries import QUERIES
+from tidemark.session_queries import QUERIES
 
 TABLES = "region nation customer supplier part orders lineitem events".split()
 

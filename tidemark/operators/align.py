@@ -2,52 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def weekdays(spark: SparkSession, first: str, last: str, holidays: list[str] | None = None) -> DataFrame:
-    """(d, seq): weekdays from first to last without the holidays, numbered from 1."""
-    return _sessions(spark.range(1).select(F.lit(first).cast("date").alias("first"), F.lit(last).cast("date").alias("last")), holidays)
-
-
-def observed_weekdays(observations: DataFrame, holidays: list[str] | None = None, date: str = "d") -> DataFrame:
-    """(d, seq): weekdays from the first to the last observation; none without observations."""
-    return _sessions(observations.agg(F.min(date).alias("first"), F.max(date).alias("last")), holidays)
-
-
-def _sessions(span: DataFrame, holidays: list[str] | None) -> DataFrame:
+def observed_weekdays(observations: DataFrame, date: str = "d") -> DataFrame:
+    """(d, seq): weekdays from the first to the last observation, numbered from 1; none without observations."""
+    span = observations.agg(F.min(date).alias("first"), F.max(date).alias("last"))
     days = span.select(F.explode(F.sequence("first", "last")).alias("d")).where(F.weekday("d") < 5)
-    if holidays:
-        days = days.where(~F.col("d").isin([F.lit(h).cast("date") for h in holidays]))
     return days.select("d", F.row_number().over(Window.orderBy("d")).alias("seq"))  # a calendar: some hundred rows a year
 
 
-def session_lag(calendar: DataFrame, df: DataFrame, source: str, reference: str) -> DataFrame:
-    """``df`` with lag_days: sessions in [source, reference] less one, at least 0; null if either date is null.
-
-    Every day of the calendar's span has its number of sessions so far, in a table as large as
-    the calendar, which is looked up by both dates; dates outside the span take its ends.
-    """
-    first, last = calendar.agg(F.min("d"), F.max("d")).first()
-    span = df.sparkSession.range(1).select(F.explode(F.sequence(F.lit(first), F.lit(last))).alias("d")) if first else calendar.select("d")
-    days = span.join(calendar.select("d", F.lit(1).alias("open")), "d", "left")
-    upto = F.sum(F.coalesce("open", F.lit(0))).over(Window.orderBy("d").rowsBetween(Window.unboundedPreceding, 0))  # one row a day
-    days = days.select("d", upto.cast("int").alias("upto"), (upto - F.coalesce("open", F.lit(0))).cast("int").alias("before"))
-
-    def held(day: str) -> Column:
-        return F.greatest(F.lit(first), F.least(F.lit(last), F.col(day)))
-
-    start = F.broadcast(days.select(F.col("d").alias("_start"), "before"))
-    end = F.broadcast(days.select(F.col("d").alias("_end"), "upto"))
-    rows = df.withColumns({"_start": F.when(F.col(source).isNotNull(), held(source)), "_end": F.when(F.col(reference).isNotNull(), held(reference))})
-    rows = rows.join(start, "_start", "left").join(end, "_end", "left")
-    # A source after the last session leaves none, a reference before the first session none either.
-    inside = F.when((F.col(source) > F.lit(last)) | (F.col(reference) < F.lit(first)), 0).otherwise(F.col("upto") - F.col("before"))
-    known = F.col(source).isNotNull() & F.col(reference).isNotNull()
-    return rows.select(*df.columns, F.when(known, F.greatest(F.lit(0), inside - 1)).alias("lag_days"))
-
-
 def weekday_lag(source: Column, reference: Column) -> Column:
     """Weekdays in [source, reference), 0 if reversed, null if either is null; closed form, no calendar."""
 

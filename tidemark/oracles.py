@@ -33,7 +33,7 @@ windowed AS (
   FROM facts WINDOW w AS (PARTITION BY scope, metric ORDER BY d), f AS (PARTITION BY scope, metric ORDER BY d ROWS BETWEEN 251 PRECEDING AND CURRENT ROW)
 ), stats AS (
   SELECT * EXCLUDE (seen, mean, dev), CASE WHEN n >= 30 THEN CASE WHEN dev > 0 THEN (value - mean) / dev ELSE 0 END END AS z,
-    CASE WHEN n >= 30 THEN len([x FOR x IN seen IF x < value]) * 100.0 / len(seen) END AS pct FROM windowed
+    CASE WHEN n >= 30 THEN len([x FOR x IN seen IF x < value])::DOUBLE / len(seen) * 100 END AS pct FROM windowed
 ), hits AS (
   SELECT s.scope, s.metric, s.d, max(r.sev) AS abs_sev FROM stats s JOIN rules r USING (metric)
   WHERE (r.op = '<' AND s.value < r.bound) OR (r.op = '>' AND s.value > r.bound) OR (r.op = '>=' AND s.value >= r.bound) GROUP BY ALL
@@ -67,6 +67,35 @@ windowed AS (
 )"""
 
 SPINE = """ends AS (SELECT min(o_orderdate)::DATE AS first, max(o_orderdate)::DATE AS last FROM orders), spine AS (SELECT unnest(range(first, last + 1, INTERVAL 1 DAY))::DATE AS d FROM ends), weekdays AS (SELECT d FROM spine WHERE isodow(d) < 6)"""
+
+
+def _nth(month: int, weekday: int, n: int) -> str:
+    first = f"make_date(y, {month}, 1)"
+    return f"{first} + (({weekday} - isodow({first}) + 7) % 7 + {7 * (n - 1)})::INT"
+
+
+def _near(month: int, day: int, saturday: str, sunday: str = "d + 1") -> str:
+    return f"(SELECT CASE isodow(d) WHEN 6 THEN {saturday} WHEN 7 THEN {sunday} ELSE d END FROM (SELECT make_date(y, {month}, {day}) AS d))"
+
+
+#: ``sessions`` (d, seq, half_day) of the days from ``ends.first`` to ``ends.last``.
+SESSIONS = f"""years AS (SELECT unnest(range(year(first), year(last) + 1)) AS y FROM ends), golden AS (
+  SELECT y, y % 19 AS a, y // 100 AS b, y % 100 AS c, (y // 100) // 4 AS dd, (y // 100) % 4 AS e, (y // 100 - (y // 100 + 8) // 25 + 1) // 3 AS g FROM years
+), moons AS (SELECT *, (19 * a + b - dd - g + 15) % 30 AS h FROM golden), sundays AS (SELECT *, (32 + 2 * e + 2 * (c // 4) - h - c % 4) % 7 AS l FROM moons
+), easters AS (SELECT y, make_date(y, (h + l - 7 * ((a + 11 * h + 22 * l) // 451) + 114) // 31, (h + l - 7 * ((a + 11 * h + 22 * l) // 451) + 114) % 31 + 1) AS d FROM sundays
+), holidays AS (
+  SELECT {_near(1, 1, "NULL")} AS d FROM years UNION ALL SELECT {_nth(1, 1, 3)} FROM years WHERE y >= 1998 UNION ALL SELECT {_nth(2, 1, 3)} FROM years UNION ALL SELECT d - 2 FROM easters
+  UNION ALL SELECT make_date(y, 5, 31) - (isodow(make_date(y, 5, 31)) - 1)::INT FROM years UNION ALL SELECT {_near(6, 19, "d - 1")} FROM years WHERE y >= 2022 UNION ALL SELECT {_near(7, 4, "d - 1")} FROM years
+  UNION ALL SELECT {_nth(9, 1, 1)} FROM years UNION ALL SELECT {_nth(11, 4, 4)} FROM years UNION ALL SELECT {_near(12, 25, "d - 1")} FROM years
+  UNION ALL SELECT unnest(['1994-04-27', '2001-09-11', '2001-09-12', '2001-09-13', '2001-09-14', '2004-06-11', '2007-01-02', '2012-10-29', '2012-10-30', '2018-12-05', '2025-01-09'])::DATE
+), early AS (
+  SELECT make_date(y, 7, 3) AS d FROM years WHERE (y >= 1995 AND isodow(make_date(y, 7, 3)) IN (1, 2, 4)) OR (y >= 2013 AND isodow(make_date(y, 7, 3)) = 3)
+  UNION ALL SELECT make_date(y, 7, 5) FROM years WHERE y BETWEEN 1995 AND 2012 AND isodow(make_date(y, 7, 5)) = 5
+  UNION ALL SELECT {_nth(11, 4, 4)} + 1 FROM years WHERE y >= 1993 UNION ALL SELECT make_date(y, 12, 24) FROM years WHERE y >= 1993 AND isodow(make_date(y, 12, 24)) < 5
+), sessions AS (
+  SELECT d, row_number() OVER (ORDER BY d) AS seq, d IN (SELECT d FROM early) AS half_day FROM (SELECT unnest(range(first, last + 1, INTERVAL 1 DAY))::DATE AS d FROM ends) WHERE isodow(d) < 6 AND d NOT IN (SELECT d FROM holidays WHERE d IS NOT NULL)
+), ordinals AS (SELECT d, count(seq) OVER (ORDER BY d) AS upto FROM (SELECT unnest(range(first - 1, last + 1, INTERVAL 1 DAY))::DATE AS d FROM ends) LEFT JOIN sessions USING (d))"""
+
 ALIGNED = FACTS + f""", {SPINE}, names AS (SELECT DISTINCT scope, metric FROM facts), aligned AS (
   SELECT n.scope, n.metric, w.d, f.value, f.d AS source_date FROM (SELECT * FROM names, weekdays) AS n(scope, metric, d) JOIN weekdays w ON w.d = n.d
   ASOF LEFT JOIN facts f ON f.scope = n.scope AND f.metric = n.metric AND f.d <= n.d
@@ -294,8 +323,8 @@ ORACLE_SQL |= {
 }
 ORACLE_SQL |= {
     "weekday_lag": f"WITH {ALIGNED} SELECT scope, metric, x.d, (b.upto - a.upto)::INTEGER AS lag_days FROM aligned x LEFT JOIN counted a ON a.d = x.source_date - 1 LEFT JOIN counted b ON b.d = x.d - 1",
-    "session_lag": f"""WITH {ALIGNED}, sessions AS (SELECT d, sum((isodow(d) < 6 AND d NOT IN (DATE '1995-07-04', DATE '1996-07-04', DATE '1997-07-04') AND d >= (SELECT first FROM ends))::INT) OVER (ORDER BY d) AS upto FROM counted)
-    SELECT scope, metric, x.d, greatest(0, b.upto - a.upto - 1)::INTEGER AS lag_days FROM aligned x JOIN sessions a ON a.d = x.source_date - 1 JOIN sessions b ON b.d = x.d""",
+    "session_lag": f"""WITH {ALIGNED}, {SESSIONS}
+    SELECT scope, metric, x.d, greatest(0, b.upto - a.upto - 1)::INTEGER AS lag_days FROM aligned x JOIN ordinals a ON a.d = x.source_date - 1 JOIN ordinals b ON b.d = x.d""",
     "five_day_change": f"""WITH {FACTS}, {SPINE}, cal AS (SELECT d, row_number() OVER (ORDER BY d) AS seq FROM weekdays), v AS (SELECT scope, metric, d, value FROM facts WHERE isodow(d) < 6),
     m AS (SELECT v.scope, v.metric, v.d, v.value, b.d AS past FROM v JOIN cal c ON c.d = v.d LEFT JOIN cal b ON b.seq = c.seq - 5)
     SELECT m.scope, m.metric, m.d, round(m.value - p.value, 4) AS change FROM m ASOF LEFT JOIN v p ON p.scope = m.scope AND p.metric = m.metric AND p.d <= m.past""",

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import pricing, series
-from .operators import align, anomaly, bars, environment, liquidity, options, probes, reports
+from .operators import align, anomaly, bars, calendar, environment, liquidity, options, probes, reports
 from .plans import inputs
 from .sources import folders
 from .streaming import market
@@ -136,9 +136,19 @@ def alert_cluster_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return anomaly.cluster_names(_events(spark, sf_dir))
 
 
-def _calendar(spark: SparkSession, sf_dir: str, holidays: list[str] | None = None) -> DataFrame:
-    """Weekdays of all facts; each order is in a fact of its day."""
-    return align.observed_weekdays(inputs.table(spark, sf_dir, "orders").select(F.to_date("o_orderdate").alias("d")), holidays)
+def _order_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The days of all facts; each order is in a fact of its day."""
+    return inputs.table(spark, sf_dir, "orders").select(F.to_date("o_orderdate").alias("d"))
+
+
+def _calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weekdays from the first to the last fact."""
+    return align.observed_weekdays(_order_days(spark, sf_dir))
+
+
+def _sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions of the exchange from the first to the last fact."""
+    return calendar.observed_sessions(_order_days(spark, sf_dir))
 
 
 def _aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -163,9 +173,9 @@ def weekday_lag(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def session_lag(spark: SparkSession, sf_dir: str) -> DataFrame:
-    calendar = _calendar(spark, sf_dir, ["1995-07-04", "1996-07-04", "1997-07-04"])
+    """Sessions of the exchange between a weekday and the observation that it shows."""
     rows = _aligned(spark, sf_dir).where("source_date is not null").select("scope", "metric", "d", "source_date")
-    return align.session_lag(calendar, rows, "source_date", "d").select("scope", "metric", "d", "lag_days")
+    return calendar.lag_days(rows, _sessions(spark, sf_dir), "source_date", "d").select("scope", "metric", "d", "lag_days")
 
 
 @query
