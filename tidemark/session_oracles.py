@@ -38,4 +38,8 @@ SQL: dict[str, str] = {
       FROM replayed r JOIN risk k ON k.scope = r.scope AND k.metric = r.metric AND k.d = r.source_date""",
     "replayed_fill_rate": f"WITH {REPLAYED} SELECT scope, metric, count(*) AS sessions, count(*) FILTER (source_date <> report_date) AS filled, max(n)::INTEGER AS observations, max(lag_days) AS longest_lag FROM replayed GROUP BY ALL",
 }
-ORACLE_SQL |= {name: text_dates(sql, {"exchange_calendar": ["d"], "session_neighbours": ["d"]}.get(name, [])) for name, sql in SQL.items()}
+SQL["live_observations"] = """WITH o AS (SELECT o_orderdate::DATE AS d, count(*) AS n, round(max(o_totalprice))::DOUBLE AS most FROM orders GROUP BY 1)
+  SELECT 'a' AS source, 'orders' AS field, d, n::DOUBLE AS value FROM o WHERE d >= DATE '1995-06-01' UNION ALL SELECT 'a', 'most', d, most FROM o WHERE d >= DATE '1995-06-01'
+  UNION ALL SELECT 'b', 'orders', d, n / 2 FROM o WHERE d >= DATE '1995-06-01' AND dayofmonth(d) <> 5"""
+SQL["live_health"] = "SELECT 'ships' AS source, 'ok' AS status, count(DISTINCT l_shipdate::DATE) AS rows, false AS told FROM lineitem UNION ALL SELECT 'gone', 'failed', 0, true"
+ORACLE_SQL |= {name: text_dates(sql, {"exchange_calendar": ["d"], "session_neighbours": ["d"], "live_observations": ["d"]}.get(name, [])) for name, sql in SQL.items()}

@@ -1,8 +1,8 @@
-"""Registered queries of the exchange calendar and of replayed snapshots; twins in ``session_oracles``."""
+"""Registered queries of the exchange calendar, of replayed snapshots and of live feeds; twins in ``session_oracles``."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import queries as base
@@ -10,6 +10,7 @@ from .market_queries import QUERIES
 from .operators import calendar, replay
 from .plans import inputs
 from .queries import query, rounded
+from .sources import folders, live
 
 __all__ = ["QUERIES"]
 
@@ -53,3 +54,43 @@ def replayed_fill_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """By series: sessions, filled ones among them, observations seen, and the longest lag."""
     rows = _replayed(spark, sf_dir)
     return rows.groupBy("scope", "metric").agg(F.count("*").alias("sessions"), F.count_if("is_filled").alias("filled"), F.max("effective_obs").alias("observations"), F.max("lag_days").alias("longest_lag"))
+
+
+#: Records of one page of the stand-in feeds.
+PAGE = 200
+
+
+def _paged(rows: DataFrame, folder: str, record: Column, total: int) -> None:
+    """``rows`` (n from 1, d, ...) as pages of a feed: a folder each, one document in it."""
+    paged = rows.select(F.floor((F.col("n") - 1) / PAGE).cast("int").alias("at"), "n", record.alias("record"))
+    documents = paged.groupBy((F.col("at") + 1).alias("page")).agg(F.sort_array(F.collect_list(F.struct("n", "record"))).alias("held"))  # PAGE records
+    documents.select("page", F.struct(F.lit(-(-total // PAGE)).alias("pages")).alias("meta"), F.col("held.record").alias("data")).write.partitionBy("page").json(folder)
+
+
+@query
+def live_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two paged feeds of order days, one with holes, read from 1995-06-01 on: the last usable value of each field and day."""
+    days = inputs.table(spark, sf_dir, "orders").groupBy(F.to_date("o_orderdate").alias("d")).agg(F.count("*").alias("n_orders"), F.round(F.max("o_totalprice")).cast("long").alias("most"))
+    rows = days.withColumn("n", F.row_number().over(Window.orderBy("d")))  # one row a day
+    total, folder = rows.count(), folders.fresh(spark, "feeds")
+    text = F.col("d").cast("string").alias("record_date")
+    _paged(rows, f"{folder}/a", F.struct(text, F.col("n_orders").cast("string").alias("n"), F.when(F.dayofmonth("d") % 3 == 0, ".").otherwise(F.format_number("most", 0)).alias("close"), F.col("most").cast("string").alias("open")), total)
+    _paged(rows, f"{folder}/b", F.struct(text, F.when(F.dayofmonth("d") == 5, "n/a").otherwise(F.col("n_orders").cast("string")).alias("n")), total)
+    uri = folder if "://" in folder else f"file://{folder}"
+    feeds = [
+        live.Feed("a", f"{uri}/a/page={{page}}", "data", {"orders": ["n"], "most": ["close", "open"]}, "record_date", pages="meta.pages"),
+        live.Feed("b", f"{uri}/b/page={{page}}", "data", {"orders": ["n"]}, "record_date", scale=0.5, pages="meta.pages"),
+    ]
+    return live.latest(live.observations(spark, feeds).where("d >= date '1995-06-01'"))
+
+
+@query
+def live_health(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A feed of ship days that is whole, and one of which no page is there."""
+    days = inputs.table(spark, sf_dir, "lineitem").groupBy(F.to_date("l_shipdate").alias("d")).agg(F.count("*").alias("lines"))
+    rows = days.withColumn("n", F.row_number().over(Window.orderBy("d")))  # one row a day
+    total, folder = rows.count(), folders.fresh(spark, "feeds")
+    _paged(rows, f"{folder}/ships", F.struct(F.col("d").cast("string").alias("date"), "lines"), total)
+    uri = folder if "://" in folder else f"file://{folder}"
+    feeds = [live.Feed(name, f"{uri}/{name}/page={{page}}", "data", {"lines": ["lines"]}, pages="meta.pages") for name in ("ships", "gone")]
+    return live.health(live.observations(spark, feeds, status=True)).select("source", "status", "rows", F.col("error").isNotNull().alias("told"))
