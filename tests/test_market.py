@@ -1,9 +1,14 @@
 import datetime as dt
+import json
+import os
+import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import market, reports
 from tidemark.sources import sinks
+from tidemark.streaming import logs
 
 
 def test_reference_price(spark):
@@ -52,10 +57,31 @@ def test_liquidity_inputs(spark):
 
 
 def test_log_tail(spark):
-    lines = ["2024-01-01 old", "trace of old", "2024-01-02 new", "trace of new", "heartbeat", "[2024-01-02] more"]
-    rows = spark.createDataFrame([("f", i, x) for i, x in enumerate(lines)], "file string, n int, line string")
-    got = market.todays_log(rows, "2024-01-02", ["heartbeat"]).orderBy("n")
-    assert [r.line for r in got.collect()] == ["2024-01-02 new", "trace of new", "[2024-01-02] more"]
+    """A date counts in brackets alone; noise is left out before its date is looked at, and what comes before any date is kept."""
+    lines = ["first", "[2024-01-01 10:00:00] old", "trace of old", "2024-01-02 plain", "[2024-01-02 10:00:00] new", "trace of new", " ", "[2024-01-03] heartbeat", "still", "[2024-01-03] more", None, "[2024-01-03] until 2024-01-02", "last"]
+    rows = spark.createDataFrame([("f", i, x) for i, x in enumerate(lines)] + [("g", 0, "alone")], "file string, n int, line string")
+    got = market.todays_log(rows, "2024-01-02", ["heartbeat"]).orderBy("file", "n")
+    assert [r.line for r in got.collect()] == ["first", "[2024-01-02 10:00:00] new", "trace of new", "still", "[2024-01-03] until 2024-01-02", "last", "alone"]
+
+
+@pytest.mark.parametrize("size", [1, 7, 1000])
+def test_log_tail_as_a_stream(spark, tmp_path, size):
+    """The same lines as the batch form, whatever the batches' cuts; lines that come again are left out."""
+    r = random.Random(5)
+    kinds = ["[2024-01-01 1] a", "[2024-01-02 2] b", "[2024-01-02] heartbeat", "plain", "plain", "heartbeat", "", None]
+    rows = [("fg"[i % 2], i, r.choice(kinds)) for i in range(60 if size == 1 else 300)]
+    schema = logs.LINES
+    size = 5 if size == 1 else size
+    for a in range(0, len(rows), size):
+        again = rows[max(0, a - 3) : a]
+        path = tmp_path / "in" / f"{a:05d}.json"
+        path.parent.mkdir(exist_ok=True)
+        path.write_text("".join(json.dumps({"file": f, "n": n, "line": x}) + "\n" for f, n, x in again + rows[a : a + size]))
+        os.utime(path, (1_700_000_000 + a, 1_700_000_000 + a))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
+    got = logs.appended(logs.tail(stream, "2024-01-02", ["heartbeat"]), str(tmp_path / "out"))
+    want = market.todays_log(spark.createDataFrame(rows, schema), "2024-01-02", ["heartbeat"])
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and want.count() > 5
 
 
 def test_tables_are_created_and_extended(spark):

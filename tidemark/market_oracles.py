@@ -151,8 +151,10 @@ SQL: dict[str, str] = {
       concat_ws('; ', CASE thrust WHEN 'thrust' THEN 'bottom confirmed by breadth' WHEN 'washout' THEN 'panic in breadth' END, CASE WHEN vix < 60 THEN 'off-exchange divergence' END, CASE WHEN vix_contango_pct < 0 THEN 'volatility curve inverted' END, CASE WHEN credit_z > 2 THEN 'volatility premium extreme' END,
         CASE WHEN trin > 2 THEN 'credit against bonds turns averse' END) AS findings FROM wide JOIN th USING (d)""",
     "momentum_scan": f"WITH {STATS} SELECT scope, metric, d, round(z, 4) AS z, CASE WHEN z > 0 THEN 'up' ELSE 'down' END AS move FROM stats WHERE n > 30 AND abs(z) > 2",
-    "todays_log": """WITH l AS (SELECT event_type AS file, event_id AS n, ts::DATE AS own, CASE event_id % 5 WHEN 0 THEN ts::DATE || ' scan' WHEN 1 THEN '[' || ts::DATE || '] tick' WHEN 2 THEN '  heartbeat ok' ELSE 'detail ' || event_id END AS line, CASE WHEN event_id % 5 < 2 THEN ts::DATE END AS dated FROM events),
-      f AS (SELECT *, last_value(dated IGNORE NULLS) OVER (PARTITION BY file ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS day FROM l) SELECT file, n, line FROM f WHERE day = (SELECT max(own) FROM l) AND NOT contains(line, 'heartbeat')""",
+    "todays_log": """WITH l AS (SELECT event_type AS file, event_id AS n, strftime(ts, '%Y-%m-%d') AS day, CASE WHEN event_id % 11 = 0 THEN strftime(ts, '%Y-%m-%d') || ' scan' WHEN event_id % 7 = 1 THEN '[' || strftime(ts, '%Y-%m-%d') || ' 10:00:00] tick' WHEN event_id % 13 = 2 THEN '[' || strftime(ts, '%Y-%m-%d') || '] heartbeat'
+        WHEN event_id % 5 = 2 THEN '  heartbeat ok' WHEN event_id % 17 = 3 THEN '  ' ELSE 'detail ' || event_id END AS line FROM events), q AS (SELECT * FROM l WHERE NOT contains(line, 'heartbeat') AND NOT contains(line, 'debug')),
+      g AS (SELECT *, last_value(CASE WHEN line[1] = '[' AND line[2:3] = '20' AND line[6] = '-' AND len(line) >= 11 THEN contains(line, (SELECT max(day) FROM l)) END IGNORE NULLS) OVER (PARTITION BY file ORDER BY n) AS open FROM q)
+      SELECT file, n, line FROM g WHERE coalesce(open, true) AND trim(line) <> ''""",
     "event_order": f"WITH {STATS} SELECT d, row_number() OVER (PARTITION BY d ORDER BY severity DESC, confidence DESC, layer, scope, metric, window_scope)::INTEGER AS place, metric, scope, window_scope, severity FROM events",
     "environment_lines": f"""WITH {ENVIRONMENT} SELECT d, string_agg("index" || ' ' || coalesce(printf('%.1f', score), 'n/a') || ' (' || round_even(coverage * 100, 0)::INT || '%)', '; ' ORDER BY "index") AS summary FROM scores GROUP BY d""",
     "liquidity_context": f"WITH {CONTEXT} SELECT d, round(reserves_t, 4) AS reserves_t, round(tga_b, 4) AS tga_b, round(sofr_iorb_bps, 4) AS sofr_iorb_bps, round(nfci, 4) AS nfci, round(move, 4) AS move, round(hy_spread, 4) AS hy_spread FROM cx",

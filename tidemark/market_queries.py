@@ -384,14 +384,25 @@ def momentum_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(probes.momentum_scan(base._snapshot(spark, sf_dir)))
 
 
+NOISE = ["heartbeat", "debug"]
+
+
+def log_lines(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, str]:
+    """(file, n, line) of a log for each event type, and the last day of all."""
+    k, date = F.col("event_id"), F.date_format("ts", "yyyy-MM-dd")
+    line = (
+        F.when(k % 11 == 0, F.concat(date, F.lit(" scan"))).when(k % 7 == 1, F.concat(F.lit("["), date, F.lit(" 10:00:00] tick"))).when(k % 13 == 2, F.concat(F.lit("["), date, F.lit("] heartbeat")))
+        .when(k % 5 == 2, "  heartbeat ok").when(k % 17 == 3, "  ").otherwise(F.concat(F.lit("detail "), k.cast("string")))
+    )
+    events = inputs.table(spark, sf_dir, "events")
+    return events.select(F.col("event_type").alias("file"), k.alias("n"), line.alias("line")), str(events.agg(F.max(F.to_date("ts"))).first()[0])
+
+
 @query
 def todays_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A log for each event type: some lines begin with their date, others follow one."""
-    k = F.col("event_id")
-    line = F.when(k % 5 == 0, F.concat(F.date_format("ts", "yyyy-MM-dd"), F.lit(" scan"))).when(k % 5 == 1, F.concat(F.lit("["), F.date_format("ts", "yyyy-MM-dd"), F.lit("] tick"))).when(k % 5 == 2, "  heartbeat ok").otherwise(F.concat(F.lit("detail "), k.cast("string")))
-    lines = inputs.table(spark, sf_dir, "events").select(F.col("event_type").alias("file"), k.alias("n"), line.alias("line"), F.to_date("ts").alias("d"))
-    today = lines.agg(F.max("d")).first()[0]
-    return market.todays_log(lines.drop("d"), str(today), ["heartbeat", "debug"])
+    """A log for each event type: some lines begin with their date in brackets, others follow one; some are noise, dated or not."""
+    lines, today = log_lines(spark, sf_dir)
+    return market.todays_log(lines, today, NOISE)
 
 
 @query

@@ -83,15 +83,24 @@ def rate_spreads(rates: DataFrame) -> DataFrame:
     return rates.withColumns(spreads | {"sofr_75_iorb_bps": (F.col("sofr_p75") - F.col("iorb")) * 100, "sofr_dispersion_bps": (F.col("sofr_p99") - F.col("sofr")) * 100})
 
 
+def log_date(line: Column) -> Column:
+    """Whether a log's line begins with a date in brackets."""
+    return F.startswith(line, F.lit("[20")) & (F.substring(line, 6, 1) == "-") & (F.length(line) >= 11)
+
+
 def todays_log(lines: DataFrame, today: str, noise: list[str]) -> DataFrame:
-    """Lines from today's on, without noise: a line without a date belongs to the last dated line before it.
+    """A log's lines of today: those after a line whose bracketed date holds ``today``, up to one with another date.
 
-    ``lines`` has (file, n, line); order matters within a file alone.
+    Lines before the first date count as today's.  Lines that hold a word of ``noise`` are left
+    out first, dates and all, and so are blank ones.  ``lines`` has (file, n, line); order matters
+    within a file alone.
     """
     w = Window.partitionBy("file").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
-    date = F.nullif(F.regexp_extract("line", r"^\[?(\d{4}-\d{2}-\d{2})", 1), F.lit(""))
-    rows = lines.withColumn("_day", F.last(date, ignorenulls=True).over(w)).where(F.col("_day") == today)
-    return rows.where(~F.col("line").rlike("|".join(noise)) if noise else F.lit(True)).drop("_day")
+    line, quiet = F.col("line"), F.col("line").isNotNull()
+    for word in noise:
+        quiet = quiet & ~line.contains(word)
+    gate = F.last(F.when(log_date(line), line.contains(today)), ignorenulls=True).over(w)
+    return lines.where(quiet).withColumn("_open", F.coalesce(gate, F.lit(True))).where("_open").where(line.rlike(r"\S")).drop("_open")
 
 
 def g3_liquidity(fed: Column, ecb: Column, boj: Column, eur_usd: Column, usd_jpy: Column) -> Column:

@@ -42,4 +42,5 @@ SQL["live_observations"] = """WITH o AS (SELECT o_orderdate::DATE AS d, count(*)
   SELECT 'a' AS source, 'orders' AS field, d, n::DOUBLE AS value FROM o WHERE d >= DATE '1995-06-01' UNION ALL SELECT 'a', 'most', d, most FROM o WHERE d >= DATE '1995-06-01'
   UNION ALL SELECT 'b', 'orders', d, n / 2 FROM o WHERE d >= DATE '1995-06-01' AND dayofmonth(d) <> 5"""
 SQL["live_health"] = "SELECT 'ships' AS source, 'ok' AS status, count(DISTINCT l_shipdate::DATE) AS rows, false AS told FROM lineitem UNION ALL SELECT 'gone', 'failed', 0, true"
+SQL["stream_log_tail"] = ORACLE_SQL["todays_log"]
 ORACLE_SQL |= {name: text_dates(sql, {"exchange_calendar": ["d"], "session_neighbours": ["d"], "live_observations": ["d"]}.get(name, [])) for name, sql in SQL.items()}

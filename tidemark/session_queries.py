@@ -6,11 +6,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import queries as base
-from .market_queries import QUERIES
+from .market_queries import NOISE, QUERIES, log_lines
 from .operators import calendar, replay
 from .plans import inputs
 from .queries import query, rounded
 from .sources import folders, live
+from .streaming import logs
 
 __all__ = ["QUERIES"]
 
@@ -94,3 +95,15 @@ def live_health(spark: SparkSession, sf_dir: str) -> DataFrame:
     uri = folder if "://" in folder else f"file://{folder}"
     feeds = [live.Feed(name, f"{uri}/{name}/page={{page}}", "data", {"lines": ["lines"]}, pages="meta.pages") for name in ("ships", "gone")]
     return live.health(live.observations(spark, feeds, status=True)).select("source", "status", "rows", F.col("error").isNotNull().alias("told"))
+
+
+@query
+def stream_log_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The logs of ``todays_log``, grown in five steps and followed as a stream, a step a batch."""
+    lines, today = log_lines(spark, sf_dir)
+    folder = folders.fresh(spark, "log_tail")
+    cuts = lines.approxQuantile("n", [0.2, 0.4, 0.6, 0.8], 0.01)
+    for low, high in zip([float("-inf"), *cuts], [*cuts, float("inf")], strict=True):
+        lines.where((F.col("n") > low) & (F.col("n") <= high)).coalesce(1).write.mode("append").json(f"{folder}/lines")
+    grown = spark.readStream.schema(logs.LINES).option("maxFilesPerTrigger", 1).json(f"{folder}/lines")
+    return logs.appended(logs.tail(grown, today, NOISE), folder)
