@@ -46,35 +46,47 @@ def snapshot(facts: DataFrame, registry: DataFrame | None = None) -> DataFrame:
     }).drop("rules", "entry", "z2", "z3", "kind")
 
 
+def fixed(value: Column, places: int) -> Column:
+    """So many decimals of a number, the exact value rounded half to even, without separators."""
+    return F.translate(F.format_number(value, places), ",", "")
+
+
+def signed(value: Column, places: int) -> Column:
+    return F.concat(F.when(value >= 0, "+").otherwise(""), fixed(value, places))
+
+
 def single_and_multiwindow(snapshots: DataFrame) -> DataFrame:
     """Events of layers 1 and 2: absolute bound, z-score, and confirmed worsening over windows."""
-    lag, n = F.col("lag_days"), F.col("n")
+    lag, n, name = F.col("lag_days"), F.col("n"), F.col("metric")
     baseline = F.round(series.quality(n, lag), 3)
     absolute = F.round(F.greatest(F.lit(0.5), F.least(F.lit(1.0), n / 252.0)) * F.pow(F.lit(0.85), F.greatest(F.lit(0), lag)), 3)
     bad = F.col("bad_dir")
 
-    def event(when: Column, window: str, layer: str, severity: Column, confidence: Column, direction: Column) -> Column:
-        return F.when(when, F.struct(F.lit(window).alias("window_scope"), F.lit(layer).alias("layer"), severity.cast("int").alias("severity"), confidence.alias("confidence"), direction.alias("direction")))
+    def event(when: Column, window: str, layer: str, severity: Column, confidence: Column, direction: Column, *explanation: Column | str) -> Column:
+        text = F.concat(name, *(F.lit(x) if isinstance(x, str) else x for x in explanation))
+        return F.when(when, F.struct(F.lit(window).alias("window_scope"), F.lit(layer).alias("layer"), severity.cast("int").alias("severity"), confidence.alias("confidence"), direction.alias("direction"), text.alias("explanation")))
 
     extreme = F.when(bad > 0, F.col("pct") >= 90).otherwise(F.col("pct") <= 10)
     worse = (bad != 0) & (F.col("chg_1d") * bad > 0) & (F.col("chg_5d") * bad > 0) & extreme
     found = F.array_compact(F.array(
-        event(F.col("abs_sev") > 0, "1D", "single", F.col("abs_sev"), absolute, F.when(bad >= 0, "up").otherwise("down")),
-        event(F.col("z_sev") > 0, "252D", "single", F.col("z_sev"), baseline, F.when(F.col("z") > 0, "up").otherwise("down")),
-        event(worse, "1D+5D+21D", "multiwindow", F.lit(3), baseline, F.when(bad > 0, "up").otherwise("down")),
+        event(F.col("abs_sev") > 0, "1D", "single", F.col("abs_sev"), absolute, F.when(bad >= 0, "up").otherwise("down"), " beyond its bound: ", fixed(F.col("value"), 2)),
+        event(F.col("z_sev") > 0, "252D", "single", F.col("z_sev"), baseline, F.when(F.col("z") > 0, "up").otherwise("down"), " off its 252-day baseline by ", signed(F.col("z"), 2), " deviations (percentile ", fixed(F.col("pct"), 0), ")"),
+        event(worse, "1D+5D+21D", "multiwindow", F.lit(3), baseline, F.when(bad > 0, "up").otherwise("down"), " confirmed over windows: ", signed(F.col("chg_1d"), 2), " in a day, ", signed(F.col("chg_5d"), 2), " in five, percentile ", fixed(F.col("pct"), 0)),
     ))
-    return snapshots.select("d", "scope", "metric", "value", F.explode(found).alias("e")).select("d", "scope", "metric", "value", "e.*", F.lit("").alias("resonance_key"))
+    return snapshots.select("d", "scope", "metric", "value", "lag_days", F.explode(found).alias("e")).select("d", "scope", "metric", "value", "e.*", F.lit("").alias("resonance_key"), "lag_days")
 
 
 def resonance(inputs: DataFrame, themes: DataFrame | None = None) -> DataFrame:
     """Layer 3 over long inputs (d, input, value): themes of which enough conditions hold on a day."""
     themes = themes if themes is not None else specs.themes(inputs.sparkSession)
     met = inputs.join(F.broadcast(themes), "input").where(series.compare(F.col("op"), F.col("value"), F.col("bound")))
-    counted = met.groupBy("d", "theme").agg(F.count("*").cast("int").alias("hits"), F.first("min_hits").alias("need"), F.first("base_sev").alias("base"))
+    counted = met.groupBy("d", "theme").agg(F.count("*").cast("int").alias("hits"), F.first("min_hits").alias("need"), F.first("base_sev").alias("base"), F.array_join(F.array_sort(F.collect_set("input")), ", ").alias("reasons"))
+    counted = counted.join(F.broadcast(themes.groupBy("theme").agg(F.count("*").alias("of"))), "theme")  # a handful of themes
     return counted.where("hits >= need").select(
         "d", F.lit("MACRO").alias("scope"), F.lit("RESONANCE").alias("metric"), F.lit(None).cast("double").alias("value"), F.lit("multi").alias("window_scope"), F.lit("resonance").alias("layer"),
         F.least(F.lit(3), F.col("base") + F.col("hits") - F.col("need")).alias("severity"),
-        F.round(F.least(F.lit(1.0), 0.5 + 0.12 * F.col("hits")), 3).alias("confidence"), F.lit(None).cast("string").alias("direction"), F.col("theme").alias("resonance_key"),
+        F.round(F.least(F.lit(1.0), 0.5 + 0.12 * F.col("hits")), 3).alias("confidence"), F.lit(None).cast("string").alias("direction"),
+        F.concat("theme", F.lit(": "), F.col("hits").cast("string"), F.lit("/"), F.col("of").cast("string"), F.lit(" conditions ["), "reasons", F.lit("]")).alias("explanation"), F.col("theme").alias("resonance_key"), F.lit(0).alias("lag_days"),
     )
 
 

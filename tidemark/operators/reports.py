@@ -20,6 +20,28 @@ def alert_bodies(alerts: DataFrame) -> DataFrame:
     return days.select("d", F.format_string("%d alerts, severity %d", "n", "worst").alias("subject"), F.array_join("lines", "\n").alias("body"))
 
 
+def event_matrix(events: DataFrame, days: DataFrame) -> DataFrame:
+    """(d, events, text) of each of ``days``: its events, a line each, by severity and then confidence, both falling.
+
+    A line tells the severity by a mark, layer, window, scope (none for MACRO), explanation,
+    confidence in whole percent and the lag if there is one; a day without events says so.
+    """
+    mark = F.when(F.col("severity") >= 3, "🔴").when(F.col("severity") == 2, "🟠").otherwise("🟡")
+    scope = F.when(F.col("scope").isNull() | (F.col("scope") == "MACRO"), "").otherwise(F.concat(F.lit("["), "scope", F.lit("] ")))
+    percent = F.floor(F.col("confidence") * 100).cast("string")
+    late = F.when(F.col("lag_days") > 0, F.concat(F.lit(", "), F.col("lag_days").cast("string"), F.lit(" sessions late"))).otherwise("")
+    line = F.concat(mark, F.lit(" ["), "layer", F.lit("|"), "window_scope", F.lit("] "), scope, "explanation", F.lit(" (severity "), F.col("severity").cast("string"), F.lit("/3, confidence "), percent, F.lit("%"), late, F.lit(")"))
+    place = F.struct(-F.col("severity"), -F.col("confidence"), "layer", "scope", "metric", "window_scope", "resonance_key", line.alias("line"))
+    lines = events.groupBy("d").agg(F.count("*").alias("events"), F.array_join(F.transform(F.array_sort(F.collect_list(place)), lambda x: x["line"]), "\n").alias("text"))
+    return days.select("d").distinct().join(lines, "d", "left").select("d", F.coalesce("events", F.lit(0)).alias("events"), F.coalesce("text", F.lit("no notable anomaly")).alias("text"))
+
+
+def environment_panels(scores: DataFrame, composite: DataFrame, indices: list[str]) -> DataFrame:
+    """One row a day: each index's score and the composite, null where there is none."""
+    wide = scores.groupBy("d").pivot("index", indices).agg(F.first("score"))
+    return wide.join(composite.select("d", "composite"), "d", "left").select("d", *indices, "composite")
+
+
 def score_matrix(snapshots: DataFrame) -> DataFrame:
     """(d, metric, scopes, worst, mean_pct): per metric and day how many series, the worst severity, the mean percentile."""
     return snapshots.groupBy("d", "metric").agg(F.count("*").alias("scopes"), F.max("severity").alias("worst"), F.round(F.avg("pct"), 4).alias("mean_pct"))

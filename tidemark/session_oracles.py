@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from .market_oracles import ORACLE_SQL
-from .oracles import FACTS, SESSIONS, SPINE, STATS, text_dates
+from .oracles import ENVIRONMENT, FACTS, SESSIONS, SPINE, STATS, text_dates
+from .plans import specs
 
 __all__ = ["ORACLE_SQL"]
 
@@ -42,5 +43,18 @@ SQL["live_observations"] = """WITH o AS (SELECT o_orderdate::DATE AS d, count(*)
   SELECT 'a' AS source, 'orders' AS field, d, n::DOUBLE AS value FROM o WHERE d >= DATE '1995-06-01' UNION ALL SELECT 'a', 'most', d, most FROM o WHERE d >= DATE '1995-06-01'
   UNION ALL SELECT 'b', 'orders', d, n / 2 FROM o WHERE d >= DATE '1995-06-01' AND dayofmonth(d) <> 5"""
 SQL["live_health"] = "SELECT 'ships' AS source, 'ok' AS status, count(DISTINCT l_shipdate::DATE) AS rows, false AS told FROM lineitem UNION ALL SELECT 'gone', 'failed', 0, true"
+SQL["event_matrix"] = f"""WITH {STATS}, told AS (
+    SELECT d, scope, metric, '1D' AS win, 'single' AS layer, abs_sev AS sev, round(greatest(0.5, least(1.0, n / 252.0)), 3)::DOUBLE AS conf, '' AS theme, metric || ' beyond its bound: ' || printf('%.2f', value) AS text FROM graded WHERE abs_sev > 0
+    UNION ALL SELECT d, scope, metric, '252D', 'single', z_sev, round(least(1.0, n / 252.0), 3)::DOUBLE, '', metric || ' off its 252-day baseline by ' || printf('%+.2f', z) || ' deviations (percentile ' || printf('%.0f', pct) || ')' FROM graded WHERE z_sev > 0
+    UNION ALL SELECT d, scope, metric, '1D+5D+21D', 'multiwindow', 3, round(least(1.0, n / 252.0), 3)::DOUBLE, '', metric || ' confirmed over windows: ' || printf('%+.2f', c1) || ' in a day, ' || printf('%+.2f', c5) || ' in five, percentile ' || printf('%.0f', pct)
+      FROM graded WHERE bad <> 0 AND c1 * bad > 0 AND c5 * bad > 0 AND ((bad > 0 AND pct >= 90) OR (bad < 0 AND pct <= 10))
+    UNION ALL SELECT d, 'MACRO', 'RESONANCE', 'multi', 'resonance', least(3, base + hits - need), round(least(1.0, 0.5 + 0.12 * hits), 3)::DOUBLE, theme, theme || ': ' || hits || '/' || (SELECT count(*) FROM themes x WHERE x.theme = h.theme) || ' conditions [' || reasons || ']' FROM (
+      SELECT d, theme, any_value(need) AS need, any_value(base) AS base, count(*) AS hits, string_agg(input, ', ' ORDER BY input) AS reasons FROM inputs JOIN themes USING (input) WHERE (op = '<' AND value < bound) OR (op = '>' AND value > bound) GROUP BY d, theme) h WHERE hits >= need
+  ), lined AS (
+    SELECT *, CASE WHEN sev >= 3 THEN '🔴' WHEN sev = 2 THEN '🟠' ELSE '🟡' END || ' [' || layer || '|' || win || '] ' || CASE WHEN scope = 'MACRO' THEN '' ELSE '[' || scope || '] ' END || text || ' (severity ' || sev || '/3, confidence ' || floor(conf * 100)::INT || '%)' AS line FROM told
+  ), texts AS (SELECT d, count(*) AS events, string_agg(line, chr(10) ORDER BY sev DESC, conf DESC, layer, scope, metric, win, theme) AS text FROM lined GROUP BY d)
+  SELECT d, coalesce(events, 0) AS events, coalesce(text, 'no notable anomaly') AS text FROM (SELECT DISTINCT d FROM facts) LEFT JOIN texts USING (d)"""
+_PANELS = ", ".join(f"""max(score) FILTER ("index" = '{i}') AS {i}""" for i in sorted({i for i, *_ in specs.ENVIRONMENT}))
+SQL["environment_panels"] = f"""WITH {ENVIRONMENT}, p AS (SELECT d, {_PANELS}, round(sum(score * coverage) FILTER (coverage >= {specs.MIN_INDEX_COVERAGE}) / sum(coverage) FILTER (coverage >= {specs.MIN_INDEX_COVERAGE}), 1) AS composite FROM scores GROUP BY d) SELECT * FROM p"""
 SQL["stream_log_tail"] = ORACLE_SQL["todays_log"]
-ORACLE_SQL |= {name: text_dates(sql, {"exchange_calendar": ["d"], "session_neighbours": ["d"], "live_observations": ["d"]}.get(name, [])) for name, sql in SQL.items()}
+ORACLE_SQL |= {name: text_dates(sql, {"exchange_calendar": ["d"], "session_neighbours": ["d"], "live_observations": ["d"], "event_matrix": ["d"], "environment_panels": ["d"]}.get(name, [])) for name, sql in SQL.items()}

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from . import queries as base
 from .market_queries import NOISE, QUERIES, log_lines
-from .operators import calendar, replay
-from .plans import inputs
+from .operators import calendar, environment, replay, reports
+from .plans import inputs, specs
 from .queries import query, rounded
 from .sources import folders, live
 from .streaming import logs
@@ -107,3 +107,16 @@ def stream_log_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
         lines.where((F.col("n") > low) & (F.col("n") <= high)).coalesce(1).write.mode("append").json(f"{folder}/lines")
     grown = spark.readStream.schema(logs.LINES).option("maxFilesPerTrigger", 1).json(f"{folder}/lines")
     return logs.appended(logs.tail(grown, today, NOISE), folder)
+
+
+@query
+def event_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The text of every day's run, quiet days included."""
+    events = base._events(spark, sf_dir).unionByName(base._resonance(spark, sf_dir))
+    return reports.event_matrix(events, inputs.metric_facts(spark, sf_dir))
+
+
+@query
+def environment_panels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = environment.index_scores(base._environment_days(spark, sf_dir))
+    return reports.environment_panels(scores, environment.composite(scores), sorted({i for i, *_ in specs.ENVIRONMENT}))
