@@ -2,6 +2,9 @@
 
 import datetime as dt
 
+from pyspark.sql import functions as F
+
+from tidemark.functions import documents
 from tidemark.operators import reports
 
 
@@ -28,3 +31,16 @@ def test_environment_panels(spark):
     scores = spark.createDataFrame([(day(1), "a", 1.0, 0.9), (day(1), "b", 2.0, 0.1), (day(2), "b", 3.0, 1.0)], "d date, index string, score double, coverage double")
     composite = spark.createDataFrame([(day(1), 1.0)], "d date, composite double")
     assert sorted(map(tuple, reports.environment_panels(scores, composite, ["a", "b", "c"]).collect())) == [(day(1), 1.0, 2.0, None, 1.0), (day(2), None, 3.0, None, None)]
+
+
+def test_documents_drift(spark):
+    texts = [(1, '{"a": 1, "b": {"x": "2024-01-05T00:00"}, "c": "7.5"}'), (2, '{"a": "two", "b": null, "d": [1]}'), (3, "[1]"), (4, "{broken"), (5, None), (6, "{}"), (7, '{"a": 2.5, "b": {"x": "soon", "y": "2024-01-03"}, "e": true}')]
+    rows = spark.createDataFrame([(i, t, 9.0) for i, t in texts], "i int, text string, c double").select("i", "c", F.lit(1.0).alias("m"), documents.document(F.col("text")).alias("doc"))
+    got = {r.i: r for r in documents.expanded(rows, "doc", {"a": "$.a", "c": "$.c", "deep": "$.b.x.z"}).select("i", "a", "c", "deep", F.col("doc").isNull().alias("none")).collect()}
+    assert {i: (r.a, r.c, r.deep) for i, r in got.items()} == {1: (1.0, 7.5, None), 2: (None, 9.0, None), 3: (None, 9.0, None), 4: (None, 9.0, None), 5: (None, 9.0, None), 6: (None, 9.0, None), 7: (2.5, 9.0, None)}
+    assert {i for i, r in got.items() if r.none} == {3, 4, 5}
+    dated = documents.source_dated(rows, "doc", "b", {"c": "x", "m": "y", "absent": "x"}, {"m2": ["c", "m"], "i": ["c", "m"]}).drop("doc")
+    assert dated.columns == ["i", "c", "m", "c_source_date", "m_source_date", "i_source_date"]
+    assert {r.i: (r.c_source_date and r.c_source_date.day, r.m_source_date and r.m_source_date.day, r.i_source_date and r.i_source_date.day) for r in dated.collect() if r.i in (1, 2, 7)} == {1: (5, None, 5), 2: (None, None, None), 7: (None, 3, 3)}
+    kinds = {(r.field, r.kind): (r.n, r.low, r.high) for r in documents.fields(rows.where("doc is not null"), "doc", []).collect()}
+    assert kinds == {("a", "number"): (2, 1.0, 2.5), ("a", "text"): (1, None, None), ("b", "object"): (2, None, None), ("b", "null"): (1, None, None), ("c", "text"): (1, None, None), ("d", "list"): (1, None, None), ("e", "boolean"): (1, None, None)}

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .market_oracles import ORACLE_SQL
-from .oracles import ENVIRONMENT, FACTS, SESSIONS, SPINE, STATS, text_dates
+from .oracles import ENVIRONMENT, FACTS, MACRO, SESSIONS, SPINE, STATS, text_dates
 from .plans import specs
 
 __all__ = ["ORACLE_SQL"]
@@ -56,5 +56,10 @@ SQL["event_matrix"] = f"""WITH {STATS}, told AS (
   SELECT d, coalesce(events, 0) AS events, coalesce(text, 'no notable anomaly') AS text FROM (SELECT DISTINCT d FROM facts) LEFT JOIN texts USING (d)"""
 _PANELS = ", ".join(f"""max(score) FILTER ("index" = '{i}') AS {i}""" for i in sorted({i for i, *_ in specs.ENVIRONMENT}))
 SQL["environment_panels"] = f"""WITH {ENVIRONMENT}, p AS (SELECT d, {_PANELS}, round(sum(score * coverage) FILTER (coverage >= {specs.MIN_INDEX_COVERAGE}) / sum(coverage) FILTER (coverage >= {specs.MIN_INDEX_COVERAGE}), 1) AS composite FROM scores GROUP BY d) SELECT * FROM p"""
+SQL["document_fields"] = """SELECT event_type, key AS field, 'number' AS kind, count(*) AS n, min(v::DOUBLE) AS low, max(v::DOUBLE) AS high
+  FROM (SELECT event_type, unnest(json_keys(props::JSON)) AS key, props FROM events), LATERAL (SELECT props::JSON ->> key AS v) GROUP BY ALL"""
+SQL["document_metrics"] = f"""WITH {MACRO}, k AS (SELECT *, dayofmonth(d) AS day, dayofmonth(d) NOT IN (9, 10) AS has FROM wide)
+  SELECT d, round(coalesce(CASE WHEN has AND day % 2 = 0 THEN move END, CASE WHEN day < 20 THEN move END), 4) AS move, round(trin, 4) AS own, round(CASE WHEN has THEN vix END, 4) AS vix, round(CASE WHEN has THEN credit_z END, 4) AS credit_z, NULL::DOUBLE AS trin, NULL::DOUBLE AS pct_200ma, NULL::DOUBLE AS gone,
+    CASE WHEN has THEN d - 1 END::VARCHAR AS vix_source_date, CASE WHEN has AND day % 3 > 0 THEN d - 7 END::VARCHAR AS move_source_date, NULL::VARCHAR AS trin_source_date, CASE WHEN has THEN CASE WHEN day % 3 > 0 THEN d - 7 ELSE d - 1 END END::VARCHAR AS credit_z_source_date FROM k"""
 SQL["stream_log_tail"] = ORACLE_SQL["todays_log"]
-ORACLE_SQL |= {name: text_dates(sql, {"exchange_calendar": ["d"], "session_neighbours": ["d"], "live_observations": ["d"], "event_matrix": ["d"], "environment_panels": ["d"]}.get(name, [])) for name, sql in SQL.items()}
+ORACLE_SQL |= {name: text_dates(sql, {"exchange_calendar": ["d"], "session_neighbours": ["d"], "live_observations": ["d"], "event_matrix": ["d"], "document_metrics": ["d"], "environment_panels": ["d"]}.get(name, [])) for name, sql in SQL.items()}

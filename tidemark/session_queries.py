@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import queries as base
+from .functions import documents
 from .market_queries import NOISE, QUERIES, log_lines
 from .operators import calendar, environment, replay, reports
 from .plans import inputs, specs
@@ -120,3 +121,26 @@ def event_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 def environment_panels(spark: SparkSession, sf_dir: str) -> DataFrame:
     scores = environment.index_scores(base._environment_days(spark, sf_dir))
     return reports.environment_panels(scores, environment.composite(scores), sorted({i for i, *_ in specs.ENVIRONMENT}))
+
+
+@query
+def document_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fields of the events' properties, by type of event."""
+    events = inputs.table(spark, sf_dir, "events").select("event_type", documents.document(F.col("props")).alias("doc")).where("doc is not null")
+    return documents.fields(events, "doc", ["event_type"])
+
+
+@query
+def document_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document a day whose fields drift: some are missing on some days, some are texts, some days have no document.
+
+    Columns that the table has itself, and source dates nested by native names.
+    """
+    wide, day = base._macro_wide(spark, sf_dir), F.dayofmonth("d")
+    dates = F.struct(F.date_sub("d", 1).cast("string").alias("VIX"), F.when(day % 3 > 0, F.date_sub("d", 7).cast("string")).alias("MOVE"), F.lit("soon").alias("TRIN"))
+    full = F.to_json(F.struct(F.col("vix").alias("vix_num"), F.when(day % 2 == 0, F.col("move")).alias("move"), F.col("credit_z").cast("decimal(18,4)").cast("string").alias("credit_z"), F.lit("top").alias("trin"), F.struct(F.lit(1).alias("deep")).alias("pct_200ma"), dates.alias("dates")))
+    text = F.when(day == 9, "not json").when(day == 10, "[1, 2]").otherwise(full)
+    rows = wide.select("d", F.when(day < 20, F.col("move")).alias("move"), F.col("trin").alias("own"), documents.document(text).alias("doc"))
+    got = documents.expanded(rows, "doc", {"vix": "$.vix_num", "move": "$.move", "credit_z": "$.credit_z", "trin": "$.trin", "pct_200ma": "$.pct_200ma", "gone": "$.gone.deeper"})
+    got = documents.source_dated(got, "doc", "dates", {"vix": "VIX", "move": "MOVE", "trin": "TRIN", "absent": "VIX"}, {"credit_z": ["vix", "move"], "own": ["vix", "absent"]}).drop("doc")
+    return rounded(got.withColumns({c: F.col(c).cast("string") for c in got.columns if c.endswith("_source_date")}))
