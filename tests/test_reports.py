@@ -27,6 +27,13 @@ def test_event_matrix(spark):
     ])
 
 
+def test_ticker_details(spark):
+    schema = "ticker string, d date, reference double, source string, price double, prev_close double, poc double, dpsv int, ivr double, flip double, charm double"
+    rows = [("A", day(1), 1234.5, "mid", 9.0, 0.0, 10.005, 41, None, 8.0, -2.5), ("B", day(1), None, None, 9.0, 8.0, None, 0, 12.5, 0.0, None), ("C", day(1), *[None] * 9)]
+    got = {r.ticker: r.text for r in reports.ticker_details(spark.createDataFrame(rows, schema)).collect()}
+    assert got == {"A": f"[A]: reference $1234.50 (mid) | cost core ${10.005:.2f} | short volume 41% | gamma flip $8.00 | charm -2.5M", "B": "[B]: reference $9.00 (price) | previous close $8.00 | volatility rank 12.5%", "C": "[C]: "}
+
+
 def test_environment_panels(spark):
     scores = spark.createDataFrame([(day(1), "a", 1.0, 0.9), (day(1), "b", 2.0, 0.1), (day(2), "b", 3.0, 1.0)], "d date, index string, score double, coverage double")
     composite = spark.createDataFrame([(day(1), 1.0)], "d date, composite double")

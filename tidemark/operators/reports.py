@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .anomaly import fixed
+
 
 def environment_lines(scores: DataFrame) -> DataFrame:
     """(d, summary): each index with its score and coverage, in the order of their names."""
@@ -61,6 +63,25 @@ def appendix_rows(snapshots: DataFrame, events: DataFrame) -> DataFrame:
     return values.unionByName(found)
 
 
+def ticker_details(rows: DataFrame) -> DataFrame:
+    """(ticker, d, text) of (ticker, d, reference, source, price, prev_close, poc, dpsv, ivr, flip, charm): what is known of a ticker, in one line.
+
+    Null and 0 count as unknown.  The reference price before the open falls back on the price, and
+    its source on a name of its own.
+    """
+    known = lambda x: x.isNotNull() & (x != 0)
+    money = lambda x: F.concat(F.lit("$"), fixed(x, 2))
+    c = F.col
+    reference = F.coalesce("reference", "price")
+    parts = [
+        F.when(known(reference), F.concat(F.lit("reference "), money(reference), F.lit(" ("), F.coalesce("source", F.lit("price")), F.lit(")"))),
+        F.when(known(c("prev_close")), F.concat(F.lit("previous close "), money(c("prev_close")))), F.when(known(c("poc")), F.concat(F.lit("cost core "), money(c("poc")))),
+        F.when(known(c("dpsv")), F.concat(F.lit("short volume "), c("dpsv").cast("string"), F.lit("%"))), F.when(known(c("ivr")), F.concat(F.lit("volatility rank "), c("ivr").cast("string"), F.lit("%"))),
+        F.when(known(c("flip")), F.concat(F.lit("gamma flip "), money(c("flip")))), F.when(known(c("charm")), F.concat(F.lit("charm "), c("charm").cast("string"), F.lit("M"))),
+    ]
+    return rows.select("ticker", "d", F.concat(F.lit("["), "ticker", F.lit("]: "), F.array_join(F.array_compact(F.array(*parts)), " | ")).alias("text"))
+
+
 def overview_rows(macro: DataFrame, micro: DataFrame, regimes: DataFrame, environment: DataFrame, liquidity: DataFrame) -> DataFrame:
     """One row a day of everything that the overview shows; absent parts are null."""
     out = macro

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .market_oracles import ORACLE_SQL
-from .oracles import ENVIRONMENT, FACTS, MACRO, SESSIONS, SPINE, STATS, text_dates
+from .oracles import BARS, ENVIRONMENT, FACTS, MACRO, SESSIONS, SPINE, STATS, text_dates
 from .plans import specs
 
 __all__ = ["ORACLE_SQL"]
@@ -61,5 +61,8 @@ SQL["document_fields"] = """SELECT event_type, key AS field, 'number' AS kind, c
 SQL["document_metrics"] = f"""WITH {MACRO}, k AS (SELECT *, dayofmonth(d) AS day, dayofmonth(d) NOT IN (9, 10) AS has FROM wide)
   SELECT d, round(coalesce(CASE WHEN has AND day % 2 = 0 THEN move END, CASE WHEN day < 20 THEN move END), 4) AS move, round(trin, 4) AS own, round(CASE WHEN has THEN vix END, 4) AS vix, round(CASE WHEN has THEN credit_z END, 4) AS credit_z, NULL::DOUBLE AS trin, NULL::DOUBLE AS pct_200ma, NULL::DOUBLE AS gone,
     CASE WHEN has THEN d - 1 END::VARCHAR AS vix_source_date, CASE WHEN has AND day % 3 > 0 THEN d - 7 END::VARCHAR AS move_source_date, NULL::VARCHAR AS trin_source_date, CASE WHEN has THEN CASE WHEN day % 3 > 0 THEN d - 7 ELSE d - 1 END END::VARCHAR AS credit_z_source_date FROM k"""
+SQL["ticker_appendix"] = f"""WITH {BARS}, r AS (SELECT symbol, d, close / 100.0::DOUBLE AS price, (high + low) / 200.0::DOUBLE AS poc, volume % 70 AS k, volume % 40 AS ivr, volume % 7 - 3 AS charm, CASE WHEN volume % 11 > 0 THEN open // 1000 * 10 END AS flip FROM bars)
+  SELECT symbol AS ticker, d, '[' || symbol || ']: ' || concat_ws(' | ', 'reference $' || printf('%.2f', CASE WHEN k % 2 = 0 THEN price + 1 ELSE price END) || ' (' || CASE WHEN k % 4 = 0 THEN 'mid' ELSE 'price' END || ')', CASE WHEN k % 3 > 0 THEN 'previous close $' || printf('%.2f', price - 1) END,
+    'cost core $' || printf('%.2f', poc), CASE WHEN k <> 0 THEN 'short volume ' || k || '%' END, CASE WHEN ivr <> 0 THEN 'volatility rank ' || ivr || '%' END, CASE WHEN flip <> 0 THEN 'gamma flip $' || printf('%.2f', flip::DOUBLE) END, CASE WHEN charm <> 0 THEN 'charm ' || charm || 'M' END) AS text FROM r"""
 SQL["stream_log_tail"] = ORACLE_SQL["todays_log"]
-ORACLE_SQL |= {name: text_dates(sql, {"exchange_calendar": ["d"], "session_neighbours": ["d"], "live_observations": ["d"], "event_matrix": ["d"], "document_metrics": ["d"], "environment_panels": ["d"]}.get(name, [])) for name, sql in SQL.items()}
+ORACLE_SQL |= {name: text_dates(sql, {"exchange_calendar": ["d"], "session_neighbours": ["d"], "live_observations": ["d"], "event_matrix": ["d"], "ticker_appendix": ["d"], "document_metrics": ["d"], "environment_panels": ["d"]}.get(name, [])) for name, sql in SQL.items()}

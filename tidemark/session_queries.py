@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from . import queries as base
 from .functions import documents
-from .market_queries import NOISE, QUERIES, log_lines
+from .market_queries import NOISE, QUERIES, _probe_rows, log_lines
 from .operators import calendar, environment, replay, reports
 from .plans import inputs, specs
 from .queries import query, rounded
@@ -144,3 +144,9 @@ def document_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = documents.expanded(rows, "doc", {"vix": "$.vix_num", "move": "$.move", "credit_z": "$.credit_z", "trin": "$.trin", "pct_200ma": "$.pct_200ma", "gone": "$.gone.deeper"})
     got = documents.source_dated(got, "doc", "dates", {"vix": "VIX", "move": "MOVE", "trin": "TRIN", "absent": "VIX"}, {"credit_z": ["vix", "move"], "own": ["vix", "absent"]}).drop("doc")
     return rounded(got.withColumns({c: F.col(c).cast("string") for c in got.columns if c.endswith("_source_date")}))
+
+
+@query
+def ticker_appendix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, k = _probe_rows(spark, sf_dir), F.col("dpsv")
+    return reports.ticker_details(rows.withColumns({"reference": F.when(k % 2 == 0, F.col("price") + 1), "source": F.when(k % 4 == 0, "mid"), "prev_close": F.when(k % 3 > 0, F.col("price") - 1)}))
