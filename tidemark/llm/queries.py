@@ -203,8 +203,12 @@ WITH crc_table AS (
   SELECT 'd' AS side, doc_id AS id, regexp_extract_all({_LOW.format("coalesce(text, '')")}, '[a-z0-9\x{{80}}-\x{{10FFFF}}]+') AS w FROM documents
   UNION ALL
   SELECT 'b', item_id, regexp_extract_all({_LOW.format("coalesce(text, '')")}, '[a-z0-9\x{{80}}-\x{{10FFFF}}]+') FROM benchmark
+), each AS (
+  SELECT side, id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM words
+), near AS (
+  SELECT side, id, word, word || ' ' || lead(word, 1) OVER o AS two, word || ' ' || lead(word, 1) OVER o || ' ' || lead(word, 2) OVER o AS three FROM each WINDOW o AS (PARTITION BY side, id ORDER BY i)
 ), features AS (
-  SELECT side, id, unnest(list_concat(w, [array_to_string(w[i:i + 1], ' ') FOR i IN range(1, len(w))], [array_to_string(w[i:i + 2], ' ') FOR i IN range(1, len(w) - 1)])) AS feature FROM words
+  SELECT side, id, word AS feature FROM near UNION ALL SELECT side, id, two FROM near WHERE two IS NOT NULL UNION ALL SELECT side, id, three FROM near WHERE three IS NOT NULL
 ), hashed AS (
   SELECT feature, xor(list_reduce(list_transform(regexp_extract_all(hex(encode(feature)), '..'), lambda p: ('0x' || p)::BIGINT), lambda c, b: xor(c >> 8, t[xor(c & 255, b) + 1]), 4294967295::BIGINT), 4294967295) % 10000 AS bucket
   FROM (SELECT DISTINCT feature FROM features), crc_table
@@ -230,12 +234,12 @@ SELECT doc_id, n_features, weight, score, CASE WHEN rank <= 5 * n // 100 THEN ra
 OP13_SQL = r"""
 WITH words AS (
   SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), each AS (
+  SELECT doc_id, generate_subscripts(w, 1) AS i, unnest(w) AS word FROM words
 ), windows AS (
-  SELECT doc_id, unnest(range(1, len(w) - 33)) AS i, unnest([array_to_string(w[i:i + 34], ' ') FOR i IN range(1, len(w) - 33)]) AS words FROM words WHERE len(w) >= 35
+  SELECT doc_id, i, string_agg(word, ' ') OVER o AS words, count(*) OVER o AS size FROM each WINDOW o AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 34 FOLLOWING)
 ), repeated AS (
-  SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY words) AS n FROM windows) WHERE n > 1
-), each AS (
-  SELECT doc_id, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS word FROM words WHERE len(w) > 0
+  SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY words) AS n FROM windows WHERE size = 35) WHERE n > 1
 ), marked AS (
   SELECT e.doc_id, e.i, word, count(r.i) OVER (PARTITION BY e.doc_id ORDER BY e.i ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) > 0 AS removed FROM each e LEFT JOIN repeated r ON r.doc_id = e.doc_id AND r.i = e.i
 ), kept AS (
