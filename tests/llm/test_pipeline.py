@@ -46,5 +46,5 @@ def test_odd_rows_and_empty_tables(spark, data, tmp_path):
 
 
 def test_names():
-    assert [name.split("_")[0] for name in QUERIES] == [f"op{i}" for i in range(1, 11)]
+    assert [name.split("_")[0] for name in QUERIES] == [f"op{i}" for i in range(1, 14)]
     assert set(ORACLE_SQL) <= set(QUERIES)
