@@ -3,6 +3,7 @@
 import datetime as dt
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import clean
@@ -72,3 +73,26 @@ def test_a_large_date_is_written_by_several_tasks(spark, tmp_path, monkeypatch):
     files = spark.read.parquet(str(tmp_path / "t")).groupBy("d", F.input_file_name().alias("f")).count().collect()
     tasks = {r.f.rpartition("/")[2].split("-")[1] for r in files if r.d.day == 1}
     assert len(tasks) > 1 and max(r["count"] for r in files) <= 5000 and sum(r["count"] for r in files) == 40_000
+
+
+def test_a_load_is_recorded_by_its_own_write(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "x", 1.0), (2, " N/A ", None), (3, None, 2.0), (4, "y", 3.0)], "i int, text string, v double")
+    ledger, seen = str(tmp_path / "ledger"), spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    def fail(_):
+        raise OSError("no space")
+
+    once = rows.mapInArrow(count, rows.schema)
+    assert sinks.recorded(once, lambda df: df.write.parquet(str(tmp_path / "a")), ledger, "a", "2024-01-02", ["text", "v"]) == "degraded"
+    assert seen.value == 4  # one pass
+    assert sinks.recorded(rows, lambda df: df.write.parquet(str(tmp_path / "b")), ledger, "b", "2024-01-02", ["text", "v"], 0.5) == "ok"
+    assert sinks.recorded(rows.limit(0), lambda df: df.write.parquet(str(tmp_path / "c")), ledger, "c", "2024-01-02", ["text"]) == "empty"
+    with pytest.raises(OSError, match="no space"):
+        sinks.recorded(rows, fail, ledger, "d", "2024-01-02", ["text"])
+    got = {r.job: (r["rows"], r.missing, r.status) for r in spark.read.schema(sinks.LEDGER).parquet(ledger).collect()}
+    assert got == {"a": (4, {"text": 2, "v": 1}, "degraded"), "b": (4, {"text": 2, "v": 1}, "ok"), "c": (0, {"text": 0}, "empty"), "d": (None, {}, "failed")}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .market_oracles import ORACLE_SQL
+from .market_oracles import _BAD, ORACLE_SQL, RAW
 from .oracles import BARS, ENVIRONMENT, FACTS, MACRO, SESSIONS, SPINE, STATS, text_dates
 from .plans import specs
 
@@ -64,5 +64,7 @@ SQL["document_metrics"] = f"""WITH {MACRO}, k AS (SELECT *, dayofmonth(d) AS day
 SQL["ticker_appendix"] = f"""WITH {BARS}, r AS (SELECT symbol, d, close / 100.0::DOUBLE AS price, (high + low) / 200.0::DOUBLE AS poc, volume % 70 AS k, volume % 40 AS ivr, volume % 7 - 3 AS charm, CASE WHEN volume % 11 > 0 THEN open // 1000 * 10 END AS flip FROM bars)
   SELECT symbol AS ticker, d, '[' || symbol || ']: ' || concat_ws(' | ', 'reference $' || printf('%.2f', CASE WHEN k % 2 = 0 THEN price + 1 ELSE price END) || ' (' || CASE WHEN k % 4 = 0 THEN 'mid' ELSE 'price' END || ')', CASE WHEN k % 3 > 0 THEN 'previous close $' || printf('%.2f', price - 1) END,
     'cost core $' || printf('%.2f', poc), CASE WHEN k <> 0 THEN 'short volume ' || k || '%' END, CASE WHEN ivr <> 0 THEN 'volatility rank ' || ivr || '%' END, CASE WHEN flip <> 0 THEN 'gamma flip $' || printf('%.2f', flip::DOUBLE) END, CASE WHEN charm <> 0 THEN 'charm ' || charm || 'M' END) AS text FROM r"""
+SQL["quality_ledger"] = f"""WITH {RAW}, c AS (SELECT count(*) AS n, count(*) FILTER (text IS NULL OR lower(trim(text)) IN {_BAD}) AS t, count(*) FILTER (size IS NULL OR lower(trim(size)) IN {_BAD}) AS s, count(*) FILTER (price IS NULL) AS p FROM raw)
+  SELECT job, '2024-01-02' AS report_date, n * k AS rows, t * k AS no_text, s * k AS no_size, p * k AS no_price, CASE WHEN k = 0 THEN 'empty' WHEN job = 'raw' AND t + s + p > 0 THEN 'degraded' ELSE 'ok' END AS status, true AS recorded FROM c, (VALUES ('raw', 1), ('allowed', 1), ('none', 0)) j(job, k)"""
 SQL["stream_log_tail"] = ORACLE_SQL["todays_log"]
 ORACLE_SQL |= {name: text_dates(sql, {"exchange_calendar": ["d"], "session_neighbours": ["d"], "live_observations": ["d"], "event_matrix": ["d"], "ticker_appendix": ["d"], "document_metrics": ["d"], "environment_panels": ["d"]}.get(name, [])) for name, sql in SQL.items()}

@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from . import queries as base
 from .functions import documents
-from .market_queries import NOISE, QUERIES, _probe_rows, log_lines
+from .market_queries import NOISE, QUERIES, _probe_rows, _raw_texts, log_lines
 from .operators import calendar, environment, replay, reports
 from .plans import inputs, specs
 from .queries import query, rounded
-from .sources import folders, live
+from .sources import folders, live, sinks
 from .streaming import logs
 
 __all__ = ["QUERIES"]
@@ -150,3 +150,13 @@ def document_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ticker_appendix(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, k = _probe_rows(spark, sf_dir), F.col("dpsv")
     return reports.ticker_details(rows.withColumns({"reference": F.when(k % 2 == 0, F.col("price") + 1), "source": F.when(k % 4 == 0, "mid"), "prev_close": F.when(k % 3 > 0, F.col("price") - 1)}))
+
+
+@query
+def quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ledger after three loads: raw texts as they are, with an allowance, and none of them."""
+    rows, folder = _raw_texts(spark, sf_dir), folders.fresh(spark, "ledger")
+    for job, part, most in (("raw", rows, 0.0), ("allowed", rows, 1.0), ("none", rows.where("p_partkey < 0"), 0.0)):
+        sinks.recorded(part, lambda df, job=job: df.write.parquet(f"{folder}/{job}"), f"{folder}/log", job, "2024-01-02", ["text", "size", "price"], most)
+    ledger = spark.read.schema(sinks.LEDGER).parquet(f"{folder}/log")
+    return ledger.select("job", F.col("report_date").cast("string").alias("report_date"), "rows", *(F.col("missing")[c].alias(f"no_{c}") for c in ("text", "size", "price")), "status", F.col("recorded_at").isNotNull().alias("recorded"))

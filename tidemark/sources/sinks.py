@@ -7,10 +7,10 @@ import time
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.clean import keep_last
+from ..functions.clean import MISSING, keep_last
 from . import folders
 
 log = logging.getLogger(__name__)
@@ -60,6 +60,30 @@ def append(df: DataFrame, path: str, partition: str | None = None) -> None:
     (writer.partitionBy(partition) if partition else writer).parquet(path)
 
 
+LEDGER = "job string, report_date date, rows long, missing map<string,long>, status string, recorded_at timestamp"
+
+
+def recorded(df: DataFrame, write: Callable[[DataFrame], None], ledger: str, job: str, day: str, fields: list[str], most: float = 0.0) -> str:
+    """Writes ``df`` and adds a row to the ledger: rows, and how many lack each field, counted by the very write.
+
+    ``write`` must read its rows once.  The status is ``empty`` without rows, ``failed`` if the
+    write raised (which it does again after the entry), ``degraded`` if a field is missing in more
+    than the share ``most`` of the rows, else ``ok``.
+    """
+    spark, seen = df.sparkSession, Observation()
+    lacks = [F.count_if(F.col(c).isNull() | F.lower(F.trim(F.col(c).cast("string"))).isin(MISSING)).alias(f"m{i}") for i, c in enumerate(fields)]
+    rows, missing, status = None, {}, "failed"
+    try:
+        write(df.observe(seen, F.count(F.lit(1)).alias("rows"), *lacks))
+        found = seen.get
+        rows, missing = found["rows"], {c: found[f"m{i}"] for i, c in enumerate(fields)}
+        status = "empty" if not rows else "degraded" if any(n > most * rows for n in missing.values()) else "ok"
+    finally:
+        entry = spark.createDataFrame([(job, day, rows, missing, status)], "job string, day string, rows long, missing map<string,long>, status string")
+        append(entry.select("job", F.col("day").cast("date").alias("report_date"), "rows", "missing", "status", F.current_timestamp().alias("recorded_at")), ledger)
+    return status
+
+
 def retried(write: Callable[[], None], tries: int = 3, wait: Callable[[float], None] = time.sleep) -> bool:
     """Runs an idempotent write until it succeeds, after 1, 2, 4 ... seconds again; whether it did."""
     for attempt in range(tries):
