@@ -66,5 +66,18 @@ SQL["ticker_appendix"] = f"""WITH {BARS}, r AS (SELECT symbol, d, close / 100.0:
     'cost core $' || printf('%.2f', poc), CASE WHEN k <> 0 THEN 'short volume ' || k || '%' END, CASE WHEN ivr <> 0 THEN 'volatility rank ' || ivr || '%' END, CASE WHEN flip <> 0 THEN 'gamma flip $' || printf('%.2f', flip::DOUBLE) END, CASE WHEN charm <> 0 THEN 'charm ' || charm || 'M' END) AS text FROM r"""
 SQL["quality_ledger"] = f"""WITH {RAW}, c AS (SELECT count(*) AS n, count(*) FILTER (text IS NULL OR lower(trim(text)) IN {_BAD}) AS t, count(*) FILTER (size IS NULL OR lower(trim(size)) IN {_BAD}) AS s, count(*) FILTER (price IS NULL) AS p FROM raw)
   SELECT job, '2024-01-02' AS report_date, n * k AS rows, t * k AS no_text, s * k AS no_size, p * k AS no_price, CASE WHEN k = 0 THEN 'empty' WHEN job = 'raw' AND t + s + p > 0 THEN 'degraded' ELSE 'ok' END AS status, true AS recorded FROM c, (VALUES ('raw', 1), ('allowed', 1), ('none', 0)) j(job, k)"""
+SQL["stream_intraday_scan"] = """WITH q AS (SELECT event_type AS market, ts, value, user_id % 100 + 1 AS v, event_id % 4 AS k, CASE event_id % 4 WHEN 0 THEN value * 20 - 800 WHEN 1 THEN value / 20 ELSE value END AS size FROM events
+  ), view AS (SELECT event_type AS market, ts::DATE AS d, max(value) / 2 AS prev_close, (count(*) % 10) / 20 + 0.4::DOUBLE AS expected_move, max(value) / 3 AS flip FROM events GROUP BY ALL
+  ), bars AS (SELECT market, time_bucket(INTERVAL 5 MINUTE, ts) AS s, time_bucket(INTERVAL 15 MINUTE, ts) + INTERVAL 15 MINUTE AS ts, arg_max(value, ts) AS p, sum(v) AS v FROM q WHERE value <> 0 GROUP BY ALL
+  ), prices AS (SELECT a.market, a.ts, (SELECT arg_max(b.p, b.s) FROM bars b WHERE b.market = a.market AND b.ts = a.ts) AS price, sum(b.p * b.v) / sum(b.v) AS vwap
+    FROM (SELECT DISTINCT market, ts FROM bars) a JOIN bars b ON b.market = a.market AND b.ts <= a.ts AND b.s::DATE = (a.ts - INTERVAL 1 MINUTE)::DATE GROUP BY ALL
+  ), minutes AS (SELECT market, k, time_bucket(INTERVAL 1 MINUTE, ts) AS s, arg_max(size, ts) AS size FROM q WHERE size <> 0 GROUP BY ALL
+  ), readings AS (SELECT market, time_bucket(INTERVAL 15 MINUTE, s) + INTERVAL 15 MINUTE AS ts, avg(size) FILTER (k = 0) AS ctick, arg_max(size, s) FILTER (k = 1) AS trin, coalesce(arg_max(size, s) FILTER (k = 2), 0) AS up, coalesce(arg_max(size, s) FILTER (k = 3), 0) AS down FROM minutes GROUP BY ALL
+  ), r AS (SELECT p.market, p.ts, price, prev_close, expected_move, coalesce(trin, 0) AS trin, CASE WHEN down > 0 THEN up / down WHEN up > 0 THEN 99.0 ELSE 1.0 END AS ratio, coalesce(ctick, 0) AS ctick, flip, vwap
+    FROM prices p LEFT JOIN readings USING (market, ts) JOIN view ON view.market = p.market AND d = (p.ts - INTERVAL 1 MINUTE)::DATE)
+  SELECT market, ts, round(price, 9) AS price, round(prev_close, 9) AS prev_close, round(expected_move, 9) AS expected_move, round(trin, 9) AS trin, round(ratio, 9)::DOUBLE AS ratio, round(ctick, 9) AS ctick, round(flip, 9) AS flip, round(vwap, 9) AS vwap,
+    CASE WHEN price <= (CASE WHEN prev_close > 0 THEN prev_close * (1 - expected_move) ELSE price * 0.98 END) * 1.002 AND trin >= 1.5 THEN CASE WHEN ratio >= 2 AND ctick > 0 THEN 'capitulation bid' END
+      WHEN flip > 0 AND price < flip AND price < vwap THEN CASE WHEN ratio <= 0.25 AND ctick < -300 THEN 'gamma slide' END
+      WHEN ratio >= 4 AND price > vwap THEN 'up-volume surge' WHEN ratio <= 0.20 AND price < vwap THEN 'down-volume surge' END AS alert FROM r"""
 SQL["stream_log_tail"] = ORACLE_SQL["todays_log"]
 ORACLE_SQL |= {name: text_dates(sql, {"exchange_calendar": ["d"], "session_neighbours": ["d"], "live_observations": ["d"], "event_matrix": ["d"], "ticker_appendix": ["d"], "document_metrics": ["d"], "environment_panels": ["d"]}.get(name, [])) for name, sql in SQL.items()}

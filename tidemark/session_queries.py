@@ -12,7 +12,7 @@ from .operators import calendar, environment, replay, reports
 from .plans import inputs, specs
 from .queries import query, rounded
 from .sources import folders, live, sinks
-from .streaming import logs
+from .streaming import logs, scan
 
 __all__ = ["QUERIES"]
 
@@ -160,3 +160,33 @@ def quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
         sinks.recorded(part, lambda df, job=job: df.write.parquet(f"{folder}/{job}"), f"{folder}/log", job, "2024-01-02", ["text", "size", "price"], most)
     ledger = spark.read.schema(sinks.LEDGER).parquet(f"{folder}/log")
     return ledger.select("job", F.col("report_date").cast("string").alias("report_date"), "rows", *(F.col("missing")[c].alias(f"no_{c}") for c in ("text", "size", "price")), "status", F.col("recorded_at").isNotNull().alias("recorded"))
+
+
+def _quotes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Events as quotes: each is a trade in the market of its type, and a reading of an index; the day's view of each market."""
+    c = F.col
+    events = inputs.table(spark, sf_dir, "events").withColumn("ts", c("ts").cast("timestamp"))
+    names = F.array(*(F.lit(n) for n in ("tick", "trin", "up", "down")))
+    size = F.when(c("event_id") % 4 == 0, c("value") * 20 - 800).when(c("event_id") % 4 == 1, c("value") / 20).otherwise(c("value"))
+    trade = F.struct(F.lit("price").alias("name"), c("value").alias("value"), (c("user_id") % 100 + 1).alias("volume"))
+    reading = F.struct(names[(c("event_id") % 4).cast("int")].alias("name"), size.alias("value"), F.lit(None).cast("long").alias("volume"))
+    quotes = events.select("ts", c("event_type").alias("market"), F.explode(F.array(trade, reading)).alias("q")).select("ts", "market", "q.*")
+    days = events.groupBy(c("event_type").alias("market"), F.to_date("ts").alias("d")).agg(F.max("value").alias("most"), F.count("*").alias("n"))
+    return quotes, days.select("market", "d", (c("most") / 2).alias("prev_close"), ((c("n") % 10) / 20 + 0.4).alias("expected_move"), (c("most") / 3).alias("flip"))
+
+
+@query
+def stream_intraday_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quotes of all markets as a stream, a third of the time a batch, up to half an hour out of order; then a row without a value closes the last steps."""
+    quotes, context = _quotes(spark, sf_dir)
+    folder, c = folders.fresh(spark, "scan"), F.col
+    came = F.unix_seconds("ts") + F.pmod(F.xxhash64("ts", "market"), F.lit(1800))
+    first, last = quotes.agg(F.min(F.unix_seconds("ts")), F.max(F.unix_seconds("ts"))).first()
+    for part in range(3):
+        low, high = (first + (last + 1800 - first) * (part + k) / 3 for k in (0, 1))
+        quotes.where((came >= low if part else F.lit(True)) & (came < high if part < 2 else F.lit(True))).coalesce(1).write.mode("append").parquet(f"{folder}/quotes")
+    ends = quotes.agg(F.max("ts").alias("ts")).select((c("ts") + F.expr("interval 3 days")).alias("ts"), F.lit("none").alias("market"), F.explode(F.array(F.lit("price"), F.lit("tick"))).alias("name"), F.lit(None).cast("double").alias("value"), F.lit(None).cast("long").alias("volume"))
+    ends.coalesce(1).write.mode("append").parquet(f"{folder}/quotes")
+    grown = spark.readStream.schema(scan.QUOTES).option("maxFilesPerTrigger", 1).parquet(f"{folder}/quotes")
+    rows = scan.emitted(scan.scan(grown, context), folder)
+    return rounded(rows, 9).withColumn("ts", c("ts").cast("timestamp_ntz"))
