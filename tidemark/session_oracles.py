@@ -79,5 +79,12 @@ SQL["stream_intraday_scan"] = """WITH q AS (SELECT event_type AS market, ts, val
     CASE WHEN price <= (CASE WHEN prev_close > 0 THEN prev_close * (1 - expected_move) ELSE price * 0.98 END) * 1.002 AND trin >= 1.5 THEN CASE WHEN ratio >= 2 AND ctick > 0 THEN 'capitulation bid' END
       WHEN flip > 0 AND price < flip AND price < vwap THEN CASE WHEN ratio <= 0.25 AND ctick < -300 THEN 'gamma slide' END
       WHEN ratio >= 4 AND price > vwap THEN 'up-volume surge' WHEN ratio <= 0.20 AND price < vwap THEN 'down-volume surge' END AS alert FROM r"""
+_TICKS = "ticks AS (SELECT event_type, ts, event_id, round(value * 100)::BIGINT AS close, user_id % 100 + 1 AS volume FROM events)"
+SQL["segmented_run_length"] = f"""WITH {_TICKS}, m AS (SELECT *, count(*) FILTER (close >= 4000) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS misses FROM ticks)
+  SELECT event_id, count(*) FILTER (close < 4000) OVER (PARTITION BY event_type, misses ORDER BY ts, event_id) AS run FROM m"""
+SQL["segmented_obv"] = f"""WITH {_TICKS}, s AS (SELECT *, coalesce(sign(close - lag(close) OVER (PARTITION BY event_type ORDER BY ts, event_id)), 0) * volume AS step FROM ticks)
+  SELECT event_id, (sum(step) OVER (PARTITION BY event_type ORDER BY ts, event_id))::BIGINT AS obv FROM s"""
+SQL["segmented_asof"] = f"""WITH {_TICKS}, o AS (SELECT event_type, ts, max(close) AS close FROM ticks WHERE close > 10000 GROUP BY ALL)
+  SELECT t.event_id, o.close, epoch_us(t.ts) - epoch_us(o.ts) AS age FROM ticks t ASOF LEFT JOIN o ON o.event_type = t.event_type AND o.ts <= t.ts"""
 SQL["stream_log_tail"] = ORACLE_SQL["todays_log"]
 ORACLE_SQL |= {name: text_dates(sql, {"exchange_calendar": ["d"], "session_neighbours": ["d"], "live_observations": ["d"], "event_matrix": ["d"], "ticker_appendix": ["d"], "document_metrics": ["d"], "environment_panels": ["d"]}.get(name, [])) for name, sql in SQL.items()}

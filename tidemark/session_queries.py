@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from . import queries as base
 from .functions import documents
 from .market_queries import NOISE, QUERIES, _probe_rows, _raw_texts, log_lines
-from .operators import calendar, environment, replay, reports
+from .operators import calendar, environment, replay, reports, segments
 from .plans import inputs, specs
 from .queries import query, rounded
 from .sources import folders, live, sinks
@@ -190,3 +190,37 @@ def stream_intraday_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     grown = spark.readStream.schema(scan.QUOTES).option("maxFilesPerTrigger", 1).parquet(f"{folder}/quotes")
     rows = scan.emitted(scan.scan(grown, context), folder)
     return rounded(rows, 9).withColumn("ts", c("ts").cast("timestamp_ntz"))
+
+
+#: Rows of a segment of the ticks below: few enough that small tables are cut too.
+SEGMENT = 1000
+
+
+def _ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events as one series a type: price in cents."""
+    c = F.col
+    return inputs.table(spark, sf_dir, "events").select("event_type", c("ts").cast("timestamp").alias("ts"), "event_id", F.round(c("value") * 100).cast("long").alias("close"), (c("user_id") % 100 + 1).alias("volume"))
+
+
+_TICK_ORDER = ["ts", "event_id"]
+
+
+@query
+def segmented_run_length(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each event, how many of its type in a row were below 40."""
+    rows = segments.cut(_ticks(spark, sf_dir), ["event_type"], _TICK_ORDER, SEGMENT)
+    return segments.joined(segments.run_length(rows, ["event_type"], _TICK_ORDER, F.col("close") < 4000, "run")).select("event_id", "run")
+
+
+@query
+def segmented_obv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segments.obv(_ticks(spark, sf_dir), ["event_type"], _TICK_ORDER, SEGMENT).select("event_id", "obv")
+
+
+@query
+def segmented_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each event with the last one over 100 of its type at or before it."""
+    ticks = _ticks(spark, sf_dir)
+    spine = ticks.select("event_id", "event_type", "ts")
+    found = segments.asof(spine, ticks.where("close > 10000"), ["event_type"], value="close", most=SEGMENT)
+    return found.select("event_id", F.col("value").alias("close"), (F.unix_micros("ts") - F.unix_micros("source_date")).alias("age"))
