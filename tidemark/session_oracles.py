@@ -86,5 +86,8 @@ SQL["segmented_obv"] = f"""WITH {_TICKS}, s AS (SELECT *, coalesce(sign(close -
   SELECT event_id, (sum(step) OVER (PARTITION BY event_type ORDER BY ts, event_id))::BIGINT AS obv FROM s"""
 SQL["segmented_asof"] = f"""WITH {_TICKS}, o AS (SELECT event_type, ts, max(close) AS close FROM ticks WHERE close > 10000 GROUP BY ALL)
   SELECT t.event_id, o.close, epoch_us(t.ts) - epoch_us(o.ts) AS age FROM ticks t ASOF LEFT JOIN o ON o.event_type = t.event_type AND o.ts <= t.ts"""
+SQL["unified_options"] = f"""WITH {BARS}, pre AS (SELECT symbol AS ticker, d, open / 100.0::DOUBLE AS pre_price, high / 100.0::DOUBLE AS call_wall, low / 100.0::DOUBLE AS put_wall FROM bars WHERE volume % 3 > 0
+  ), post AS (SELECT symbol AS ticker, d, close / 100.0::DOUBLE AS close_price, (high + low) / 200.0::DOUBLE AS poc_price, volume % 40 AS ivr_pct FROM bars WHERE volume % 4 > 0)
+  SELECT d, ticker, close_price, poc_price, ivr_pct, pre_price, call_wall, put_wall FROM pre FULL JOIN post USING (ticker, d)"""
 SQL["stream_log_tail"] = ORACLE_SQL["todays_log"]
-ORACLE_SQL |= {name: text_dates(sql, {"exchange_calendar": ["d"], "session_neighbours": ["d"], "live_observations": ["d"], "event_matrix": ["d"], "ticker_appendix": ["d"], "document_metrics": ["d"], "environment_panels": ["d"]}.get(name, [])) for name, sql in SQL.items()}
+ORACLE_SQL |= {name: text_dates(sql, {"exchange_calendar": ["d"], "session_neighbours": ["d"], "live_observations": ["d"], "event_matrix": ["d"], "ticker_appendix": ["d"], "document_metrics": ["d"], "environment_panels": ["d"], "unified_options": ["d"]}.get(name, [])) for name, sql in SQL.items()}

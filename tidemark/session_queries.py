@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -11,7 +13,7 @@ from .market_queries import NOISE, QUERIES, _probe_rows, _raw_texts, log_lines
 from .operators import calendar, environment, replay, reports, segments
 from .plans import inputs, specs
 from .queries import query, rounded
-from .sources import folders, live, sinks
+from .sources import folders, layout, live, sinks
 from .streaming import logs, scan
 
 __all__ = ["QUERIES"]
@@ -224,3 +226,16 @@ def segmented_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
     spine = ticks.select("event_id", "event_type", "ts")
     found = segments.asof(spine, ticks.where("close > 10000"), ["event_type"], value="close", most=SEGMENT)
     return found.select("event_id", F.col("value").alias("close"), (F.unix_micros("ts") - F.unix_micros("source_date")).alias("age"))
+
+
+@query
+def unified_options(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The unified view over two tables laid out by ticker and day: some days lack one side, one column both have."""
+    c, bars, keys = F.col, inputs.bars(spark, sf_dir), ["d", "ticker"]
+    rows = bars.withColumnRenamed("symbol", "ticker")
+    pre = rows.where("volume % 3 > 0").select("d", "ticker", (c("open") / 100).alias("current_price"), (c("high") / 100).alias("call_wall"), (c("low") / 100).alias("put_wall"), c("low").alias("poc_price"), F.date_sub("d", 1).alias("source_date"))
+    post = rows.where("volume % 4 > 0").select("d", "ticker", (c("close") / 100).alias("current_price"), ((c("high") + c("low")) / 200).alias("poc_price"), (c("volume") % 40).alias("ivr_pct"), c("d").alias("source_date"))
+    name, folder = f"unified_{uuid.uuid4().hex}", folders.fresh(spark, "unified")
+    tables = [layout.write(df, f"{name}_{part}", keys, 16, f"{folder}/{part}", ["current_price"]) for part, df in (("pre", pre), ("post", post))]
+    layout.unified_view(*tables, name, keys, f"{name}_pre", f"{name}_post")
+    return spark.table(name)

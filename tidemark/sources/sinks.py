@@ -131,6 +131,7 @@ SCHEMAS = {
     "sentinel_runs": "report_date date, fingerprint string, created_at timestamp",
     "market_history": "report_date date, macro_score int, micro_score int, regime string, skeleton string, full_metrics map<string,double>, source_date date, as_of_time timestamp, ingested_at timestamp",
     "spot_daily": "report_date date, ticker string, session string, price double, price_source string, previous_close double, poc double, ivr_pct double, oi_pcr double, gamma_flip double, call_wall double, put_wall double, is_final boolean, ingested_at timestamp",
+    "option_gamma_buckets": "report_date date, ticker string, bucket string, spot_reference double, net_gamma_m double, primary_flip double, zero_points array<double>, expirations array<string>, contract_count int, expiration_count int, sign_model string, source_date date, as_of_time timestamp, ingested_at timestamp",
     "intraday_log": "report_date date, ts timestamp, price double, vwap double, trin double, ratio double, ctick double, alert string",
     "data_quality": "report_date date, job string, status string, missing array<string>, note string, created_at timestamp",
 }
