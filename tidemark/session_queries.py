@@ -179,16 +179,16 @@ def _quotes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 @query
 def stream_intraday_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Quotes of all markets as a stream, a third of the time a batch, up to half an hour out of order; then a row without a value closes the last steps."""
+    """Quotes of all markets as a stream in two batches, up to half an hour out of order; rows without a value close the last steps."""
     quotes, context = _quotes(spark, sf_dir)
     folder, c = folders.fresh(spark, "scan"), F.col
     came = F.unix_seconds("ts") + F.pmod(F.xxhash64("ts", "market"), F.lit(1800))
     first, last = quotes.agg(F.min(F.unix_seconds("ts")), F.max(F.unix_seconds("ts"))).first()
-    for part in range(3):
-        low, high = (first + (last + 1800 - first) * (part + k) / 3 for k in (0, 1))
-        quotes.where((came >= low if part else F.lit(True)) & (came < high if part < 2 else F.lit(True))).coalesce(1).write.mode("append").parquet(f"{folder}/quotes")
-    ends = quotes.agg(F.max("ts").alias("ts")).select((c("ts") + F.expr("interval 3 days")).alias("ts"), F.lit("none").alias("market"), F.explode(F.array(F.lit("price"), F.lit("tick"))).alias("name"), F.lit(None).cast("double").alias("value"), F.lit(None).cast("long").alias("volume"))
-    ends.coalesce(1).write.mode("append").parquet(f"{folder}/quotes")
+    early = came < (first + last) / 2
+    end = quotes.agg((F.max("ts") + F.expr("interval 3 days")).alias("ts"))
+    closing = end.select("ts", F.lit("none").alias("market"), F.explode(F.array(F.lit("price"), F.lit("tick"))).alias("name"), F.lit(None).cast("double").alias("value"), F.lit(None).cast("long").alias("volume"))
+    for part in (quotes.where(early), quotes.where(~early).unionByName(closing)):
+        part.coalesce(1).write.mode("append").parquet(f"{folder}/quotes")
     grown = spark.readStream.schema(scan.QUOTES).option("maxFilesPerTrigger", 1).parquet(f"{folder}/quotes")
     rows = scan.emitted(scan.scan(grown, context), folder)
     return rounded(rows, 9).withColumn("ts", c("ts").cast("timestamp_ntz"))
