@@ -1,9 +1,11 @@
 """Dirty values, calendars, readers, sinks and edge cases that the driver's tables don't hold."""
 
 import datetime as dt
+import itertools
 import json
 import math
 
+import duckdb
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -111,6 +113,23 @@ def test_environment_weights_by_quality(spark):
     assert got.coverage == round(sum(weights) / 3.4, 3)
 
 
+def test_environment_does_not_depend_on_order(spark):
+    """Four series of 1995-07-22 at scale 0.01, in a row order a day: their coverage is 0.4375, which rounds by the last bit."""
+    seen = [("2-HIGH", 149), ("3-MEDIUM", 152), ("4-NOT SPECIFIED", 143), ("5-LOW", 144)]
+    rows = [(dt.date(2024, 1, 1) + dt.timedelta(i), m, s, 50.0, n, n, 0) for i, order in enumerate(itertools.permutations(seen)) for m in ("ivr_pct", "expected_move_pct") for s, n in order]
+    days = spark.createDataFrame(rows, "d date, metric string, scope string, percentile double, effective_obs int, sample_len int, lag_days int").coalesce(1)
+    got = environment.index_scores(days)
+    assert {(r.score, r.coverage) for r in got.collect()} == {(50.0, 0.437)}
+    assert {(r.composite, r.overall_coverage) for r in environment.composite(got).collect()} == {(None, 0.0874)}
+
+
+def test_environment_composite_rounds_as_sql(spark):
+    """Means of 62.45 and 26.05, whose doubles lie just below."""
+    rows = [(day, index, score, 1.0) for day, pair in enumerate([(71.6, 53.3), (8.7, 43.4)]) for index, score in zip("ab", pair, strict=True)]
+    got = environment.composite(spark.createDataFrame(rows, "d int, index string, score double, coverage double")).orderBy("d")
+    assert [r.composite for r in got.collect()] == [duckdb.execute(f"SELECT round({x}::DOUBLE, 1)").fetchone()[0] for x in ((71.6 + 53.3) / 2, (8.7 + 43.4) / 2)] == [62.5, 26.1]
+
+
 def test_liquidity_needs_distinct_source_dates(spark):
     day = dt.date(2024, 1, 1)
     rows = [("m2_yoy", day + dt.timedelta(i), 1.0 + i, day) for i in range(80)]

@@ -6,6 +6,8 @@ Frames are bounded, so a series is processed as a stream of rows within its part
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, WindowSpec
@@ -64,6 +66,16 @@ def quality(observations: Column, lag: Column, base: int = BASELINE, tolerance:
     return F.least(F.lit(1.0), observations / float(base)) * F.pow(F.lit(0.85), F.greatest(F.lit(0), lag - tolerance))
 
 
+def ordered_sum(entries: Column, term: Callable[[Column], Column]) -> Column:
+    """Sum of a term over an array's entries, added from the first to the last; 0 for none."""
+    return F.aggregate(entries, F.lit(0.0), lambda total, x: total + term(x))
+
+
+def rounded(value: Column, places: int) -> Column:
+    """A double as SQL rounds it: scaled, then to a whole number; ``F.round`` rounds the shortest text instead."""
+    return F.round(value * 10.0**places) / 10.0**places
+
+
 def compare(op: Column, value: Column, bound: Column) -> Column:
     """A comparison whose operator is data; a null value never hits."""
     hit = F.when(op == "<", value < bound).when(op == "<=", value <= bound).when(op == ">", value > bound).when(op == ">=", value >= bound)

@@ -14,7 +14,9 @@ def index_scores(days: DataFrame, registry: DataFrame | None = None, indices: Da
 
     ``days`` has (d, metric, scope, percentile, effective_obs, sample_len, lag_days).  Each
     observation counts by its quality; a component has their weighted danger and mean quality;
-    STOCK_ANY means every scope but MACRO and COMPOSITE.  Both levels are partial aggregates.
+    STOCK_ANY means every scope but MACRO and COMPOSITE.  A day's observations are added in order
+    of scope and its components in order of metric: scores that lie on the edge of two roundings
+    otherwise change with the partitioning.
     """
     spark = days.sparkSession
     registry = (registry if registry is not None else specs.registry(spark)).where("bad_dir <> 0").select("metric", "bad_dir")
@@ -24,23 +26,30 @@ def index_scores(days: DataFrame, registry: DataFrame | None = None, indices: Da
     quality = F.when(n >= specs.MIN_OBSERVATIONS, series.quality(n, F.greatest(F.lit(0), F.coalesce("lag_days", F.lit(0)))))
     in_scope = F.when(F.col("spec_scope") == "STOCK_ANY", ~F.col("scope").isin("MACRO", "COMPOSITE")).otherwise(F.col("scope") == F.col("spec_scope"))
     seen = days.join(spec, "metric").where(in_scope & F.col("percentile").isNotNull()).select(
-        "d", "index", "metric", "weight", quality.alias("q"), F.when(F.col("bad_dir") > 0, F.col("percentile")).otherwise(100.0 - F.col("percentile")).alias("danger"),
+        "d", "index", "metric", "weight", "scope", quality.alias("q"), F.when(F.col("bad_dir") > 0, F.col("percentile")).otherwise(100.0 - F.col("percentile")).alias("danger"),
     ).where("q > 0")
-    parts = seen.groupBy("d", "index", "metric", "weight").agg((F.sum(F.col("danger") * F.col("q")) / F.sum("q")).alias("danger"), F.avg("q").alias("q"))
-    total = indices.groupBy("index").agg(F.sum("weight").alias("total"))
-    own = parts.withColumn("w", F.col("weight") * F.col("q")).groupBy("d", "index").agg(F.sum(F.col("danger") * F.col("w")).alias("sum"), F.sum("w").alias("w"))
-    return own.join(F.broadcast(total), "index").select("d", "index", F.round(F.col("sum") / F.col("w"), 1).alias("score"), F.round(F.col("w") / F.col("total"), 3).alias("coverage"))
+    q = series.ordered_sum(F.col("seen"), lambda x: x["q"])
+    danger = series.ordered_sum(F.col("seen"), lambda x: x["danger"] * x["q"]) / q
+    parts = seen.groupBy("d", "index", "metric", "weight").agg(F.array_sort(F.collect_list(F.struct("scope", "danger", "q"))).alias("seen"))
+    parts = parts.select("d", "index", F.struct("metric", "weight", danger.alias("danger"), (q / F.size("seen")).alias("q")).alias("part"))
+    total = indices.groupBy("index").agg(F.sum(F.col("weight").cast("decimal(18,9)")).cast("double").alias("total"))
+    own = parts.groupBy("d", "index").agg(F.array_sort(F.collect_list("part")).alias("parts"))
+    w = series.ordered_sum(F.col("parts"), lambda x: x["weight"] * x["q"])
+    score = series.ordered_sum(F.col("parts"), lambda x: x["danger"] * x["weight"] * x["q"]) / w
+    return own.join(F.broadcast(total), "index").select("d", "index", series.rounded(score, 1).alias("score"), series.rounded(w / F.col("total"), 3).alias("coverage"))
 
 
 def composite(scores: DataFrame) -> DataFrame:
     """(d, composite, core_coverage, overall_coverage): coverage-weighted mean over indices covered by half or more."""
     enough = (F.col("coverage") >= specs.MIN_INDEX_COVERAGE) & F.col("score").isNotNull()
     core = F.col("index").isin("idx_risk_pressure", "idx_liquidity_stress", "idx_breadth_decay")
-    return scores.groupBy("d").agg(
-        F.round(F.try_divide(F.sum(F.when(enough, F.col("score") * F.col("coverage"))), F.sum(F.when(enough, F.col("coverage")))), 1).alias("composite"),
+    days = scores.groupBy("d").agg(
+        F.array_sort(F.collect_list(F.when(enough, F.struct("index", "score", "coverage")))).alias("covered"),
         F.round(F.sum(F.when(core, F.col("coverage")).otherwise(0.0)) / 3, 4).alias("core_coverage"),
         F.round(F.sum("coverage") / 5, 4).alias("overall_coverage"),
     )
+    mean = F.try_divide(series.ordered_sum(F.col("covered"), lambda x: x["score"] * x["coverage"]), series.ordered_sum(F.col("covered"), lambda x: x["coverage"]))
+    return days.select("d", series.rounded(mean, 1).alias("composite"), "core_coverage", "overall_coverage")
 
 
 def state(scores: DataFrame, resonance: DataFrame) -> DataFrame:
